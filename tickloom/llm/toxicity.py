@@ -2,7 +2,7 @@
 
 A text is a bag of sentences (split at ``.``, ``!``, ``?`` and line ends).  A
 sentence's score is a logistic function of the sparse weights of its hashed
-words; a text's score is the noisy-or of its sentences and of a leak term that
+words and word stems; a text's score is the noisy-or of its sentences and of a leak term that
 also gives texts without words their score.  The weights come from document
 labels alone, by proximal AdaGrad on the noisy-or likelihood.  Sentences scoring
 0.5 or more are reported as offending, with byte spans.
@@ -25,24 +25,32 @@ from . import textops as tx
 from .shared import sampled
 
 BITS = 18
+#: Besides a whole word, its first so many bytes are features if it is longer: inflected forms share them.
+STEMS = (5, 6, 7, 8)
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?\n"]] = True
 
 
 def _sentences(data, offsets):
-    """Word features, sentence of each word, and row, first and last byte of each sentence."""
+    """Word and stem features, the sentence of each, and row, first and last byte of each sentence."""
     low = tx.LOWER[data]
     start, end, row = tx.words(low, offsets, tx.ALNUM)
-    feature = (tx.word_hashes(low, start, end) >> np.uint64(64 - BITS)).astype(np.int64)
     if not len(start):
-        none = np.zeros(0, np.int64)
-        return feature, none, none, none, none
+        return (np.zeros(0, np.int64),) * 5
+    rolled = tx.Rolling(tx.byte_values()[low])
     stops = np.cumsum(_STOP[data])[start]
     new = np.ones(len(start), bool)
     new[1:] = (stops[1:] != stops[:-1]) | (row[1:] != row[:-1])
     first = np.flatnonzero(new)
     last = np.concatenate([first[1:], [len(start)]]) - 1
-    return feature, np.cumsum(new) - 1, row[first], start[first], end[last]
+    sentence = np.cumsum(new) - 1
+    features, owners = [rolled.spans(start, end)], [sentence]
+    for size in STEMS:
+        longer = np.flatnonzero(end - start > size)
+        features.append(tx.mix(rolled.spans(start[longer], start[longer] + size) + np.uint64(size)))
+        owners.append(sentence[longer])
+    feature = (np.concatenate(features) >> np.uint64(64 - BITS)).astype(np.int64)
+    return feature, np.concatenate(owners), row[first], start[first], end[last]
 
 
 def _softplus(z):
