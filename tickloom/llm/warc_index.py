@@ -2,7 +2,7 @@
 
 ``write_archives`` lets Spark write one WARC/1.1 record per page; the record
 terminator (two CRLFs) is the text writer's line separator, so the files are
-written by Spark's own committed output and survive lost executors.
+written by Spark's own committed output, gzipped, and survive lost executors.
 ``read_archives`` parses the files by Content-Length, checks every digest and
 yields one index line per record.  ``capture_history`` merges the locally sorted
 runs (one per archive) by URL key and timestamp with a k-way loser tree inside
@@ -17,6 +17,7 @@ archives and an empty index.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
 
@@ -77,11 +78,11 @@ def write_archives(pages: DataFrame, folder: str, *, per_archive=256, epoch="202
         F.concat(F.lit("Content-Length: "), F.octet_length(payload).cast("string")),
     ]
     record = F.concat(F.concat_ws("\r\n", *headers), F.lit(END), payload)  # concat_ws leaves out null headers
-    r.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", per_archive).text(folder)
+    r.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", per_archive).option("compression", "gzip").text(folder)
 
 
 def records(raw: bytes):
-    """(headers, payload, place, size) of every record of one archive, by Content-Length."""
+    """(headers, payload, place, size) of every record of one unpacked archive, by Content-Length."""
     at = 0
     while at < len(raw):
         split = raw.index(b"\r\n\r\n", at)
@@ -107,7 +108,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for path, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 run = []
-                for h, payload, at, size in records(raw.as_buffer().to_pybytes()):
+                for h, payload, at, size in records(gzip.decompress(raw.as_buffer())):
                     digest = h["WARC-Payload-Digest"].removeprefix("sha1:")
                     length = int(h["X-Payload-Length"])
                     if h["WARC-Type"] == "response" and (hashlib.sha1(payload).hexdigest() != digest or len(payload) != length):
