@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, toxicity, warc_index
+from . import decontam, langid, line_crf, packing, toxicity, warc_index
 from .shared import remainder, table
 
 
@@ -16,6 +17,16 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op4_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    crf = line_crf.fit(docs, table(spark, sf_dir, "labels"))
+    return line_crf.judge(docs, crf).drop("line_labels")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = remainder(F.col("doc_id"), 5) == 0
@@ -34,7 +45,7 @@ def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op6_toxicity, op7_decontamination, op8_warc_index)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_best_fit_packing, op4_quality_lines, op6_toxicity, op7_decontamination, op8_warc_index)}
 
 ORACLES = {
     "op8_warc_index": """
