@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, line_crf, ngram_join, packing, toxicity, warc_index
+from . import decontam, langid, license_index, line_crf, ngram_join, packing, toxicity, warc_index
 from .shared import remainder, table
 
 
@@ -31,6 +31,10 @@ def op4_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.judge(docs, crf).drop("line_labels")
 
 
+def op5_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_index.scan(table(spark, sf_dir, "documents")).drop("matches")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = remainder(F.col("doc_id"), 5) == 0
@@ -49,7 +53,7 @@ def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_jaccard, op3_best_fit_packing, op4_quality_lines, op6_toxicity, op7_decontamination, op8_warc_index)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_jaccard, op3_best_fit_packing, op4_quality_lines, op5_license_index, op6_toxicity, op7_decontamination, op8_warc_index)}
 
 ORACLES = {
     "op2_ngram_jaccard": """
