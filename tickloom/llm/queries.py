@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, license_index, line_crf, ngram_join, packing, toxicity, warc_index
+from . import decontam, langid, license_index, line_crf, ngram_join, packing, pii, toxicity, warc_index
 from .shared import remainder, table
 
 
@@ -53,7 +53,11 @@ def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_jaccard, op3_best_fit_packing, op4_quality_lines, op5_license_index, op6_toxicity, op7_decontamination, op8_warc_index)}
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents")).drop("found")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_jaccard, op3_best_fit_packing, op4_quality_lines, op5_license_index, op6_toxicity, op7_decontamination, op8_warc_index, op9_pii)}
 
 ORACLES = {
     "op2_ngram_jaccard": """
