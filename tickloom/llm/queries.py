@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, license_index, line_crf, ngram_join, packing, pii, toxicity, warc_index
+from . import bwt_dedup, decontam, langid, license_index, line_crf, ngram_join, packing, pii, toxicity, warc_index
 from .shared import remainder, table
 
 
@@ -57,9 +57,33 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents")).drop("found")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_jaccard, op3_best_fit_packing, op4_quality_lines, op5_license_index, op6_toxicity, op7_decontamination, op8_warc_index, op9_pii)}
+def op10_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_dedup.repeated_spans(table(spark, sf_dir, "documents")).drop("ranges")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_jaccard, op3_best_fit_packing, op4_quality_lines, op5_license_index, op6_toxicity, op7_decontamination, op8_warc_index, op9_pii, op10_bwt_dedup)}
 
 ORACLES = {
+    "op10_bwt_dedup": """
+WITH t AS (
+    SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents
+), w AS (
+    SELECT doc_id, i, min(doc_id) OVER (PARTITION BY substr(h, 2 * i + 1, 100)) AS f FROM t, unnest(range(0, n - 49)) AS u(i) WHERE n >= 50
+), g AS (
+    SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS fresh FROM w WHERE f < doc_id
+), r AS (
+    SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM g
+), s AS (
+    SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM r GROUP BY doc_id, run
+), k AS (
+    SELECT s.*, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s
+), e AS (
+    SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept
+    FROM k JOIN t USING (doc_id) GROUP BY doc_id
+)
+SELECT t.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN e.doc_id IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM t LEFT JOIN e USING (doc_id)""",
     "op2_ngram_jaccard": """
 WITH RECURSIVE w AS (
     SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
