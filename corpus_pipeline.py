@@ -1,21 +1,53 @@
-"""Corpus pipeline: the operators of ``tickloom.llm`` in sequence."""
+"""Corpus pipeline: language, near duplicates, benchmark, personal data, packing.
+
+Every stage works on all that its predecessor kept.  All but the last return the
+columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tickloom.llm import decontam
+from tickloom.llm import decontam, langid, ngram_join, packing, pii
 from tickloom.llm.shared import stored, table
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without a letter or without a clear language go."""
+    return langid.accept(docs, langid.fit(docs))
+
+
+def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by a five-word shingle similarity of 0.8 or more, the smallest doc_id stays."""
+    return ngram_join.one_per_component(docs, size=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontam.remove_documents(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+    """Documents of which a twentieth or more stands in benchmark windows go."""
+    return decontam.remove_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind; n_chars follows the text."""
+    return pii.redact(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their sequence and offset."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("benchmark_decontamination", decontaminate)]
+STAGES = [
+    ("language_id", identify_language),
+    ("ngram_jaccard_join", join_near_duplicates),
+    ("benchmark_decontamination", decontaminate),
+    ("pii", redact_personal_data),
+    ("best_fit_packing", pack),
+]
 
+#: Trained models and a tokenizer decide what stays, which SQL can't express; tests/llm checks the stages by brute force.
 ORACLE_SQL = None
 
 

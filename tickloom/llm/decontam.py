@@ -12,7 +12,7 @@ its words.
 Null or empty text has no words: zero counts, not contaminated.  Repeated
 documents each get a row; repeated items count by their own ids.  An empty
 benchmark hits nothing.  Further columns of the inputs are ignored by ``scan``
-and kept by ``remove_documents`` and ``remove_spans``.
+and kept by ``remove_documents``.
 """
 
 from __future__ import annotations
@@ -94,7 +94,7 @@ def item_blocks(benchmark: DataFrame, item_id: str, text: str, limit: int):
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, *, doc_id="doc_id", text="text", item_id="item_id", item_text="text", size=13, share=20, block_bytes=BLOCK_BYTES) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, *, doc_id="doc_id", text="text", item_id="item_id", item_text="text", size=13, share=20, block_bytes=BLOCK_BYTES, carry=()) -> DataFrame:
     """One row per document: counts, hit items, verdict and hit spans.
 
     A benchmark within ``block_bytes`` is broadcast whole: one pass, no shuffle.
@@ -102,10 +102,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, doc_id="doc_id", text="text",
     the hits so far beside the text for the next pass.
 
     Columns: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and
-    ``spans``: half-open byte ranges of the hit words, merged over adjacent words.
+    ``spans``: half-open byte ranges of the hit words, merged over adjacent words;
+    then the columns named in ``carry``, as carried_0 and so on.
     """
     spark = docs.sparkSession
-    state = docs.select(doc_id, text, F.expr("cast(array() as array<struct<start:long,end:long>>)").alias("held"), F.expr("cast(array() as array<string>)").alias("items"))
+    state = docs.select(doc_id, text, F.expr("cast(array() as array<struct<start:long,end:long>>)").alias("held"), F.expr("cast(array() as array<string>)").alias("items"), *(F.col(f"`{c}`").alias(f"carried_{i}") for i, c in enumerate(carry)))
     blocks = item_blocks(benchmark, item_id, item_text, block_bytes)
     block = next(blocks, [])
     while block is not None:
@@ -151,11 +152,12 @@ def _with_hits(state: DataFrame, index, doc_id: str, share: int, last: bool) ->
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), _SPANS) if last else (_SPANS, pa.list_(pa.string()))
             columns = list(zip(*out, strict=True)) if out else [[]] * len(types)
             front = [batch.column(0)] if last else [batch.column(0), batch.column(1)]
-            yield pa.RecordBatch.from_arrays([*front, *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=names)
+            yield pa.RecordBatch.from_arrays([*front, *(pa.array(c, t) for c, t in zip(columns, types, strict=True)), *batch.columns[4:]], names=names)
 
     if last:
         schema = f"`{doc_id}` {state.schema[doc_id].dataType.simpleString()}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:long,end:long>>"
-        names = [doc_id, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"]
+        schema += "".join(f", {f.name} {f.dataType.simpleString()}" for f in state.schema[4:])
+        names = [doc_id, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", *state.columns[4:]]
     else:
         schema, names = state.schema, state.columns
     return state.mapInArrow(run, schema)
@@ -179,13 +181,10 @@ def _rejoined(docs: DataFrame, verdicts: DataFrame, doc_id: str, how: str) -> Da
     return docs.join(verdicts, docs[doc_id].eqNullSafe(verdicts["__id"]), how)
 
 
-def remove_documents(docs: DataFrame, benchmark: DataFrame, *, doc_id="doc_id", **options) -> DataFrame:
-    """The documents that are not contaminated, all columns kept.
-
-    A repeated doc_id goes if any of its rows is contaminated.
-    """
-    bad = scan(docs, benchmark, doc_id=doc_id, **options).where("contaminated").select(F.col(doc_id).alias("__id")).distinct()
-    return _rejoined(docs, bad, doc_id, "left_anti")
+def remove_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows that are not contaminated, all columns kept; one scan, no shuffle."""
+    found = scan(docs, benchmark, carry=docs.columns, **options).where("not contaminated")
+    return found.select(*(F.col(f"carried_{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, *, doc_id="doc_id", text="text", **options) -> DataFrame:

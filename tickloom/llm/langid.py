@@ -168,9 +168,9 @@ def fit(docs: DataFrame, *, text="text", lang="lang", key="doc_id", max_train=60
 
 
 def predict(docs: DataFrame, model: Model, *, text="text", carry=("doc_id",)) -> DataFrame:
-    """``carry`` columns, lang_pred and score of every row of ``docs``."""
+    """``carry`` columns (whatever their names), then lang_pred and score, of every row of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [*carry, "lang_pred", "score"]
+    names = [*(f"carried_{i}" for i in range(len(carry))), "lang_pred", "score"]
 
     def run(batches):
         alphabet, m = _alphabet(), shared.value
@@ -188,8 +188,14 @@ def predict(docs: DataFrame, model: Model, *, text="text", carry=("doc_id",)) ->
                 scores += np.where(counts > 0, p.max(axis=1), 0.0).tolist()
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=names)
 
-    front = docs.select(*carry, text)
-    fields = ", ".join(f"`{c}` {front.schema[c].dataType.simpleString()}" for c in carry)
-    return front.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    front = docs.select(*(F.col(f"`{c}`").alias(f"carried_{i}") for i, c in enumerate(carry)), F.col(text).alias("text"))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in front.schema[: len(carry)])
+    out = front.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return out.toDF(*carry, "lang_pred", "score")
 
 
+def accept(docs: DataFrame, model: Model, *, text="text", least_score=0.5) -> DataFrame:
+    """The rows whose text has a language, predicted with at least ``least_score``; all columns kept."""
+    found = predict(docs, model, text=text, carry=docs.columns).toDF(*(f"carried_{i}" for i in range(len(docs.columns))), "lang_pred", "score")
+    kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
+    return kept.select(*(F.col(f"carried_{i}").alias(c) for i, c in enumerate(docs.columns)))

@@ -68,9 +68,11 @@ ORACLES = {
 WITH t AS (
     SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents
 ), w AS (
-    SELECT doc_id, i, min(doc_id) OVER (PARTITION BY substr(h, 2 * i + 1, 100)) AS f FROM t, unnest(range(0, n - 49)) AS u(i) WHERE n >= 50
+    SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 100)) AS s FROM t, unnest(range(0, n - 49)) AS u(i) WHERE n >= 50
+), f AS (
+    SELECT s, min(doc_id) AS f FROM w GROUP BY s HAVING count(*) > 1
 ), g AS (
-    SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS fresh FROM w WHERE f < doc_id
+    SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS fresh FROM w JOIN f USING (s) WHERE f < doc_id
 ), r AS (
     SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM g
 ), s AS (
