@@ -17,6 +17,7 @@ further columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
 
@@ -29,52 +30,89 @@ from pyspark.sql import functions as F
 from . import textops as tx
 from .shared import stored
 
-#: Distinct words whose ids a task remembers before it starts anew.
-REMEMBERED = 300_000
+#: Distinct words, and distinct stems, whose ids a worker remembers; others are encoded where they occur.
+REMEMBERED = 700_000
+#: Trailing characters that the tokenizer always splits from a letter or digit before them.
+_TAIL = b".,!?%*$#&|"
 
 
 class WordIds:
-    """Ids of words by lookup; each word is encoded once per task.
+    """Ids of words by lookup, so that a worker encodes each common word once.
 
-    The tokenizer never merges across ASCII white space, so a text's ids are the
-    concatenation of its words' ids.
+    The tokenizer never merges across ASCII white space, nor between letters or
+    digits and the punctuation behind them, so a text's ids are the concatenation
+    of its parts' ids.  A-Z are lower-cased by the tokenizer in any case.
     """
 
     def __init__(self, tokenizer, end_id: int):
-        self.tokenizer, self.end_id = tokenizer, end_id
-        self._reset()
-
-    def _reset(self):
+        self.tokenizer = tokenizer
         self.index: dict[bytes, int] = {b"": 0}
-        self.flat, self.first, self.count = np.array([self.end_id], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.stems: dict[bytes, list[int]] = {}
+        self.flat, self.first, self.count = np.array([end_id], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
+
+    def _parts(self, word: bytes) -> tuple[bytes, ...]:
+        stem = word.rstrip(_TAIL)
+        if stem == word or not stem:
+            return (word.lower(),)
+        if stem.isalnum() or (not stem.isascii() and stem.decode().isalpha()):
+            return stem.lower(), word[len(stem) :]
+        return (word.lower(),)
+
+    def _learn(self, new: list[bytes]) -> None:
+        parts = [self._parts(w) for w in new]
+        fresh = list({p for own in parts for p in own}.difference(self.stems))
+        encoded = self.tokenizer.encode_batch([p.decode() for p in fresh], add_special_tokens=False)
+        stems = self.stems
+        stems.update(zip(fresh, (e.ids for e in encoded), strict=True))
+        ids = [stems[own[0]] if len(own) == 1 else stems[own[0]] + stems[own[1]] for own in parts]
+        counts = np.array([len(x) for x in ids], np.int64)
+        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
+        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(counts) - counts])
+        self.count = np.concatenate([self.count, counts])
+        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(counts.sum()))])
+        if len(stems) > REMEMBERED:
+            for p in fresh:
+                del stems[p]
 
     def __call__(self, texts: list[bytes]):
         """Ids of all texts, each followed by the end id, and the number of ids of each."""
-        if len(self.index) > REMEMBERED:
-            self._reset()
         words, sizes = [], []
         for t in texts:
             own = t.split()
             own.append(b"")  # stands for the end id
             words += own
             sizes.append(len(own))
-        index = self.index
+        index, known = self.index, len(self.index)
         new = list(set(words).difference(index))
+        held = self.flat, self.first, self.count
         if new:
-            ids = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)]
-            index.update(zip(new, range(len(index), len(index) + len(new)), strict=True))
-            counts = np.array([len(x) for x in ids], np.int64)
-            self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(counts) - counts])
-            self.count = np.concatenate([self.count, counts])
-            self.flat = np.concatenate([self.flat, np.array([i for x in ids for i in x], np.uint32)])
+            self._learn(new)
         at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
         counts = self.count[at]
         ends = np.cumsum(counts)
         ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[at] - (ends - counts), counts)]
         lengths = np.add.reduceat(counts, np.cumsum(sizes) - sizes) if sizes else np.zeros(0, np.int64)
+        if new and known + len(new) > REMEMBERED:  # full: forget what this call brought
+            for w in new:
+                del index[w]
+            self.flat, self.first, self.count = held
         return ids, lengths
 
 
+def _worker_ids(vocabulary: str, end_id: int) -> WordIds:
+    """This worker's ``WordIds``; Spark reuses workers, so it serves many tasks."""
+    import builtins
+
+    from tokenizers import Tokenizer
+
+    key = (zlib.crc32(vocabulary.encode()), end_id)
+    cache = builtins.__dict__.setdefault("_word_ids", {})
+    if key not in cache:
+        cache.clear()
+        cache[key] = WordIds(Tokenizer.from_str(vocabulary), end_id)
+    return cache[key]
+
+
 def tokenize(docs: DataFrame, tokenizer_file: str, *, doc_id="doc_id", text="text", capacity=2048, end_id=0, with_ids=False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32 (and ids on request)."""
     with open(tokenizer_file, encoding="utf-8") as f:
@@ -82,9 +120,7 @@ def tokenize(docs: DataFrame, tokenizer_file: str, *, doc_id="doc_id", text="tex
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        encode = WordIds(Tokenizer.from_str(vocabulary.value), end_id)
+        encode = _worker_ids(vocabulary.value, end_id)
         for batch in batches:
             row, piece, start, length, crc, kept = [], [], [], [], [], []
             for row0, row1, data, offsets in tx.pieces(batch.column(1)):
