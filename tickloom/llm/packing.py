@@ -46,9 +46,11 @@ class WordIds:
 
     def __init__(self, tokenizer, end_id: int):
         self.tokenizer = tokenizer
-        self.index: dict[bytes, int] = {b"": 0}
+        self.index: dict[int, int] = {}  # word hash to entry
         self.stems: dict[bytes, list[int]] = {}
-        self.flat, self.first, self.count = np.array([end_id], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
+        # entry 0 is the end id; the arrays have room to grow
+        self.flat, self.first, self.count = np.full(1 << 20, end_id, np.uint32), np.zeros(1 << 18, np.int64), np.ones(1 << 18, np.int64)
+        self.entries, self.used = 1, 1
 
     def _parts(self, word: bytes) -> tuple[bytes, ...]:
         stem = word.rstrip(_TAIL)
@@ -59,43 +61,51 @@ class WordIds:
         return (word.lower(),)
 
     def _learn(self, new: list[bytes]) -> None:
+        """Append entries for the given words."""
         parts = [self._parts(w) for w in new]
-        fresh = list({p for own in parts for p in own}.difference(self.stems))
-        encoded = self.tokenizer.encode_batch([p.decode() for p in fresh], add_special_tokens=False)
         stems = self.stems
-        stems.update(zip(fresh, (e.ids for e in encoded), strict=True))
+        fresh = list({p for own in parts for p in own}.difference(stems))
+        encoded = self.tokenizer.encode_batch([p.decode() for p in fresh], add_special_tokens=False)
+        stems.update(zip(fresh, [e.ids for e in encoded], strict=True))
         ids = [stems[own[0]] if len(own) == 1 else stems[own[0]] + stems[own[1]] for own in parts]
-        counts = np.array([len(x) for x in ids], np.int64)
-        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
-        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(counts) - counts])
-        self.count = np.concatenate([self.count, counts])
-        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(counts.sum()))])
         if len(stems) > REMEMBERED:
             for p in fresh:
                 del stems[p]
-
-    def __call__(self, texts: list[bytes]):
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        ends = np.cumsum(counts)
+        n, size = len(ids), int(ends[-1]) if len(ids) else 0
+        while self.used + size > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while self.entries + n > len(self.first):
+            self.first, self.count = np.concatenate([self.first, np.empty_like(self.first)]), np.concatenate([self.count, np.empty_like(self.count)])
+        self.flat[self.used : self.used + size] = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, size)
+        self.first[self.entries : self.entries + n] = self.used + ends - counts
+        self.count[self.entries : self.entries + n] = counts
+        self.entries, self.used = self.entries + n, self.used + size
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray):
         """Ids of all texts, each followed by the end id, and the number of ids of each."""
-        words, sizes = [], []
-        for t in texts:
-            own = t.split()
-            own.append(b"")  # stands for the end id
-            words += own
-            sizes.append(len(own))
-        index, known = self.index, len(self.index)
-        new = list(set(words).difference(index))
-        held = self.flat, self.first, self.count
-        if new:
-            self._learn(new)
-        at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
-        counts = self.count[at]
+        start, end, row = tx.words(data, offsets, tx.SPACED)
+        hashes, sample, inverse = np.unique(tx.word_hashes(data, start, end), return_index=True, return_inverse=True)
+        keys, index = hashes.tolist(), self.index
+        known = self.entries, self.used
+        at = np.fromiter((index.get(k, -1) for k in keys), np.int64, len(keys))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            raw = data.tobytes()
+            self._learn([raw[a:b] for a, b in zip(start[sample[missing]].tolist(), end[sample[missing]].tolist(), strict=True)])
+            at[missing] = known[0] + np.arange(len(missing))
+        entry = np.zeros(len(start) + len(offsets) - 1, np.int64)  # a text's end id follows its words
+        entry[np.arange(len(start)) + row] = at[inverse]
+        counts = self.count[entry]
         ends = np.cumsum(counts)
-        ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[at] - (ends - counts), counts)]
-        lengths = np.add.reduceat(counts, np.cumsum(sizes) - sizes) if sizes else np.zeros(0, np.int64)
-        if new and known + len(new) > REMEMBERED:  # full: forget what this call brought
-            for w in new:
-                del index[w]
-            self.flat, self.first, self.count = held
+        ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[entry] - (ends - counts), counts)]
+        closing = np.cumsum(np.bincount(row, minlength=len(offsets) - 1) + 1) - 1
+        lengths = np.diff(ends[closing], prepend=0)
+        if known[0] + len(missing) > REMEMBERED:  # full: forget what this call brought
+            self.entries, self.used = known
+        else:
+            index.update(zip(hashes[missing].tolist(), at[missing].tolist(), strict=True))
         return ids, lengths
 
 
@@ -123,10 +133,9 @@ def tokenize(docs: DataFrame, tokenizer_file: str, *, doc_id="doc_id", text="tex
         encode = _worker_ids(vocabulary.value, end_id)
         for batch in batches:
             row, piece, start, length, crc, kept = [], [], [], [], [], []
-            for row0, row1, data, offsets in tx.pieces(batch.column(1)):
-                raw = data.tobytes()
-                ids, lengths = encode([raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
-                ids = ids.astype("<u4")
+            for row0, _, data, offsets in tx.pieces(batch.column(1), 2 * tx.SLICE_BYTES):
+                ids, lengths = encode(data, offsets)
+                ids = ids.astype("<u4", copy=False)
                 at = 0
                 for i, n in enumerate(lengths.tolist()):
                     for p, s in enumerate(range(0, n, capacity)):
