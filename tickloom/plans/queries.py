@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +14,7 @@ from ..operators import backtest as bt
 from ..operators import chart_data, factors, indicators, news, portfolio, screener, signals, similarity, stats, strategies
 from ..sources import bars as sources
 from ..sources import dimensions
+from ..streaming import ohlcv
 from . import oracle as o
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -217,3 +220,24 @@ register("html_links", lambda s, d: shown(dimensions.html_links(s.read.parquet(f
 WITH a AS (SELECT page_id, regexp_extract_all(html, '<a\\b[^>]*href="[^"]*"[^>]*>.*?</a>', 0, 'is') AS l FROM pages), e AS (SELECT page_id, k - 1 AS place, l[k] AS a FROM a, unnest(range(1, len(l) + 1)) AS t(k))
 SELECT page_id, place, regexp_extract(a, 'href="([^"]*)"', 1) AS href, trim(replace(replace(replace(replace(replace(regexp_replace(a, '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&')) AS text FROM e""")
 register("html_cells", lambda s, d: shown(dimensions.html_cells(s.read.parquet(f"{d}/pages.parquet"))))
+
+
+# ---- streaming
+def streaming_bars(s: SparkSession, d: str) -> DataFrame:
+    """The event bars, built by a stream over the events file; each trigger rewrites the result."""
+    out = f"{_folder(s)}/streaming-{uuid.uuid4().hex}"
+    schema = s.read.parquet(f"{d}/events.parquet").schema
+    events = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    ticks = events.select(F.col("event_type").alias("ticker"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), F.lit(1).alias("size"), F.col("event_id").alias("at"))
+    bars = ohlcv.streaming_bars(ticks)
+    query = bars.writeStream.outputMode("complete").option("checkpointLocation", f"{out}/state").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{out}/bars")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return shown(s.read.parquet(f"{out}/bars"), ["ticker", "ts", "open", "high", "low", "close", "volume"])
+
+
+def _folder(s: SparkSession) -> str:
+    """The folder that driver and executors share; a local one where none is set."""
+    return s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+
+
+register("streaming_bars", streaming_bars, o.query(o.EVENTS, select=f"SELECT ticker, {TS}, {_nums(('open', 'high', 'low', 'close'))}, volume FROM bars"))
