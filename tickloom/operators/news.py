@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.frames import change, first_match, mean, true, whole
 
 col = F.col
+#: Rows of a keyword dimension, which every task holds.
+MOST_KEYWORDS = 10_000
 
 
 def keyword_dimension(mapping: DataFrame) -> DataFrame:
@@ -23,7 +25,9 @@ def match_keywords(texts: DataFrame, keywords: DataFrame, *, text_id="doc_id", t
     text is tested in place, so nothing is shuffled.
     """
     fields = ["keyword", "sector", "etf", "direction", "weight"]
-    rows = [tuple(r) for r in keywords.select(*fields).distinct().limit(10_000).collect()]
+    rows = [tuple(r) for r in keywords.select(*fields).distinct().limit(MOST_KEYWORDS + 1).collect()]
+    if len(rows) > MOST_KEYWORDS:
+        raise ValueError(f"a keyword dimension has at most {MOST_KEYWORDS} rows")
     known = F.array(*(F.struct(*(F.lit(v).cast("double" if f == "weight" else "string").alias(f) for f, v in zip(fields, r, strict=True)), F.lit((r[0] or "").lower()).alias("low")) for r in rows))
     low = texts.select(col(text_id), F.lower(text).alias("low_text"))
     found = low.select(text_id, F.explode(F.filter(known, lambda k: F.col("low_text").contains(k["low"]))).alias("k"))
