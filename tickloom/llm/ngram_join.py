@@ -33,10 +33,14 @@ from pyspark.sql import functions as F
 
 from . import textops as tx
 from .components import components
-from .shared import stored
+from .shared import bit_table, in_table, stored
 
 #: Bits of the table of common shingles and of the table of documents to verify.
 COMMON_BITS = 24
+#: Bits of the table of columns with more than one row.
+COLUMN_BITS = 26
+#: Blocks of columns in which overlaps are bounded by counts.
+CELLS = 256
 #: Shingles of a text window of this many, in which repeated ones are counted before the shuffle.
 WINDOW = 1 << 21
 
@@ -110,15 +114,6 @@ def _arrow(df: DataFrame, column: str):
     return to_arrow_type(df.schema[column].dataType)
 
 
-def bit_table(df: DataFrame, value: str) -> np.ndarray:
-    """A bit for the upper COMMON_BITS bits of every 64-bit ``value``: at most 2 MB, whatever the input."""
-    at = F.shiftrightunsigned(value, 64 - COMMON_BITS)
-    words = df.select(F.shiftright(at, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned({value}, {64 - COMMON_BITS}) & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    table = np.zeros(1 << (COMMON_BITS - 6), np.uint64)
-    table[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
-    return np.unpackbits(table.view(np.uint8), bitorder="little").view(bool)
-
-
 def _prefixes(docs: DataFrame, doc_id: str, text: str, size: int, percent: int, common) -> DataFrame:
     """The first shingles of every row in the global order, with the row's digest."""
 
@@ -126,7 +121,7 @@ def _prefixes(docs: DataFrame, doc_id: str, text: str, size: int, percent: int,
         for batch in batches:
             for row0, row1, data, offsets in tx.pieces(batch.column(1)):
                 rows, grams = shingle_rows(data, offsets, size)
-                late = common.value[(grams >> np.uint64(64 - COMMON_BITS)).astype(np.int64)]
+                late = in_table(common.value, grams)
                 n = np.bincount(rows, minlength=row1 - row0)
                 begin = np.flatnonzero(np.diff(rows, prepend=-1))
                 own = rows[begin]
@@ -135,10 +130,31 @@ def _prefixes(docs: DataFrame, doc_id: str, text: str, size: int, percent: int,
                 keep = np.arange(len(rows)) - np.repeat(begin, n[own]) < np.repeat(n[own] - (percent * n[own] + 99) // 100 + 1, n[own])
                 first = grams[order][keep]
                 sizes = np.bincount(rows[keep], minlength=row1 - row0)[own]
+                cells = np.bincount(np.repeat(np.arange(len(own)), n[own]) * CELLS + (grams & np.uint64(CELLS - 1)).astype(np.int64), minlength=len(own) * CELLS)
+                wide = np.repeat(n[own] > 0x7FFF, CELLS)  # counts that may not fit bound nothing
+                cells = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * CELLS, pa.int32()), pa.array(np.where(wide, 0, cells), pa.int16()))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), _signed(first))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row0 + own)), pa.array(n[own], pa.int64()), *map(_signed, digests), lists], names=["id", "n", "one", "two", "grams"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row0 + own)), pa.array(n[own], pa.int64()), *map(_signed, digests), lists, cells], names=["id", "n", "one", "two", "grams", "cells"])
+
+    return docs.select(doc_id, text).mapInArrow(run, f"id {docs.schema[doc_id].dataType.simpleString()}, n long, one long, two long, grams array<long>, cells array<smallint>")
+
+
+def _entries(classes: DataFrame, repeated) -> DataFrame:
+    """Incidence entries (id, n, at, gram) of the columns that (may) have more than one row, and how many a row has."""
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(2).combine_chunks() if isinstance(batch.column(2), pa.ChunkedArray) else batch.column(2)
+            grams = lists.flatten()
+            sizes = np.diff(lists.offsets.to_numpy())
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            keep = np.flatnonzero(in_table(repeated.value, grams.to_numpy().view(np.uint64)))
+            of = pa.array(row[keep])
+            central = np.bincount(row[keep], minlength=len(sizes))[row[keep]]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(at[keep], pa.int32()), grams.take(pa.array(keep)), pa.array(central, pa.int32())], names=["id", "n", "at", "gram", "central"])
 
-    return docs.select(doc_id, text).mapInArrow(run, f"id {docs.schema[doc_id].dataType.simpleString()}, n long, one long, two long, grams array<long>")
+    return classes.select("id", "n", "grams").mapInArrow(run, f"id {classes.schema['id'].dataType.simpleString()}, n long, at int, gram long, central int")
 
 
 def _sets(docs: DataFrame, doc_id: str, text: str, size: int, wanted) -> DataFrame:
@@ -146,7 +162,7 @@ def _sets(docs: DataFrame, doc_id: str, text: str, size: int, wanted) -> DataFra
 
     def run(batches):
         for batch in batches:
-            take = wanted.value[(batch.column(2).to_numpy().view(np.uint64) >> np.uint64(64 - COMMON_BITS)).astype(np.int64)]
+            take = in_table(wanted.value, batch.column(2).to_numpy().view(np.uint64))
             part = batch.filter(pa.array(take))
             for row0, row1, data, offsets in tx.pieces(part.column(1)):
                 rows, grams = shingle_rows(data, offsets, size)
@@ -158,11 +174,20 @@ def _sets(docs: DataFrame, doc_id: str, text: str, size: int, wanted) -> DataFra
     return front.mapInArrow(run, f"id {docs.schema[doc_id].dataType.simpleString()}, grams array<long>")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, by full overlap counts."""
+def _verified(pairs: DataFrame, cells: DataFrame, docs: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough, by full overlap counts.
+
+    Overlaps are first bounded block by block: what two sets share in one of the
+    CELLS blocks of columns is at most the smaller of their counts there.  Pairs whose
+    bounds add up to too little are discarded before any set is fetched.
+    """
     spark = docs.sparkSession
+    bounded = pairs.join(cells.select(F.col("id").alias("a"), F.col("n").alias("p"), F.col("cells").alias("x")), "a").join(cells.select(F.col("id").alias("b"), F.col("n").alias("q"), F.col("cells").alias("y")), "b")
+    most = F.aggregate(F.zip_with("x", "y", lambda u, v: F.least(u, v).cast("int")), F.lit(0), lambda t, u: t + u)
+    most = F.when(F.greatest("p", "q") > 0x7FFF, F.least("p", "q")).otherwise(most)
+    pairs = stored(bounded.select("a", "b", "p", "q", most.alias("most")).where(f"100 * most >= {percent} * (p + q - most)").select("a", "b"), "bounded")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(F.xxhash64("id").alias("h"))
-    wanted = spark.sparkContext.broadcast(bit_table(ends, "h"))
+    wanted = spark.sparkContext.broadcast(bit_table(ends, "h", COMMON_BITS))
     sets = stored(_sets(docs, doc_id, text, size, wanted), "sets")
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
@@ -176,39 +201,52 @@ def jaccard_components(docs: DataFrame, *, doc_id="doc_id", text="text", size=5,
     spark = docs.sparkSession
     profile = stored(_profiles(docs, doc_id, text, size), "profiles")
     often = profile.where("gram is not null").groupBy("gram").agg(F.sum("copies").alias("copies")).where(F.col("copies") >= common)
-    late = spark.sparkContext.broadcast(bit_table(often, "gram"))
+    late = spark.sparkContext.broadcast(bit_table(often, "gram", COMMON_BITS))
 
     # one row of the matrix per distinct set; the smallest id stands for it
     rows = _prefixes(docs.where(F.col(doc_id).isNotNull()), doc_id, text, size, percent, late)
-    classes = stored(rows.groupBy("one", "two", "n").agg(F.min(F.struct("id", "grams")).alias("r")).select("one", "two", "n", F.col("r.id").alias("id"), F.col("r.grams").alias("grams")), "classes")
+    classes = stored(rows.groupBy("one", "two", "n").agg(F.min(F.struct("id", "grams", "cells")).alias("r")).select("one", "two", "n", "r.id", "r.grams", "r.cells"), "classes")
+    cells = classes.select("id", "n", "cells")
 
-    entries = classes.select("id", "n", F.posexplode("grams").alias("at", "gram"))
-    blocks = entries.groupBy("gram").agg(F.count("*").alias("rows"), F.min(F.struct("n", "id")).alias("low"), F.max(F.struct("n", "id")).alias("high")).where("rows > 1")
+    repeated = classes.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("rows")).where("rows > 1")
+    entries = _entries(classes, spark.sparkContext.broadcast(bit_table(repeated, "gram", COLUMN_BITS)))
+    blocks = entries.groupBy("gram").agg(F.count("*").alias("rows"), F.min("n").alias("low"), F.max(F.struct("central", "n", "id")).alias("best"), F.max(F.struct(F.xxhash64("id", "gram").alias("h"), "n", "id")).alias("other")).where("rows > 1")
     entries = stored(entries.join(blocks.drop("rows"), "gram"), "entries")  # blocks of one row yield no pair
 
-    # hubs: linear in the entries; what they join needs no further look
-    hub = entries.select("id", "n", F.explode(F.array("low", "high")).alias("hub"))
+    # hubs, the row that shares most columns and any other: linear in the entries; what they join needs no further look
+    hub = entries.select("id", "n", F.explode(F.array(F.struct("best.n", "best.id"), F.struct("other.n", "other.id"))).alias("hub"))
     sized = f"100 * least(n, hub.n) >= {percent} * greatest(n, hub.n) and hub.id <> id"
     star = hub.where(sized).select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b"))
     star = stored(star.groupBy("a", "b").agg(F.count("*").alias("shared")).where("shared > 1").drop("shared"), "stars")
-    links = stored(_verified(star, docs, doc_id, text, size, percent), "links")
+    links = stored(_verified(star, cells, docs, doc_id, text, size, percent), "links")
     joined = components(links)
 
-    # the product between different groups
-    grouped = entries.select("gram", "id", "n", "at").join(joined, "id", "left").select("gram", "id", "n", "at", F.coalesce("label", "id").alias("part"))
-    mixed = grouped.groupBy("gram").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("gram")
-    open_blocks = stored(grouped.join(mixed, "gram"), "blocks")
-    x, y = open_blocks.alias("x"), open_blocks.alias("y")
-    overlap = f"(({percent} * (x.n + y.n) + {99 + percent}) div {100 + percent})"
+    # the product between different groups; entries too far back for any partner in their block are left out
+    overlap = lambda p, q: f"(({percent} * ({p} + {q}) + {99 + percent}) div {100 + percent})"
+    least = f"greatest(low, ({percent} * n + 99) div 100)"
+    viable = entries.where(f"n - at >= {overlap('n', 'n')} or n - at >= {overlap(least, 'n')}")
     bounds = (
         f"x.part <> y.part and (x.n < y.n or x.n = y.n and x.id < y.id) and 100 * x.n >= {percent} * y.n "
-        f"and x.at < x.n - ({2 * percent} * x.n + {99 + percent}) div {100 + percent} + 1 "
-        f"and least(x.n - x.at, y.n - y.at) >= {overlap}"
+        f"and x.n - x.at >= {overlap('x.n', 'x.n')} and least(x.n - x.at, y.n - y.at) >= {overlap('x.n', 'y.n')}"
     )
-    pairs = x.join(y, (F.col("x.gram") == F.col("y.gram")) & F.expr(bounds)).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-    pairs = stored(pairs.distinct(), "pairs")
-    more = _verified(pairs, docs, doc_id, text, size, percent)
-    labels = components(links.unionByName(more))
+
+    def mixed(rows, parts):
+        """Entries with the group of their row, of the blocks that have several groups."""
+        grouped = rows.select("gram", "id", "n", "at").join(parts, "id", "left").select("gram", "id", "n", "at", F.coalesce("label", "id").alias("part"))
+        several = grouped.groupBy("gram").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("gram")
+        return stored(grouped.join(several, "gram"), "blocks")
+
+    def product(blocks):
+        x, y = blocks.alias("x"), blocks.alias("y")
+        pairs = x.join(y, (F.col("x.gram") == F.col("y.gram")) & F.expr(bounds)).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+        return stored(pairs.distinct(), "pairs")
+
+    # first one row of every group in a block, which joins most groups that belong together; then all rows of those still apart
+    blocks = mixed(viable, joined)
+    heads = blocks.groupBy("gram", "part").agg(F.min(F.struct("at", "n", "id")).alias("r")).select("gram", "part", "r.*")
+    links = stored(links.unionByName(_verified(product(heads), cells, docs, doc_id, text, size, percent)), "links")
+    pairs = product(mixed(blocks, components(links)))
+    labels = components(links.unionByName(_verified(pairs, cells, docs, doc_id, text, size, percent)))
 
     named = classes.join(labels, "id", "left").select("one", "two", "n", F.coalesce("label", "id").alias("component_id"))
     known = profile.where("gram is null").select("id", "n", "one", "two")
@@ -223,5 +261,17 @@ def one_per_component(docs: DataFrame, *, doc_id="doc_id", **options) -> DataFra
     Rows without an id stay.
     """
     found = jaccard_components(docs, doc_id=doc_id, **options)
-    gone = found.where(f"`{doc_id}` <> component_id").select(F.col(doc_id).alias("__id")).distinct()
-    return docs.join(gone, F.col(doc_id) == F.col("__id"), "left_anti")
+    gone = stored(found.where(f"`{doc_id}` <> component_id").select(F.col(doc_id).alias("__id")).distinct(), "gone")
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(gone.select(F.xxhash64("__id").alias("h")), "h", COMMON_BITS))
+    marked = docs.withColumn("__h", F.xxhash64(doc_id))
+
+    def split(inside: bool):
+        def run(batches):
+            for batch in batches:
+                hit = in_table(table.value, batch.column(batch.num_columns - 1).to_numpy().view(np.uint64))
+                yield batch.filter(pa.array(hit == inside))
+
+        return marked.mapInArrow(run, marked.schema).drop("__h")
+
+    # only rows whose id may be gone travel to the join
+    return split(False).unionByName(split(True).join(gone, F.col(doc_id) == F.col("__id"), "left_anti"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,3 +47,40 @@ def sampled(df: DataFrame, key: str, most: int, total: int, salt: int = 7) -> Da
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def bit_tables(words: DataFrame, columns: list[str], size: int) -> list[np.ndarray]:
+    """Tables of 2 ** ``size`` packed bits from rows (word, <column of 64 bits>...).
+
+    Executors pack chunks of 32 KB, so the driver gets at most 2 ** (size - 18) rows
+    and 2 ** (size - 3) bytes a column, whatever the input.
+    """
+
+    def pack(rows: pa.Table) -> pa.Table:
+        word = rows.column("word").to_numpy()
+        out = {"chunk": pa.array([int(word[0]) >> 12], pa.int64())}
+        for c in columns:
+            table = np.zeros(4096, np.int64)
+            table[word & 4095] = rows.column(c).to_numpy()
+            out[c] = pa.array([table.tobytes()], pa.binary())
+        return pa.table(out)
+
+    chunks = words.select("word", *columns).groupBy(F.shiftright("word", 12).alias("part")).applyInArrow(pack, "chunk long, " + ", ".join(f"{c} binary" for c in columns))
+    tables = [np.zeros(1 << (size - 3), np.uint8) for _ in columns]
+    for row in chunks.toLocalIterator():
+        for table, c in zip(tables, columns, strict=True):
+            table[row["chunk"] << 15 : (row["chunk"] + 1) << 15] = np.frombuffer(row[c], np.uint8)
+    return tables
+
+
+def bit_table(df: DataFrame, value: str, size: int = 24) -> np.ndarray:
+    """A bit for the lower ``size`` bits (18 at least) of every 64-bit ``value``."""
+    word = F.shiftright(F.col(value).bitwiseAND(F.lit((1 << size) - 1)), 6)
+    words = df.select(word.alias("word"), F.expr(f"shiftleft(1L, cast({value} & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    return bit_tables(words, ["bits"], size)[0]
+
+
+def in_table(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values have their bit in a table of packed bits."""
+    at = (values & np.uint64(8 * len(table) - 1)).astype(np.int64)
+    return (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 != 0
