@@ -7,6 +7,8 @@ temporary arrays stay small however large the Arrow batch is.
 
 from __future__ import annotations
 
+import builtins
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -90,9 +92,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """64-bit hashes of arbitrary spans of a sequence from one prefix sum."""
+    """64-bit hashes of arbitrary spans of a sequence from one prefix sum.
 
-    _powers: dict = {}
+    Tables of powers belong to the process, never to what is shipped to executors.
+    """
 
     def __init__(self, values: np.ndarray, base: int = _BASE):
         n = len(values)
@@ -101,9 +104,10 @@ class Rolling:
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(values * up[:n], out=self.sums[1:])
 
-    @classmethod
-    def _table(cls, n: int, base: int):
-        have = cls._powers.get(base)
+    @staticmethod
+    def _table(n: int, base: int):
+        powers = builtins.__dict__.setdefault("_rolling_powers", {})
+        have = powers.get(base)
         if have is None or len(have[0]) < n + 1:
             size = max(n + 1, 1 << 21)
             made = []
@@ -111,7 +115,7 @@ class Rolling:
                 p = np.full(size, b, np.uint64)
                 p[0] = 1
                 made.append(np.multiply.accumulate(p))
-            have = cls._powers[base] = tuple(made)
+            have = powers[base] = tuple(made)
         return have
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
