@@ -39,15 +39,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as tx
-from .ngram_join import COMMON_BITS, bit_table
-from .shared import stored
+from .shared import bit_table, bit_tables, in_table, stored
 
 #: Bytes of an anchor.
 SEED = 16
 #: Bits of the tables of repeated and of crowded anchors.
 ANCHOR_BITS = 26
+#: Bits of the tables of documents to scan and to cut.
+DOC_BITS = 24
 #: Segment bytes that a task gathers before it sends them off.
 FLUSH = 16 << 20
+#: Copies of a crowded segment in one row, so that rows are alike in the work they bring.
+LISTED = 64
 _PLACE = (1 << 28) - 1
 
 
@@ -58,29 +61,36 @@ def segments(data, offsets, minimum: int):
     if n < minimum:
         return none, none.astype(np.uint64), none, none, none, None
     rolled = tx.Rolling(tx.byte_values()[data])
-    at = np.arange(n - SEED + 1)
-    hashes = rolled.spans(at, at + SEED)
-    least = (hashes & np.uint64(~_PLACE & ((1 << 64) - 1))) | at.astype(np.uint64)
+    least = rolled.sums[SEED:] - rolled.sums[:-SEED]
+    least *= rolled.down[: len(least)]
+    least &= np.uint64(~_PLACE & ((1 << 64) - 1))
+    least |= np.arange(len(least), dtype=np.uint64)
     width, span = minimum - SEED + 1, 1
     while span * 2 <= width:
         least = np.minimum(least[:-span], least[span:])
         span *= 2
     if width > span:
         least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    start = np.flatnonzero(row[: n - minimum + 1] == row[minimum - 1 :])
-    anchor = (least[start] & np.uint64(_PLACE)).astype(np.int64)
-    if not len(start):
-        return none, none.astype(np.uint64), none, none, none, rolled
-    new = np.ones(len(start), bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (row[start[1:]] != row[start[:-1]])
+    # windows inside one row; a segment starts where the anchor changes or a row begins
+    inside = np.zeros(n + 1, np.int8)
+    long = np.diff(offsets) >= minimum
+    inside[offsets[:-1][long]] = 1
+    inside[offsets[1:][long] - minimum + 1] -= 1
+    inside = np.cumsum(inside[: len(least)], dtype=np.int8) > 0
+    new = inside.copy()
+    new[1:] &= (least[1:] != least[:-1]) | ~inside[:-1]
+    new[offsets[:-1][long]] = True
     first = np.flatnonzero(new)
-    last = np.concatenate([first[1:], [len(start)]]) - 1
-    return row[start[first]], hashes[anchor[first]], start[first], start[last] + minimum, anchor[first], rolled
+    if not len(first):
+        return none, none.astype(np.uint64), none, none, none, rolled
+    row = np.searchsorted(offsets, first, side="right") - 1
+    last = np.minimum(np.append(first[1:], n) - 1, offsets[row + 1] - minimum)
+    anchor = (least[first] & np.uint64(_PLACE)).astype(np.int64)
+    return row, rolled.spans(anchor, anchor + SEED), first, last + minimum, anchor, rolled
 
 
 def repeated(data: np.ndarray, offsets: np.ndarray, minimum: int) -> np.ndarray:
-    """For every place in the given strings the interval of its ``minimum`` bytes, -1 if they are unique or cut off."""
+    """For every place in the given strings the interval of its ``minimum`` (7 at least) bytes, -1 if they are unique or cut off."""
     n, strings = len(data), len(offsets) - 1
     sizes = np.diff(offsets)
     place = np.arange(n) + np.repeat(np.arange(strings), sizes)  # a sentinel follows every string
@@ -100,12 +110,16 @@ def repeated(data: np.ndarray, offsets: np.ndarray, minimum: int) -> np.ndarray:
         ranked = key[order]
         rank = np.empty(total, np.int64)
         rank[order] = np.cumsum(np.concatenate([[1], ranked[1:] != ranked[:-1]]))
+        if width == 7:
+            short = rank
         if width >= minimum:
             break
-        key = rank << 32
-        if width < total:
-            key[: total - width] |= np.where(left[: total - width] > width, rank[width:], 0)
-        width *= 2
+        parts = 3 if total < 1 << 21 else 2  # ranks that fit into one key
+        key = rank << (21 * (parts - 1) if parts == 3 else 32)
+        for k in range(1, parts):
+            if k * width < total:
+                key[: total - k * width] |= np.where(left[: total - k * width] > k * width, rank[k * width :], 0) << (21 * (parts - 1 - k))
+        width *= parts
 
     # the transform: the row of the suffix one byte longer, -1 at a string's start
     row_of = np.empty(total, np.int32)
@@ -113,12 +127,13 @@ def repeated(data: np.ndarray, offsets: np.ndarray, minimum: int) -> np.ndarray:
     longer = np.where((order > 0) & (text[order - 1] > 0), row_of[order - 1], -1)
     head = text[order].astype(np.int16)
 
-    # level 1: intervals of single bytes; then backward by one byte a level
-    rows = np.flatnonzero(head > 0)
-    name = head[rows].astype(np.int32)
+    # the first sort names the intervals of the first bytes; then backward by one byte a level
+    begin = 7
+    rows = np.flatnonzero(left[order] >= begin)
+    name = short[order[rows]].astype(np.int32)
     carried, marked = np.zeros(total, np.int32), np.zeros(total, bool)
-    for level in range(1, minimum + 1):
-        if level > 1:
+    for level in range(begin, minimum + 1):
+        if level > begin:
             to = longer[rows]
             ok = to >= 0
             to = to[ok]
@@ -141,10 +156,6 @@ def repeated(data: np.ndarray, offsets: np.ndarray, minimum: int) -> np.ndarray:
     return out[place]
 
 
-def _pick(bits, hashes, size):
-    return bits[(hashes >> np.uint64(64 - size)).astype(np.int64)]
-
-
 def _anchor_tables(source: DataFrame, keep, minimum: int, crowd: int):
     """Tables of repeated and of crowded anchors, and how many segments of the former there are."""
 
@@ -159,20 +170,18 @@ def _anchor_tables(source: DataFrame, keep, minimum: int, crowd: int):
                 yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64))], names=["h"])
 
     counts = source.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
-    at = F.shiftrightunsigned("h", 64 - ANCHOR_BITS)
-    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - ANCHOR_BITS}) & 63 as int))")
-    words = counts.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(bit).alias("bits"), F.bit_or(F.when(F.col("c") >= crowd, bit)).alias("crowded"), F.sum(F.when(F.col("c") < crowd, F.col("c"))).alias("load")).toPandas()  # at most 2 ** (ANCHOR_BITS - 6) rows
-    tables = []
-    for c in ("bits", "crowded"):
-        table = np.zeros(1 << (ANCHOR_BITS - 6), np.uint64)
-        table[words["word"].to_numpy(np.int64)] = words[c].fillna(0).to_numpy(np.int64).view(np.uint64) if len(words) else 0
-        tables.append(np.unpackbits(table.view(np.uint8), bitorder="little").view(bool))
-    return tables, int(words["load"].fillna(0).sum()) if len(words) else 0
+    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
+    zero = F.lit(0).cast("long")
+    words = counts.groupBy(F.shiftright(F.col("h").bitwiseAND(F.lit((1 << ANCHOR_BITS) - 1)), 6).alias("word")).agg(
+        F.bit_or(bit).alias("bits"), F.coalesce(F.bit_or(F.when(F.col("c") >= crowd, bit)), zero).alias("crowded"), F.coalesce(F.sum(F.when(F.col("c") < crowd, F.col("c"))), zero).alias("load")
+    )
+    words = stored(words, "anchors")
+    return bit_tables(words, ["bits", "crowded"], ANCHOR_BITS), words.agg(F.sum("load")).first()[0] or 0
 
 
 def _kept(batch, bits):
     """The rows of a batch (id, text, tag, id hash) whose id is in the table."""
-    return batch.filter(pa.array(_pick(bits, batch.column(3).to_numpy().view(np.uint64), COMMON_BITS)))
+    return batch.filter(pa.array(in_table(bits, batch.column(3).to_numpy().view(np.uint64))))
 
 
 def _gathered(source: DataFrame, keep, tables, minimum: int, buckets: int) -> DataFrame:
@@ -202,7 +211,7 @@ def _gathered(source: DataFrame, keep, tables, minimum: int, buckets: int) -> Da
             ids, tags = part.column(0).to_numpy(), part.column(2).to_numpy()
             for row0, _, data, offsets in tx.pieces(part.column(1)):
                 row, h, start, end, anchor, _ = segments(data, offsets, minimum)
-                take = np.flatnonzero(_pick(tables.value[0], h, ANCHOR_BITS) & ~_pick(tables.value[1], h, ANCHOR_BITS))
+                take = np.flatnonzero(in_table(tables.value[0], h) & ~in_table(tables.value[1], h))
                 if not len(take):
                     continue
                 row, h, start, end, anchor = row[take], h[take], start[take], end[take], anchor[take]
@@ -283,21 +292,42 @@ def _crowded(source: DataFrame, keep, tables, minimum: int) -> DataFrame:
     """Removed spans of segments whose anchor occurs in very many documents."""
 
     def run(batches):
+        held: list[tuple] = []
+        strings: dict[tuple[int, int], bytes] = {}
+
+        def packed():
+            h, alike, doc, tag, at = (np.concatenate([x[i] for x in held]) for i in range(5))
+            order = np.lexsort((alike, h))
+            new = np.ones(len(order), bool)
+            new[1:] = (h[order][1:] != h[order][:-1]) | (alike[order][1:] != alike[order][:-1])
+            firsts = np.flatnonzero(new)
+            within = np.arange(len(order)) - np.repeat(firsts, np.diff(np.append(firsts, len(order))))
+            firsts = np.flatnonzero(within % LISTED == 0)
+            lists = pa.array(np.append(firsts, len(order)), pa.int32())
+            column = lambda v, t: pa.ListArray.from_arrays(lists, pa.array(v[order], t))
+            own = h[order][firsts], alike[order][firsts]
+            raw = [strings[k] for k in zip(own[0].tolist(), own[1].tolist(), strict=True)]
+            return pa.RecordBatch.from_arrays([*(pa.array(v.view(np.int64)) for v in own), column(doc, pa.int64()), column(tag, pa.int32()), column(at, pa.int32()), pa.array(raw, pa.binary())], names=["h", "alike", "docs", "tags", "places", "raw"])
+
         for batch in batches:
             part = _kept(batch, keep.value)
             ids, tags = part.column(0).to_numpy(), part.column(2).to_numpy()
             for row0, _, data, offsets in tx.pieces(part.column(1)):
                 row, h, start, end, anchor, rolled = segments(data, offsets, minimum)
-                take = np.flatnonzero(_pick(tables.value[1], h, ANCHOR_BITS))
+                take = np.flatnonzero(in_table(tables.value[1], h))
                 if not len(take):
                     continue
                 row, h, start, end, anchor = row[take], h[take], start[take], end[take], anchor[take]
                 alike = tx.mix(rolled.spans(start, end) + (anchor - start).astype(np.uint64))
-                _, lead = np.unique(alike ^ tx.mix(h), return_index=True)
-                own: list = [None] * len(take)
-                for i in lead.tolist():
-                    own[i] = data[start[i] : end[i]].tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(alike.view(np.int64)), pa.array(ids[row0 + row], pa.int64()), pa.array(tags[row0 + row], pa.int32()), pa.array(start - offsets[row], pa.int32()), pa.array(own, pa.binary())], names=["h", "alike", "doc", "tag", "at", "raw"])
+                for k, a, b in zip(zip(h.tolist(), alike.tolist(), strict=True), start.tolist(), end.tolist(), strict=True):
+                    if k not in strings:
+                        strings[k] = data[a:b].tobytes()
+                held.append((h, alike, ids[row0 + row], tags[row0 + row], start - offsets[row]))
+                if sum(len(x[0]) for x in held) >= 200_000:
+                    yield packed()
+                    held, strings = [], {}
+        if held:
+            yield packed()
 
     def explode(batches):
         for batch in batches:
@@ -312,22 +342,28 @@ def _crowded(source: DataFrame, keep, tables, minimum: int) -> DataFrame:
 
     def spans(batches):
         for batch in batches:
-            lists = batch.column(3)
-            counts = np.diff(lists.offsets.to_numpy())
-            doc = batch.column(0).to_numpy()
-            yield _runs(doc, batch.column(1).to_numpy(), batch.column(2).to_numpy(), counts, lists.flatten().to_numpy() < np.repeat(doc, counts), minimum)
-
-    found = stored(source.mapInArrow(run, "h long, alike long, doc long, tag int, at int, raw binary"), "crowded")
-    strings = found.groupBy("h", "alike").agg(F.min("doc").alias("first"), F.max("raw").alias("raw"))
-    windows = strings.mapInArrow(explode, "h long, alike long, first long, place int, mark long")
-    windows = stored(windows, "windows")
+            docs, tags, places, firsts = (batch.column(i) for i in range(4))
+            copies, windows = np.diff(docs.offsets.to_numpy()), np.diff(firsts.offsets.to_numpy())
+            doc, of = docs.flatten().to_numpy(), np.repeat(np.arange(len(copies)), copies)
+            counts = windows[of]
+            least = firsts.flatten().to_numpy()[_ragged((np.cumsum(windows) - windows)[of], counts)]
+            yield _runs(doc, tags.flatten().to_numpy(), places.flatten().to_numpy(), counts, least < np.repeat(doc, counts), minimum)
+
+    found = stored(source.mapInArrow(run, "h long, alike long, docs array<long>, tags array<int>, places array<int>, raw binary"), "crowded")
+    strings = found.groupBy("h", "alike").agg(F.min(F.array_min("docs")).alias("first"), F.max("raw").alias("raw"))
+    windows = stored(strings.mapInArrow(explode, "h long, alike long, first long, place int, mark long"), "windows")
     best = windows.groupBy("mark").agg(F.min("first").alias("best"))
     firsts = windows.join(best, "mark").groupBy("h", "alike").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "best"))), lambda x: x["best"]).alias("firsts"))
-    return found.join(firsts, ["h", "alike"]).select("doc", "tag", "at", "firsts").mapInArrow(spans, _SPANS)
+    dealt = found.join(firsts, ["h", "alike"]).where("array_max(docs) > array_min(firsts)").select("docs", "tags", "places", "firsts")
+    dealt = dealt.repartition(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.mapInArrow(spans, _SPANS)
+
 
+def repeated_spans(docs: DataFrame, *, doc_id="doc_id", text="text", minimum=50, crowd=None, per_bucket=20_000) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed byte ``ranges`` of every row.
 
-def repeated_spans(docs: DataFrame, *, doc_id="doc_id", text="text", minimum=50, crowd=1000, per_bucket=20_000) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed byte ``ranges`` of every row."""
+    ``crowd``: by default a hundredth of the documents, 1,000 at least and 20,000 at most.
+    """
     spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
     source = docs.select(F.col(doc_id).cast("long").alias("id"), body.alias("text"), F.shiftrightunsigned(F.xxhash64(body), 33).cast("int").alias("tag"), F.xxhash64(F.col(doc_id).cast("long")).alias("k"))
@@ -335,7 +371,8 @@ def repeated_spans(docs: DataFrame, *, doc_id="doc_id", text="text", minimum=50,
     same = facts.where("id is not null").groupBy("sha").agg(F.min("id").alias("owner"))
     facts = stored(facts.join(same, "sha", "left").withColumn("copy", F.coalesce(F.col("id") > F.col("owner"), F.lit(False)) & (F.col("n_bytes") >= minimum)), "facts")
 
-    keep = spark.sparkContext.broadcast(bit_table(facts.where(f"id is not null and not copy and n_bytes >= {minimum}").select(F.xxhash64("id").alias("k")), "k"))
+    crowd = crowd or min(max(1000, facts.count() // 100), 20_000)
+    keep = spark.sparkContext.broadcast(bit_table(facts.where(f"id is not null and not copy and n_bytes >= {minimum}").select(F.xxhash64("id").alias("k")), "k", DOC_BITS))
     known = source.where("id is not null")
     made, load = _anchor_tables(known, keep, minimum, crowd)
     tables = spark.sparkContext.broadcast(made)
@@ -345,7 +382,7 @@ def repeated_spans(docs: DataFrame, *, doc_id="doc_id", text="text", minimum=50,
     spans = stored(spans.unionByName(_crowded(known, keep, tables, minimum)), "spans")
 
     # only documents that lose something travel with their text
-    touched = spark.sparkContext.broadcast(bit_table(spans.select(F.xxhash64("doc").alias("k")), "k"))
+    touched = spark.sparkContext.broadcast(bit_table(spans.select(F.xxhash64("doc").alias("k")), "k", DOC_BITS))
 
     def losing(batches):
         for batch in batches:
