@@ -123,7 +123,7 @@ def _softmax(z):
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit(docs: DataFrame, *, text="text", lang="lang", key="doc_id", max_train=6000, buckets=1 << 14, alpha=0.3, beta=1.0, l1=0.02, l2=0.1, epochs=3, scale=20.0) -> Model:
+def fit(docs: DataFrame, *, text="text", lang="lang", key="doc_id", max_train=4000, buckets=1 << 14, alpha=0.3, beta=1.0, l1=0.02, l2=0.1, epochs=3, scale=20.0) -> Model:
     """Fit on labelled ``docs``; ``max_train`` bounds the rows that reach the driver."""
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     totals = {r[0]: r[1] for r in labelled.groupBy(lang).count().collect()}
@@ -139,11 +139,12 @@ def fit(docs: DataFrame, *, text="text", lang="lang", key="doc_id", max_train=60
     alphabet, samples = _alphabet(), []
     for i in order.tolist():
         data = np.frombuffer(rows[i][0].encode(), np.uint8)
+        truth, rows[i] = rows[i][1], None  # the text isn't needed any more
         clean, at = _letters(data, np.array([0, len(data)]), alphabet)
         counts = sum((np.bincount(f, minlength=buckets) for _, f in _grams(clean, at, buckets)), np.zeros(buckets))
         if counts.any():
             some = np.flatnonzero(counts)
-            samples.append((some, counts[some] / counts.sum() * idf[some] * scale, rows[i][1]))
+            samples.append((some.astype(np.uint16 if buckets <= 1 << 16 else np.int32), (counts[some] / counts.sum() * idf[some] * scale).astype(np.float32), truth))
     held = samples[: len(samples) // 7]
     k = len(languages)
     z, seen, w = np.zeros((buckets, k)), np.zeros((buckets, k)), np.zeros((buckets, k))

@@ -83,14 +83,20 @@ def fit(docs: DataFrame, labels: DataFrame, *, key="doc_id", text="text", label=
         return Model(weights, bias, leak)
     rows.sort()
     mean = sum(r[2] for r in rows) / len(rows)
-    bags, seen = [], np.zeros(1 << BITS, np.int32)
-    for t, y, weight in rows:
-        data = np.frombuffer(t.encode(), np.uint8)
+    def bag(text):
+        data = np.frombuffer(text.encode(), np.uint8)
         feature, sentence, row, *_ = _sentences(data, np.array([0, len(data)]))
-        bags.append((feature, sentence, len(row), y, weight / mean))
-        seen[np.unique(feature)] += 1
-    usual = seen >= least_docs
-    bags = [(f[usual[f]], s[usual[f]], n, y, w) for f, s, n, y, w in bags]
+        return feature, sentence, len(row)
+
+    seen = np.zeros(1 << BITS, np.int32)
+    for t, *_ in rows:
+        seen[np.unique(bag(t)[0])] += 1
+    usual, bags = seen >= least_docs, []
+    for i, (t, y, weight) in enumerate(rows):
+        feature, sentence, n = bag(t)
+        some = usual[feature]
+        bags.append((feature[some].astype(np.int32), sentence[some].astype(np.int32), n, y, weight / mean))
+        rows[i] = None  # its text isn't needed any more
     grown, grown_bias, grown_leak = np.full(1 << BITS, 1e-4), 1.0, 1.0
     draw = np.random.default_rng(3)
     for _ in range(epochs):
@@ -100,12 +106,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, key="doc_id", text="text", label=
             shift = np.concatenate([[0], np.cumsum([b[2] for b in part])])
             feature = np.concatenate([b[0] for b in part])
             sentence = np.concatenate([b[1] + s for b, s in zip(part, shift[:-1], strict=True)])
-            bag = np.repeat(np.arange(len(part)), [b[2] for b in part])
+            owner = np.repeat(np.arange(len(part)), [b[2] for b in part])
             y, weight = np.array([b[3] for b in part]), np.array([b[4] for b in part])
             z = bias + np.bincount(sentence, weights[feature], minlength=shift[-1])
-            against = np.bincount(bag, _softplus(z), minlength=len(part)) + _softplus(leak)
+            against = np.bincount(owner, _softplus(z), minlength=len(part)) + _softplus(leak)
             pull = weight * np.where(y == 1, -1 / np.maximum(np.expm1(against), 1e-6), 1.0) / len(part)
-            down = pull[bag] / (1 + np.exp(-z))
+            down = pull[owner] / (1 + np.exp(-z))
             g = np.bincount(feature, down[sentence], minlength=1 << BITS)
             moved = np.flatnonzero(g)
             grown[moved] += g[moved] ** 2
