@@ -275,6 +275,13 @@ def test_pii(spark, docs, empty):
     assert pii.scan(empty).count() == 0
 
 
+def test_pii_secrets_after_a_keyword_in_any_case(spark):
+    words = ["token", "TOKEN", "Token", "SECRET", "API_KEY", "Apikey", "PASSWORD", "Passwd"]
+    docs = spark.createDataFrame([(i, f'set {w} = "9233A8EC77b1d0f2" now') for i, w in enumerate(words)], "doc_id long, text string")
+    assert {r.doc_id: r.spans for r in pii.scan(docs).collect()} == {i: f"secret:{len(w) + 8}:{len(w) + 24}" for i, w in enumerate(words)}
+    assert {r.doc_id: r.text for r in pii.redact(docs).collect()} == {i: f'set {w} = "[SECRET]" now' for i, w in enumerate(words)}
+
+
 def test_reliabilities_prefer_agreeing_votes():
     counts = [("card", "1,1,1,1", "a", 50), ("card", "-1,1,-1,0", "b", 200), ("card", "1,1,1,0", "a", 40)]
     posterior, _ = pii.reliabilities(counts)

@@ -39,7 +39,7 @@ PATTERNS = {
 }
 #: Patterns beyond the base kinds; group-free, matched like the others.
 EXTRA = {
-    "secret": r"(?<=(?:token|secret|api_key|apikey|password|passwd)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_+/-]{12,}+",
+    "secret": r"(?<=(?i:token|secret|api_key|apikey|password|passwd)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_+/-]{12,}+",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[0-9]{4}){3,7}+(?![A-Za-z0-9])",
 }
@@ -89,7 +89,7 @@ def _worth(kind: str, text: Column) -> Column:
     tests = {
         "email": text.contains("@"),
         "phone": text.contains("+"),
-        "secret": text.rlike("token|secret|api_?key|passw"),
+        "secret": text.rlike("(?i)token|secret|api_?key|passw"),
     }
     return tests.get(kind, text.rlike("[0-9]"))
 
