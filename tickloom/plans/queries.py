@@ -146,7 +146,13 @@ def _results(s: SparkSession, d: str) -> DataFrame:
     return bt.run_backtest(bt.votes(_strategies(s, d)), bt._params(strategies.IDS, None))
 
 
-register("backtest_trades", lambda s, d: shown(bt.trades(_results(s, d)).where("reason <> 'force_close'").select("ticker", "strategy", F.col("exit").cast("long").alias("exit_rn"), "return_pct", F.col("hold_bars").cast("long").alias("hold_bars"), "reason")), "WITH RECURSIVE " + o.query(o.EVENTS, o.IND, o.FACTORS, o.STRATEGIES, _FOLD, select=f"SELECT ticker, strategy, rn AS exit_rn, {o.num('gain')} AS return_pct, held AS hold_bars, reason FROM fold WHERE reason IS NOT NULL").removeprefix("WITH "))
+def _trade_log(s: SparkSession, d: str) -> DataFrame:
+    return bt.trades(_results(s, d)).select("ticker", "strategy", F.col("exit").cast("long").alias("exit_rn"), "return_pct", F.col("hold_bars").cast("long").alias("hold_bars"), "reason")
+
+
+# backtest_trades has the trades that a rule closed, as its SQL says; backtest_trade_log also those closed after the last bar.
+register("backtest_trades", lambda s, d: shown(_trade_log(s, d).where("reason <> 'force_close'")), "WITH RECURSIVE " + o.query(o.EVENTS, o.IND, o.FACTORS, o.STRATEGIES, _FOLD, select=f"SELECT ticker, strategy, rn AS exit_rn, {o.num('gain')} AS return_pct, held AS hold_bars, reason FROM fold WHERE reason IS NOT NULL").removeprefix("WITH "))
+register("backtest_trade_log", lambda s, d: shown(_trade_log(s, d)), "WITH RECURSIVE " + o.query(o.EVENTS, o.IND, o.FACTORS, o.STRATEGIES, _FOLD, "tail AS (SELECT ticker, max(rn) AS rn FROM v GROUP BY 1)", select=f"SELECT ticker, strategy, rn AS exit_rn, {o.num('gain')} AS return_pct, held AS hold_bars, reason FROM fold WHERE reason IS NOT NULL UNION ALL SELECT ticker, strategy, rn AS exit_rn, {o.num('close / paid - 1')} AS return_pct, rn - entry AS hold_bars, 'force_close' AS reason FROM fold JOIN v USING (ticker, strategy, rn) JOIN tail USING (ticker, rn) WHERE shares > 0").removeprefix("WITH "))
 register("backtest_equity", lambda s, d: shown(bt.equity_metrics(bt.equity_curve(_results(s, d)), ["ticker", "strategy"]).withColumn("last_equity", F.log10("last_equity"))), "WITH RECURSIVE " + o.query(o.EVENTS, o.IND, o.FACTORS, o.STRATEGIES, _FOLD, "e AS (SELECT *, equity / lag(equity) OVER (PARTITION BY ticker, strategy ORDER BY rn) - 1 AS ret, max(equity) OVER (PARTITION BY ticker, strategy ORDER BY rn ROWS UNBOUNDED PRECEDING) AS peak FROM fold WHERE rn >= 0)", select=f"SELECT ticker, strategy, {o.num('min((equity - peak) / peak)')} AS max_drawdown, {o.num('log10(arg_max(equity, rn))')} AS last_equity, {o.num('CASE WHEN stddev_samp(ret) > 0 THEN avg(ret) / stddev_samp(ret) * sqrt(252) ELSE 0 END')} AS sharpe FROM e GROUP BY 1, 2").removeprefix("WITH "))
 register("backtest_ranking", lambda s, d: shown(bt.rank_strategies(bt.backtest_all(_strategies(s, d), profile="short"))))
 register("portfolio_methods", lambda s, d: shown(portfolio.analyze_portfolio(_strategies(s, d), profile="short")))
