@@ -345,6 +345,19 @@ def test_language_id(spark, docs, empty):
     assert {r.lang_pred for r in langid.predict(docs, nothing).collect()} == {"und"}
 
 
+def test_language_id_learns_a_rare_language(spark):
+    common, rare = "the cat and the dog went to the house", "žluťoučký kůň příšerně úpěl ďábelské ódy"
+    table = spark.createDataFrame([(i, f"{rare} {i % 7}" if i % 100 == 0 else f"{common} {i % 11}", "cs" if i % 100 == 0 else "en") for i in range(3000)], "doc_id long, text string, lang string")
+    totals = {"cs": 30, "en": 2970}
+    drawn = [r.lang for r in langid.sample(table, totals, 60).collect()]
+    assert (drawn.count("cs"), drawn.count("en")) == (30, 30)
+    assert langid._quotas({"a": 5, "b": 100, "c": 90}, 60) == {"a": 5, "b": 28, "c": 27}
+    assert {r.lang for r in langid.sample(table.withColumn("doc_id", table.doc_id * 0), totals, 6).collect()} == {"cs", "en"}
+    model = langid.fit(table, max_train=60)
+    assert {r.lang_pred for r in langid.predict(table.where("lang = 'cs'"), model).collect()} == {"cs"}
+
+
+
 def test_toxicity(spark, docs, empty):
     draw = random.Random(4)
     clean = ["river", "stone", "quiet", "window", "paper", "garden"]

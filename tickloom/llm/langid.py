@@ -6,8 +6,10 @@ A text is lower-cased, everything but letters becomes a blank, and its n-grams o
 one to three characters are hashed into ``buckets`` features.  A feature's value
 is its share of the text's n-grams times its inverse document frequency, counted
 over *all* training documents.  The weights are fitted on a bounded, hashed sample
-of at most about ``max_train`` training rows; a held-back part of the sample sets
-the softmax temperature.
+of at most ``max_train`` training rows, drawn by language: languages with few rows
+are learned whole, the others share the rest evenly, so each gives all of its rows or
+``max_train`` by the number of languages, one at least.  A held-back part of the
+sample sets the softmax temperature.
 
 Defined cases: null text and texts without a letter are ``und`` with score 0;
 without any labelled training text every prediction is ``und``; null languages
@@ -19,11 +21,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from . import textops as tx
-from .shared import sampled
-
 UNKNOWN = "und"
 
 
@@ -123,7 +124,31 @@ def _softmax(z):
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit(docs: DataFrame, *, text="text", lang="lang", key="doc_id", max_train=4000, buckets=1 << 14, alpha=0.3, beta=1.0, l1=0.02, l2=0.1, epochs=3, scale=20.0) -> Model:
+def _quotas(totals: dict[str, int], most: int) -> dict[str, int]:
+    """Rows to learn of each language: all of a small one, an even share of what is left otherwise."""
+    quotas, left = {}, most
+    for i, name in enumerate(sorted(totals, key=lambda x: (totals[x], x))):
+        quotas[name] = min(totals[name], max(1, left // (len(totals) - i)))
+        left -= quotas[name]
+    return quotas
+
+
+def sample(labelled: DataFrame, totals: dict[str, int], most: int, *, text="text", lang="lang", key="doc_id") -> DataFrame:
+    """(text, lang) of the rows to learn: those of the least hashes, as many of each language as its quota.
+
+    A share with six deviations to spare is cut by the hash alone, so that only about
+    ``most`` rows are shuffled.
+    """
+    quotas = _quotas(totals, most)
+    of = lambda values: F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col("lang")]
+    share = {x: min(1.0, (q + 6 * q**0.5 + 20) / totals[x]) if q < totals[x] else 1.0 for x, q in quotas.items()}
+    rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(key), F.col(text), F.lit(7)).alias("hash"))
+    some = rows.where(F.pmod("hash", F.lit(1 << 30)) < of({x: round(r * (1 << 30)) for x, r in share.items()}))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("hash", F.lit(1 << 30)), "hash"))
+    return some.withColumn("place", place).where(F.col("place") <= of(quotas)).select("text", "lang")
+
+
+def fit(docs: DataFrame, *, text="text", lang="lang", key="doc_id", max_train=6000, buckets=1 << 14, alpha=0.3, beta=1.0, l1=0.02, l2=0.1, epochs=3, scale=20.0) -> Model:
     """Fit on labelled ``docs``; ``max_train`` bounds the rows that reach the driver."""
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     totals = {r[0]: r[1] for r in labelled.groupBy(lang).count().collect()}
@@ -133,7 +158,7 @@ def fit(docs: DataFrame, *, text="text", lang="lang", key="doc_id", max_train=40
     df = document_frequencies(labelled, text, buckets)
     n = sum(totals.values())
     idf = np.log((1 + n) / (1 + df)) + 1
-    rows = [(r[0], languages.index(r[1])) for r in sampled(labelled.select(text, lang, key), key, max_train, n).select(text, lang).collect()]
+    rows = [(r[0], languages.index(r[1])) for r in sample(labelled, totals, max_train, text=text, lang=lang, key=key).collect()]
     rows.sort()  # the order rows arrive in doesn't matter
     order = np.random.default_rng(1).permutation(len(rows))
     alphabet, samples = _alphabet(), []
