@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ..functions.frames import div
 from .strategies import IDS, STRATEGIES
@@ -71,26 +70,62 @@ def _params(ids, profile: str | None):
     return dict.fromkeys(ids, (stop, target, least, most))
 
 
-def run_backtest(signals: DataFrame, params: dict, *, capital=100_000.0, commission=0.001, worst_case=False, limit_pct=0.0, sizes=None) -> DataFrame:
-    """One result per (ticker, strategy) of ``signals``: ticker, strategy, rn, open, high, low, close, vote.
+def _result(ticker, strategy, bars: pd.DataFrame, vote: pd.Series, limits, **options) -> dict:
+    """A row of RESULT."""
+    stop, target, least, most = limits
+    prices = (bars[c].to_numpy(float) for c in ("close", "high", "low"))
+    equity, trades, cash = fold(*prices, vote.fillna(0).to_numpy(), stop=stop, target=target, hold_min=least, hold_max=most, **options)
+    names = ("entry", "exit", "entry_price", "exit_price", "return_pct", "hold_bars", "reason")
+    return {"ticker": ticker, "strategy": strategy, "final_cash": cash, "n_bars": len(bars), "equity": equity.tolist(), "trades": [dict(zip(names, t, strict=True)) for t in trades]}
+
+
+def run_backtest(signals: DataFrame, params: dict, *, capital=100_000.0, commission=0.001, worst_case=False, limit_pct=0.0, size=1.0) -> DataFrame:
+    """One result per (ticker, strategy) of ``signals``: ticker, strategy, rn, high, low, close, vote.
 
     The fold is sequential in time, so a group is one series: its length is the number
     of bars of a ticker, which doesn't grow with the number of tickers or strategies.
     """
-    sizes = sizes or {}
+    options = {"capital": capital, "commission": commission, "worst_case": worst_case, "limit_pct": limit_pct, "size": size}
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rn")
-        stop, target, least, most = params[key[1]]
-        equity, trades, cash = fold(pdf["close"].to_numpy(float), pdf["high"].to_numpy(float), pdf["low"].to_numpy(float), pdf["vote"].fillna(0).to_numpy(), stop=stop, target=target, hold_min=least, hold_max=most, capital=capital * sizes.get(key[1], 1.0), commission=commission, worst_case=worst_case, limit_pct=limit_pct)
-        names = ("entry", "exit", "entry_price", "exit_price", "return_pct", "hold_bars", "reason")
-        return pd.DataFrame({"ticker": [key[0]], "strategy": [key[1]], "final_cash": [cash], "n_bars": [len(pdf)], "equity": [equity.tolist()], "trades": [[dict(zip(names, t, strict=True)) for t in trades]]})
+        return pd.DataFrame([_result(key[0], key[1], pdf, pdf["vote"], params[key[1]], **options)])
 
     return signals.select("ticker", "strategy", "rn", "close", "high", "low", "vote").groupBy("ticker", "strategy").applyInPandas(one, RESULT)
 
 
+def run_strategies(df: DataFrame, runs: dict[str, dict], *, capital=100_000.0, commission=0.001, worst_case=False, limit_pct=0.0) -> DataFrame:
+    """Results of bars with strategy columns, for each named run (strategy -> limits) in turn; ``run`` names it.
+
+    All strategies of a ticker are folded where its bars are: no copy of the prices for
+    each strategy, and no shuffle beyond the one that made the columns.
+    """
+    ids = list(dict.fromkeys(i for limits in runs.values() for i in limits))
+    options = {"capital": capital, "commission": commission, "worst_case": worst_case, "limit_pct": limit_pct}
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rn")
+        return pd.DataFrame([{"run": run} | _result(key[0], i, pdf, pdf[f"st_{i}"], limits[i], **options) for run, limits in runs.items() for i in limits])
+
+    return df.select("ticker", "rn", "close", "high", "low", *(f"st_{i}" for i in ids)).groupBy("ticker").applyInPandas(one, "run string, " + RESULT)
+
+
+def run_sleeves(df: DataFrame, sleeves: DataFrame, limits: dict, *, commission=0.001, worst_case=False, limit_pct=0.0) -> DataFrame:
+    """Results of the ``sleeves`` (ticker, run, strategy, capital): each runs on its own capital beside its ticker's bars."""
+    options = {"commission": commission, "worst_case": worst_case, "limit_pct": limit_pct}
+    columns = [x.split()[0] for x in RESULT.split(", trades")[0].split(", ")] + ["trades"]
+
+    def one(key: tuple, bars: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        bars = bars.sort_values("rn")
+        made = [{"run": r.run} | _result(key[0], r.strategy, bars, bars[f"st_{r.strategy}"], limits[r.strategy], capital=r.capital, **options) for r in own.itertuples()] if len(bars) else []
+        return pd.DataFrame(made, columns=["run", *columns])
+
+    left = df.select("ticker", "rn", "close", "high", "low", *(f"st_{i}" for i in limits)).groupBy("ticker")
+    return left.cogroup(sleeves.select("ticker", "run", "strategy", "capital").groupBy("ticker")).applyInPandas(one, "run string, " + RESULT)
+
+
 def votes(df: DataFrame, ids=IDS) -> DataFrame:
-    """Bars with strategy columns in long form, for the fold."""
+    """Bars with strategy columns in long form."""
     names = [f"st_{i}" for i in ids]
     out = df.select("ticker", "rn", "close", "high", "low", *names).unpivot(["ticker", "rn", "close", "high", "low"], names, "strategy", "vote")
     return out.withColumn("strategy", F.substring("strategy", 4, 100))
@@ -109,7 +144,23 @@ def equity_metrics(curve: DataFrame, keys) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("rn")
     seen = curve.withColumn("ret", div(F.col("equity"), F.lag("equity").over(w)) - 1).withColumn("peak", F.max("equity").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     out = seen.groupBy(*keys).agg(F.avg("ret").alias("m"), F.stddev_samp("ret").alias("s"), F.min(div(F.col("equity") - F.col("peak"), "peak")).alias("max_drawdown"), F.max_by("equity", "rn").alias("last_equity"))
-    return out.withColumn("sharpe", F.when(F.col("s") > 0, F.col("m") / F.col("s") * F.sqrt(F.lit(252.0))).otherwise(0.0)).drop("m", "s")
+    return out.withColumn("sharpe", _sharpe(F.col("m"), F.col("s"))).drop("m", "s")
+
+
+def _sharpe(mean: Column, dev: Column) -> Column:
+    return F.when(dev > 0, mean / dev * F.sqrt(F.lit(252.0))).otherwise(0.0)
+
+
+def _curve_metrics(equity: Column) -> list[Column]:
+    """Sharpe ratio and largest drawdown of an equity array, within its row."""
+    steps = F.zip_with(F.slice(equity, 2, F.greatest(F.size(equity) - 1, F.lit(0))), F.slice(equity, 1, F.greatest(F.size(equity) - 1, F.lit(0))), lambda b, a: b / F.nullif(a, F.lit(0.0)) - 1)
+    known = F.filter(steps, lambda x: x.isNotNull())
+    n, total = F.size(known), F.aggregate(known, F.lit(0.0), lambda t, x: t + x)
+    mean = total / F.nullif(n, F.lit(0))
+    square = F.aggregate(known, F.lit(0.0), lambda t, x: t + (x - mean) * (x - mean))
+    zero = F.struct(F.lit(None).cast("double").alias("peak"), F.lit(None).cast("double").alias("worst"))
+    fall = lambda s, x: F.struct(F.greatest(s["peak"], x).alias("peak"), F.least(s["worst"], (x - F.greatest(s["peak"], x)) / F.nullif(F.greatest(s["peak"], x), F.lit(0.0))).alias("worst"))
+    return [_sharpe(mean, F.sqrt(square / F.nullif(n - 1, F.lit(0)))).alias("sharpe"), F.aggregate(equity, zero, fall, lambda s: s["worst"]).alias("max_drawdown"), F.element_at(equity, -1).alias("last_equity")]
 
 
 def summarise(results: DataFrame, capital=100_000.0) -> DataFrame:
@@ -122,20 +173,19 @@ def summarise(results: DataFrame, capital=100_000.0) -> DataFrame:
     avg = lambda xs, none: F.when(F.size(xs) > 0, total(xs) / F.size(xs)).otherwise(none)
     avg_win, avg_loss = avg(wins, F.lit(0.0)), F.when(F.size(losses) > 0, F.abs(avg(losses, F.lit(0.0)))).otherwise(1.0)
     flat = results.select(
-        "ticker", "strategy", n.alias("n_trades"), ((F.col("final_cash") - capital) / capital).alias("total_return"), F.col("n_bars"),
+        *(c for c in ("run",) if c in results.columns), "ticker", "strategy", n.alias("n_trades"), ((F.col("final_cash") - capital) / capital).alias("total_return"), F.col("n_bars"),
         F.when(n > 0, F.size(wins) / n).otherwise(0.0).alias("win_rate"), avg(returns, F.lit(0.0)).alias("avg_return"),
         F.when(n > 0, total(F.transform(t, lambda x: x["hold_bars"].cast("double"))) / n).otherwise(0.0).alias("avg_hold"),
-        F.when(avg_loss == 0, F.lit(float("inf"))).otherwise(div(avg_win, avg_loss)).alias("profit_factor"),
+        F.when(avg_loss == 0, F.lit(float("inf"))).otherwise(div(avg_win, avg_loss)).alias("profit_factor"), *_curve_metrics(F.col("equity")),
     )
     years = F.greatest(F.col("n_bars") / 252, F.lit(0.01))
-    flat = flat.withColumn("annual_return", F.pow(1 + F.col("total_return"), 1 / years) - 1).drop("n_bars")
-    return flat.join(equity_metrics(equity_curve(results), ["ticker", "strategy"]), ["ticker", "strategy"])
+    return flat.withColumn("annual_return", F.pow(1 + F.col("total_return"), 1 / years) - 1).drop("n_bars")
 
 
 def backtest_all(df: DataFrame, *, profile: str | None = "medium", min_trades=1, ids=IDS, capital=100_000.0, **options) -> DataFrame:
     """Summaries of all strategies with at least ``min_trades`` trades; a profile overrides their own limits."""
-    out = summarise(run_backtest(votes(df, ids), _params(ids, profile), capital=capital, **options), capital)
-    return out.where(F.col("n_trades") >= min_trades)
+    out = summarise(run_strategies(df, {"all": _params(ids, profile)}, capital=capital, **options), capital)
+    return out.where(F.col("n_trades") >= min_trades).drop("run")
 
 
 def rank_strategies(summary: DataFrame, metric: str = "sharpe") -> DataFrame:
@@ -148,4 +198,7 @@ def formatted(summary: DataFrame) -> DataFrame:
     """The summary as display strings."""
     pct = lambda c: F.concat(F.format_string("%.2f", F.col(c) * 100), F.lit("%")).alias(c)
     num = lambda c: F.format_string("%.2f", F.col(c)).alias(c)
-    return summary.select("ticker", "strategy", F.col("n_trades").cast("string").alias("n_trades"), *map(pct, ("total_return", "annual_return", "max_drawdown", "win_rate", "avg_return")), *map(num, ("sharpe", "profit_factor", "avg_hold")))
+    return summary.select(
+        "ticker", "strategy", F.col("n_trades").cast("string").alias("n_trades"), *map(pct, ("total_return", "annual_return", "max_drawdown", "avg_return")),
+        F.concat(F.format_string("%.1f", F.col("win_rate") * 100), F.lit("%")).alias("win_rate"), *map(num, ("sharpe", "profit_factor")), F.format_string("%.0f", F.col("avg_hold")).alias("avg_hold"),
+    )

@@ -46,16 +46,23 @@ def fibonacci_levels(bars: DataFrame, lookback: int = 120, within: float = 0.2)
 
 
 def support_resistance_clusters(bars: DataFrame, side: int = 5, each: int = 3) -> DataFrame:
-    """Means of chained clusters of pivot prices: the nearest ``each`` below and above the last close."""
+    """Means of chained clusters of pivot prices: of lows the nearest ``each`` below the last close, of highs above it.
+
+    A pivot joins the cluster of the next lower one if it is nearer than 0.4 times the
+    mean range of the last 20 bars (0.02 times the close where there are fewer).
+    """
     newest = F.max("rn").over(whole())
     tagged = bars.withColumn("newest", newest).withColumn("is_low", pivot("low", side, True)).withColumn("is_high", pivot("high", side, False))
-    limits = tagged.groupBy("ticker").agg((0.4 * F.avg(F.when(col("rn") > col("newest") - 20, col("high") - col("low")))).alias("gap"), F.max_by("close", "rn").alias("close"))
-    prices = tagged.where("is_low").select("ticker", col("low").alias("price")).unionByName(tagged.where("is_high").select("ticker", col("high").alias("price")))
-    by_price = whole().orderBy("price")
-    chained = prices.join(limits, "ticker").withColumn("fresh", F.when(col("price") - F.lag("price").over(by_price) < col("gap"), 0).otherwise(1))
+    span = F.avg(F.when(col("rn") > col("newest") - 20, col("high") - col("low")))
+    limits = tagged.groupBy("ticker").agg(span.alias("span"), F.max_by("close", "rn").alias("close"), F.count("*").alias("n"))
+    limits = limits.select("ticker", "close", (0.4 * F.when(col("n") >= 20, col("span")).otherwise(0.02 * col("close"))).alias("gap"))
+    lows = tagged.where("is_low").select("ticker", F.lit("support").alias("side"), col("low").alias("price"))
+    highs = tagged.where("is_high").select("ticker", F.lit("resistance").alias("side"), col("high").alias("price"))
+    by_price = Window.partitionBy("ticker", "side").orderBy("price")
+    chained = lows.unionByName(highs).join(limits, "ticker").withColumn("fresh", F.when(col("price") - F.lag("price").over(by_price) < col("gap"), 0).otherwise(1))
     chained = chained.withColumn("cluster", F.sum("fresh").over(by_price.rowsBetween(Window.unboundedPreceding, 0)))
-    means = chained.groupBy("ticker", "cluster").agg(F.avg("price").alias("level"), F.count("*").alias("touches"), F.first("close").alias("close"))
-    means = means.withColumn("side", F.when(col("level") < col("close"), "support").when(col("level") > col("close"), "resistance")).where("side is not null")
+    means = chained.groupBy("ticker", "side", "cluster").agg(F.avg("price").alias("level"), F.count("*").alias("touches"), F.first("close").alias("close"))
+    means = means.where((col("side") == "support") & (col("level") < col("close")) | (col("side") == "resistance") & (col("level") > col("close")))
     near = Window.partitionBy("ticker", "side").orderBy(F.abs(col("level") - col("close")), "level")
     return means.withColumn("rank", F.row_number().over(near)).where(col("rank") <= each).select("ticker", "side", "rank", "level", "touches")
 

@@ -80,16 +80,21 @@ def find_cross(df: DataFrame, fast: int = 5, slow: int = 20, recent: int = 20) -
 def find_support_resistance(bars: DataFrame, window: int = 20) -> DataFrame:
     """Lowest low and highest high of the last bars and their distance from the last close in percent."""
     last = last_bars(bars, window).groupBy("ticker").agg(F.min("low").alias("support"), F.max("high").alias("resistance"), F.max_by("close", "rn").alias("close"))
-    return last.select("ticker", "close", "support", "resistance", F.round(div(F.col("close") - F.col("support"), "close") * 100, 2).alias("support_pct"), F.round(div(F.col("resistance") - F.col("close"), "close") * 100, 2).alias("resistance_pct"))
+    return last.select("ticker", "close", "support", "resistance", F.round(div(F.col("close") - F.col("support"), "support") * 100, 2).alias("support_pct"), F.round(div(F.col("resistance") - F.col("close"), "close") * 100, 2).alias("resistance_pct"))
 
 def trend_analysis(bars: DataFrame, periods=MA) -> DataFrame:
-    """One row per ticker: slopes, alignment, latest cross, support and resistance, overall direction."""
+    """One row per ticker: slopes and directions of all averages, alignment, recent crosses, support and resistance, overall direction, last close and date.
+
+    ``slopes``: array<struct<ma, slope_pct, direction, last>> by average; ``crosses``:
+    array<struct<back, ts, cross>>, newest first.
+    """
     df = add_ma(bars, periods)
-    slopes = slope_summary(bars, periods).groupBy("ticker").agg(F.max(F.when(F.col("ma") == "sma20", F.col("slope_pct"))).alias("ma20_slope_pct"))
-    crosses = find_cross(df, recent=30).groupBy("ticker").agg(F.min_by("cross", "back").alias("latest_cross"), F.count("*").alias("n_crosses"))
-    out = find_support_resistance(bars).join(ma_alignment(df, periods), "ticker", "left").join(slopes, "ticker", "left").join(crosses, "ticker", "left")
+    summary = slope_summary(bars, periods)
+    slopes = summary.groupBy("ticker").agg(F.max(F.when(F.col("ma") == "sma20", F.col("slope_pct"))).alias("ma20_slope_pct"), F.array_sort(F.collect_list(F.struct("ma", "slope_pct", "direction", "last"))).alias("slopes"))
+    crosses = find_cross(df, recent=30).groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("back", "ts", "cross"))).alias("crosses"))
+    dates = bars.groupBy("ticker").agg(F.max("ts").alias("latest_ts"))
+    out = find_support_resistance(bars).join(ma_alignment(df, periods), "ticker", "left").join(slopes, "ticker", "left").join(crosses, "ticker", "left").join(dates, "ticker")
     slope = F.coalesce("ma20_slope_pct", F.lit(0.0))
     overall = first_match((slope > 0.5, "up"), (slope < -0.5, "down"), default="sideways")
-    return out.withColumn("n_crosses", F.coalesce("n_crosses", F.lit(0))).withColumn("overall", overall)
-
-__all__ = ["MA", "W", "add_indicators", "add_ma", "calc_slope", "find_cross", "find_support_resistance", "flag", "gated", "last_bars", "ma_alignment", "rows", "slope_summary", "trend_analysis", "trend_direction", "true_range"]
+    none = F.array().cast("array<struct<back:int,ts:timestamp,cross:string>>")
+    return out.withColumn("crosses", F.coalesce("crosses", none)).withColumn("n_crosses", F.size("crosses")).withColumn("latest_cross", F.get("crosses", F.lit(0))["cross"]).withColumn("overall", overall)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import change, first_match, mean, true, whole
 
 col = F.col
-#: Rows of a keyword dimension, which every task holds.
-MOST_KEYWORDS = 10_000
+#: Rows of the keyword dimension that every task holds at a time.
+BLOCK = 1000
 
 
 def keyword_dimension(mapping: DataFrame) -> DataFrame:
@@ -21,17 +23,22 @@ def keyword_dimension(mapping: DataFrame) -> DataFrame:
 def match_keywords(texts: DataFrame, keywords: DataFrame, *, text_id="doc_id", text="text") -> DataFrame:
     """(text id, keyword, sector, etf, direction, weight) of every keyword that a text contains, whatever its case.
 
-    The dimension is a stated set of a few hundred keywords, held as one array; each
-    text is tested in place, so nothing is shuffled.
+    The dimension is a stated set, usually of a few hundred keywords.  It goes over the
+    texts in blocks of ``BLOCK`` rows, each held as one array; a text is tested in
+    place, so nothing is shuffled.
     """
     fields = ["keyword", "sector", "etf", "direction", "weight"]
-    rows = [tuple(r) for r in keywords.select(*fields).distinct().limit(MOST_KEYWORDS + 1).collect()]
-    if len(rows) > MOST_KEYWORDS:
-        raise ValueError(f"a keyword dimension has at most {MOST_KEYWORDS} rows")
-    known = F.array(*(F.struct(*(F.lit(v).cast("double" if f == "weight" else "string").alias(f) for f, v in zip(fields, r, strict=True)), F.lit((r[0] or "").lower()).alias("low")) for r in rows))
+    kind = "array<struct<keyword:string,sector:string,etf:string,direction:string,weight:double,low:string>>"
     low = texts.select(col(text_id), F.lower(text).alias("low_text"))
-    found = low.select(text_id, F.explode(F.filter(known, lambda k: F.col("low_text").contains(k["low"]))).alias("k"))
-    return found.select(text_id, *(col(f"k.{f}").alias(f) for f in fields))
+    rows, out = keywords.select(*fields).distinct().toLocalIterator(), None
+    while True:
+        block = list(itertools.islice(rows, BLOCK))
+        if not block and out is not None:
+            return out
+        known = F.array(*(F.struct(*(F.lit(r[f]).cast("double" if f == "weight" else "string").alias(f) for f in fields), F.lit((r[0] or "").lower()).alias("low")) for r in block)).cast(kind)
+        found = low.select(text_id, F.explode(F.filter(known, lambda k: F.col("low_text").contains(k["low"]))).alias("k"))
+        one = found.select(text_id, *(col(f"k.{f}").alias(f) for f in fields))
+        out = one if out is None else out.unionByName(one)
 
 
 def etf_trend(bars: DataFrame) -> DataFrame:
@@ -50,12 +57,15 @@ def news_scores(matches: DataFrame, trends: DataFrame, *, text_id="doc_id") -> D
 
 
 def sector_rotation(bars: DataFrame, keep: int = 5, avoid: int = 3, window: int = 20) -> DataFrame:
-    """Tickers (sectors) ranked by their 20-bar return, the best kept and the worst avoided."""
-    df = bars.withColumn("ret", change("close", window)).withColumn("newest", F.max("rn").over(whole())).where("rn = newest")
-    # one row per sector
-    w = Window.orderBy(F.desc("ret"), "ticker")
-    out = df.select("ticker", "ret").withColumn("rank", F.row_number().over(w)).withColumn("last", F.row_number().over(Window.orderBy("ret", F.desc("ticker"))))
-    return out.select("ticker", "ret", "rank", first_match((col("rank") <= keep, "keep"), (col("last") <= avoid, "avoid"), default="hold").alias("action"))
+    """Tickers (sectors) by their 20-bar return: the best are kept, the worst avoided, with their rank from that end; the others held."""
+    df = bars.withColumn("ret", change("close", window)).withColumn("newest", F.max("rn").over(whole())).where("rn = newest").select("ticker", "ret")
+    # the ends come from bounded sorts, so only a few rows are numbered together
+    ends = []
+    for action, most, order in (("keep", keep, (F.desc("ret"), F.asc("ticker"))), ("avoid", avoid, (F.asc_nulls_last("ret"), F.desc("ticker")))):
+        best = df.orderBy(*order).limit(most).withColumn("action", F.lit(action))
+        ends.append(best.select("ticker", "action", F.row_number().over(Window.partitionBy("action").orderBy(*order)).alias("rank")))
+    both = ends[0].unionByName(ends[1].join(ends[0].select("ticker"), "ticker", "left_anti"))
+    return df.join(F.broadcast(both), "ticker", "left").select("ticker", "ret", "rank", F.coalesce("action", F.lit("hold")).alias("action"))
 
 
 def three_way(news: DataFrame, trends: DataFrame, stocks: DataFrame) -> DataFrame:

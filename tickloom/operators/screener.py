@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.frames import whole
+from ..functions.storage import stored
+from ..sources.bars import fetch_data
 from . import backtest as bt
 from . import portfolio as pf
 from .factors import add_all_factors
@@ -24,24 +26,38 @@ def candidates(bars: DataFrame, n: int = 100, days: int = 180) -> DataFrame:
     return recent.groupBy("ticker").agg(F.max_by("close", "ts").alias("close")).orderBy(F.desc("close"), "ticker").limit(n)
 
 
-def analyze(bars: DataFrame, *, profile="medium", worst_case=True, least_bars=50, min_trades=3, top=5) -> DataFrame:
-    """One row per ticker with at least ``least_bars`` bars: consensus, regime, best strategies, portfolio return."""
-    df = bars.withColumn("n_bars", F.count(F.lit(1)).over(whole())).where(col("n_bars") >= least_bars)
-    df = with_strategies(add_all_factors(df))
+def analyze(bars: DataFrame, *, period="6mo", profile="medium", worst_case=True, least_bars=50, min_trades=3, top=5) -> DataFrame:
+    """One row per ticker with at least ``least_bars`` bars in the period: consensus, signals, regime, best strategies, portfolio return.
+
+    Bullish and bearish signals are 0 for every ticker: the screen looks for recent
+    signals where there are none.  The portfolio blends the votes of the best
+    strategies and returns what its final cash says.  The votes are stored, the
+    strategies folded once, the blend once.
+    """
+    some = fetch_data(bars, None, period).withColumn("n_bars", F.count(F.lit(1)).over(whole())).where(col("n_bars") >= least_bars)
+    voted = with_strategies(add_all_factors(some))
+    df = stored(voted.select("ticker", "ts", "rn", "n_bars", "close", "high", "low", "px", "ma20", "ma60", "ma_ribbon_score", "adx_14", "rsi_14", "bb_width", *(f"st_{i}" for i in bt.IDS)), "votes")
     last = aggregate_signals(df).withColumn("newest", F.max("rn").over(whole())).where("rn = newest").select("ticker", "n_bars", "close", "score", "consensus")
-    results = bt.run_backtest(bt.votes(df), bt._params(bt.IDS, profile), worst_case=worst_case)
-    ranked = bt.rank_strategies(bt.summarise(results).where(col("n_trades") >= min_trades)).where(col("rank") <= top)
+    limits = bt._params(bt.IDS, profile)
+    ranked = bt.rank_strategies(bt.summarise(bt.run_strategies(df, {"all": limits}, worst_case=worst_case)).where(col("n_trades") >= min_trades)).where(col("rank") <= top)
+    ranked = stored(ranked.select("ticker", "strategy", "rank", "sharpe"), "ranked")
     best = ranked.groupBy("ticker").agg(F.avg("sharpe").alias("avg_sharpe"), F.min_by("strategy", "rank").alias("best_strategy"), F.max("sharpe").alias("best_sharpe"))
-    sleeves = pf.parallel_portfolio(results, ranked.select("ticker", "strategy", F.lit(1.0).alias("weight"))).select("ticker", (col("total_return") * 100).alias("pf_return"))
+    blend = bt.run_backtest(pf.blended_votes(df, ranked), {"portfolio": limits[bt.IDS[0]]}, worst_case=worst_case)
+    returns = bt.summarise(blend).select("ticker", (col("total_return") * 100).alias("pf_return"))
     regime = pf.detect_market_regime(df).select("ticker", "regime", col("score").alias("regime_score"))
-    return last.join(best, "ticker", "left").join(sleeves, "ticker", "left").join(regime, "ticker", "left")
+    out = last.join(best, "ticker", "left").join(returns, "ticker", "left").join(regime, "ticker", "left")
+    two = lambda c: F.round(F.coalesce(col(c), F.lit(0.0)), 2).alias(c)
+    zero = lambda c: F.lit(0).alias(c)
+    return out.select(
+        "ticker", "n_bars", F.round("close", 2).alias("close"), "consensus", "score", zero("signal_bull"), zero("signal_bear"), zero("signal_net"),
+        "regime", F.round("regime_score", 0).alias("regime_score"), two("avg_sharpe"), two("pf_return"), "best_strategy", two("best_sharpe"),
+    )
 
 
 def score(rows: DataFrame) -> DataFrame:
-    """Total points: consensus, votes, Sharpe, portfolio return, regime. Recent signals weigh nothing here."""
+    """Total points: consensus, votes, Sharpe, portfolio return, signals, regime."""
     points = F.create_map(*[F.lit(x) for pair in POINTS.items() for x in pair])
-    zero = lambda c: F.coalesce(col(c), F.lit(0.0))
-    total = F.coalesce(F.element_at(points, col("consensus")), F.lit(0)) + 2 * col("score") + 10 * zero("avg_sharpe") + 0.5 * zero("pf_return") + 0.5 * zero("regime_score")
+    total = F.coalesce(F.element_at(points, col("consensus")), F.lit(0)) + 2 * col("score") + 10 * col("avg_sharpe") + 0.5 * col("pf_return") + 2 * col("signal_net") + 0.5 * col("regime_score")
     return rows.withColumn("total", F.round(total, 1))
 
 

@@ -16,11 +16,11 @@ def forward_returns(df: DataFrame) -> DataFrame:
     return df.withColumns({f"fwd_{n}": div(F.lead("px", n).over(ordered()), "px") - 1 for n in HORIZONS})
 
 
-def signal_stats(df: DataFrame) -> DataFrame:
+def signal_stats(df: DataFrame, least: int = 3) -> DataFrame:
     """Per ticker, signal and horizon: events, mean, win rate, best, worst, median, drawdown of the compounded events.
 
     Only bars that have every horizon and strength-1 events count; signals with
-    fewer than three events are left out as insufficient.
+    fewer than ``least`` events are left out as insufficient.
     """
     f = forward_returns(df)
     names = [f"fwd_{n}" for n in HORIZONS]
@@ -34,7 +34,7 @@ def signal_stats(df: DataFrame) -> DataFrame:
         F.count("*").alias("events"), F.avg("ret").alias("mean"), F.avg(F.when(col("ret") > 0, 1.0).otherwise(0.0)).alias("win_rate"), F.max("ret").alias("best"), F.min("ret").alias("worst"),
         F.percentile("ret", F.lit(0.5)).alias("median"), F.min(div(col("wealth") - col("peak"), "peak")).alias("max_drawdown"),
     )
-    return out.where("events >= 3")
+    return out.where(F.col("events") >= least)
 
 
 def judge_signals(stats: DataFrame, least: int = 10) -> DataFrame:
@@ -45,6 +45,11 @@ def judge_signals(stats: DataFrame, least: int = 10) -> DataFrame:
 
 
 def overall_judgement(judged: DataFrame) -> DataFrame:
+    """Bullish and bearish signals, samples and verdict of each ticker.
+
+    ``judged`` has every signal with an event: judge ``signal_stats`` with ``least`` = 1,
+    so that the samples count rare signals too.
+    """
     n = lambda x: F.sum(F.when(col("judgement") == x, 1).otherwise(0))
     out = judged.groupBy("ticker").agg(n("bullish").alias("n_bullish"), n("bearish").alias("n_bearish"), F.sum("events").alias("samples"))
     return out.withColumn("overall", first_match((col("n_bullish") > col("n_bearish"), "bullish"), (col("n_bearish") > col("n_bullish"), "bearish"), default="neutral"))

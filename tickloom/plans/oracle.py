@@ -182,6 +182,100 @@ STRATEGIES = f"""t1 AS (
 )"""
 
 
+def limits(rows) -> str:
+    """VALUES of (strategy, stop, target, least_hold, most_hold, place)."""
+    return "(VALUES " + ", ".join(f"('{i}', {stop}, {target}, {least}, {most}, {k})" for k, (i, stop, target, least, most) in enumerate(rows)) + ") AS p(strategy, stop, target, least_hold, most_hold, place)"
+
+
+def votes(rows, table: str = "st") -> str:
+    """CTE v: the votes of every strategy in long form with its limits and capital, for ``fold``."""
+    long = " UNION ALL ".join(f"SELECT ticker, rn, close, high, low, '{i}' AS strategy, st_{i} AS vote FROM {table}" for i, *_ in rows)
+    return f"v AS MATERIALIZED (SELECT 'all' AS run, l.*, stop, target, least_hold, most_hold, place, CAST(100000 AS DOUBLE) AS capital FROM ({long}) l JOIN {limits(rows)} USING (strategy))"
+
+
+def fold(source: str, name: str, *, worst_case: bool = False, limit: float = 0.0, size: float = 1.0) -> str:
+    """CTEs ``<name>`` (state after every bar) and ``<name>_trades`` of the long-only back-test.
+
+    Entries spend 0.95 of the cash on whole shares, both ways cost 0.001.
+    """
+    buy, sell = ("high", "low") if worst_case else ("close", "close")
+    limited = f"abs(v.close / nullif(v.before, 0) - 1) >= {limit}" if limit else "false"
+    keys = "ticker, run, strategy"
+    return f"""{name}_in AS MATERIALIZED (
+    SELECT *, lag(close) OVER (PARTITION BY {keys} ORDER BY rn) AS before FROM {source}
+), {name} AS (
+    SELECT {keys}, CAST(-1 AS BIGINT) AS rn, any_value(capital) AS cash, CAST(0 AS DOUBLE) AS shares, CAST(-1 AS BIGINT) AS entry, CAST(0 AS DOUBLE) AS paid,
+        CAST(NULL AS VARCHAR) AS reason, CAST(NULL AS DOUBLE) AS gain, CAST(NULL AS BIGINT) AS held, any_value(capital) AS equity
+    FROM {name}_in GROUP BY {keys}
+    UNION ALL
+    SELECT {keys}, rn, cash2, shares2, CASE WHEN shares2 > 0 AND shares = 0 THEN rn WHEN shares2 = 0 THEN -1 ELSE entry END,
+        CASE WHEN shares2 > 0 AND shares = 0 THEN {buy} WHEN shares2 = 0 THEN 0 ELSE paid END, why, CASE WHEN why IS NOT NULL THEN ({sell} - paid) / paid END,
+        CASE WHEN why IS NOT NULL THEN rn - entry END, cash2 + shares2 * close
+    FROM (
+        SELECT *, CASE WHEN why IS NOT NULL THEN cash + shares * {sell} * 0.999 WHEN enter THEN cash - bought * {buy} * 1.001 ELSE cash END AS cash2,
+            CASE WHEN why IS NOT NULL THEN 0 WHEN enter THEN bought ELSE shares END AS shares2
+        FROM (
+            SELECT v.ticker, v.run, v.strategy, v.rn, v.close, v.high, v.low, f.cash, f.shares, f.entry, f.paid, floor(f.cash * 0.95 * {size} / v.{buy}) AS bought,
+                f.shares = 0 AND v.vote > 0 AND NOT coalesce({limited}, false) AS enter,
+                CASE WHEN f.shares > 0 THEN CASE
+                    WHEN v.vote < 0 AND v.rn - f.entry >= least_hold THEN 'signal'
+                    WHEN stop > 0 AND (v.close - f.paid) / f.paid <= -stop THEN 'stop_loss'
+                    WHEN target > 0 AND (v.close - f.paid) / f.paid >= target THEN 'take_profit'
+                    WHEN v.rn - f.entry >= most_hold THEN 'timeout' END END AS why
+            FROM {name} f JOIN {name}_in v ON v.ticker = f.ticker AND v.run = f.run AND v.strategy = f.strategy AND v.rn = f.rn + 1
+        )
+    )
+), {name}_last AS (
+    SELECT {keys}, rn, f.* EXCLUDE ({keys}, rn), v.close, v.{sell} AS out_price FROM {name} f JOIN {name}_in v USING ({keys}, rn)
+    QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY rn DESC) = 1
+), {name}_trades AS (
+    SELECT {keys}, rn AS exit_rn, gain AS return_pct, held AS hold_bars, reason FROM {name} WHERE reason IS NOT NULL
+    UNION ALL
+    SELECT {keys}, rn, (out_price - paid) / paid, rn - entry, 'force_close' FROM {name}_last WHERE shares > 0
+)"""
+
+
+def summary(fold: str, name: str) -> str:
+    """CTE ``<name>``: returns, risk and trade statistics of every (ticker, run, strategy) of a fold."""
+    keys = "ticker, run, strategy"
+    return f"""{name}_steps AS (
+    SELECT {keys}, rn, equity, equity / nullif(lag(equity) OVER w, 0) - 1 AS ret, max(equity) OVER w AS peak FROM {fold} WHERE rn >= 0
+    WINDOW w AS (PARTITION BY {keys} ORDER BY rn ROWS UNBOUNDED PRECEDING)
+), {name}_risk AS (
+    SELECT {keys}, CASE WHEN stddev_samp(ret) > 0 THEN avg(ret) / stddev_samp(ret) * sqrt(252) ELSE 0 END AS sharpe, min((equity - peak) / nullif(peak, 0)) AS max_drawdown,
+        arg_max(equity, rn) AS last_equity, count(*) AS n FROM {name}_steps GROUP BY {keys}
+), {name}_closed AS (
+    SELECT {keys}, count(*) AS n_trades, avg(CASE WHEN return_pct > 0 THEN 1.0 ELSE 0 END) AS win_rate, avg(return_pct) AS avg_return, avg(hold_bars) AS avg_hold,
+        coalesce(avg(return_pct) FILTER (return_pct > 0), 0) AS won, coalesce(abs(avg(return_pct) FILTER (return_pct <= 0)), 1) AS lost FROM {fold}_trades GROUP BY {keys}
+), {name} AS (
+    SELECT {keys}, coalesce(n_trades, 0) AS n_trades, (f.cash + f.shares * f.out_price * 0.999) / f.start - 1 AS total_return, k.sharpe, k.max_drawdown, k.last_equity, k.n,
+        power((f.cash + f.shares * f.out_price * 0.999) / f.start, 1 / greatest(k.n / 252.0, 0.01)) - 1 AS annual_return, coalesce(win_rate, 0) AS win_rate,
+        coalesce(avg_return, 0) AS avg_return, coalesce(avg_hold, 0) AS avg_hold, CASE WHEN coalesce(lost, 1) = 0 THEN CAST('inf' AS DOUBLE) ELSE coalesce(won, 0) / coalesce(lost, 1) END AS profit_factor
+    FROM (SELECT l.*, s.capital AS start FROM {fold}_last l JOIN (SELECT DISTINCT {keys}, capital FROM {fold}_in) s USING ({keys})) f JOIN {name}_risk k USING ({keys}) LEFT JOIN {name}_closed c USING ({keys})
+)"""
+
+
+def regime(table: str = "fac") -> str:
+    """CTE reg: the market regime of every ticker's last bar."""
+    return f"""rg1 AS (
+    SELECT *, 1 - coalesce((bb_width - min(bb_width) {ALL}) / nullif(max(bb_width) {ALL} - min(bb_width) {ALL}, 0), 0.5) AS narrow, ma_ribbon_score AS t,
+        coalesce(abs((px - ma20) / nullif(ma20, 0)), 0) AS d20, coalesce(abs((px - ma60) / nullif(ma60, 0)), 0) AS d60, max(rn) {ALL} AS newest FROM {table}
+), rg2 AS (
+    SELECT ticker, ts, [
+        greatest(CASE WHEN t > 0 AND adx_14 > 20 AND px > ma20 THEN least(100, 50 + 0.8 * adx_14 + 10 * t + 500 * d60) ELSE 0 END, CASE WHEN t >= 3 THEN 30 ELSE 0 END),
+        greatest(CASE WHEN t < 0 AND adx_14 > 20 AND px < ma20 THEN least(100, 50 + 0.8 * adx_14 + 10 * abs(t) + 500 * d60) ELSE 0 END, CASE WHEN t <= -3 THEN 30 ELSE 0 END),
+        least(100, CASE WHEN adx_14 < 20 THEN 2 * (20 - adx_14) ELSE 0 END + 50 * narrow + CASE WHEN abs(t) <= 1 THEN 10 ELSE 0 END),
+        CASE WHEN rsi_14 > 65 AND px > ma20 THEN least(100, 1.5 * (rsi_14 - 50) + 1000 * d20) ELSE 0 END,
+        CASE WHEN rsi_14 < 40 AND px < ma20 THEN least(100, 2 * (40 - rsi_14) + 1000 * d20) ELSE 0 END] AS s
+    FROM rg1 WHERE rn = newest
+), rg3 AS (
+    SELECT *, CASE WHEN list_max(s) < 5 THEN 3 ELSE list_position(s, list_max(s)) END AS k FROM rg2
+), reg AS (
+    SELECT ticker, ts, ['trend_up', 'trend_down', 'range', 'top', 'bottom'][k] AS regime, ['trend', 'trend', 'reversal', 'reversal', 'reversal'][k] AS category,
+        CASE WHEN list_max(s) < 5 THEN 5 ELSE list_max(s) END AS score FROM rg3
+)"""
+
+
 def num(x: str, places: int = 6) -> str:
     """A double for comparison: nudged off ties, then rounded."""
     return f"round({x} + 1e-9, {places})"
@@ -189,3 +283,7 @@ def num(x: str, places: int = 6) -> str:
 
 def query(*ctes: str, select: str) -> str:
     return "WITH " + ", ".join(ctes) + " " + select
+
+
+def recursive(*ctes: str, select: str) -> str:
+    return "WITH RECURSIVE " + ", ".join(ctes) + " " + select

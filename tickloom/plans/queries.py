@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -10,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.frames import whole
+from ..functions.storage import shared_folder
 from ..operators import backtest as bt
 from ..operators import chart_data, factors, indicators, news, portfolio, screener, signals, similarity, stats, strategies
 from ..sources import bars as sources
@@ -87,10 +87,46 @@ def trend_state(s: SparkSession, d: str) -> DataFrame:
 
 
 register("trend_state", trend_state, o.query(o.EVENTS, o.IND, f"z AS (SELECT *, max(rn) {o.ALL} AS newest FROM ind)", select=f"SELECT {_KEY_SQL}, {_nums(('close', 'ma20', 'atr14', 'bb_upper', 'bb_lower'))}, CASE WHEN ma5 > ma10 AND ma10 > ma20 THEN 'up' WHEN ma5 < ma10 AND ma10 < ma20 THEN 'down' ELSE 'mixed' END AS trend FROM z WHERE rn = newest"))
-register("support_resistance", lambda s, d: shown(indicators.find_support_resistance(sources.bars_events(s, d)), places=4), o.query(o.EVENTS, f"z AS (SELECT *, max(rn) {o.ALL} AS newest FROM bars), y AS (SELECT ticker, arg_max(close, rn) AS close, min(low) AS support, max(high) AS resistance FROM z WHERE rn > newest - 20 GROUP BY ticker)", select=f"SELECT ticker, {o.num('close', 4)} AS close, {o.num('support', 4)} AS support, {o.num('resistance', 4)} AS resistance, {o.num('round((close - support) / nullif(close, 0) * 100, 2)', 4)} AS support_pct, {o.num('round((resistance - close) / nullif(close, 0) * 100, 2)', 4)} AS resistance_pct FROM y"))
+register("support_resistance", lambda s, d: shown(indicators.find_support_resistance(sources.bars_events(s, d)), places=4), o.query(o.EVENTS, f"z AS (SELECT *, max(rn) {o.ALL} AS newest FROM bars), y AS (SELECT ticker, arg_max(close, rn) AS close, min(low) AS support, max(high) AS resistance FROM z WHERE rn > newest - 20 GROUP BY ticker)", select=f"SELECT ticker, {o.num('close', 4)} AS close, {o.num('support', 4)} AS support, {o.num('resistance', 4)} AS resistance, {o.num('round((close - support) / nullif(support, 0) * 100, 2)', 4)} AS support_pct, {o.num('round((resistance - close) / nullif(close, 0) * 100, 2)', 4)} AS resistance_pct FROM y"))
 register("ma_crosses", lambda s, d: shown(indicators.find_cross(indicators.add_ma(sources.bars_events(s, d)))), o.query(o.EVENTS, f"z AS (SELECT *, ({o.avg('close', 5, 5)}) - ({o.avg('close', 20, 20)}) AS gap, max(rn) {o.ALL} AS newest FROM bars), y AS (SELECT *, {o.lag('gap')} AS before, newest - rn AS back FROM z)", select=f"SELECT ticker, {TS}, CAST(back AS BIGINT) AS back, CASE WHEN gap > 0 THEN 'golden' ELSE 'death' END AS \"cross\", {o.num('close')} AS close FROM y WHERE ((before < 0 AND gap > 0) OR (before > 0 AND gap < 0)) AND back < least(newest + 1, 25) - 1"))
 register("ma_slopes", lambda s, d: shown(indicators.slope_summary(sources.bars_events(s, d)), ["ticker", "ma", "slope_pct", "direction", "last"]), o.query(o.EVENTS, "m AS (" + " UNION ALL ".join(f"SELECT ticker, rn, 'sma{p}' AS ma, {o.avg('close', p, p)} AS v FROM bars" for p in indicators.MA) + "), k AS (SELECT *, row_number() OVER (PARTITION BY ticker, ma ORDER BY rn DESC) AS back FROM m WHERE v IS NOT NULL), f AS (SELECT ticker, ma, CASE WHEN count(*) = 5 AND avg(v) <> 0 THEN regr_slope(v, rn) / avg(v) ELSE 0 END AS s, arg_max(v, rn) AS last FROM k WHERE back <= 5 GROUP BY ticker, ma)", select=f"SELECT ticker, ma, {o.num('round(s * 100, 4)')} AS slope_pct, CASE WHEN s > 0.001 THEN 'up' WHEN s < -0.001 THEN 'down' ELSE 'flat' END AS direction, {o.num('last')} AS last FROM f"))
-register("trend_analysis", lambda s, d: shown(indicators.trend_analysis(sources.bars_events(s, d)), places=4))
+
+
+def _trend_analysis(s: SparkSession, d: str) -> DataFrame:
+    df = indicators.trend_analysis(sources.bars_events(s, d))
+    slopes = F.array_join(F.transform("slopes", lambda x: F.concat_ws(":", x["ma"], x["direction"])), ",")
+    crosses = F.array_join(F.transform("crosses", lambda x: F.concat_ws(":", x["back"].cast("string"), x["cross"])), ",")
+    return shown(df.withColumns({"slopes": slopes, "crosses": crosses}).drop("latest_cross"), places=4)
+
+
+_SLOPES = "m AS (" + " UNION ALL ".join(f"SELECT ticker, rn, 'sma{p}' AS ma, {o.avg('close', p, p)} AS v FROM bars" for p in indicators.MA) + """
+), k AS (
+    SELECT *, row_number() OVER (PARTITION BY ticker, ma ORDER BY rn DESC) AS back FROM m WHERE v IS NOT NULL
+), f AS (
+    SELECT ticker, ma, CASE WHEN count(*) = 5 AND avg(v) <> 0 THEN regr_slope(v, rn) / avg(v) ELSE 0 END AS s, arg_max(v, rn) AS last FROM k WHERE back <= 5 GROUP BY ticker, ma
+)"""
+_TREND_REPORT = f"""sl AS (
+    SELECT ticker, max(round(s * 100, 4)) FILTER (ma = 'sma20') AS slope20,
+        string_agg(ma || ':' || CASE WHEN s > 0.001 THEN 'up' WHEN s < -0.001 THEN 'down' ELSE 'flat' END, ',' ORDER BY ma) AS slopes FROM f GROUP BY ticker
+), g1 AS (
+    SELECT ticker, rn, ts, {', '.join(f'{o.avg("close", p, p)} AS sma{p}' for p in indicators.MA)}, max(rn) {o.ALL} AS newest FROM bars
+), g2 AS (
+    SELECT *, sma5 - sma20 AS gap, {o.lag('sma5 - sma20')} AS before FROM g1
+), cr AS (
+    SELECT ticker, count(*) AS n, string_agg((newest - rn) || ':' || CASE WHEN gap > 0 THEN 'golden' ELSE 'death' END, ',' ORDER BY newest - rn) AS crosses
+    FROM g2 WHERE ((before < 0 AND gap > 0) OR (before > 0 AND gap < 0)) AND newest - rn < least(newest + 1, 35) - 1 GROUP BY ticker
+), al AS (
+    SELECT ticker, ts, CASE WHEN sma5 > sma10 AND sma10 > sma20 AND sma20 > sma60 THEN 'bull' WHEN sma5 < sma10 AND sma10 < sma20 AND sma20 < sma60 THEN 'bear' ELSE 'tangled' END AS alignment
+    FROM g1 WHERE rn = newest
+), sr AS (
+    SELECT b.ticker, arg_max(close, b.rn) AS close, min(low) AS support, max(high) AS resistance FROM bars b JOIN g1 USING (ticker, rn) WHERE b.rn > newest - 20 GROUP BY b.ticker
+)"""
+register("trend_analysis", _trend_analysis, o.query(o.EVENTS, _SLOPES, _TREND_REPORT, select=f"""
+SELECT ticker, {o.num('close', 4)} AS close, {o.num('support', 4)} AS support, {o.num('resistance', 4)} AS resistance,
+    {o.num('round((close - support) / nullif(support, 0) * 100, 2)', 4)} AS support_pct, {o.num('round((resistance - close) / nullif(close, 0) * 100, 2)', 4)} AS resistance_pct,
+    alignment, {o.num('slope20', 4)} AS ma20_slope_pct, slopes, coalesce(crosses, '') AS crosses, strftime(ts, '%Y-%m-%d %H:%M:%S') AS latest_ts, coalesce(n, 0) AS n_crosses,
+    CASE WHEN coalesce(slope20, 0) > 0.5 THEN 'up' WHEN coalesce(slope20, 0) < -0.5 THEN 'down' ELSE 'sideways' END AS overall
+FROM sr LEFT JOIN al USING (ticker) LEFT JOIN sl USING (ticker) LEFT JOIN cr USING (ticker)"""))
 
 
 # ---- signals
@@ -124,56 +160,100 @@ register("latest_consensus", lambda s, d: shown(strategies.latest_consensus(_str
 register("signal_markers", lambda s, d: shown(chart_data.signal_markers(_strategies(s, d))), o.query(o.EVENTS, o.IND, o.FACTORS, o.STRATEGIES, "l AS (" + " UNION ALL ".join(f"SELECT ticker, ts, rn, '{i}' AS strategy, st_{i} AS vote FROM st" for i in strategies.IDS) + "), k AS (SELECT *, CASE WHEN vote > 0 THEN 'buy' ELSE 'sell' END AS side, row_number() OVER (PARTITION BY ticker, strategy, vote > 0 ORDER BY rn DESC) AS k FROM l WHERE vote <> 0)", select=f"SELECT ticker, strategy, side, CAST(k AS BIGINT) AS k, {TS}, CAST(rn AS BIGINT) AS rn FROM k WHERE k <= 15"))
 
 # ---- back-tests
-_LIMITS = ", ".join(f"('{s.id}', {s.stop_loss}, {s.take_profit}, {s.hold_min}, {s.hold_max})" for s in strategies.STRATEGIES)
-_FOLD = f"""v AS MATERIALIZED (
-    SELECT ticker, rn, close, strategy, vote, stop, target, least_hold, most_hold FROM ({' UNION ALL '.join(f"SELECT ticker, rn, close, '{i}' AS strategy, st_{i} AS vote FROM st" for i in strategies.IDS)}) JOIN (VALUES {_LIMITS}) AS p(strategy, stop, target, least_hold, most_hold) USING (strategy)
-), fold AS (
-    SELECT ticker, strategy, CAST(-1 AS BIGINT) AS rn, CAST(100000 AS DOUBLE) AS cash, CAST(0 AS DOUBLE) AS shares, CAST(-1 AS BIGINT) AS entry, CAST(0 AS DOUBLE) AS paid, CAST(NULL AS VARCHAR) AS reason, CAST(NULL AS DOUBLE) AS gain, CAST(NULL AS BIGINT) AS held, CAST(100000 AS DOUBLE) AS equity FROM (SELECT DISTINCT ticker, strategy FROM v)
+_OWN = [(x.id, x.stop_loss, x.take_profit, x.hold_min, x.hold_max) for x in strategies.STRATEGIES]
+_SHORT = [(i, *(bt.HOLD_PROFILES["short"][k] for k in (2, 3, 0, 1))) for i in strategies.IDS]
+_VOTED = (o.EVENTS, o.IND, o.FACTORS, o.STRATEGIES)
+_SUMMARY = ["total_return", "annual_return", "sharpe", "max_drawdown", "win_rate", "avg_return", "avg_hold", "profit_factor"]
+
+
+def _results(s: SparkSession, d: str, **options) -> DataFrame:
+    return bt.run_strategies(_strategies(s, d), {"all": bt._params(strategies.IDS, None)}, **options)
+
+
+def _trade_log(s: SparkSession, d: str, **options) -> DataFrame:
+    return shown(bt.trades(_results(s, d, **options)).select("ticker", "strategy", F.col("exit").alias("exit_rn"), "return_pct", "hold_bars", "reason"))
+
+
+_LOG = f"SELECT ticker, strategy, exit_rn, {o.num('return_pct')} AS return_pct, hold_bars, reason FROM fold_trades"
+# backtest_trades has the trades that a rule closed; backtest_trade_log also those closed after the last bar.
+register("backtest_trades", lambda s, d: _trade_log(s, d).where("reason <> 'force_close'"), o.recursive(*_VOTED, o.votes(_OWN), o.fold("v", "fold"), select=_LOG + " WHERE reason <> 'force_close'"))
+register("backtest_trade_log", _trade_log, o.recursive(*_VOTED, o.votes(_OWN), o.fold("v", "fold"), select=_LOG))
+register("backtest_worst_case", lambda s, d: _trade_log(s, d, worst_case=True, limit_pct=0.05), o.recursive(*_VOTED, o.votes(_OWN), o.fold("v", "fold", worst_case=True, limit=0.05), select=_LOG))
+register(
+    "backtest_equity", lambda s, d: shown(bt.equity_metrics(bt.equity_curve(_results(s, d)), ["ticker", "strategy"]), places=5),
+    o.recursive(*_VOTED, o.votes(_OWN), o.fold("v", "fold"), o.summary("fold", "sm"), select=f"SELECT ticker, strategy, {', '.join(f'{o.num(c, 5)} AS {c}' for c in ('max_drawdown', 'last_equity', 'sharpe'))} FROM sm"),
+)
+_RANKED = "rk AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY sharpe DESC, place) AS rank FROM sm JOIN (SELECT DISTINCT strategy, place FROM v) USING (strategy) WHERE n_trades > 0)"
+register(
+    "backtest_ranking", lambda s, d: shown(bt.rank_strategies(bt.backtest_all(_strategies(s, d), profile="short")), ["ticker", "strategy", "n_trades", "rank", *_SUMMARY]),
+    o.recursive(*_VOTED, o.votes(_SHORT), o.fold("v", "fold"), o.summary("fold", "sm"), _RANKED, select=f"SELECT ticker, strategy, n_trades, rank, {_nums(_SUMMARY)} FROM rk"),
+)
+_BLENDED = ["rsi_extreme", "stochastic_cross", "williams_r_reversal"]
+_BLEND_SQL = f"""bl AS (SELECT *, ({' + '.join(f'st_{i}' for i in _BLENDED)}) / 3.0 AS blend FROM st), v AS MATERIALIZED (
+    SELECT 'all' AS run, ticker, 'portfolio' AS strategy, rn, close, high, low, CASE WHEN blend > 0.6 THEN 2 WHEN blend < -0.6 THEN -2 WHEN blend > 0.3 THEN 1 WHEN blend < -0.3 THEN -1 ELSE 0 END AS vote,
+        0.07 AS stop, 0.12 AS target, 3 AS least_hold, 30 AS most_hold, CAST(100000 AS DOUBLE) AS capital FROM bl)"""
+for _name, _size in (("portfolio_blend", 1.0), ("portfolio_blend_half", 0.5)):
+    register(
+        _name, lambda s, d, size=_size: shown(portfolio.backtest_portfolio(_strategies(s, d), dict.fromkeys(_BLENDED, 1.0), size=size), ["ticker", "strategy", "n_trades", *_SUMMARY]),
+        o.recursive(*_VOTED, _BLEND_SQL, o.fold("v", "fold", size=_size), o.summary("fold", "sm"), select=f"SELECT ticker, strategy, n_trades, {_nums(_SUMMARY)} FROM sm"),
+    )
+
+# sleeves: the five best of each way to choose, each on its own capital
+_GIVEN = f"""vo AS MATERIALIZED (SELECT * REPLACE ('own' AS run) FROM ({o.votes(_OWN).removeprefix('v AS MATERIALIZED ')})),
+{o.fold('vo', 'own')}, {o.summary('own', 'so')}, {o.regime()}, cat AS (SELECT * FROM (VALUES {', '.join(f"('{x.id}', '{x.category}')" for x in strategies.STRATEGIES)}) AS t(strategy, category)),
+rr AS (
+    SELECT so.ticker, strategy, row_number() OVER (PARTITION BY so.ticker ORDER BY sharpe DESC, place) AS rank
+    FROM so JOIN cat USING (strategy) JOIN reg ON reg.ticker = so.ticker AND reg.category = cat.category JOIN (SELECT DISTINCT strategy, place FROM v) USING (strategy)
+), gv AS (
+    SELECT ticker, 'equal' AS run, strategy, 1.0 AS w FROM rk WHERE rank <= 5 UNION ALL SELECT ticker, 'dynamic', strategy, 0.8 FROM rk WHERE rank <= 5
+    UNION ALL SELECT ticker, 'sharpe', strategy, greatest(sharpe, 0) FROM rk WHERE rank <= 5 UNION ALL SELECT ticker, 'regime', strategy, 1.0 FROM rr WHERE rank <= 5
+), al AS (
+    SELECT ticker, run, strategy, w / nullif(sum(w) OVER (PARTITION BY ticker, run), 0) * 100000 AS capital FROM gv
+), vs AS MATERIALIZED (
+    SELECT v.* REPLACE (al.run AS run, al.capital AS capital) FROM v JOIN al USING (ticker, strategy) WHERE al.capital IS NOT NULL
+)"""
+_SLEEVES = f"""cv AS (
+    SELECT ticker, run, rn, sum(equity) AS equity FROM slv WHERE rn >= 0 GROUP BY ALL
+), st1 AS (
+    SELECT *, equity / nullif(lag(equity) OVER w, 0) - 1 AS ret, max(equity) OVER w AS peak FROM cv WINDOW w AS (PARTITION BY ticker, run ORDER BY rn ROWS UNBOUNDED PRECEDING)
+), m AS (
+    SELECT ticker, run, arg_max(equity, rn) / 100000 - 1 AS total_return, count(*) AS n, CASE WHEN stddev_samp(ret) > 0 THEN avg(ret) / stddev_samp(ret) * sqrt(252) ELSE 0 END AS sharpe,
+        min((equity - peak) / peak) AS max_drawdown FROM st1 GROUP BY ALL
+), t AS (
+    SELECT ticker, run, count(*) AS n_trades, sum(return_pct) AS gains, sum(hold_bars) AS held FROM slv_trades GROUP BY ALL
+), bh AS (
+    SELECT ticker, (arg_max(close, rn) - arg_min(close, rn)) / nullif(arg_min(close, rn), 0) AS r, count(*) AS n FROM bars GROUP BY 1
+), al2 AS (
+    SELECT ticker, run AS method, total_return, power(1 + total_return, 1 / greatest(n / 252.0, 0.01)) - 1 AS annual_return, sharpe, max_drawdown, 0.5 AS win_rate,
+        coalesce(n_trades, 0) AS n_trades, coalesce(gains, 0) / greatest(coalesce(n_trades, 0), 1) AS avg_return, coalesce(held, 0) / greatest(coalesce(n_trades, 0), 1) AS avg_hold, 1.0 AS profit_factor
+    FROM m LEFT JOIN t USING (ticker, run)
     UNION ALL
-    SELECT ticker, strategy, rn, cash2, shares2, CASE WHEN shares2 > 0 AND shares = 0 THEN rn WHEN shares2 = 0 THEN -1 ELSE entry END, CASE WHEN shares2 > 0 AND shares = 0 THEN close WHEN shares2 = 0 THEN 0 ELSE paid END, why, CASE WHEN why IS NOT NULL THEN close / paid - 1 END, CASE WHEN why IS NOT NULL THEN rn - entry END, cash2 + shares2 * close
-    FROM (
-        SELECT *, CASE WHEN why IS NOT NULL THEN cash + shares * close * 0.999 WHEN shares = 0 AND vote > 0 THEN cash - bought * close * 1.001 ELSE cash END AS cash2, CASE WHEN why IS NOT NULL THEN 0 WHEN shares = 0 AND vote > 0 THEN bought ELSE shares END AS shares2
-        FROM (
-            SELECT v.ticker, v.strategy, v.rn, v.close, v.vote, f.cash, f.shares, f.entry, f.paid, floor(f.cash * 0.95 / v.close) AS bought,
-                CASE WHEN f.shares > 0 THEN CASE WHEN v.vote < 0 AND v.rn - f.entry >= least_hold THEN 'signal' WHEN (v.close - f.paid) / f.paid <= -stop THEN 'stop_loss' WHEN (v.close - f.paid) / f.paid >= target THEN 'take_profit' WHEN v.rn - f.entry >= most_hold THEN 'timeout' END END AS why
-            FROM fold f JOIN v ON v.ticker = f.ticker AND v.strategy = f.strategy AND v.rn = f.rn + 1
-        )
-    )
+    SELECT ticker, 'buy_and_hold', r, r / greatest(n / 252.0, 0.01), NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM bh
 )"""
-
-
-def _results(s: SparkSession, d: str) -> DataFrame:
-    return bt.run_backtest(bt.votes(_strategies(s, d)), bt._params(strategies.IDS, None))
-
-
-def _trade_log(s: SparkSession, d: str) -> DataFrame:
-    return bt.trades(_results(s, d)).select("ticker", "strategy", F.col("exit").cast("long").alias("exit_rn"), "return_pct", F.col("hold_bars").cast("long").alias("hold_bars"), "reason")
-
-
-# backtest_trades has the trades that a rule closed, as its SQL says; backtest_trade_log also those closed after the last bar.
-register("backtest_trades", lambda s, d: shown(_trade_log(s, d).where("reason <> 'force_close'")), "WITH RECURSIVE " + o.query(o.EVENTS, o.IND, o.FACTORS, o.STRATEGIES, _FOLD, select=f"SELECT ticker, strategy, rn AS exit_rn, {o.num('gain')} AS return_pct, held AS hold_bars, reason FROM fold WHERE reason IS NOT NULL").removeprefix("WITH "))
-register("backtest_trade_log", lambda s, d: shown(_trade_log(s, d)), "WITH RECURSIVE " + o.query(o.EVENTS, o.IND, o.FACTORS, o.STRATEGIES, _FOLD, "tail AS (SELECT ticker, max(rn) AS rn FROM v GROUP BY 1)", select=f"SELECT ticker, strategy, rn AS exit_rn, {o.num('gain')} AS return_pct, held AS hold_bars, reason FROM fold WHERE reason IS NOT NULL UNION ALL SELECT ticker, strategy, rn AS exit_rn, {o.num('close / paid - 1')} AS return_pct, rn - entry AS hold_bars, 'force_close' AS reason FROM fold JOIN v USING (ticker, strategy, rn) JOIN tail USING (ticker, rn) WHERE shares > 0").removeprefix("WITH "))
-register("backtest_equity", lambda s, d: shown(bt.equity_metrics(bt.equity_curve(_results(s, d)), ["ticker", "strategy"]).withColumn("last_equity", F.log10("last_equity"))), "WITH RECURSIVE " + o.query(o.EVENTS, o.IND, o.FACTORS, o.STRATEGIES, _FOLD, "e AS (SELECT *, equity / lag(equity) OVER (PARTITION BY ticker, strategy ORDER BY rn) - 1 AS ret, max(equity) OVER (PARTITION BY ticker, strategy ORDER BY rn ROWS UNBOUNDED PRECEDING) AS peak FROM fold WHERE rn >= 0)", select=f"SELECT ticker, strategy, {o.num('min((equity - peak) / peak)')} AS max_drawdown, {o.num('log10(arg_max(equity, rn))')} AS last_equity, {o.num('CASE WHEN stddev_samp(ret) > 0 THEN avg(ret) / stddev_samp(ret) * sqrt(252) ELSE 0 END')} AS sharpe FROM e GROUP BY 1, 2").removeprefix("WITH "))
-register("backtest_ranking", lambda s, d: shown(bt.rank_strategies(bt.backtest_all(_strategies(s, d), profile="short"))))
-register("portfolio_methods", lambda s, d: shown(portfolio.analyze_portfolio(_strategies(s, d), profile="short")))
-register("portfolio_blend", lambda s, d: shown(portfolio.backtest_portfolio(_strategies(s, d), {"rsi_extreme": 1.0, "stochastic_cross": 1.0, "williams_r_reversal": 1.0})))
+register(
+    "portfolio_methods", lambda s, d: shown(portfolio.analyze_portfolio(_strategies(s, d), profile="short"), ["ticker", "method", "n_trades", *_SUMMARY]),
+    o.recursive(*_VOTED, o.votes(_SHORT), o.fold("v", "fold"), o.summary("fold", "sm"), _RANKED, _GIVEN, o.fold("vs", "slv"), _SLEEVES, select=f"SELECT ticker, method, n_trades, {', '.join(o.num(f'CAST({c} AS DOUBLE)') + f' AS {c}' for c in _SUMMARY)} FROM al2"),
+)
+register("top_strategies", lambda s, d: shown(portfolio.top_strategies(_strategies(s, d), profile="short")), o.recursive(*_VOTED, o.votes(_SHORT), o.fold("v", "fold"), o.summary("fold", "sm"), _RANKED, select=f"SELECT ticker, rank, strategy, {o.num('round(sharpe, 2)')} AS sharpe, {o.num('round(total_return * 100, 2)')} AS total_return FROM rk WHERE rank <= 5"))
+register("normalised_equity", lambda s, d: shown(portfolio.normalised_equity(bt.equity_curve(_results(s, d)), sources.bars_events(s, d))), o.recursive(*_VOTED, o.votes(_OWN), o.fold("v", "fold"), select=f"SELECT ticker, strategy, rn, {o.num('f.equity / first_value(f.equity) OVER w')} AS equity, {o.num('v.close / first_value(v.close) OVER w')} AS benchmark FROM fold f JOIN v USING (ticker, strategy, rn) WINDOW w AS (PARTITION BY ticker, strategy ORDER BY rn)"))
+register("kelly_shares", lambda s, d: shown(bt.trades(_results(s, d)).groupBy("ticker", "strategy").agg(F.avg(F.when(F.col("return_pct") > 0, 1.0).otherwise(0.0)).alias("w"), F.coalesce(F.avg(F.when(F.col("return_pct") > 0, F.col("return_pct"))), F.lit(0.0)).alias("a"), F.coalesce(F.abs(F.avg(F.when(F.col("return_pct") <= 0, F.col("return_pct")))), F.lit(0.0)).alias("b")).select("ticker", "strategy", portfolio.kelly_position(F.col("w"), F.col("a"), F.col("b")).alias("share"))), o.recursive(*_VOTED, o.votes(_OWN), o.fold("v", "fold"), "z AS (SELECT ticker, strategy, avg(CASE WHEN return_pct > 0 THEN 1.0 ELSE 0 END) AS w, coalesce(avg(return_pct) FILTER (return_pct > 0), 0) AS a, coalesce(abs(avg(return_pct) FILTER (return_pct <= 0)), 0) AS b FROM fold_trades GROUP BY 1, 2)", select=f"SELECT ticker, strategy, {o.num('CASE WHEN a > 0 AND b > 0 AND w > 0 AND w < 1 THEN greatest(0, least(0.5, (a / b * w - (1 - w)) / (a / b))) ELSE 0 END')} AS share FROM z"))
 register("combined_votes", lambda s, d: shown(portfolio.combine_signals(_strategies(s, d), {"rsi_extreme": 2.0, "stochastic_cross": 1.0, "williams_r_reversal": 1.0}), [*KEY, "blend", "vote"]), o.query(o.EVENTS, o.IND, o.FACTORS, o.STRATEGIES, "z AS (SELECT *, (2 * st_rsi_extreme + st_stochastic_cross + st_williams_r_reversal) / 4.0 AS blend FROM st)", select=f"SELECT {_KEY_SQL}, {o.num('blend')} AS blend, CAST(CASE WHEN blend > 0.6 THEN 2 WHEN blend < -0.6 THEN -2 WHEN blend > 0.3 THEN 1 WHEN blend < -0.3 THEN -1 ELSE 0 END AS BIGINT) AS vote FROM z"))
 register("buy_and_hold", lambda s, d: shown(portfolio.buy_and_hold(sources.bars_events(s, d))), o.query(o.EVENTS, "z AS (SELECT ticker, (arg_max(close, rn) - arg_min(close, rn)) / nullif(arg_min(close, rn), 0) AS r, count(*) AS n FROM bars GROUP BY 1)", select=f"SELECT ticker, {o.num('r')} AS total_return, {o.num('r / greatest(n / 252.0, 0.01)')} AS annual_return FROM z"))
 register("volatility_targets", lambda s, d: shown(portfolio.volatility_targeting(sources.bars_orders(s, d)), [*KEY, "position"]), o.query(o.ORDERS, f"y AS (SELECT *, close / nullif({o.lag('close')}, 0) - 1 AS ret FROM bars), z AS (SELECT *, 0.15 / nullif(({o.std('ret', 20, 20)}) * sqrt(252), 0) AS raw FROM y), x AS (SELECT *, CASE WHEN raw IS NOT NULL THEN greatest(0.1, least(1, raw)) END AS p FROM z)", select=f"SELECT {_KEY_SQL}, {o.num(f'coalesce(last_value(p IGNORE NULLS) {o.CUM}, 0.5)')} AS position FROM x"))
-register("market_regime", lambda s, d: shown(portfolio.detect_market_regime(_factors(s, d))), o.query(o.EVENTS, o.IND, o.FACTORS, f"""z AS (
-    SELECT *, 1 - coalesce((bb_width - min(bb_width) {o.ALL}) / nullif(max(bb_width) {o.ALL} - min(bb_width) {o.ALL}, 0), 0.5) AS narrow, coalesce(adx_14, 0) AS adx, trend_strength AS t, coalesce(rsi_14, 50) AS rsi, abs((px - ma20) / nullif(ma20, 0)) AS d20, abs((px - ma60) / nullif(ma60, 0)) AS d60, max(rn) {o.ALL} AS newest FROM fac
-), y AS (
-    SELECT ticker, ts, [CASE WHEN t > 0 AND adx > 20 AND px > ma20 THEN least(100, 50 + 0.8 * adx + 10 * t + 500 * d60) ELSE 0 END, CASE WHEN t < 0 AND adx > 20 AND px < ma20 THEN least(100, 50 + 0.8 * adx + 10 * abs(t) + 500 * d60) ELSE 0 END, least(100, 2 * greatest(0, 20 - adx) + 50 * narrow + CASE WHEN abs(t) <= 1 THEN 10 ELSE 0 END),
-        CASE WHEN rsi > 65 AND px > ma20 THEN greatest(1.5 * (rsi - 50) + 1000 * d20, CASE WHEN abs(t) >= 3 THEN 30 ELSE 0 END) ELSE 0 END, CASE WHEN rsi < 40 AND px < ma20 THEN greatest(2 * (40 - rsi) + 1000 * d20, CASE WHEN abs(t) >= 3 THEN 30 ELSE 0 END) ELSE 0 END] AS s FROM z WHERE rn = newest
-), x AS (SELECT *, CASE WHEN list_max(s) < 5 THEN 3 ELSE list_position(s, list_max(s)) END AS k FROM y)""", select=f"SELECT ticker, {TS}, ['trend_up', 'trend_down', 'range', 'top', 'bottom'][k] AS regime, ['trend', 'trend', 'reversal', 'reversal', 'reversal'][k] AS category, {o.num('CASE WHEN list_max(s) < 5 THEN 5 ELSE list_max(s) END')} AS score FROM x"))
+register("market_regime", lambda s, d: shown(portfolio.detect_market_regime(_factors(s, d)).drop("description")), o.query(o.EVENTS, o.IND, o.FACTORS, o.regime(), select=f"SELECT ticker, {TS}, regime, category, {o.num('score')} AS score FROM reg"))
+register(
+    "market_regime_daily", lambda s, d: shown(portfolio.detect_market_regime(factors.add_all_factors(sources.bars_parts(s, d))).drop("description")),
+    o.query(o.PARTS, o.IND, o.FACTORS, o.regime(), select=f"SELECT ticker, {TS}, regime, category, {o.num('score')} AS score FROM reg"),
+)
 
 # ---- similarity and statistics
 _Z = "lambda v: CASE WHEN list_stddev_pop(w) > 0 THEN (v - list_avg(w)) / list_stddev_pop(w) ELSE 0 END"
 _COMPARE = "list_dot_product(a, b) / 30 AS corr, list_distance(a, b) AS dist"
 register("similar_history", lambda s, d: shown(similarity.search_historical(sources.bars_orders(s, d)), ["ticker", "start", "corr", "dist", "score", "rank"]), o.query(o.ORDERS, f"w0 AS (SELECT ticker, rn, list(close) OVER ({o.P} ROWS BETWEEN CURRENT ROW AND 29 FOLLOWING) AS w, count(*) {o.ALL} AS n FROM bars), w1 AS (SELECT ticker, rn, n, list_transform(w, {_Z}) AS z FROM w0 WHERE len(w) = 30), q AS (SELECT ticker, z AS b FROM w1 WHERE rn = n - 30 AND n >= 120), m AS (SELECT ticker, rn, z AS a, b FROM w1 JOIN q USING (ticker) WHERE rn <= n - 91), c AS (SELECT ticker, rn, {_COMPARE} FROM m), k AS (SELECT *, round(corr - dist / 10, 4) AS score FROM c), f AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY score DESC, rn) AS rank FROM k)", select=f"SELECT ticker, rn AS start, {_nums(('corr', 'dist', 'score'))}, rank FROM f WHERE rank <= 5"))
-register("similar_tickers", lambda s, d: shown(similarity.search_cross(sources.bars_parts(s, d), sources.bars_parts(s, d).select("ticker").distinct()), ["target", "ticker", "corr", "dist", "score", "rank"]), o.query(o.PARTS, f"l AS (SELECT ticker, list(close ORDER BY rn) AS w FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY rn DESC) AS back FROM bars) WHERE back <= 30 GROUP BY 1 HAVING count(*) = 30), z AS (SELECT ticker, list_transform(w, {_Z}) AS z FROM l), c AS (SELECT q.ticker AS target, x.ticker, list_dot_product(x.z, q.z) / 30 AS corr, list_distance(x.z, q.z) AS dist FROM z x JOIN z q ON x.ticker <> q.ticker), k AS (SELECT *, round(corr - dist / 10, 4) AS score FROM c), f AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, ticker) AS rank FROM k)", select=f"SELECT target, ticker, {_nums(('corr', 'dist', 'score'))}, rank FROM f WHERE rank <= 5"))
-register("pattern_features", lambda s, d: shown(similarity.pattern_features(sources.bars_parts(s, d))), o.query(o.PARTS, f"n AS (SELECT *, max(rn) {o.ALL} AS newest FROM bars), l AS (SELECT * FROM n WHERE rn > newest - 30), r AS (SELECT *, close / nullif({o.lag('close')}, 0) - 1 AS ret, max(close) {o.CUM} AS peak FROM l), a AS (SELECT ticker, count(close) AS n, (arg_max(close, rn) - arg_min(close, rn)) / nullif(arg_min(close, rn), 0) AS t, stddev_pop(ret) AS dev, avg(ret) AS m, min((close - peak) / peak) AS max_drawdown, regr_slope(close, rn) AS slope, regr_r2(close, rn) AS r2 FROM r GROUP BY 1)", select=f"SELECT ticker, CASE WHEN t > 0 THEN 'up' ELSE 'down' END AS direction, {o.num('t')} AS total_return, {o.num('dev * sqrt(252)')} AS volatility, {o.num('max_drawdown')} AS max_drawdown, {o.num('CASE WHEN dev > 0 THEN m / dev * sqrt(252) ELSE 0 END')} AS sharpe, {o.num('slope')} AS slope, CASE WHEN n < 10 THEN 'unknown' WHEN r2 > 0.7 AND slope > 0 THEN 'strong_uptrend' WHEN r2 > 0.7 THEN 'strong_downtrend' WHEN r2 > 0.3 AND slope > 0 THEN 'uptrend' WHEN r2 > 0.3 THEN 'downtrend' WHEN abs(t) < 0.05 THEN 'sideways' ELSE 'choppy' END AS pattern FROM a"))
-register("similar_history_dtw", lambda s, d: shown(similarity.search_historical(sources.bars_events(s, d), dtw=True), ["ticker", "start", "dist", "rank"]))
+_TARGETS = ["Brand#11", "Brand#23", "Brand#35", "Brand#42", "Brand#54"]
+register("similar_tickers", lambda s, d: shown(similarity.search_cross(sources.bars_parts(s, d), s.createDataFrame([(x,) for x in _TARGETS], "ticker string")), ["target", "ticker", "corr", "dist", "score", "rank"]), o.query(o.PARTS, f"l AS (SELECT ticker, list(close ORDER BY rn) AS w FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY rn DESC) AS back FROM bars) WHERE back <= 30 GROUP BY 1 HAVING count(*) = 30), z AS (SELECT ticker, list_transform(w, {_Z}) AS z FROM l), c AS (SELECT q.ticker AS target, x.ticker, list_dot_product(x.z, q.z) / 30 AS corr, list_distance(x.z, q.z) AS dist FROM z x JOIN z q ON x.ticker <> q.ticker WHERE q.ticker IN ({', '.join(map(repr, _TARGETS))})), k AS (SELECT *, round(corr - dist / 10, 4) AS score FROM c), f AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, ticker) AS rank FROM k)", select=f"SELECT target, ticker, {_nums(('corr', 'dist', 'score'))}, rank FROM f WHERE rank <= 5"))
+register("pattern_features", lambda s, d: shown(similarity.pattern_features(sources.bars_parts(s, d))), o.query(o.PARTS, f"n AS (SELECT *, max(rn) {o.ALL} AS newest FROM bars), l AS (SELECT * FROM n WHERE rn > newest - 30), r AS (SELECT *, close / nullif({o.lag('close')}, 0) - 1 AS ret, max(close) {o.CUM} AS peak FROM l), a AS (SELECT ticker, count(*) AS bars, count(close) AS n, (arg_max(close, rn) - arg_min(close, rn)) / nullif(arg_min(close, rn), 0) AS t, stddev_pop(ret) AS dev, avg(ret) AS m, min((close - peak) / peak) AS max_drawdown, regr_slope(close, rn) AS slope, regr_r2(close, rn) AS r2 FROM r GROUP BY 1)", select=f"SELECT ticker, CASE WHEN t > 0 THEN 'up' ELSE 'down' END AS direction, {o.num('t')} AS total_return, {o.num('dev * sqrt(252)')} AS volatility, {o.num('max_drawdown')} AS max_drawdown, {o.num('CASE WHEN dev > 0 THEN m / dev * sqrt(252) ELSE 0 END')} AS sharpe, {o.num('slope')} AS slope, CASE WHEN n < 10 THEN 'unknown' WHEN r2 > 0.7 AND slope > 0 THEN 'strong_uptrend' WHEN r2 > 0.7 THEN 'strong_downtrend' WHEN r2 > 0.3 AND slope > 0 THEN 'uptrend' WHEN r2 > 0.3 THEN 'downtrend' WHEN abs(t) < 0.05 THEN 'sideways' WHEN t > 0 THEN 'choppy_up' ELSE 'choppy_down' END AS pattern FROM a WHERE bars = 30"))
+register("similar_history_dtw", lambda s, d: shown(similarity.search_historical(sources.bars_events(s, d), dtw=True), ["ticker", "start", "score", "dtw", "rank"]))
 register("forward_returns", lambda s, d: shown(stats.forward_returns(indicators.add_indicators(sources.bars_events(s, d))), [*KEY, *(f"fwd_{n}" for n in stats.HORIZONS)]), o.query(o.EVENTS, select=f"SELECT {_KEY_SQL}, {', '.join(o.num(f'lead(close, {n}) OVER ({o.P}) / nullif(close, 0) - 1') + f' AS fwd_{n}' for n in stats.HORIZONS)} FROM bars"))
 _EVENTS_SQL = f"fr AS (SELECT ticker, rn, {', '.join(f'lead(close, {n}) OVER ({o.P}) / nullif(close, 0) - 1 AS f{n}' for n in stats.HORIZONS)} FROM bars), ev AS (SELECT l.ticker, l.signal, l.rn, h, CASE h {' '.join(f'WHEN {n} THEN f{n}' for n in stats.HORIZONS)} END AS ret FROM l JOIN fr USING (ticker, rn), unnest([{', '.join(map(str, stats.HORIZONS))}]) AS u(h) WHERE strength = 1 AND {' AND '.join(f'f{n} IS NOT NULL' for n in stats.HORIZONS)}), wl AS (SELECT *, exp(sum(CASE WHEN ret > -1 THEN ln(1 + ret) END) OVER w) AS wealth FROM ev WINDOW w AS (PARTITION BY ticker, signal, h ORDER BY rn ROWS UNBOUNDED PRECEDING)), pk AS (SELECT *, max(wealth) OVER (PARTITION BY ticker, signal, h ORDER BY rn ROWS UNBOUNDED PRECEDING) AS peak FROM wl)"
 register("signal_statistics", lambda s, d: shown(stats.signal_stats(_signals(s, d))), o.query(o.EVENTS, o.IND, o.SIGNALS, _LONG, _EVENTS_SQL, select=f"SELECT ticker, signal, CAST(h AS BIGINT) AS horizon, count(*) AS events, {o.num('avg(ret)')} AS mean, {o.num('avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END)')} AS win_rate, {o.num('max(ret)')} AS best, {o.num('min(ret)')} AS worst, {o.num('quantile_cont(ret, 0.5)')} AS median, {o.num('min((wealth - peak) / nullif(peak, 0))')} AS max_drawdown FROM pk GROUP BY 1, 2, 3 HAVING count(*) >= 3"))
@@ -188,8 +268,20 @@ def _pivots(x: str, extreme: str) -> str:
     return f"SELECT ticker, {x} AS price FROM (SELECT *, count(*) OVER w AS n, {extreme}({x}) OVER w AS e FROM bars WINDOW w AS ({o.P} ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)) WHERE n = 11 AND {x} = e"
 
 
-register("support_clusters", lambda s, d: shown(chart_data.support_resistance_clusters(sources.bars_orders(s, d))), o.query(o.ORDERS, f"""pv AS ({_pivots('low', 'min')} UNION ALL {_pivots('high', 'max')}), lim AS (SELECT ticker, 0.4 * avg(high - low) FILTER (rn > newest - 20) AS gap, arg_max(close, rn) AS close FROM (SELECT *, max(rn) {o.ALL} AS newest FROM bars) GROUP BY 1),
-f AS (SELECT pv.*, close, CASE WHEN price - lag(price) OVER (PARTITION BY ticker ORDER BY price) < gap THEN 0 ELSE 1 END AS fresh FROM pv JOIN lim USING (ticker)), c AS (SELECT *, sum(fresh) OVER (PARTITION BY ticker ORDER BY price ROWS UNBOUNDED PRECEDING) AS k FROM f), m AS (SELECT ticker, avg(price) AS level, count(*) AS touches, any_value(close) AS close FROM c GROUP BY ticker, k), s AS (SELECT *, CASE WHEN level < close THEN 'support' ELSE 'resistance' END AS side FROM m WHERE level <> close), t AS (SELECT *, row_number() OVER (PARTITION BY ticker, side ORDER BY abs(level - close), level) AS rank FROM s)""", select=f"SELECT ticker, side, rank, {o.num('level')} AS level, touches FROM t WHERE rank <= 3"))
+register("support_clusters", lambda s, d: shown(chart_data.support_resistance_clusters(sources.bars_orders(s, d))), o.query(o.ORDERS, f"""pv AS (
+    SELECT 'support' AS side, * FROM ({_pivots('low', 'min')}) UNION ALL SELECT 'resistance', * FROM ({_pivots('high', 'max')})
+), lim AS (
+    SELECT ticker, 0.4 * CASE WHEN count(*) >= 20 THEN avg(high - low) FILTER (rn > newest - 20) ELSE 0.02 * arg_max(close, rn) END AS gap, arg_max(close, rn) AS close
+    FROM (SELECT *, max(rn) {o.ALL} AS newest FROM bars) GROUP BY ticker
+), f AS (
+    SELECT pv.*, close, CASE WHEN price - lag(price) OVER (PARTITION BY ticker, side ORDER BY price) < gap THEN 0 ELSE 1 END AS fresh FROM pv JOIN lim USING (ticker)
+), c AS (
+    SELECT *, sum(fresh) OVER (PARTITION BY ticker, side ORDER BY price ROWS UNBOUNDED PRECEDING) AS k FROM f
+), m AS (
+    SELECT ticker, side, avg(price) AS level, count(*) AS touches, any_value(close) AS close FROM c GROUP BY ticker, side, k
+), t AS (
+    SELECT *, row_number() OVER (PARTITION BY ticker, side ORDER BY abs(level - close), level) AS rank FROM m WHERE CASE side WHEN 'support' THEN level < close ELSE level > close END
+)""", select=f"SELECT ticker, side, rank, {o.num('level')} AS level, touches FROM t WHERE rank <= 3"))
 register("scaled_obv", lambda s, d: shown(chart_data.scaled_obv(_factors(s, d))), o.query(o.EVENTS, o.IND, o.FACTORS, select=f"SELECT {_KEY_SQL}, {o.num(f'(obv - min(obv) {o.ALL}) / nullif(max(obv) {o.ALL} - min(obv) {o.ALL}, 0) * (max(volume) {o.ALL}) * 0.8')} AS obv_scaled FROM fac"))
 register("last_change", lambda s, d: shown(chart_data.last_change(sources.bars_events(s, d))), o.query(o.EVENTS, f"z AS (SELECT *, {o.lag('close')} AS c1, max(rn) {o.ALL} AS newest FROM bars)", select=f"SELECT ticker, {TS}, {o.num('close')} AS close, {o.num('(close / nullif(c1, 0) - 1) * 100')} AS change_pct FROM z WHERE rn = newest"))
 register("chart_trend_lines", lambda s, d: shown(chart_data.trend_lines(sources.bars_events(s, d))))
@@ -218,7 +310,7 @@ def _etf_bars(s: SparkSession, d: str) -> DataFrame:
 _TREND = f"nm AS (SELECT * REPLACE (CASE ticker {' '.join(f'''WHEN '{t}' THEN '{e}' ''' for e, t in _ETF.items())} ELSE ticker END AS ticker) FROM bars), av AS (SELECT *, {o.avg('close', 20)} AS a, {o.avg('close', 60)} AS b, max(rn) {o.ALL} AS newest FROM nm), tr AS (SELECT ticker, CASE WHEN a > b THEN 'up' WHEN a < b THEN 'down' ELSE 'flat' END AS trend FROM av WHERE rn = newest)"
 register("etf_trends", lambda s, d: news.etf_trend(_etf_bars(s, d)), o.query(o.EVENTS, _TREND, select="SELECT ticker, trend FROM tr"))
 register("news_scores", lambda s, d: shown(news.news_scores(news.match_keywords(s.read.parquet(f"{d}/documents.parquet"), _keywords(s)), news.etf_trend(_etf_bars(s, d)))), o.query(o.EVENTS, _TREND, _K, "g AS (SELECT doc_id, etf, count(*) AS hits, CAST(sum(CASE direction WHEN 'positive' THEN weight WHEN 'negative' THEN -weight ELSE 0 END) AS DOUBLE) AS lean FROM hit WHERE etf IS NOT NULL GROUP BY 1, 2)", select=f"SELECT doc_id, etf, hits, {o.num('lean')} AS lean, CAST(CASE WHEN lean > 0 AND trend = 'up' THEN 2 WHEN lean > 0 THEN 1 WHEN lean < 0 AND trend = 'down' THEN -2 WHEN lean < 0 THEN -1 ELSE 0 END AS BIGINT) AS score FROM g LEFT JOIN tr ON tr.ticker = g.etf"))
-register("sector_rotation", lambda s, d: shown(news.sector_rotation(sources.bars_parts(s, d))), o.query(o.PARTS, f"z AS (SELECT *, close / nullif({o.lag('close', 20)}, 0) - 1 AS ret, max(rn) {o.ALL} AS newest FROM bars), y AS (SELECT ticker, ret, row_number() OVER (ORDER BY ret DESC, ticker) AS rank, row_number() OVER (ORDER BY ret, ticker DESC) AS last FROM z WHERE rn = newest)", select=f"SELECT ticker, {o.num('ret')} AS ret, rank, CASE WHEN rank <= 5 THEN 'keep' WHEN last <= 3 THEN 'avoid' ELSE 'hold' END AS action FROM y"))
+register("sector_rotation", lambda s, d: shown(news.sector_rotation(sources.bars_parts(s, d))), o.query(o.PARTS, f"z AS (SELECT *, close / nullif({o.lag('close', 20)}, 0) - 1 AS ret, max(rn) {o.ALL} AS newest FROM bars), y AS (SELECT ticker, ret, row_number() OVER (ORDER BY ret DESC, ticker) AS best, row_number() OVER (ORDER BY ret, ticker DESC) AS worst FROM z WHERE rn = newest)", select=f"SELECT ticker, {o.num('ret')} AS ret, CASE WHEN best <= 5 THEN best WHEN worst <= 3 THEN worst END AS rank, CASE WHEN best <= 5 THEN 'keep' WHEN worst <= 3 THEN 'avoid' ELSE 'hold' END AS action FROM y"))
 register("long_lower_shadows", lambda s, d: shown(news.long_lower_shadow(sources.bars_events(s, d)), [*KEY, "long_lower_shadow"]), o.query(o.EVENTS, select=f"SELECT {_KEY_SQL}, CAST(CASE WHEN least(open, close) - low > 2 * abs(close - open) AND least(open, close) - low > high - greatest(open, close) AND close > open THEN 1 ELSE 0 END AS BIGINT) AS long_lower_shadow FROM bars"))
 
 # ---- dimensions
@@ -243,7 +335,7 @@ def streaming_bars(s: SparkSession, d: str) -> DataFrame:
 
 def _folder(s: SparkSession) -> str:
     """The folder that driver and executors share; a local one where none is set."""
-    return s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+    return shared_folder(s)
 
 
 register("streaming_bars", streaming_bars, o.query(o.EVENTS, select=f"SELECT ticker, {TS}, {_nums(('open', 'high', 'low', 'close'))}, volume FROM bars"))

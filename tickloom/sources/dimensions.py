@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import stored
+
 col = F.col
 
 
@@ -62,6 +64,18 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def append_csv(df: DataFrame, path: str, key: str) -> int:
+    """Add the rows whose ``key`` the sink doesn't have yet, and return how many; every call is a checkpoint to resume from."""
+    spark = df.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        done = spark.read.option("header", True).schema(df.schema).csv(path).select(key)
+        df = df.join(done, key, "left_anti").select(*df.columns)
+    fresh = stored(df, "csv")
+    fresh.write.mode("append").option("header", True).csv(path)
+    return fresh.count()
+
+
 def as_json(df: DataFrame) -> DataFrame:
     """One JSON text per row."""
     return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
