@@ -253,12 +253,41 @@ register("similar_history", lambda s, d: shown(similarity.search_historical(sour
 _TARGETS = ["Brand#11", "Brand#23", "Brand#35", "Brand#42", "Brand#54"]
 register("similar_tickers", lambda s, d: shown(similarity.search_cross(sources.bars_parts(s, d), s.createDataFrame([(x,) for x in _TARGETS], "ticker string")), ["target", "ticker", "corr", "dist", "score", "rank"]), o.query(o.PARTS, f"l AS (SELECT ticker, list(close ORDER BY rn) AS w FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY rn DESC) AS back FROM bars) WHERE back <= 30 GROUP BY 1 HAVING count(*) = 30), z AS (SELECT ticker, list_transform(w, {_Z}) AS z FROM l), c AS (SELECT q.ticker AS target, x.ticker, list_dot_product(x.z, q.z) / 30 AS corr, list_distance(x.z, q.z) AS dist FROM z x JOIN z q ON x.ticker <> q.ticker WHERE q.ticker IN ({', '.join(map(repr, _TARGETS))})), k AS (SELECT *, round(corr - dist / 10, 4) AS score FROM c), f AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, ticker) AS rank FROM k)", select=f"SELECT target, ticker, {_nums(('corr', 'dist', 'score'))}, rank FROM f WHERE rank <= 5"))
 register("pattern_features", lambda s, d: shown(similarity.pattern_features(sources.bars_parts(s, d))), o.query(o.PARTS, f"n AS (SELECT *, max(rn) {o.ALL} AS newest FROM bars), l AS (SELECT * FROM n WHERE rn > newest - 30), r AS (SELECT *, close / nullif({o.lag('close')}, 0) - 1 AS ret, max(close) {o.CUM} AS peak FROM l), a AS (SELECT ticker, count(*) AS bars, count(close) AS n, (arg_max(close, rn) - arg_min(close, rn)) / nullif(arg_min(close, rn), 0) AS t, stddev_pop(ret) AS dev, avg(ret) AS m, min((close - peak) / peak) AS max_drawdown, regr_slope(close, rn) AS slope, regr_r2(close, rn) AS r2 FROM r GROUP BY 1)", select=f"SELECT ticker, CASE WHEN t > 0 THEN 'up' ELSE 'down' END AS direction, {o.num('t')} AS total_return, {o.num('dev * sqrt(252)')} AS volatility, {o.num('max_drawdown')} AS max_drawdown, {o.num('CASE WHEN dev > 0 THEN m / dev * sqrt(252) ELSE 0 END')} AS sharpe, {o.num('slope')} AS slope, CASE WHEN n < 10 THEN 'unknown' WHEN r2 > 0.7 AND slope > 0 THEN 'strong_uptrend' WHEN r2 > 0.7 THEN 'strong_downtrend' WHEN r2 > 0.3 AND slope > 0 THEN 'uptrend' WHEN r2 > 0.3 THEN 'downtrend' WHEN abs(t) < 0.05 THEN 'sideways' WHEN t > 0 THEN 'choppy_up' ELSE 'choppy_down' END AS pattern FROM a WHERE bars = 30"))
-register("similar_history_dtw", lambda s, d: shown(similarity.search_historical(sources.bars_events(s, d), dtw=True), ["ticker", "start", "score", "dtw", "rank"]))
+_HISTORY = f"""w0 AS (
+    SELECT ticker, rn, list(close) OVER ({o.P} ROWS BETWEEN CURRENT ROW AND 29 FOLLOWING) AS w, count(*) {o.ALL} AS n FROM bars
+), w1 AS (
+    SELECT ticker, rn, n, list_transform(w, {_Z}) AS z FROM w0 WHERE len(w) = 30
+), q AS (
+    SELECT ticker, z AS b FROM w1 WHERE rn = n - 30 AND n >= 120
+), c AS (
+    SELECT ticker, rn, z AS a, b, {_COMPARE.replace('(a,', '(z,')} FROM w1 JOIN q USING (ticker) WHERE rn <= n - 91
+), k AS (
+    SELECT *, round(corr - dist / 10, 4) AS score FROM c
+), f AS (
+    SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY score DESC, rn) AS rank FROM k QUALIFY rank <= 5
+)"""
+# time warping, anti-diagonal by anti-diagonal: the last two are carried as maps from row to cost
+_WARP = """d AS (
+    SELECT ticker, rn, rank, score, a, b, 0 AS s, MAP {0: abs(a[1] - b[1])} AS last, CAST(MAP {} AS MAP(INTEGER, DOUBLE)) AS earlier FROM f
+    UNION ALL
+    SELECT ticker, rn, rank, score, a, b, s + 1,
+        map_from_entries(list_transform(range(greatest(0, s - 28), least(s + 1, 29) + 1), lambda i: struct_pack(k := CAST(i AS INTEGER), v := abs(a[i + 1] - b[s + 2 - i]) + list_min([coalesce(last[CAST(i AS INTEGER)], 1e300), coalesce(last[CAST(i - 1 AS INTEGER)], 1e300), coalesce(earlier[CAST(i - 1 AS INTEGER)], 1e300)])))), last
+    FROM d WHERE s < 58
+)"""
+register("similar_history_dtw", lambda s, d: shown(similarity.search_historical(sources.bars_events(s, d), dtw=True), ["ticker", "start", "score", "dtw", "rank"]), o.recursive(o.EVENTS, _HISTORY, _WARP, select=f"SELECT ticker, rn AS start, {_nums(['score'])}, {o.num('last[29]')} AS dtw, rank FROM d WHERE s = 58"))
 register("forward_returns", lambda s, d: shown(stats.forward_returns(indicators.add_indicators(sources.bars_events(s, d))), [*KEY, *(f"fwd_{n}" for n in stats.HORIZONS)]), o.query(o.EVENTS, select=f"SELECT {_KEY_SQL}, {', '.join(o.num(f'lead(close, {n}) OVER ({o.P}) / nullif(close, 0) - 1') + f' AS fwd_{n}' for n in stats.HORIZONS)} FROM bars"))
 _EVENTS_SQL = f"fr AS (SELECT ticker, rn, {', '.join(f'lead(close, {n}) OVER ({o.P}) / nullif(close, 0) - 1 AS f{n}' for n in stats.HORIZONS)} FROM bars), ev AS (SELECT l.ticker, l.signal, l.rn, h, CASE h {' '.join(f'WHEN {n} THEN f{n}' for n in stats.HORIZONS)} END AS ret FROM l JOIN fr USING (ticker, rn), unnest([{', '.join(map(str, stats.HORIZONS))}]) AS u(h) WHERE strength = 1 AND {' AND '.join(f'f{n} IS NOT NULL' for n in stats.HORIZONS)}), wl AS (SELECT *, exp(sum(CASE WHEN ret > -1 THEN ln(1 + ret) END) OVER w) AS wealth FROM ev WINDOW w AS (PARTITION BY ticker, signal, h ORDER BY rn ROWS UNBOUNDED PRECEDING)), pk AS (SELECT *, max(wealth) OVER (PARTITION BY ticker, signal, h ORDER BY rn ROWS UNBOUNDED PRECEDING) AS peak FROM wl)"
 register("signal_statistics", lambda s, d: shown(stats.signal_stats(_signals(s, d))), o.query(o.EVENTS, o.IND, o.SIGNALS, _LONG, _EVENTS_SQL, select=f"SELECT ticker, signal, CAST(h AS BIGINT) AS horizon, count(*) AS events, {o.num('avg(ret)')} AS mean, {o.num('avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END)')} AS win_rate, {o.num('max(ret)')} AS best, {o.num('min(ret)')} AS worst, {o.num('quantile_cont(ret, 0.5)')} AS median, {o.num('min((wealth - peak) / nullif(peak, 0))')} AS max_drawdown FROM pk GROUP BY 1, 2, 3 HAVING count(*) >= 3"))
 register("signal_judgements", lambda s, d: shown(stats.judge_signals(stats.signal_stats(_signals(s, d)))), o.query(o.EVENTS, o.IND, o.SIGNALS, _LONG, _EVENTS_SQL, select="SELECT ticker, signal, count(*) AS events, CASE WHEN count(*) < 10 THEN 'insufficient' WHEN avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) * 100 >= 60 AND avg(ret) > 0 THEN 'bullish' WHEN avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) * 100 <= 45 AND avg(ret) < 0 THEN 'bearish' ELSE 'neutral' END AS judgement FROM pk WHERE h = 5 GROUP BY 1, 2 HAVING count(*) >= 3"))
-register("signal_report", lambda s, d: stats.report(stats.signal_stats(_signals(s, d))))
+_SIGNAL_SQL = (o.EVENTS, o.IND, o.SIGNALS, _LONG, _EVENTS_SQL)
+register("overall_judgements", lambda s, d: shown(stats.overall_judgement(stats.judge_signals(stats.signal_stats(_signals(s, d), least=1)))), o.query(*_SIGNAL_SQL, """j AS (
+    SELECT ticker, signal, count(*) AS n, avg(CASE WHEN ret > 0 THEN 100.0 ELSE 0 END) AS win, avg(ret) AS m FROM pk WHERE h = 5 GROUP BY 1, 2
+), t AS (
+    SELECT ticker, count(*) FILTER (n >= 10 AND win >= 60 AND m > 0) AS n_bullish, count(*) FILTER (n >= 10 AND win <= 45 AND m < 0) AS n_bearish, CAST(sum(n) AS BIGINT) AS samples FROM j GROUP BY 1
+)""", select="SELECT *, CASE WHEN n_bullish > n_bearish THEN 'bullish' WHEN n_bearish > n_bullish THEN 'bearish' ELSE 'neutral' END AS overall FROM t"))
+register("signal_report", lambda s, d: stats.report(stats.signal_stats(_signals(s, d))), o.query(*_SIGNAL_SQL, """j AS (
+    SELECT ticker, signal, h, count(*) AS n, avg(ret) AS m, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0 END) AS win FROM pk GROUP BY 1, 2, 3 HAVING count(*) >= 3
+)""", select="SELECT ticker, '# ' || ticker || chr(10) || chr(10) || '| signal | horizon | events | mean | win rate |' || chr(10) || '|---|---|---|---|---|' || chr(10) || string_agg(printf('| %s | %d | %d | %.2f%% | %.1f%% |', signal, h, n, m * 100, win * 100), chr(10) ORDER BY signal, h) AS markdown FROM j GROUP BY ticker"))
 
 # ---- chart data
 register("fibonacci_levels", lambda s, d: shown(chart_data.fibonacci_levels(sources.bars_orders(s, d), within=0.9)), o.query(o.ORDERS, f"z AS (SELECT *, max(rn) {o.ALL} AS newest FROM bars), y AS (SELECT ticker, min(low) AS lo, max(high) AS hi, arg_max(close, rn) AS close FROM z WHERE rn > newest - 120 GROUP BY 1), x AS (SELECT ticker, close, ratio, lo + (hi - lo) * ratio AS level FROM y, unnest([0.236, 0.382, 0.5, 0.618, 0.786]) AS u(ratio))", select=f"SELECT ticker, {o.num('CAST(ratio AS DOUBLE)')} AS ratio, {o.num('level')} AS level FROM x WHERE abs(level - close) / nullif(close, 0) < 0.9"))
@@ -284,12 +313,70 @@ register("support_clusters", lambda s, d: shown(chart_data.support_resistance_cl
 )""", select=f"SELECT ticker, side, rank, {o.num('level')} AS level, touches FROM t WHERE rank <= 3"))
 register("scaled_obv", lambda s, d: shown(chart_data.scaled_obv(_factors(s, d))), o.query(o.EVENTS, o.IND, o.FACTORS, select=f"SELECT {_KEY_SQL}, {o.num(f'(obv - min(obv) {o.ALL}) / nullif(max(obv) {o.ALL} - min(obv) {o.ALL}, 0) * (max(volume) {o.ALL}) * 0.8')} AS obv_scaled FROM fac"))
 register("last_change", lambda s, d: shown(chart_data.last_change(sources.bars_events(s, d))), o.query(o.EVENTS, f"z AS (SELECT *, {o.lag('close')} AS c1, max(rn) {o.ALL} AS newest FROM bars)", select=f"SELECT ticker, {TS}, {o.num('close')} AS close, {o.num('(close / nullif(c1, 0) - 1) * 100')} AS change_pct FROM z WHERE rn = newest"))
-register("chart_trend_lines", lambda s, d: shown(chart_data.trend_lines(sources.bars_events(s, d))))
-register("latest_factors", lambda s, d: shown(factors.latest_factors(_factors(s, d))))
+
+
+def _chart_lines(side: str, x: str, extreme: str, span: int) -> str:
+    """Pivots of one side and span, newest first, as (ticker, side, span, rn, y, back)."""
+    frame = f"{o.P} ROWS BETWEEN {span} PRECEDING AND {span} FOLLOWING"
+    return f"""SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY rn DESC) AS back FROM (
+        SELECT ticker, '{side}' AS side, {span} AS span, rn, {x} AS y, count({x}) OVER ({frame}) AS seen, {extreme}({x}) OVER ({frame}) AS e, count(*) {o.ALL} AS n FROM bars
+    ) WHERE seen = {2 * span + 1} AND y = e AND n >= {4 * span}"""
+
+
+_apart = lambda i, *before: " AND ".join(["r.s[%d] IS NOT NULL" % i, *(f"NOT (k{j} AND abs(s[{i}].slope - s[{j}].slope) <= 5e-5)" for j in before)])
+_CHART_LINES = f"""pv AS (
+    {' UNION ALL '.join(_chart_lines(side, x, extreme, span) for side, x, extreme in (('up', 'low', 'min'), ('down', 'high', 'max')) for span in chart_data.SPANS)}
+), tries AS (
+    SELECT ticker, side, span, k, regr_slope(y, rn) AS slope, regr_intercept(y, rn) AS intercept, regr_r2(y, rn) AS r2, min(rn) AS first_rn
+    FROM pv, unnest([3, 4, 5]) AS u(k) WHERE back <= k GROUP BY ALL HAVING count(*) = k
+), good AS (
+    SELECT * FROM tries WHERE r2 > 0.35 QUALIFY row_number() OVER (PARTITION BY ticker, side, span ORDER BY k) = 1
+), listed AS (
+    SELECT ticker, side, list(struct_pack(span := span, slope := slope, intercept := intercept, r2 := r2, first_rn := first_rn) ORDER BY r2 DESC, span) AS s FROM good GROUP BY ticker, side
+), k1 AS (SELECT r.*, true AS k1 FROM listed r), k2 AS (SELECT r.*, {_apart(2, 1)} AS k2 FROM k1 r), k3 AS (SELECT r.*, {_apart(3, 1, 2)} AS k3 FROM k2 r), k4 AS (SELECT r.*, {_apart(4, 1, 2, 3)} AS k4 FROM k3 r)
+, kept AS (SELECT ticker, side, unnest(list_filter([{', '.join(f'CASE WHEN k{i} THEN s[{i}] END' for i in (1, 2, 3, 4))}], lambda l: l IS NOT NULL)) AS l FROM k4)"""
+register("chart_trend_lines", lambda s, d: shown(chart_data.trend_lines(sources.bars_events(s, d))), o.query(o.EVENTS, _CHART_LINES, select=f"SELECT ticker, side, CAST(l.span AS BIGINT) AS span, {', '.join(f'{o.num(f"l.{c}")} AS {c}' for c in ('slope', 'intercept', 'r2'))}, CAST(l.first_rn AS BIGINT) AS first_rn FROM kept"))
+_NUMERIC = [n for g in factors.GROUPS.values() for n in g if n not in _OTHER]
+register(
+    "latest_factors", lambda s, d: shown(factors.latest_factors(_factors(s, d))),
+    o.query(o.EVENTS, o.IND, o.FACTORS, f"z AS (SELECT *, max(rn) {o.ALL} AS newest FROM fac), l AS (" + " UNION ALL ".join(f"SELECT ticker, ts, '{n}' AS factor, CAST({n} AS DOUBLE) AS value FROM z WHERE rn = newest" for n in _NUMERIC) + ")", select=f"SELECT ticker, {TS}, factor, {o.num('value')} AS value FROM l WHERE value IS NOT NULL"),
+)
+register("window_shapes", lambda s, d: shown(similarity.extract_windows(sources.bars_events(s, d)).select("ticker", "rn", F.get("shape", F.lit(0)).alias("first"), F.get("shape", F.lit(29)).alias("last"))), o.query(o.EVENTS, f"w0 AS (SELECT ticker, rn, list(close) {o.r(30)} AS w FROM bars), w1 AS (SELECT ticker, rn, list_transform(w, {_Z}) AS z FROM w0 WHERE len(w) = 30)", select=f"SELECT ticker, CAST(rn AS BIGINT) AS rn, {o.num('z[1]')} AS first, {o.num('z[30]')} AS last FROM w1"))
 
 # ---- screening and news
 register("screen_candidates", lambda s, d: shown(screener.candidates(sources.bars_parts(s, d), 10)), o.query(o.PARTS, select=f"SELECT ticker, {o.num('arg_max(close, ts)')} AS close FROM bars WHERE ts >= (SELECT max(ts) FROM bars) - INTERVAL 180 DAY GROUP BY 1 ORDER BY arg_max(close, ts) DESC, ticker LIMIT 10"))
-register("screen", lambda s, d: shown(screener.screen(sources.bars_parts(s, d), profile="short")))
+_RECENT = f"""near AS (
+    SELECT * FROM (SELECT ticker, ts, open, high, low, close, volume, max(ts) {o.ALL} AS last, max(ts) OVER () AS newest FROM all_bars) WHERE ts >= CAST(last AS DATE) - INTERVAL 180 DAY
+), chosen AS (
+    SELECT ticker, arg_max(close, ts) AS close FROM near WHERE ts >= newest - INTERVAL 180 DAY GROUP BY 1 HAVING count(*) > 0 ORDER BY 2 DESC, 1 LIMIT 100
+), bars AS (
+    SELECT n.* EXCLUDE (last, newest), row_number() OVER (PARTITION BY ticker ORDER BY ts) - 1 AS rn, count(*) {o.ALL} AS n_bars FROM near n SEMI JOIN chosen USING (ticker) QUALIFY n_bars >= 50
+)"""
+_SCREEN = f"""top AS (
+    SELECT ticker, strategy, sharpe, row_number() OVER (PARTITION BY ticker ORDER BY sharpe DESC, place) AS rank
+    FROM sm JOIN (SELECT DISTINCT strategy, place FROM v) USING (strategy) WHERE n_trades >= 3 QUALIFY rank <= 5
+), bl AS (
+    SELECT v.ticker, rn, any_value(close) AS close, any_value(high) AS high, any_value(low) AS low, avg(vote) AS blend FROM v SEMI JOIN top USING (ticker, strategy) GROUP BY v.ticker, rn
+), bv AS MATERIALIZED (
+    SELECT 'all' AS run, ticker, 'portfolio' AS strategy, rn, close, high, low, CASE WHEN blend > 0.6 THEN 2 WHEN blend < -0.6 THEN -2 WHEN blend > 0.3 THEN 1 WHEN blend < -0.3 THEN -1 ELSE 0 END AS vote,
+        0.04 AS stop, 0.08 AS target, 1 AS least_hold, 15 AS most_hold, CAST(100000 AS DOUBLE) AS capital FROM bl
+), {o.fold('bv', 'bf', worst_case=True)}, {o.summary('bf', 'bs')}, {o.regime()}, best AS (
+    SELECT ticker, avg(sharpe) AS avg_sharpe, arg_min(strategy, rank) AS best_strategy, max(sharpe) AS best_sharpe FROM top GROUP BY 1
+), z AS (
+    SELECT *, max(rn) {o.ALL} AS newest FROM sc
+), y AS (
+    SELECT z.ticker, CAST(n_bars AS BIGINT) AS n_bars, round(z.close, 2) AS close, {_LABEL.replace('score', 'z.score')}, CAST(z.score AS BIGINT) AS score, reg.regime, round(reg.score, 0) AS regime_score,
+        round(coalesce(avg_sharpe, 0), 2) AS avg_sharpe, round(coalesce(bs.total_return * 100, 0), 2) AS pf_return, best_strategy, round(coalesce(best_sharpe, 0), 2) AS best_sharpe
+    FROM z LEFT JOIN best USING (ticker) LEFT JOIN bs USING (ticker) LEFT JOIN reg USING (ticker) WHERE rn = newest
+), x AS (
+    SELECT *, round(CASE consensus WHEN 'strong_bullish' THEN 30 WHEN 'bullish' THEN 15 WHEN 'bearish' THEN -15 WHEN 'strong_bearish' THEN -30 ELSE 0 END + 2 * score + 10 * avg_sharpe + 0.5 * pf_return + 0.5 * regime_score, 1) AS total FROM y
+)"""
+register(
+    "screen", lambda s, d: shown(screener.screen(sources.bars_parts(s, d), profile="short"), places=4),
+    o.recursive(o.PARTS.replace("bars AS (", "all_bars AS (", 1), _RECENT, o.IND, o.FACTORS, o.STRATEGIES, o.votes(_SHORT), o.fold("v", "fold", worst_case=True), o.summary("fold", "sm"), _SCORE, _SCREEN, select=f"""
+SELECT ticker, n_bars, {o.num('close', 4)} AS close, consensus, score, CAST(0 AS BIGINT) AS signal_bull, CAST(0 AS BIGINT) AS signal_bear, CAST(0 AS BIGINT) AS signal_net, regime, {o.num('regime_score', 4)} AS regime_score,
+    {o.num('avg_sharpe', 4)} AS avg_sharpe, {o.num('pf_return', 4)} AS pf_return, best_strategy, {o.num('best_sharpe', 4)} AS best_sharpe, {o.num('total', 4)} AS total FROM x ORDER BY total DESC, ticker LIMIT 30"""),
+)
 _KEYWORDS = [("under", "Technology", "XLK", "positive", 1.5), ("license", "Industrials", "XLI", "negative", 1.2), ("token", "Financials", "XLF", "mixed", 1.0), ("Idiot", None, "SPY", "negative", 1.5)]
 
 
@@ -317,20 +404,93 @@ register("long_lower_shadows", lambda s, d: shown(news.long_lower_shadow(sources
 register("html_links", lambda s, d: shown(dimensions.html_links(s.read.parquet(f"{d}/pages.parquet"))), """
 WITH a AS (SELECT page_id, regexp_extract_all(html, '<a\\b[^>]*href="[^"]*"[^>]*>.*?</a>', 0, 'is') AS l FROM pages), e AS (SELECT page_id, k - 1 AS place, l[k] AS a FROM a, unnest(range(1, len(l) + 1)) AS t(k))
 SELECT page_id, place, regexp_extract(a, 'href="([^"]*)"', 1) AS href, trim(replace(replace(replace(replace(replace(regexp_replace(a, '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&')) AS text FROM e""")
-register("html_cells", lambda s, d: shown(dimensions.html_cells(s.read.parquet(f"{d}/pages.parquet"))))
+
+
+def _region_tables(s: SparkSession, d: str) -> DataFrame:
+    """A page for every region with a table of its nations."""
+    row = F.concat(F.lit("<tr><td>"), F.col("n_nationkey").cast("string"), F.lit("</td>\n<TD class='x'><b>"), "n_name", F.lit("</b> &amp; co </TD></tr>"))
+    nations = s.read.parquet(f"{d}/nation.parquet").select(F.col("n_regionkey").cast("long").alias("page_id"), "n_nationkey", row.alias("row"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "row"))), lambda x: x["row"]), "")  # a few dozen nations
+    return nations.groupBy("page_id").agg(F.concat(F.lit("<p>x</p><table><tr><th>key</th><th>name</th></tr>"), body, F.lit("</table>")).alias("html"))
+
+
+register("html_cells", lambda s, d: shown(dimensions.html_cells(_region_tables(s, d))), """
+WITH n AS (
+    SELECT CAST(n_regionkey AS BIGINT) AS page_id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS row, CAST(n_nationkey AS VARCHAR) AS a, n_name || ' & co' AS b FROM nation
+), h AS (
+    SELECT page_id, row, a, b FROM n UNION ALL SELECT DISTINCT page_id, 0, 'key', 'name' FROM n
+)
+SELECT page_id, row, CAST(0 AS BIGINT) AS cell, a AS text FROM h UNION ALL SELECT page_id, row, 1, b FROM h""")
+
+
+def _companies(s: SparkSession, d: str) -> DataFrame:
+    """Suppliers as companies; every third has no summary."""
+    supplier = s.read.parquet(f"{d}/supplier.parquet")
+    summary = F.when(F.col("s_suppkey") % 3 == 0, F.lit("nan")).otherwise(F.concat(F.lit("A supplier of nation "), F.col("s_nationkey").cast("string")))
+    raw = supplier.select(F.regexp_replace("s_name", "#", ".").alias("Symbol"), F.col("s_name").alias("Security"), F.col("s_nationkey").cast("string").alias("GICS Sector"), summary.alias("BusinessSummary"))
+    return dimensions.companies(raw)
+
+
+register("company_enrichment", lambda s, d: dimensions.enrich(_companies(s, d), dimensions.missing_summaries(_companies(s, d)).select("symbol", F.concat(F.lit("Found for "), "symbol").alias("summary"))), """
+SELECT replace(replace(s_name, '#', '.'), '.', '-') AS symbol, s_name AS company, CAST(s_nationkey AS VARCHAR) AS sector,
+    CASE WHEN s_suppkey % 3 = 0 THEN 'Found for ' || replace(replace(s_name, '#', '.'), '.', '-') ELSE 'A supplier of nation ' || s_nationkey END AS summary FROM supplier""")
+register("ticker_list", lambda s, d: sources.ticker_list(sources.bars_parts(s, d), s.read.parquet(f"{d}/part.parquet").select(F.col("p_brand").alias("symbol"), F.col("p_brand").alias("company"), F.lit("Parts").alias("sector")), "#1"), "SELECT DISTINCT p_brand AS ticker, substr(p_brand, 1, 30) AS name, 'Parts' AS sector FROM lineitem JOIN part ON l_partkey = p_partkey WHERE contains(p_brand, '#1')")
+register("bars_with_fallback", lambda s, d: shown(sources.with_fallback(sources.bars_orders(s, d).where("rn < 400 or ticker > '3'"), sources.bars_orders(s, d), "2y").groupBy("ticker").agg(F.count("*").alias("n"), F.max("ts").alias("ts"))), o.query(o.ORDERS, f"c AS (SELECT ticker, count(*) AS n, count(*) FILTER (rn < 400 OR ticker > '3') AS short, max(ts) AS ts, max(ts) FILTER (rn < 400 OR ticker > '3') AS short_ts FROM bars GROUP BY 1)", select="SELECT ticker, CASE WHEN short < 292 AND n > short THEN n ELSE short END AS n, strftime(CASE WHEN short < 292 AND n > short THEN ts ELSE short_ts END, '%Y-%m-%d %H:%M:%S') AS ts FROM c"))
+
+
+def _normalised(s: SparkSession, d: str) -> DataFrame:
+    raw = sources.bars_orders(s, d).select(F.col("ticker").alias("Symbol"), F.col("ts").alias(" Date "), F.col("open").alias("OPEN"), F.col("close").alias("Close"), F.when(F.col("rn") % 2 == 0, F.col("close") / 2).alias("Adj Close"))
+    return shown(sources.normalise_columns(raw))
+
+
+register("normalised_columns", _normalised, o.query(o.ORDERS, select=f"SELECT ticker, {TS}, {_nums(('open', 'close'))}, {o.num('CASE WHEN rn % 2 = 0 THEN close / 2 ELSE close END')} AS adj_close FROM bars"))
+
+
+def _three_way(s: SparkSession, d: str) -> DataFrame:
+    """Every brand judged with the news and trend of one of the sectors and its own daily returns."""
+    bars = sources.bars_parts(s, d)
+    etf = F.get(F.array(*map(F.lit, _ETF)), F.expr("cast(substr(ticker, 7, 1) as int) % 3"))
+    own = indicators.add_indicators(bars).groupBy("ticker").agg(F.avg(F.when(F.col("daily_ret") > 0, 1.0).when(F.col("daily_ret").isNotNull(), 0.0)).alias("win_rate"), F.avg("daily_ret").alias("mean")).withColumn("etf", etf)
+    trends = news.etf_trend(_etf_bars(s, d))
+    scored = news.news_scores(news.match_keywords(s.read.parquet(f"{d}/documents.parquet"), _keywords(s)), trends)
+    return shown(news.three_way(scored, trends, own))
+
+
+_BRANDS = o.PARTS.replace("bars AS (", "brand_bars AS (", 1).replace("b0 AS", "b1 AS", 1).replace("FROM b0", "FROM b1", 1)
+register("three_way", _three_way, o.query(o.EVENTS, _TREND, _K, _BRANDS, f"""g AS (
+    SELECT doc_id, etf, CAST(sum(CASE direction WHEN 'positive' THEN weight WHEN 'negative' THEN -weight ELSE 0 END) AS DOUBLE) AS lean FROM hit WHERE etf IS NOT NULL GROUP BY 1, 2
+), nw AS (
+    SELECT etf, sign(sum(CASE WHEN lean > 0 AND trend = 'up' THEN 2 WHEN lean > 0 THEN 1 WHEN lean < 0 AND trend = 'down' THEN -2 WHEN lean < 0 THEN -1 ELSE 0 END)) AS a FROM g LEFT JOIN tr ON tr.ticker = g.etf GROUP BY 1
+), r AS (
+    SELECT ticker, close / nullif({o.lag('close')}, 0) - 1 AS ret FROM brand_bars
+), ow AS (
+    SELECT ticker, avg(CASE WHEN ret > 0 THEN 1.0 WHEN ret IS NOT NULL THEN 0 END) AS w, avg(ret) AS m, ['XLK', 'XLI', 'SPY'][CAST(substr(ticker, 7, 1) AS INTEGER) % 3 + 1] AS etf FROM r GROUP BY 1
+), z AS (
+    SELECT ow.ticker, ow.etf, CAST(coalesce(a, 0) AS BIGINT) AS news_score, CAST(CASE trend WHEN 'up' THEN 1 WHEN 'down' THEN -1 ELSE 0 END AS BIGINT) AS trend_score,
+        CAST(CASE WHEN w > 0.6 AND m > 0 THEN 1 WHEN w < 0.45 THEN -1 ELSE 0 END AS BIGINT) AS stock_score
+    FROM ow LEFT JOIN nw USING (etf) LEFT JOIN tr ON tr.ticker = ow.etf
+), y AS (
+    SELECT *, news_score + trend_score + stock_score AS total FROM z
+)""", select="SELECT *, CASE WHEN total >= 2 THEN 'strong_bullish' WHEN total = 1 THEN 'bullish' WHEN total = 0 THEN 'neutral' WHEN total = -1 THEN 'bearish' ELSE 'strong_bearish' END AS judgement FROM y"))
 
 
 # ---- streaming
 def streaming_bars(s: SparkSession, d: str) -> DataFrame:
-    """The event bars, built by a stream over the events file; each trigger rewrites the result."""
+    """The event bars, built by a stream over the events file.
+
+    Updated bars are appended with their batch, so that state older than the watermark
+    can go; the newest version of a bar counts.
+    """
     out = f"{_folder(s)}/streaming-{uuid.uuid4().hex}"
     schema = s.read.parquet(f"{d}/events.parquet").schema
     events = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     ticks = events.select(F.col("event_type").alias("ticker"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), F.lit(1).alias("size"), F.col("event_id").alias("at"))
     bars = ohlcv.streaming_bars(ticks)
-    query = bars.writeStream.outputMode("complete").option("checkpointLocation", f"{out}/state").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{out}/bars")).trigger(availableNow=True).start()
+    keep = lambda df, batch: df.withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{out}/bars")
+    query = bars.writeStream.outputMode("update").option("checkpointLocation", f"{out}/state").foreachBatch(keep).trigger(availableNow=True).start()
     query.awaitTermination()
-    return shown(s.read.parquet(f"{out}/bars"), ["ticker", "ts", "open", "high", "low", "close", "volume"])
+    newest = s.read.parquet(f"{out}/bars").groupBy("ticker", "ts").agg(F.max_by(F.struct("open", "high", "low", "close", "volume"), "batch").alias("b"))
+    return shown(newest.select("ticker", "ts", "b.*"), ["ticker", "ts", "open", "high", "low", "close", "volume"])
 
 
 def _folder(s: SparkSession) -> str:
