@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import unicodedata
 import zlib
 
 import numpy as np
@@ -28,99 +29,120 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as tx
-from .shared import stored
+from .shared import stored, worker_cache
 
-#: Distinct words, and distinct stems, whose ids a worker remembers; others are encoded where they occur.
-REMEMBERED = 700_000
+#: Distinct parts of words, and ids of them, that a worker remembers (some 40 MB); others are encoded where they occur.
+REMEMBERED, REMEMBERED_IDS = 600_000, 4_000_000
+#: Parts that go to the tokenizer at once.
+AT_ONCE = 2000
 #: Trailing characters that the tokenizer always splits from a letter or digit before them.
-_TAIL = b".,!?%*$#&|"
+_TAIL = np.isin(np.arange(256), np.frombuffer(b".,!?%*$#&|", np.uint8))
+_ALNUM = np.array([chr(i).isalnum() and i < 128 for i in range(256)])
+
+
+def _letter(char: bytes) -> bool:
+    """Whether a non-ASCII character stays one letter in the tokenizer's normal form, whatever stands before it."""
+    try:
+        c = char.decode()
+    except UnicodeDecodeError:
+        return False
+    return len(c) == 1 and "\u00c0" <= c <= "\u04ff" and c.isalpha() and len(c.lower()) == 1 and c.lower().isalpha() and unicodedata.normalize("NFC", c) == c
+
+
+def _cuts(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Where each word's trailing punctuation begins, if it can be encoded by itself; else the word's end."""
+    if not len(start):
+        return end
+    solid = np.maximum.accumulate(np.where(_TAIL[data], -1, np.arange(len(data))))[end - 1]
+    cut = np.where(solid >= start, solid + 1, end)
+    tailed = np.flatnonzero(cut < end)
+    wide = tailed[data[cut[tailed] - 1] > 127]
+    plain = tailed[data[cut[tailed] - 1] < 128]
+    cut[plain[~_ALNUM[data[cut[plain] - 1]]]] = -1
+    # the last character's bytes as one number
+    at, value, going = cut[wide] - 1, np.zeros(len(wide), np.int64), np.ones(len(wide), bool)
+    for k in range(4):
+        byte = data[np.maximum(at - k, 0)].astype(np.int64)
+        value = np.where(going, value | byte << 8 * k, value)
+        going &= (byte & 0xC0) == 0x80
+    known = {v: _letter(v.to_bytes(4, "big").lstrip(b"\0")) for v in np.unique(value).tolist()}
+    cut[wide[~np.fromiter((known[v] for v in value.tolist()), bool, len(wide))]] = -1
+    return np.where(cut < 0, end, cut)
 
 
 class WordIds:
-    """Ids of words by lookup, so that a worker encodes each common word once.
+    """Ids of texts by look-up of parts of words, so that a worker encodes each common part once.
 
-    The tokenizer never merges across ASCII white space, nor between letters or
-    digits and the punctuation behind them, so a text's ids are the concatenation
-    of its parts' ids.  A-Z are lower-cased by the tokenizer in any case.
+    The tokenizer never merges across ASCII white space, nor between a letter or
+    digit and the punctuation behind it, so a text's ids are the concatenation of its
+    parts' ids.  A-Z are lower-cased by the tokenizer in any case.  Sorted hashes and
+    flat arrays hold what is known; their size is bounded.
     """
 
     def __init__(self, tokenizer, end_id: int):
-        self.tokenizer = tokenizer
-        self.index: dict[int, int] = {}  # word hash to entry
-        self.stems: dict[bytes, list[int]] = {}
-        # entry 0 is the end id; the arrays have room to grow
-        self.flat, self.first, self.count = np.full(1 << 20, end_id, np.uint32), np.zeros(1 << 18, np.int64), np.ones(1 << 18, np.int64)
-        self.entries, self.used = 1, 1
-
-    def _parts(self, word: bytes) -> tuple[bytes, ...]:
-        stem = word.rstrip(_TAIL)
-        if stem == word or not stem:
-            return (word.lower(),)
-        if stem.isalnum() or (not stem.isascii() and stem.decode().isalpha()):
-            return stem.lower(), word[len(stem) :]
-        return (word.lower(),)
-
-    def _learn(self, new: list[bytes]) -> None:
-        """Append entries for the given words."""
-        parts = [self._parts(w) for w in new]
-        stems = self.stems
-        fresh = list({p for own in parts for p in own}.difference(stems))
-        encoded = self.tokenizer.encode_batch([p.decode() for p in fresh], add_special_tokens=False)
-        stems.update(zip(fresh, [e.ids for e in encoded], strict=True))
-        ids = [stems[own[0]] if len(own) == 1 else stems[own[0]] + stems[own[1]] for own in parts]
-        if len(stems) > REMEMBERED:
-            for p in fresh:
-                del stems[p]
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        ends = np.cumsum(counts)
-        n, size = len(ids), int(ends[-1]) if len(ids) else 0
-        while self.used + size > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while self.entries + n > len(self.first):
-            self.first, self.count = np.concatenate([self.first, np.empty_like(self.first)]), np.concatenate([self.count, np.empty_like(self.count)])
-        self.flat[self.used : self.used + size] = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, size)
-        self.first[self.entries : self.entries + n] = self.used + ends - counts
-        self.count[self.entries : self.entries + n] = counts
-        self.entries, self.used = self.entries + n, self.used + size
+        self.tokenizer, self.limit = tokenizer, REMEMBERED
+        self.hashes, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        # entry 0 is the end id
+        self.flat, self.first, self.count = np.full(1, end_id, np.uint32), np.zeros(1, np.int64), np.ones(1, np.int32)
+
+    def _encoded(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their number for every part."""
+        flat, count = [], []
+        for i in range(0, len(parts), AT_ONCE):
+            found = self.tokenizer.encode_batch_fast([p.decode() for p in parts[i : i + AT_ONCE]], add_special_tokens=False)
+            ids = [e.ids for e in found]
+            count.append(np.fromiter(map(len, ids), np.int32, len(ids)))
+            flat.append(np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(count[-1].sum())))
+        return np.concatenate(flat), np.concatenate(count)
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray):
         """Ids of all texts, each followed by the end id, and the number of ids of each."""
+        data = tx.LOWER[data]
         start, end, row = tx.words(data, offsets, tx.SPACED)
-        hashes, sample, inverse = np.unique(tx.word_hashes(data, start, end), return_index=True, return_inverse=True)
-        keys, index = hashes.tolist(), self.index
-        known = self.entries, self.used
-        at = np.fromiter((index.get(k, -1) for k in keys), np.int64, len(keys))
-        missing = np.flatnonzero(at < 0)
-        if len(missing):
+        cut = _cuts(data, start, end)
+        pieces = 1 + (cut < end)
+        of = np.repeat(np.arange(len(start)), pieces)
+        tail = np.zeros(len(of), bool)
+        tail[1:] = of[1:] == of[:-1]
+        begin, stop, row = np.where(tail, cut[of], start[of]), np.where(tail, end[of], cut[of]), row[of]
+
+        hashes, sample, inverse = np.unique(tx.word_hashes(data, begin, stop), return_index=True, return_inverse=True)
+        place = np.searchsorted(self.hashes, hashes)
+        at = np.zeros(len(hashes), np.int64)
+        known = np.zeros(len(hashes), bool)
+        inside = place < len(self.hashes)
+        known[inside] = self.hashes[place[inside]] == hashes[inside]
+        at[known] = self.entry[place[known]]
+        new = np.flatnonzero(~known)
+        flat, first, count = self.flat, self.first, self.count
+        if len(new):
             raw = data.tobytes()
-            self._learn([raw[a:b] for a, b in zip(start[sample[missing]].tolist(), end[sample[missing]].tolist(), strict=True)])
-            at[missing] = known[0] + np.arange(len(missing))
-        entry = np.zeros(len(start) + len(offsets) - 1, np.int64)  # a text's end id follows its words
-        entry[np.arange(len(start)) + row] = at[inverse]
-        counts = self.count[entry]
+            ids, sizes = self._encoded([raw[a:b] for a, b in zip(begin[sample[new]].tolist(), stop[sample[new]].tolist(), strict=True)])
+            at[new] = len(first) + np.arange(len(new))
+            first = np.concatenate([first, len(flat) + np.cumsum(sizes, dtype=np.int64) - sizes])
+            count, flat = np.concatenate([count, sizes]), np.concatenate([flat, ids])
+            if len(first) <= self.limit and len(flat) <= REMEMBERED_IDS:  # else what this call brought is forgotten
+                self.flat, self.first, self.count = flat, first, count
+                self.hashes = np.insert(self.hashes, place[new], hashes[new])
+                self.entry = np.insert(self.entry, place[new], at[new])
+
+        entry = np.zeros(len(begin) + len(offsets) - 1, np.int64)  # a text's end id follows its words
+        entry[np.arange(len(begin)) + row] = at[inverse]
+        counts = count[entry].astype(np.int64)
         ends = np.cumsum(counts)
-        ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[entry] - (ends - counts), counts)]
+        ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[entry] - (ends - counts), counts)]
         closing = np.cumsum(np.bincount(row, minlength=len(offsets) - 1) + 1) - 1
-        lengths = np.diff(ends[closing], prepend=0)
-        if known[0] + len(missing) > REMEMBERED:  # full: forget what this call brought
-            self.entries, self.used = known
-        else:
-            index.update(zip(hashes[missing].tolist(), at[missing].tolist(), strict=True))
-        return ids, lengths
+        return ids, np.diff(ends[closing], prepend=0)
 
 
 def _worker_ids(vocabulary: str, end_id: int) -> WordIds:
     """This worker's ``WordIds``; Spark reuses workers, so it serves many tasks."""
-    import builtins
-
     from tokenizers import Tokenizer
 
-    key = (zlib.crc32(vocabulary.encode()), end_id)
-    cache = builtins.__dict__.setdefault("_word_ids", {})
-    if key not in cache:
-        cache.clear()
-        cache[key] = WordIds(Tokenizer.from_str(vocabulary), end_id)
-    return cache[key]
+    key, cache = (zlib.crc32(vocabulary.encode()), end_id), worker_cache()
+    if cache.get("word_ids_of") != key:
+        cache["word_ids_of"], cache["word_ids"] = key, WordIds(Tokenizer.from_str(vocabulary), end_id)
+    return cache["word_ids"]
 
 
 def tokenize(docs: DataFrame, tokenizer_file: str, *, doc_id="doc_id", text="text", capacity=2048, end_id=0, with_ids=False) -> DataFrame:
@@ -133,7 +155,7 @@ def tokenize(docs: DataFrame, tokenizer_file: str, *, doc_id="doc_id", text="tex
         encode = _worker_ids(vocabulary.value, end_id)
         for batch in batches:
             row, piece, start, length, crc, kept = [], [], [], [], [], []
-            for row0, _, data, offsets in tx.pieces(batch.column(1), 2 * tx.SLICE_BYTES):
+            for row0, _, data, offsets in tx.pieces(batch.column(1), 4 * tx.SLICE_BYTES):
                 ids, lengths = encode(data, offsets)
                 ids = ids.astype("<u4", copy=False)
                 at = 0
@@ -191,7 +213,10 @@ def pack(pieces: DataFrame, *, doc_id="doc_id", capacity=2048, most_documents=20
     """``pieces`` with sequence_id (long, unique over all groups) and offset.
 
     ``most_documents`` and ``most_cost`` (by default ``capacity`` squared) bound the
-    pieces and the attention cost of one sequence.
+    pieces and the attention cost of one sequence.  A piece has a token at least and
+    the squares of lengths add up to less than the square of their sum, so with these
+    defaults the tokens bind first; set lower ones for sequences of few documents or of
+    cheap attention.
     """
     capacities = np.array([capacity, most_documents, most_cost or capacity**2], float)
     w = np.array(weights, float)

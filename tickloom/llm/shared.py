@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+import sys
 import tempfile
+import types
 import uuid
+import weakref
 
 import numpy as np
 import pyarrow as pa
@@ -14,12 +18,15 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Where the setting is absent, as in local tests, a local folder is used and set.
+    Where the setting is absent, as in local tests, a local folder is used and set; on a
+    cluster that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -29,7 +36,47 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a step's rows to the shared folder and read them back: lineage ends here."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _STORED[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+_STORED: dict[int, tuple] = {}
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more: all that came from them is stored itself."""
+    for frame in frames:
+        ref, path = _STORED.pop(id(frame), (lambda: None, None))
+        if ref() is frame:
+            jvm = frame.sparkSession._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(frame.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def heavy_keys_aside(rows: DataFrame, key: str, having: Column, best: Column, total: int, facts: DataFrame | None = None) -> DataFrame:
+    """``rows`` with an aggregate of all rows of their ``key``, null where ``having`` is false or the key has one row.
+
+    Keys with more than a hundredth of all ``total`` rows are under a hundred, so they
+    are broadcast and their rows stay where they are; only the others meet by key.
+    ``facts``: the rows to aggregate, if they are not ``rows`` themselves.
+    """
+    groups = (rows.where(having) if facts is None else facts).groupBy(key).agg(best, F.count("*").alias("copies")).where("copies > 1")
+    name = next(c for c in groups.columns if c not in (key, "copies"))
+    groups = stored(groups, "groups")
+    heavy = groups.where(F.col("copies") > max(total // 100, 1)).select(key, F.col(name).alias("heavy_best"))
+    rest = groups.where(F.col("copies") <= max(total // 100, 1)).select(F.col(key).alias("light_key"), F.col(name).alias("light_best"))
+    out = rows.join(F.broadcast(heavy), key, "left")
+    # rows that have nothing to look for are dealt evenly
+    own = F.when(having & F.col("heavy_best").isNull(), F.col(key).cast("string")).otherwise(F.concat(F.lit(" "), F.monotonically_increasing_id().cast("string")))
+    out = out.withColumn("light_key", own).join(rest.withColumn("light_key", F.col("light_key").cast("string")), "light_key", "left")
+    return out.select(*rows.columns, F.when(having, F.coalesce("heavy_best", "light_best")).alias(name))
+
+
+def worker_cache() -> dict:
+    """A dictionary that lives as long as this Python process; Spark reuses its workers for many tasks."""
+    name = "tickloom_worker_cache"
+    return sys.modules.setdefault(name, types.ModuleType(name)).__dict__
 
 
 def remainder(key: Column, modulus: int) -> Column:

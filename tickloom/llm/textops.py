@@ -1,20 +1,23 @@
 """Vectorised byte-level text primitives used inside Arrow tasks.
 
 A task sees a column of texts as one UTF-8 byte buffer plus offsets.  ``pieces``
-walks the buffer in slices of about a megabyte (never splitting a text), so the
-temporary arrays stay small however large the Arrow batch is.
+walks the buffer in slices of a quarter megabyte (never splitting a text), so the
+temporary arrays stay small, and in the processor's cache, however large the Arrow
+batch is.
 """
 
 from __future__ import annotations
 
-import builtins
+import hashlib
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text per slice; one longer text makes a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+#: Longest word whose polynomial hash is used as it is.
+LONG_WORD = 256
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -91,33 +94,42 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class Rolling:
-    """64-bit hashes of arbitrary spans of a sequence from one prefix sum.
+class _Powers(dict):
+    """Tables of hash powers by base: built where they are used, shipped empty."""
 
-    Tables of powers belong to the process, never to what is shipped to executors.
-    """
+    #: Places up to which a table is kept for the next slice.
+    KEPT = 1 << 19
 
-    def __init__(self, values: np.ndarray, base: int = _BASE):
-        n = len(values)
-        up, down = self._table(n, base)
-        self.down = down
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(values * up[:n], out=self.sums[1:])
+    def __reduce__(self):
+        return (_Powers, ())
 
-    @staticmethod
-    def _table(n: int, base: int):
-        powers = builtins.__dict__.setdefault("_rolling_powers", {})
-        have = powers.get(base)
-        if have is None or len(have[0]) < n + 1:
-            size = max(n + 1, 1 << 21)
+    def upto(self, n: int, base: int):
+        """Powers of a base and of its inverse, at least n of each."""
+        have = self.get(base)
+        if have is None or len(have[0]) < n:
             made = []
             for b in (base, pow(base, -1, 1 << 64)):
-                p = np.full(size, b, np.uint64)
+                p = np.full(max(n, self.KEPT), b, np.uint64)
                 p[0] = 1
                 made.append(np.multiply.accumulate(p))
-            have = powers[base] = tuple(made)
+            have = tuple(made)
+            if n <= self.KEPT:
+                self[base] = have
         return have
 
+
+_POWERS = _Powers()
+
+
+class Rolling:
+    """64-bit hashes of arbitrary spans of a sequence from one prefix sum."""
+
+    def __init__(self, values: np.ndarray, base: int = _BASE):
+        n = len(values)
+        up, self.down = _POWERS.upto(n + 1, base)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(values * up[:n], out=self.sums[1:])
+
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.down[start])
 
@@ -128,7 +140,15 @@ def byte_values() -> np.ndarray:
 
 
 def word_hashes(data, start, end) -> np.ndarray:
-    return Rolling(byte_values()[data]).spans(start, end)
+    """A 64-bit hash of every word.
+
+    Polynomials modulo a power of two have known collisions of some thousand bytes,
+    so long words are hashed by a cryptographic function instead.
+    """
+    out = Rolling(byte_values()[data]).spans(start, end)
+    for i in np.flatnonzero(end - start > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def windows(hashes: np.ndarray, row: np.ndarray, k: int):
