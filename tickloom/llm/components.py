@@ -21,8 +21,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         seen = both.join(labels.select(F.col("id").alias("other"), "label"), "other").groupBy("id").agg(F.min("label").alias("near"))
         step = labels.join(seen, "id").select("id", F.least("label", "near").alias("next"), "label")
-        jump = step.select(F.col("id").alias("next"), F.col("next").alias("far"))
-        moved = stored(step.join(jump, "next").select("id", "label", F.least("next", "far").alias("next")), "labels")
-        if moved.where("label <> next").isEmpty():
+        step = stored(step, "steps")
+        if step.where("label <> next").isEmpty():
             return labels
-        labels = moved.select("id", F.col("next").alias("label"))
+        # what the few ids that are labels have themselves as a label
+        roots = step.select("next").distinct().join(step.select(F.col("id").alias("next"), F.col("next").alias("far")), "next")
+        labels = stored(step.join(roots, "next").select("id", F.least("next", "far").alias("label")), "labels")

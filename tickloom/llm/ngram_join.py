@@ -6,22 +6,26 @@ has its whole word sequence as the only shingle).  Documents link when
 ``percent`` * union <= 100 * intersection.
 
 Only the part of the product that can matter is computed.  Rows are sorted by one
-global order of shingles, common ones last, so that by their sizes two linked rows
+global order of shingles, from rare to common, so that by their sizes two linked rows
 must share a shingle in their first places (the size-derived bounds of ``probe``
 and ``index`` lengths); the product over those columns, one block per shingle,
-yields candidate pairs, which size and position bounds thin out further.  Full
-overlap counts are accumulated for the remaining pairs only.  Equal sets are one
-row of the matrix from the start.  Each block's rows are first linked to two hubs
-of the block, so that a group of near copies falls together in linear work; only
-pairs between different groups go through the whole product.
+yields candidate pairs, which size and position bounds thin out further.  For the
+remaining pairs overlap counts are accumulated over ``PARTS`` blocks of all columns;
+a pair goes as soon as what it has and what is left can't reach the bound.  Equal
+sets are one row of the matrix from the start.  Each block's rows are first linked to
+two hubs of the block, so that a group of near copies falls together in linear work;
+only pairs between different groups go through the whole product.
 
 Every link between different texts counts in the components; nothing is capped.
-The order of shingles is only a matter of speed: it reads a table of fixed size
-(``COMMON_BITS``) with the shingles seen in many documents.
+Hubs with more than a hundredth of all pairs are met by several tasks, and so are
+blocks of very many rows.  The order of shingles is only a matter of speed: it reads
+tables of fixed size (``COMMON_BITS``) of the shingles seen in many documents, one for
+each size in ``COMMON``.
 
 Defined cases: null and wordless texts have no shingles and link with nothing;
 rows with a null id have a null component; rows that repeat an id are one
 document; equal texts are linked; no documents, no rows; extra columns ignored.
+``one_per_component`` judges every row by its own text, whatever its id.
 """
 
 from __future__ import annotations
@@ -33,14 +37,18 @@ from pyspark.sql import functions as F
 
 from . import textops as tx
 from .components import components
-from .shared import bit_table, in_table, stored
+from .shared import bit_table, bit_tables, discard, in_table, stored
 
-#: Bits of the table of common shingles and of the table of documents to verify.
+#: Bits of the tables of common shingles and of the table of documents to verify.
 COMMON_BITS = 24
+#: Occurrences from which a shingle comes later in the order.
+COMMON = (32, 128, 512, 2048, 8192, 65536)
 #: Bits of the table of columns with more than one row.
 COLUMN_BITS = 26
-#: Blocks of columns in which overlaps are bounded by counts.
-CELLS = 256
+#: Blocks of columns in which overlaps are bounded by counts, and in which they are accumulated.
+CELLS, PARTS = 256, 16
+#: Rows of a block that meet in one task.
+BLOCK_ROWS = 500
 #: Shingles of a text window of this many, in which repeated ones are counted before the shuffle.
 WINDOW = 1 << 21
 
@@ -121,7 +129,7 @@ def _prefixes(docs: DataFrame, doc_id: str, text: str, size: int, percent: int,
         for batch in batches:
             for row0, row1, data, offsets in tx.pieces(batch.column(1)):
                 rows, grams = shingle_rows(data, offsets, size)
-                late = in_table(common.value, grams)
+                late = sum(in_table(t, grams).view(np.int8) for t in common.value)
                 n = np.bincount(rows, minlength=row1 - row0)
                 begin = np.flatnonzero(np.diff(rows, prepend=-1))
                 own = rows[begin]
@@ -158,7 +166,7 @@ def _entries(classes: DataFrame, repeated) -> DataFrame:
 
 
 def _sets(docs: DataFrame, doc_id: str, text: str, size: int, wanted) -> DataFrame:
-    """Whole shingle sets of (at least) the documents in the table of wanted ids."""
+    """Whole shingle sets, in ``PARTS`` blocks of columns, of (at least) the documents in the table of wanted ids."""
 
     def run(batches):
         for batch in batches:
@@ -166,42 +174,77 @@ def _sets(docs: DataFrame, doc_id: str, text: str, size: int, wanted) -> DataFra
             part = batch.filter(pa.array(take))
             for row0, row1, data, offsets in tx.pieces(part.column(1)):
                 rows, grams = shingle_rows(data, offsets, size)
-                at = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=row1 - row0))])
-                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), _signed(grams))
-                yield pa.RecordBatch.from_arrays([part.column(0).slice(row0, row1 - row0), lists], names=["id", "grams"])
+                block = rows * PARTS + (grams & np.uint64(PARTS - 1)).astype(np.int64)
+                order = np.argsort(block, kind="stable")
+                n = row1 - row0
+                inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(block, minlength=n * PARTS))]), pa.int32()), _signed(grams[order]))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * PARTS, pa.int32()), inner)
+                yield pa.RecordBatch.from_arrays([part.column(0).slice(row0, n), lists], names=["id", "grams"])
 
     front = docs.where(F.col(doc_id).isNotNull()).select(doc_id, text, F.xxhash64(doc_id).alias("h"))
-    return front.mapInArrow(run, f"id {docs.schema[doc_id].dataType.simpleString()}, grams array<long>")
+    return front.mapInArrow(run, f"id {docs.schema[doc_id].dataType.simpleString()}, grams array<array<long>>")
+
+
+def _heavy(pairs: DataFrame) -> DataFrame | None:
+    """(heavy_id, shares) of the ids with more than a hundredth of all pairs: two hundred at most; None if there are none."""
+    total = pairs.count()
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("heavy_id")).groupBy("heavy_id").agg(F.count("*").alias("n"))
+    some = stored(ends.where(F.col("n") > max(total // 100, 16)).select("heavy_id", F.ceil(F.col("n") / max(total // 200, 8)).cast("int").alias("shares")), "heavy")
+    return None if some.isEmpty() else some
+
+
+def _met(pairs: DataFrame, rows: DataFrame, end: str, heavy: DataFrame | None) -> DataFrame:
+    """``pairs`` joined with the ``rows`` (by id) of one of their ends; an id of very many pairs is met by several tasks."""
+    rows = rows.withColumnRenamed("id", end)
+    if heavy is None:
+        return pairs.join(rows, end)
+    other = "b" if end == "a" else "a"
+    some = F.broadcast(heavy.withColumnRenamed("heavy_id", end))  # two hundred rows at most
+    dealt = pairs.join(some, end, "left").withColumn("share", F.pmod(F.xxhash64(other), F.coalesce("shares", F.lit(1))).cast("int")).drop("shares")
+    many = rows.join(some, end, "left").withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1))).drop("shares")
+    return dealt.join(many, [end, "share"]).drop("share")
 
 
 def _verified(pairs: DataFrame, cells: DataFrame, docs: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, by full overlap counts.
+    """The stored ``pairs`` (a, b) whose sets are similar enough, by full overlap counts.
 
-    Overlaps are first bounded block by block: what two sets share in one of the
-    CELLS blocks of columns is at most the smaller of their counts there.  Pairs whose
-    bounds add up to too little are discarded before any set is fetched.
+    Overlaps are first bounded cell by cell: what two sets share in one of the CELLS
+    blocks of columns is at most the smaller of their counts there.  Pairs whose bounds
+    add up to too little are discarded before any set is fetched.  For the others the
+    overlap is accumulated over PARTS blocks; ``most`` is what is counted so far plus
+    the bounds of the blocks to come, and the overlap itself in the end.
     """
     spark = docs.sparkSession
-    bounded = pairs.join(cells.select(F.col("id").alias("a"), F.col("n").alias("p"), F.col("cells").alias("x")), "a").join(cells.select(F.col("id").alias("b"), F.col("n").alias("q"), F.col("cells").alias("y")), "b")
+    heavy = _heavy(pairs)
+    left = _met(pairs, cells.select("id", F.col("n").alias("p"), F.col("cells").alias("x")), "a", heavy)
+    bounded = _met(left, cells.select("id", F.col("n").alias("q"), F.col("cells").alias("y")), "b", heavy)
     most = F.aggregate(F.zip_with("x", "y", lambda u, v: F.least(u, v).cast("int")), F.lit(0), lambda t, u: t + u)
     most = F.when(F.greatest("p", "q") > 0x7FFF, F.least("p", "q")).otherwise(most)
-    pairs = stored(bounded.select("a", "b", "p", "q", most.alias("most")).where(f"100 * most >= {percent} * (p + q - most)").select("a", "b"), "bounded")
+    enough = lambda m: 100 * m >= percent * (F.col("p") + F.col("q") - m)
+    pairs = stored(bounded.where(enough(most)).select("a", "b", "p", "q"), "bounded")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(F.xxhash64("id").alias("h"))
     wanted = spark.sparkContext.broadcast(bit_table(ends, "h", COMMON_BITS))
     sets = stored(_sets(docs, doc_id, text, size, wanted), "sets")
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    both = both.select("a", "b", shared.alias("i"), (F.size("x") + F.size("y")).alias("s"))
-    return both.where(f"100 * i >= {percent} * (s - i)").select("a", "b").distinct()
+    heavy = _heavy(pairs)
+    left = _met(pairs, sets.select("id", F.col("grams").alias("x")), "a", heavy)
+    both = _met(left, sets.select("id", F.col("grams").alias("y")), "b", heavy)
+    both = both.select("a", "b", "p", "q", F.zip_with("x", "y", lambda u, v: F.struct(u.alias("u"), v.alias("v"))).alias("blocks"))
+    bound = F.aggregate("blocks", F.lit(0).cast("long"), lambda t, z: t + F.least(F.size(z["u"]), F.size(z["v"])))
+    add = lambda m, z: F.when(enough(m), m - F.least(F.size(z["u"]), F.size(z["v"])) + F.size(F.array_intersect(z["u"], z["v"]))).otherwise(m)
+    links = stored(both.where(enough(F.aggregate("blocks", bound, add))).select("a", "b").distinct(), "verified")
+    discard(sets, pairs)
+    return links
 
 
 def jaccard_components(docs: DataFrame, *, doc_id="doc_id", text="text", size=5, percent=80, common=32) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest id reachable by links) of every row."""
     spark = docs.sparkSession
     profile = stored(_profiles(docs, doc_id, text, size), "profiles")
+    sizes = sorted({common, *(c for c in COMMON if c > common)})
     often = profile.where("gram is not null").groupBy("gram").agg(F.sum("copies").alias("copies")).where(F.col("copies") >= common)
-    late = spark.sparkContext.broadcast(bit_table(often, "gram", COMMON_BITS))
+    bit = F.expr("shiftleft(1L, cast(gram & 63 as int))")
+    words = often.groupBy(F.shiftright(F.col("gram").bitwiseAND(F.lit((1 << COMMON_BITS) - 1)), 6).alias("word")).agg(*(F.coalesce(F.bit_or(F.when(F.col("copies") >= c, bit)), F.lit(0).cast("long")).alias(f"from_{c}") for c in sizes))
+    late = spark.sparkContext.broadcast(bit_tables(words, [f"from_{c}" for c in sizes], COMMON_BITS))
 
     # one row of the matrix per distinct set; the smallest id stands for it
     rows = _prefixes(docs.where(F.col(doc_id).isNotNull()), doc_id, text, size, percent, late)
@@ -218,7 +261,7 @@ def jaccard_components(docs: DataFrame, *, doc_id="doc_id", text="text", size=5,
     sized = f"100 * least(n, hub.n) >= {percent} * greatest(n, hub.n) and hub.id <> id"
     star = hub.where(sized).select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b"))
     star = stored(star.groupBy("a", "b").agg(F.count("*").alias("shared")).where("shared > 1").drop("shared"), "stars")
-    links = stored(_verified(star, cells, docs, doc_id, text, size, percent), "links")
+    links = _verified(star, cells, docs, doc_id, text, size, percent)
     joined = components(links)
 
     # the product between different groups; entries too far back for any partner in their block are left out
@@ -233,17 +276,19 @@ def jaccard_components(docs: DataFrame, *, doc_id="doc_id", text="text", size=5,
     def mixed(rows, parts):
         """Entries with the group of their row, of the blocks that have several groups."""
         grouped = rows.select("gram", "id", "n", "at").join(parts, "id", "left").select("gram", "id", "n", "at", F.coalesce("label", "id").alias("part"))
-        several = grouped.groupBy("gram").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("gram")
+        several = grouped.groupBy("gram").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("shares")).where("p <> q").select("gram", "shares")
         return stored(grouped.join(several, "gram"), "blocks")
 
     def product(blocks):
-        x, y = blocks.alias("x"), blocks.alias("y")
-        pairs = x.join(y, (F.col("x.gram") == F.col("y.gram")) & F.expr(bounds)).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+        # the rows of a large block are dealt over several tasks, each of which meets all of the block
+        x = blocks.withColumn("share", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int")).alias("x")
+        y = blocks.withColumn("share", F.explode(F.expr("sequence(0, shares - 1)"))).alias("y")
+        pairs = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.share") == F.col("y.share")) & F.expr(bounds)).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
         return stored(pairs.distinct(), "pairs")
 
     # first one row of every group in a block, which joins most groups that belong together; then all rows of those still apart
     blocks = mixed(viable, joined)
-    heads = blocks.groupBy("gram", "part").agg(F.min(F.struct("at", "n", "id")).alias("r")).select("gram", "part", "r.*")
+    heads = blocks.groupBy("gram", "part", "shares").agg(F.min(F.struct("at", "n", "id")).alias("r")).select("gram", "part", "shares", "r.*")
     links = stored(links.unionByName(_verified(product(heads), cells, docs, doc_id, text, size, percent)), "links")
     pairs = product(mixed(blocks, components(links)))
     labels = components(links.unionByName(_verified(pairs, cells, docs, doc_id, text, size, percent)))
@@ -255,23 +300,49 @@ def jaccard_components(docs: DataFrame, *, doc_id="doc_id", text="text", size=5,
     return some.unionByName(none).select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), "component_id")
 
 
-def one_per_component(docs: DataFrame, *, doc_id="doc_id", **options) -> DataFrame:
-    """The rows whose id names their component: one document of each group, all columns kept.
+def one_per_component(docs: DataFrame, *, doc_id="doc_id", text="text", **options) -> DataFrame:
+    """One row of each group of linked documents, all columns kept: that of the smallest integer id.
 
-    Rows without an id stay.
+    Rows that repeat an id or have none are judged by their own text; of those with one
+    id and one text one stays, and in a group the others come after all rows that have an
+    id of their own.
     """
-    found = jaccard_components(docs, doc_id=doc_id, **options)
-    gone = stored(found.where(f"`{doc_id}` <> component_id").select(F.col(doc_id).alias("__id")).distinct(), "gone")
-    table = docs.sparkSession.sparkContext.broadcast(bit_table(gone.select(F.xxhash64("__id").alias("h")), "h", COMMON_BITS))
-    marked = docs.withColumn("__h", F.xxhash64(doc_id))
+    key, mark, own_id = (_fresh(docs, name) for name in ("row_key", "key_hash", "own_id"))
+    own = F.col(f"`{doc_id}`").cast("long")
+    repeated = stored(docs.groupBy(own.alias("id")).count().where("`count` > 1 or id is null").select("id"), "repeated-ids")
+    if repeated.isEmpty():
+        keyed = docs.withColumn(key, own)
+    else:
+        # keys beyond all usual ids
+        made = F.lit(1 << 62) + F.xxhash64(own, F.col(f"`{text}`")).bitwiseAND(F.lit((1 << 61) - 1))
+        joined = docs.withColumn(key, own).join(repeated.withColumnRenamed("id", mark), F.col(key).eqNullSafe(F.col(mark)), "left")
+        plain = joined.where(F.col(key).isNotNull() & F.col(mark).isNull()).drop(mark)
+        others = joined.where(F.col(key).isNull() | F.col(mark).isNotNull()).drop(mark).withColumn(mark, made).dropDuplicates([mark])
+        # the row that keeps the id
+        owners = others.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(mark).alias(mark)).withColumn(own_id, F.col(key))
+        others = others.join(owners.drop(key), mark, "left").withColumn(key, F.coalesce(own_id, mark)).drop(mark, own_id)
+        keyed = stored(plain.unionByName(others), "keyed")
+    found = jaccard_components(keyed, doc_id=key, text=text, **options)
+    gone = stored(found.where(F.col(key) != F.col("component_id")).select(key), "gone")
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(gone.select(F.xxhash64(key).alias("h")), "h", COMMON_BITS))
+    marked = keyed.withColumn(mark, F.xxhash64(key))
+    last = len(keyed.columns)
 
     def split(inside: bool):
         def run(batches):
             for batch in batches:
-                hit = in_table(table.value, batch.column(batch.num_columns - 1).to_numpy().view(np.uint64))
+                hit = in_table(table.value, batch.column(last).to_numpy().view(np.uint64))
                 yield batch.filter(pa.array(hit == inside))
 
-        return marked.mapInArrow(run, marked.schema).drop("__h")
+        return marked.mapInArrow(run, marked.schema).drop(mark)
+
+    # only rows whose key may be gone travel to the join
+    return split(False).unionByName(split(True).join(gone, key, "left_anti")).select(*(f"`{c}`" for c in docs.columns))
+
 
-    # only rows whose id may be gone travel to the join
-    return split(False).unionByName(split(True).join(gone, F.col(doc_id) == F.col("__id"), "left_anti"))
+def _fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    used = {c.lower() for c in df.columns}
+    while name in used:
+        name += "_"
+    return name
