@@ -11,18 +11,28 @@ equal anchors at equal places, so windows only meet those of the same anchor.
 Neighbouring windows with one anchor form a segment.  A first scan counts in how
 many documents each anchor occurs; the anchors of two or more go into a table of
 fixed size (``ANCHOR_BITS``).  A second scan sends the segments of those anchors,
-packed, to buckets by anchor hash; the number of buckets follows the input.  In a
-bucket equal segments become one string, the strings of anchors that have several
-are sorted as suffixes and transformed, and a breadth-first backward extension
-grows all intervals of strings that occur twice, one byte at a time, dropping those
-that become unique and stopping at ``minimum``.  The intervals left are the repeated
-windows; their smallest document keeps them, all others lose them.
-
-An anchor in ``crowd`` documents or more could make a bucket grow without bound, so
-its windows take another exact way: distinct segments are found by a partial
-aggregate, their windows grouped by hash, and the smallest documents joined back.
+packed, to buckets by anchor hash; the number of buckets follows the input.
+
+The match itself is made in the bucket.  Equal segments (compared byte by byte) are
+one string with its smallest document.  The strings' suffixes are put in order and
+transformed; a breadth-first backward extension starts from the intervals of single
+bytes and grows them one byte a level, so that the common prefixes of neighbouring
+suffixes come out by increasing value: a suffix that no longer shares its first
+``level`` bytes with a neighbour is dropped.  It stops at ``minimum``; the intervals
+left are the repeated windows.  Their smallest document keeps them, all others lose
+them.
+
+An anchor in ``crowd`` documents or more could make a bucket grow without bound.
+Its segments are reduced to distinct strings by a partial aggregate before they meet
+in the same expansion, and the smallest documents are joined back to the copies.  If
+even the distinct strings of one anchor are more than ``most_strings``, they are dealt
+by longer anchors: a window has room for half of what it lacks to ``minimum`` to the
+left or to the right of its anchor, so it is keyed by the anchor with that much more,
+and so on until the key is the window itself.
+
 Equal whole texts are one string from the start.  Both tables only save work: where
-a large corpus fills them, more segments travel and the result is the same.
+a large corpus fills them, more segments travel and the result is the same.  Texts
+of any length are read in blocks that overlap by ``minimum`` - 1 bytes.
 
 Defined cases: null text is empty; rows with a null id neither lose bytes nor take
 any; rows with equal ids don't take from each other; texts shorter than ``minimum``
@@ -39,27 +49,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as tx
-from .shared import bit_table, bit_tables, in_table, stored
+from .shared import bit_table, discard, heavy_keys_aside, in_table, stored
 
 #: Bytes of an anchor.
 SEED = 16
 #: Bits of the tables of repeated and of crowded anchors.
 ANCHOR_BITS = 26
+#: Bits of the table's part that one group of anchors fills; and anchors of a group.
+CHUNK_BITS, CHUNK_ANCHORS = 18, 500_000
 #: Bits of the tables of documents to scan and to cut.
 DOC_BITS = 24
-#: Segment bytes that a task gathers before it sends them off.
-FLUSH = 16 << 20
+#: Anchors, and segment bytes, that a task gathers before it sends them off.
+FLUSH_ANCHORS, FLUSH = 1 << 19, 4 << 20
+#: Removed spans that a task gathers before it sends them off, and bytes of the texts that meet their spans at a time.
+FLUSH_SPANS, TEXT_BYTES = 200_000, 4 << 20
 #: Copies of a crowded segment in one row, so that rows are alike in the work they bring.
 LISTED = 64
+#: Tables of anchors that are merged at a time.
+MERGED = 64
 _PLACE = (1 << 28) - 1
 
 
+def blocks(column, minimum: int):
+    """(row, place of its first byte in the text, bytes, offsets) of slices; a long text comes in overlapping blocks."""
+    for row0, row1, data, offsets in tx.pieces(column):
+        if len(data) <= 2 * tx.SLICE_BYTES:
+            yield np.arange(row0, row1), np.zeros(row1 - row0, np.int64), data, offsets
+            continue
+        for a in range(0, len(data) - minimum + 1, tx.SLICE_BYTES):
+            part = data[a : a + tx.SLICE_BYTES + minimum - 1]
+            yield np.array([row0]), np.array([a]), part, np.array([0, len(part)])
+
+
 def segments(data, offsets, minimum: int):
-    """Row, anchor hash, first window start, last window end and anchor place of every segment; and the rolling hash."""
+    """Row, anchor hash, first window start, last window end and anchor place of every segment."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < minimum:
-        return none, none.astype(np.uint64), none, none, none, None
+        return none, none.astype(np.uint64), none, none, none
     rolled = tx.Rolling(tx.byte_values()[data])
     least = rolled.sums[SEED:] - rolled.sums[:-SEED]
     least *= rolled.down[: len(least)]
@@ -82,38 +109,27 @@ def segments(data, offsets, minimum: int):
     new[offsets[:-1][long]] = True
     first = np.flatnonzero(new)
     if not len(first):
-        return none, none.astype(np.uint64), none, none, none, rolled
+        return none, none.astype(np.uint64), none, none, none
     row = np.searchsorted(offsets, first, side="right") - 1
     last = np.minimum(np.append(first[1:], n) - 1, offsets[row + 1] - minimum)
     anchor = (least[first] & np.uint64(_PLACE)).astype(np.int64)
-    return row, rolled.spans(anchor, anchor + SEED), first, last + minimum, anchor, rolled
+    return row, rolled.spans(anchor, anchor + SEED), first, last + minimum, anchor
 
 
-def repeated(data: np.ndarray, offsets: np.ndarray, minimum: int) -> np.ndarray:
-    """For every place in the given strings the interval of its ``minimum`` (7 at least) bytes, -1 if they are unique or cut off."""
-    n, strings = len(data), len(offsets) - 1
-    sizes = np.diff(offsets)
-    place = np.arange(n) + np.repeat(np.arange(strings), sizes)  # a sentinel follows every string
-    total = n + strings
-    text = np.zeros(total, np.int64)
-    text[place] = data.astype(np.int64) + 1
-    left = np.zeros(total, np.int64)
-    left[place] = np.repeat(offsets[1:], sizes) - np.arange(n)
-
-    # suffixes sorted by their first bytes, at least ``minimum`` of them
+def _suffix_order(text: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
+    """Suffixes in order of (at least) their first ``depth`` bytes, by growing prefixes."""
+    total = len(text)
     key = text << 54
     for k in range(1, min(7, total)):
         key[: total - k] |= np.where(left[: total - k] > k, text[k:], 0) << (54 - 9 * k)
     width = 7
     while True:
         order = np.argsort(key)
+        if width >= depth:
+            return order
         ranked = key[order]
         rank = np.empty(total, np.int64)
         rank[order] = np.cumsum(np.concatenate([[1], ranked[1:] != ranked[:-1]]))
-        if width == 7:
-            short = rank
-        if width >= minimum:
-            break
         parts = 3 if total < 1 << 21 else 2  # ranks that fit into one key
         key = rank << (21 * (parts - 1) if parts == 3 else 32)
         for k in range(1, parts):
@@ -121,19 +137,33 @@ def repeated(data: np.ndarray, offsets: np.ndarray, minimum: int) -> np.ndarray:
                 key[: total - k * width] |= np.where(left[: total - k * width] > k * width, rank[k * width :], 0) << (21 * (parts - 1 - k))
         width *= parts
 
+
+def repeated(data: np.ndarray, offsets: np.ndarray, minimum: int) -> np.ndarray:
+    """For every place in the given strings the interval of its ``minimum`` bytes, -1 if they are unique or cut off."""
+    n, strings = len(data), len(offsets) - 1
+    sizes = np.diff(offsets)
+    place = np.arange(n) + np.repeat(np.arange(strings), sizes)  # a sentinel follows every string
+    total = n + strings
+    text = np.zeros(total, np.int64)
+    text[place] = data.astype(np.int64) + 1
+    left = np.zeros(total, np.int64)
+    left[place] = np.repeat(offsets[1:], sizes) - np.arange(n)
+    order = _suffix_order(text, left, minimum)
+
     # the transform: the row of the suffix one byte longer, -1 at a string's start
     row_of = np.empty(total, np.int32)
     row_of[order] = np.arange(total, dtype=np.int32)
     longer = np.where((order > 0) & (text[order - 1] > 0), row_of[order - 1], -1)
     head = text[order].astype(np.int16)
 
-    # the first sort names the intervals of the first bytes; then backward by one byte a level
-    begin = 7
-    rows = np.flatnonzero(left[order] >= begin)
-    name = short[order[rows]].astype(np.int32)
+    # intervals of one byte, then backward by one byte a level; what can't grow into a whole window is left out
+    inner = np.zeros(total, bool)
+    inner[place] = np.arange(n) - np.repeat(offsets[:-1], sizes) >= minimum - 1
+    rows = np.flatnonzero(inner[order])
+    name = np.zeros(len(rows), np.int32)
     carried, marked = np.zeros(total, np.int32), np.zeros(total, bool)
-    for level in range(begin, minimum + 1):
-        if level > begin:
+    for level in range(1, minimum + 1):
+        if level > 1:
             to = longer[rows]
             ok = to >= 0
             to = to[ok]
@@ -146,7 +176,7 @@ def repeated(data: np.ndarray, offsets: np.ndarray, minimum: int) -> np.ndarray:
         new = np.ones(len(rows), bool)
         new[1:] = (name[1:] != name[:-1]) | (first[1:] != first[:-1])
         alone = new.copy()
-        alone[:-1] &= new[1:]  # an interval of one suffix has no common prefix to extend
+        alone[:-1] &= new[1:]  # the common prefix with either neighbour ends here
         name = np.cumsum(new, dtype=np.int32)[~alone]
         rows = rows[~alone]
         if not len(rows):
@@ -156,27 +186,106 @@ def repeated(data: np.ndarray, offsets: np.ndarray, minimum: int) -> np.ndarray:
     return out[place]
 
 
-def _anchor_tables(source: DataFrame, keep, minimum: int, crowd: int):
-    """Tables of repeated and of crowded anchors, and how many segments of the former there are."""
+def _least_by_window(data, offsets, windows, least, minimum):
+    """The smallest document of every window of the given strings; ``least`` has that of each string."""
+    best = np.repeat(least, windows)
+    interval = repeated(data, offsets, minimum)[_ragged(offsets[:-1], windows)]
+    hit = np.flatnonzero(interval >= 0)
+    if len(hit):
+        low = np.full(int(interval.max()) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(low, interval[hit], best[hit])
+        best[hit] = low[interval[hit]]
+    return best
+
+
+def _packed_anchors(h: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Anchors of one flush by group: 40 bits of each distinct one, and how often those occur that do so twice or more."""
+    group = (h >> np.uint64(CHUNK_BITS)) & np.uint64((1 << (ANCHOR_BITS - CHUNK_BITS)) - 1)
+    group = group * np.uint64(parts) + (h >> np.uint64(48)) % np.uint64(parts)
+    value = (h & np.uint64((1 << CHUNK_BITS) - 1)) | ((h >> np.uint64(ANCHOR_BITS)) & np.uint64((1 << 22) - 1)) << np.uint64(CHUNK_BITS)
+    key = np.sort(group << np.uint64(40) | value)
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    copies = np.diff(np.append(first, len(key)))
+    key = key[first]
+    group, narrow = (key >> np.uint64(40)).astype(np.int64), key.view(np.uint8).reshape(-1, 8)[:, :5]
+    cuts = np.append(np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])), len(key))
+    out = []
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        often = np.flatnonzero(copies[a:b] > 1)
+        out.append((int(group[a]), narrow[a:b].tobytes(), often.astype(np.int32).tobytes(), copies[a:b][often].astype(np.int32).tobytes()))
+    columns = list(zip(*out, strict=True)) or [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["part", "anchors", "often", "copies"])
+
+
+def _merged_anchors(group: pa.Table, parts: int, crowd: int) -> pa.Table:
+    """The group's chunk of both tables, and how many segments its repeated anchors have."""
+    values, copies = [], []
+    for raw, often, number in zip(*(group.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+        wide = np.zeros((len(raw) // 5, 8), np.uint8)
+        wide[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+        count = np.ones(len(wide), np.int64)
+        count[np.frombuffer(often, np.int32)] = np.frombuffer(number, np.int32)
+        values.append(wide.reshape(-1).view(np.uint64))
+        copies.append(count)
+    values, copies = np.concatenate(values), np.concatenate(copies)
+    order = np.argsort(values)
+    values, copies = values[order], copies[order]
+    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    total = np.add.reduceat(copies, first)
+    at = (values[first] & np.uint64((1 << CHUNK_BITS) - 1)).astype(np.int64)
+    tables = []
+    for chosen in (total > 1, total >= crowd):
+        bits = np.zeros(1 << CHUNK_BITS, bool)
+        bits[at[chosen]] = True
+        tables.append(pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()))
+    part = group.column(0)[0].as_py()
+    load = int(total[(total > 1) & (total < crowd)].sum())
+    return pa.table({"chunk": pa.array([part // parts], pa.int64()), "part": pa.array([part % parts], pa.int64()), "bits": tables[0], "crowded": tables[1], "load": pa.array([load], pa.int64())})
+
+
+def _either(group: pa.Table) -> pa.Table:
+    """Chunks of one place, joined."""
+    out = {"chunk": group.column("chunk").slice(0, 1), "part": pa.array([group.column("part")[0].as_py() // MERGED], pa.int64())}
+    for c in ("bits", "crowded"):
+        out[c] = pa.array([np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in group.column(c).to_pylist()]).tobytes()], pa.binary())
+    return pa.table(out | {"load": pa.array([sum(group.column("load").to_pylist())], pa.int64())})
+
+
+def _anchor_tables(source: DataFrame, keep, minimum: int, crowd: int, size: int):
+    """Tables of repeated and of crowded anchors, and how many segments of the former there are.
+
+    ``size``: bytes of the texts, which decide into how many groups anchors are dealt.
+    """
+    parts = max(1, size // 18 // (CHUNK_ANCHORS << (ANCHOR_BITS - CHUNK_BITS)))
 
     def run(batches):
+        held, count = [], 0
         for batch in batches:
-            for row0, _, data, offsets in tx.pieces(_kept(batch, keep.value).column(1)):
+            for row_of, _, data, offsets in blocks(_kept(batch, keep.value).column(1), minimum):
                 row, anchor, *_ = segments(data, offsets, minimum)
                 order = np.lexsort((anchor, row))
                 row, anchor = row[order], anchor[order]
                 new = np.ones(len(row), bool)
                 new[1:] = (row[1:] != row[:-1]) | (anchor[1:] != anchor[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64))], names=["h"])
-
-    counts = source.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
-    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
-    zero = F.lit(0).cast("long")
-    words = counts.groupBy(F.shiftright(F.col("h").bitwiseAND(F.lit((1 << ANCHOR_BITS) - 1)), 6).alias("word")).agg(
-        F.bit_or(bit).alias("bits"), F.coalesce(F.bit_or(F.when(F.col("c") >= crowd, bit)), zero).alias("crowded"), F.coalesce(F.sum(F.when(F.col("c") < crowd, F.col("c"))), zero).alias("load")
-    )
-    words = stored(words, "anchors")
-    return bit_tables(words, ["bits", "crowded"], ANCHOR_BITS), words.agg(F.sum("load")).first()[0] or 0
+                held.append(anchor[new])
+                count += len(held[-1])
+                if count >= FLUSH_ANCHORS:
+                    yield _packed_anchors(np.concatenate(held), parts)
+                    held, count = [], 0
+        if count:
+            yield _packed_anchors(np.concatenate(held), parts)
+
+    chunk = "chunk long, part long, bits binary, crowded binary, load long"
+    tables = source.mapInArrow(run, "part long, anchors binary, often binary, copies binary").groupBy("part").applyInArrow(lambda g: _merged_anchors(g, parts, crowd), chunk)
+    while parts > 1:
+        tables = tables.groupBy("chunk", F.expr(f"part div {MERGED}")).applyInArrow(_either, chunk)
+        parts = -(-parts // MERGED)
+    out, load = [np.zeros(1 << (ANCHOR_BITS - 3), np.uint8) for _ in range(2)], 0
+    for row in tables.toLocalIterator():  # one row a chunk
+        for table, raw in zip(out, (row["bits"], row["crowded"]), strict=True):
+            table[row["chunk"] << (CHUNK_BITS - 3) : (row["chunk"] + 1) << (CHUNK_BITS - 3)] = np.frombuffer(raw, np.uint8)
+        load += row["load"]
+    return out, load
 
 
 def _kept(batch, bits):
@@ -209,14 +318,14 @@ def _gathered(source: DataFrame, keep, tables, minimum: int, buckets: int) -> Da
         for batch in batches:
             part = _kept(batch, keep.value)
             ids, tags = part.column(0).to_numpy(), part.column(2).to_numpy()
-            for row0, _, data, offsets in tx.pieces(part.column(1)):
-                row, h, start, end, anchor, _ = segments(data, offsets, minimum)
+            for row_of, base, data, offsets in blocks(part.column(1), minimum):
+                row, h, start, end, anchor = segments(data, offsets, minimum)
                 take = np.flatnonzero(in_table(tables.value[0], h) & ~in_table(tables.value[1], h))
                 if not len(take):
                     continue
                 row, h, start, end, anchor = row[take], h[take], start[take], end[take], anchor[take]
                 raw = data[_ragged(start, end - start)]
-                held.append((h, ids[row0 + row], tags[row0 + row], start - offsets[row], anchor - start, end - start, raw))
+                held.append((h, ids[row_of[row]], tags[row_of[row]], base[row] + start - offsets[row], anchor - start, end - start, raw))
                 size += len(raw)
                 if size >= FLUSH:
                     yield packed()
@@ -243,123 +352,198 @@ def _runs(doc, tag, at, windows, earlier, minimum):
     off = earlier & (nxt | ~np.concatenate([earlier[1:], [False]]))
     first, last = np.flatnonzero(on), np.flatnonzero(off)
     own = np.repeat(np.arange(len(windows)), windows)[first] if len(first) else np.zeros(0, np.int64)
-    start = at[own].astype(np.int64) + first - begin[own]
-    end = at[own].astype(np.int64) + last - begin[own] + minimum
-    return pa.RecordBatch.from_arrays([pa.array(doc[own], pa.int64()), pa.array(tag[own], pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=["doc", "tag", "start", "end"])
+    return doc[own], tag[own], at[own].astype(np.int64) + first - begin[own], at[own].astype(np.int64) + last - begin[own] + minimum
+
 
+def _bucket(doc, tag, buckets: int) -> np.ndarray:
+    """The group in which a text meets its spans."""
+    return (tx.mix(doc.astype(np.uint64) ^ tx.mix(tag.astype(np.uint64))) % np.uint64(buckets)).astype(np.int64)
 
-_SPANS = "doc long, tag int, start long, end long"
 
+def _packed_spans(doc, tag, start, end, buckets: int) -> pa.RecordBatch:
+    """Removed spans, packed by the bucket of their document."""
+    bucket = _bucket(doc, tag, buckets)
+    order = np.argsort(bucket, kind="stable")
+    firsts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+    lists = pa.array(np.append(firsts, len(order)), pa.int32())
+    column = lambda v, t: pa.ListArray.from_arrays(lists, pa.array(v[order], t))
+    return pa.RecordBatch.from_arrays([pa.array(bucket[order][firsts]), column(doc, pa.int64()), column(tag, pa.int32()), column(start, pa.int64()), column(end, pa.int64())], names=["bucket", "doc", "tag", "start", "end"])
 
-def _expand(group: pa.Table, minimum: int) -> pa.Table:
+
+_SPANS = "bucket long, doc array<long>, tag array<int>, start array<long>, end array<long>"
+
+
+def _expand(group: pa.Table, minimum: int, doc_buckets: int) -> pa.Table:
     """Removed spans of one bucket."""
     flat = lambda c: group.column(c).combine_chunks().flatten().to_numpy()
     h, doc, tag, at = flat("h").view(np.uint64), flat("doc"), flat("tag"), flat("at")
     left, length = flat("left").astype(np.int64), flat("length").astype(np.int64)
     raw = np.frombuffer(b"".join(group.column("raw").to_pylist()), np.uint8)
     begin = np.cumsum(length) - length
-    # equal segments are one string, kept by its smallest document
-    alike = tx.mix(tx.Rolling(tx.byte_values()[raw]).spans(begin, begin + length) + left.astype(np.uint64))
-    order = np.lexsort((doc, alike, h))
+    # equal segments are one string, kept by its smallest document; a hash brings them together, their bytes decide
+    alike = tx.mix(tx.Rolling(tx.byte_values()[raw]).spans(begin, begin + length) + h + left.astype(np.uint64))
+    order = np.lexsort((doc, length, alike))
     new = np.ones(len(order), bool)
-    new[1:] = (h[order][1:] != h[order][:-1]) | (alike[order][1:] != alike[order][:-1])
+    new[1:] = (alike[order][1:] != alike[order][:-1]) | (length[order][1:] != length[order][:-1])
+    first = np.repeat(np.flatnonzero(new), np.diff(np.append(np.flatnonzero(new), len(order))))
+    same = raw[_ragged(begin[order], length[order])] == raw[_ragged(begin[order[first]], length[order])]
+    new |= ~np.logical_and.reduceat(same, np.cumsum(length[order]) - length[order])
+    lead = order[new]
     string = np.empty(len(order), np.int64)
     string[order] = np.cumsum(new) - 1
-    lead = order[new]
+    rank = np.flatnonzero(new)
+    own = np.searchsorted(rank, first)  # strings follow the first of their hash, or are one by themselves
+    string[order] = np.where(new, np.cumsum(new) - 1, own)
     windows = length[lead] - minimum + 1
-    at0 = np.cumsum(windows) - windows
-    least = np.repeat(doc[lead], windows)
-    # strings whose anchor has several go through the transform
-    other = np.ones(len(lead), bool)
-    other[1:] = h[lead][1:] != h[lead][:-1]
-    several = np.bincount(np.cumsum(other) - 1)[np.cumsum(other) - 1] > 1
-    some = np.flatnonzero(several)
-    if len(some):
-        data = raw[_ragged(begin[lead[some]], length[lead[some]])]
-        cuts = np.concatenate([[0], np.cumsum(length[lead[some]])])
-        interval = repeated(data, cuts, minimum)[_ragged(cuts[:-1], windows[some])]
-        mine = _ragged(at0[some], windows[some])
-        hit = np.flatnonzero(interval >= 0)
-        best = np.full(int(interval.max()) + 1 if len(hit) else 0, np.iinfo(np.int64).max)
-        np.minimum.at(best, interval[hit], least[mine[hit]])
-        least[mine[hit]] = best[interval[hit]]
-    counts = windows[string]
+    data, cuts = raw[_ragged(begin[lead], length[lead])], np.concatenate([[0], np.cumsum(length[lead])])
+    least = _least_by_window(data, cuts, windows, doc[lead], minimum)
+    at0, counts = np.cumsum(windows) - windows, windows[string]
     earlier = least[_ragged(at0[string], counts)] < np.repeat(doc, counts)
-    return pa.Table.from_batches([_runs(doc, tag, at, counts, earlier, minimum)])
+    return pa.Table.from_batches([_packed_spans(*_runs(doc, tag, at, counts, earlier, minimum), doc_buckets)])
 
 
-def _crowded(source: DataFrame, keep, tables, minimum: int) -> DataFrame:
+def _dealt_by_longer_anchors(strings: DataFrame, minimum: int, most: int) -> DataFrame:
+    """``strings`` (h, left, raw, first) in pieces (place: their first window in the string) of which a key has at most ``most``, or one window each."""
+    pieces = strings.select("h", "left", "raw", "first", F.lit(0).alias("place"), F.col("h").alias("key"), F.lit(SEED).alias("seed"), F.col("left").cast("int").alias("at"), F.col("raw").alias("piece"))
+    done = None
+    while True:
+        big = stored(pieces.where(F.col("seed") < minimum).groupBy("key", "seed").count().where(F.col("count") > most).select("key", "seed"), "crowded-keys")
+        small = pieces.join(big, ["key", "seed"], "left_anti")
+        done = small if done is None else done.unionByName(small)
+        if big.isEmpty():
+            return done
+        half = F.expr(f"cast(({minimum} - seed + 1) div 2 as int)")
+        split = pieces.join(big, ["key", "seed"], "left_semi").withColumns({"half": half, "windows": F.length("piece") - minimum + 1})
+        # windows with room to the left come first: those that start ``half`` or more before the anchor
+        split = split.withColumn("turn", F.greatest(F.lit(0), F.least(F.expr("at - half + 1"), F.col("windows"))))
+        byte = lambda a, n: F.substring("piece", F.expr(f"cast({a} + 1 as int)"), F.expr(f"cast({n} as int)"))
+        lefts = split.where("turn > 0").select("h", "left", "raw", "first", "place", F.xxhash64(byte("at - half", "half + seed"), F.lit(0)).alias("key"), F.expr("seed + half").alias("seed"), F.expr("at - half").alias("at"), byte("0", f"turn + {minimum - 1}").alias("piece"))
+        rights = split.where("turn < windows").select("h", "left", "raw", "first", (F.col("place") + F.col("turn")).alias("place"), F.xxhash64(byte("at", "seed + half"), F.lit(1)).alias("key"), F.expr("seed + half").alias("seed"), F.expr("at - turn").alias("at"), byte("turn", f"windows - turn + {minimum - 1}").alias("piece"))
+        pieces = stored(lefts.unionByName(rights), "longer-anchors")
+
+
+def _crowded(source: DataFrame, keep, tables, minimum: int, per_bucket: int, most: int, doc_buckets: int) -> DataFrame:
     """Removed spans of segments whose anchor occurs in very many documents."""
 
     def run(batches):
-        held: list[tuple] = []
-        strings: dict[tuple[int, int], bytes] = {}
+        held: dict[tuple[int, int, bytes], list] = {}
+        count = 0
 
         def packed():
-            h, alike, doc, tag, at = (np.concatenate([x[i] for x in held]) for i in range(5))
-            order = np.lexsort((alike, h))
-            new = np.ones(len(order), bool)
-            new[1:] = (h[order][1:] != h[order][:-1]) | (alike[order][1:] != alike[order][:-1])
-            firsts = np.flatnonzero(new)
-            within = np.arange(len(order)) - np.repeat(firsts, np.diff(np.append(firsts, len(order))))
-            firsts = np.flatnonzero(within % LISTED == 0)
-            lists = pa.array(np.append(firsts, len(order)), pa.int32())
-            column = lambda v, t: pa.ListArray.from_arrays(lists, pa.array(v[order], t))
-            own = h[order][firsts], alike[order][firsts]
-            raw = [strings[k] for k in zip(own[0].tolist(), own[1].tolist(), strict=True)]
-            return pa.RecordBatch.from_arrays([*(pa.array(v.view(np.int64)) for v in own), column(doc, pa.int64()), column(tag, pa.int32()), column(at, pa.int32()), pa.array(raw, pa.binary())], names=["h", "alike", "docs", "tags", "places", "raw"])
+            out = [(h, left, raw, own[i : i + LISTED]) for (h, left, raw), own in held.items() for i in range(0, len(own), LISTED)]
+            lists = lambda k, t: pa.array([[x[k] for x in own] for *_, own in out], pa.list_(t))
+            return pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary()))), lists(0, pa.int64()), lists(1, pa.int32()), lists(2, pa.int32())], names=["h", "left", "raw", "docs", "tags", "places"])
 
         for batch in batches:
             part = _kept(batch, keep.value)
             ids, tags = part.column(0).to_numpy(), part.column(2).to_numpy()
-            for row0, _, data, offsets in tx.pieces(part.column(1)):
-                row, h, start, end, anchor, rolled = segments(data, offsets, minimum)
+            for row_of, base, data, offsets in blocks(part.column(1), minimum):
+                row, h, start, end, anchor = segments(data, offsets, minimum)
                 take = np.flatnonzero(in_table(tables.value[1], h))
                 if not len(take):
                     continue
                 row, h, start, end, anchor = row[take], h[take], start[take], end[take], anchor[take]
-                alike = tx.mix(rolled.spans(start, end) + (anchor - start).astype(np.uint64))
-                for k, a, b in zip(zip(h.tolist(), alike.tolist(), strict=True), start.tolist(), end.tolist(), strict=True):
-                    if k not in strings:
-                        strings[k] = data[a:b].tobytes()
-                held.append((h, alike, ids[row0 + row], tags[row0 + row], start - offsets[row]))
-                if sum(len(x[0]) for x in held) >= 200_000:
+                columns = (h.view(np.int64), anchor - start, start, end, ids[row_of[row]], tags[row_of[row]], base[row] + start - offsets[row])
+                for own, left, a, b, *copy in zip(*(c.tolist() for c in columns), strict=True):
+                    held.setdefault((own, left, data[a:b].tobytes()), []).append(copy)
+                count += len(take)
+                if count >= 50_000:
                     yield packed()
-                    held, strings = [], {}
+                    held, count = {}, 0
         if held:
             yield packed()
 
-    def explode(batches):
-        for batch in batches:
-            raw = batch.column(3).to_pylist()
-            data = np.frombuffer(b"".join(raw), np.uint8)
-            length = np.array([len(r) for r in raw], np.int64)
-            begin, windows = np.cumsum(length) - length, length - minimum + 1
-            places = _ragged(begin, windows)
-            marks = tx.Rolling(tx.byte_values()[data]).spans(places, places + minimum) if len(places) else np.zeros(0, np.uint64)
-            of = pa.array(np.repeat(np.arange(len(raw)), windows))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), batch.column(2).take(of), pa.array(_ragged(np.zeros(len(raw), np.int64), windows), pa.int32()), pa.array(marks.view(np.int64))], names=["h", "alike", "first", "place", "mark"])
+    def expanded(group: pa.Table) -> pa.Table:
+        raw = group.column("piece").to_pylist()
+        data, length = np.frombuffer(b"".join(raw), np.uint8), np.array([len(r) for r in raw], np.int64)
+        windows = length - minimum + 1
+        best = _least_by_window(data, np.concatenate([[0], np.cumsum(length)]), windows, group.column("first").to_numpy(), minimum)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(windows)]), pa.int32()), pa.array(best))
+        return pa.table([group.column("h"), group.column("left"), group.column("raw"), group.column("place"), lists], names=["h", "left", "raw", "place", "firsts"])
 
     def spans(batches):
+        held, count = [], 0
+        packed = lambda: _packed_spans(*(np.concatenate(c) for c in zip(*held, strict=True)), doc_buckets)
         for batch in batches:
-            docs, tags, places, firsts = (batch.column(i) for i in range(4))
-            copies, windows = np.diff(docs.offsets.to_numpy()), np.diff(firsts.offsets.to_numpy())
-            doc, of = docs.flatten().to_numpy(), np.repeat(np.arange(len(copies)), copies)
-            counts = windows[of]
-            least = firsts.flatten().to_numpy()[_ragged((np.cumsum(windows) - windows)[of], counts)]
-            yield _runs(doc, tags.flatten().to_numpy(), places.flatten().to_numpy(), counts, least < np.repeat(doc, counts), minimum)
-
-    found = stored(source.mapInArrow(run, "h long, alike long, docs array<long>, tags array<int>, places array<int>, raw binary"), "crowded")
-    strings = found.groupBy("h", "alike").agg(F.min(F.array_min("docs")).alias("first"), F.max("raw").alias("raw"))
-    windows = stored(strings.mapInArrow(explode, "h long, alike long, first long, place int, mark long"), "windows")
-    best = windows.groupBy("mark").agg(F.min("first").alias("best"))
-    firsts = windows.join(best, "mark").groupBy("h", "alike").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "best"))), lambda x: x["best"]).alias("firsts"))
-    dealt = found.join(firsts, ["h", "alike"]).where("array_max(docs) > array_min(firsts)").select("docs", "tags", "places", "firsts")
-    dealt = dealt.repartition(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return dealt.mapInArrow(spans, _SPANS)
-
-
-def repeated_spans(docs: DataFrame, *, doc_id="doc_id", text="text", minimum=50, crowd=None, per_bucket=20_000) -> DataFrame:
+            for k in range(0, batch.num_rows, 128):  # up to LISTED copies of some dozen windows each
+                docs, tags, places, firsts = (batch.column(i).slice(k, 128) for i in range(4))
+                copies, windows = docs.value_lengths().to_numpy().astype(np.int64), firsts.value_lengths().to_numpy().astype(np.int64)
+                doc, of = docs.flatten().to_numpy(), np.repeat(np.arange(len(copies)), copies)
+                counts = windows[of]
+                least = firsts.flatten().to_numpy()[_ragged((np.cumsum(windows) - windows)[of], counts)]
+                held.append(_runs(doc, tags.flatten().to_numpy(), places.flatten().to_numpy(), counts, least < np.repeat(doc, counts), minimum))
+                count += len(held[-1][0])
+                if count >= FLUSH_SPANS:
+                    yield packed()
+                    held, count = [], 0
+        if count:
+            yield packed()
+
+    found = stored(source.mapInArrow(run, "h long, left int, raw binary, docs array<long>, tags array<int>, places array<int>"), "crowded")
+    # rows with a full list come often for very common strings only: these are dealt over several tasks
+    full = F.when(F.size("docs") == LISTED, 1).otherwise(0)
+    strings = stored(found.groupBy("h", "left", "raw").agg(F.min(F.array_min("docs")).alias("first"), F.sum(full).alias("full")), "strings")
+    totals = strings.agg(F.count("*").alias("n"), F.max("full").alias("full")).first()
+    shares = max(1, -(-(totals["full"] or 0) // 256))
+    pieces = _dealt_by_longer_anchors(strings.drop("full"), minimum, most)
+    buckets = max(1, -(-totals["n"] // per_bucket))
+    made = pieces.groupBy(F.pmod("key", F.lit(buckets)).alias("bucket")).applyInArrow(expanded, "h long, left int, raw binary, place int, firsts array<long>")
+    whole = made.groupBy("h", "left", "raw").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", "firsts"))), lambda x: x["firsts"])).alias("firsts"))
+    share = F.when(F.size("docs") == LISTED, F.pmod(F.xxhash64(F.col("docs")[0]), F.lit(shares)).cast("int")).otherwise(0)
+    many = strings.select("h", "left", "raw", F.explode(F.expr(f"sequence(0, if(full > 0, {shares - 1}, 0))")).alias("share"))
+    firsts = whole.join(many, ["h", "left", "raw"])
+    dealt = found.withColumn("share", share).join(firsts, ["h", "left", "raw", "share"]).where("array_max(docs) > array_min(firsts)").select("docs", "tags", "places", "firsts")
+    return stored(dealt.mapInArrow(spans, _SPANS), "crowded-spans")
+
+
+def _touched(spans: DataFrame) -> np.ndarray:
+    """A bit for every document that loses something."""
+    chunks = 1 << (DOC_BITS - CHUNK_BITS)
+
+    def mark(batches):
+        bits = np.zeros(1 << DOC_BITS, bool)
+        for batch in batches:
+            bits[(tx.mix(batch.column(0).flatten().to_numpy().astype(np.uint64)) & np.uint64((1 << DOC_BITS) - 1)).astype(np.int64)] = True
+        raw = [(i, np.packbits(x, bitorder="little").tobytes()) for i, x in enumerate(bits.reshape(chunks, -1)) if x.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in raw], pa.int64()), pa.array([x for _, x in raw], pa.binary())], names=["chunk", "bits"])
+
+    def either(group: pa.Table) -> pa.Table:
+        joined = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in group.column("bits").to_pylist()])
+        return pa.table({"chunk": group.column("chunk").slice(0, 1), "bits": pa.array([joined.tobytes()], pa.binary())})
+
+    # tables of many tasks are joined in two steps
+    made = spans.select("doc").mapInArrow(mark, "chunk long, bits binary")
+    made = made.groupBy("chunk", F.spark_partition_id() % MERGED).applyInArrow(either, made.schema).groupBy("chunk").applyInArrow(either, made.schema)
+    out = np.zeros(1 << (DOC_BITS - 3), np.uint8)
+    for row in made.toLocalIterator():
+        out[row["chunk"] << (CHUNK_BITS - 3) : (row["chunk"] + 1) << (CHUNK_BITS - 3)] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def _cut(texts: pa.Table, spans: pa.Table) -> pa.Table:
+    """What is left of the texts (id, tag, text) of one bucket without the spans of the same bucket."""
+    flat = lambda c: spans.column(c).combine_chunks().flatten().to_numpy() if spans.num_rows else np.zeros(0, np.int64)
+    doc, tag, start, end = flat("doc"), flat("tag"), flat("start"), flat("end")
+    order = np.lexsort((tag, doc))
+    doc, tag, start, end = doc[order], tag[order], start[order], end[order]
+    out, seen = [], set()
+    for i, t, text in zip(*(texts.column(c).to_pylist() for c in ("id", "tag", "text")), strict=True):
+        a, b = np.searchsorted(doc, [i, i + 1])
+        a, b = a + np.searchsorted(tag[a:b], [t, t + 1])
+        if a == b or (i, t) in seen:
+            continue
+        seen.add((i, t))
+        raw = np.frombuffer(text.encode(), np.uint8)
+        gone = tx.covered(len(raw), start[a:b], end[a:b])
+        step = np.diff(gone.astype(np.int8), prepend=0, append=0)
+        merged = [{"start": x, "end": y} for x, y in zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist(), strict=True)]
+        out.append((i, t, int(gone.sum()), len(merged), hashlib.sha256(raw[~gone].tobytes()).hexdigest(), merged))
+    columns = list(zip(*out, strict=True)) if out else [[]] * 6
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "tag", "n_removed", "n_spans", "kept", "ranges"])
+
+
+def repeated_spans(docs: DataFrame, *, doc_id="doc_id", text="text", minimum=50, crowd=None, per_bucket=8000, most_strings=20_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed byte ``ranges`` of every row.
 
     ``crowd``: by default a hundredth of the documents, 1,000 at least and 20,000 at most.
@@ -368,43 +552,38 @@ def repeated_spans(docs: DataFrame, *, doc_id="doc_id", text="text", minimum=50,
     body = F.coalesce(F.col(text), F.lit(""))
     source = docs.select(F.col(doc_id).cast("long").alias("id"), body.alias("text"), F.shiftrightunsigned(F.xxhash64(body), 33).cast("int").alias("tag"), F.xxhash64(F.col(doc_id).cast("long")).alias("k"))
     facts = stored(source.select("id", "tag", F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes")), "facts")
-    same = facts.where("id is not null").groupBy("sha").agg(F.min("id").alias("owner"))
-    facts = stored(facts.join(same, "sha", "left").withColumn("copy", F.coalesce(F.col("id") > F.col("owner"), F.lit(False)) & (F.col("n_bytes") >= minimum)), "facts")
+    totals = facts.agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes")).first()
+    marked = heavy_keys_aside(facts, "sha", F.col("id").isNotNull() & (F.col("n_bytes") >= minimum), F.min("id").alias("owner"), totals["n"])
+    marked = stored(marked.withColumn("copy", F.coalesce(F.col("id") > F.col("owner"), F.lit(False)) & (F.col("n_bytes") >= minimum)).drop("owner"), "facts")
+    discard(facts)
+    facts = marked
 
-    crowd = crowd or min(max(1000, facts.count() // 100), 20_000)
+    crowd = crowd or min(max(1000, totals["n"] // 100), 20_000)
     keep = spark.sparkContext.broadcast(bit_table(facts.where(f"id is not null and not copy and n_bytes >= {minimum}").select(F.xxhash64("id").alias("k")), "k", DOC_BITS))
     known = source.where("id is not null")
-    made, load = _anchor_tables(known, keep, minimum, crowd)
+    made, load = _anchor_tables(known, keep, minimum, crowd, totals["bytes"] or 0)
     tables = spark.sparkContext.broadcast(made)
-    buckets = max(1, -(-load // per_bucket))
+    buckets, doc_buckets = max(1, -(-load // per_bucket)), max(1, -(-(totals["bytes"] or 0) // TEXT_BYTES))
     packed = _gathered(known, keep, tables, minimum, buckets)
-    spans = packed.groupBy("bucket").applyInArrow(lambda g: _expand(g, minimum), _SPANS)
-    spans = stored(spans.unionByName(_crowded(known, keep, tables, minimum)), "spans")
+    spans = packed.groupBy("bucket").applyInArrow(lambda g: _expand(g, minimum, doc_buckets), _SPANS)
+    if made[1].any():
+        spans = spans.unionByName(_crowded(known, keep, tables, minimum, per_bucket, most_strings, doc_buckets))
+    spans = stored(spans, "spans")
 
     # only documents that lose something travel with their text
-    touched = spark.sparkContext.broadcast(bit_table(spans.select(F.xxhash64("doc").alias("k")), "k", DOC_BITS))
+    touched = spark.sparkContext.broadcast(_touched(spans))
 
     def losing(batches):
         for batch in batches:
-            yield _kept(batch, touched.value)
+            ids = batch.column(0).to_numpy()
+            part = batch.filter(pa.array(in_table(touched.value, tx.mix(ids.astype(np.uint64)))))
+            ids, tags = part.column(0).to_numpy(), part.column(2).to_numpy()
+            first = np.sort(np.unique(np.stack([ids, tags]), axis=1, return_index=True)[1]) if len(ids) else []
+            part = part.take(pa.array(first, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(_bucket(part.column(0).to_numpy(), part.column(2).to_numpy(), doc_buckets)), *(part.column(i) for i in (0, 2, 1))], names=["bucket", "id", "tag", "text"])
 
-    def cut(batches):
-        for batch in batches:
-            ids, tags, out = batch.column(0), batch.column(1), []
-            for t, ranges in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
-                raw = np.frombuffer(t.encode(), np.uint8)
-                flat = ranges.values
-                gone = tx.covered(len(raw), flat.field(0).to_numpy(), flat.field(1).to_numpy())
-                step = np.diff(gone.astype(np.int8), prepend=0, append=0)
-                merged = [{"start": a, "end": b} for a, b in zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist(), strict=True)]
-                out.append((int(gone.sum()), len(merged), hashlib.sha256(raw[~gone].tobytes()).hexdigest(), merged))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 4
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([ids, tags, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["id", "tag", "n_removed", "n_spans", "kept", "ranges"])
-
-    ranges = spans.groupBy(F.col("doc").alias("id"), "tag").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))  # at most one per byte of a text
-    texts = known.mapInArrow(losing, known.schema).select("id", "tag", "text")
-    cuts = texts.join(ranges, ["id", "tag"]).select("id", "tag", "text", "ranges").mapInArrow(cut, "id long, tag int, n_removed long, n_spans long, kept string, ranges array<struct<start:long,end:long>>").dropDuplicates(["id", "tag"])
+    texts = known.mapInArrow(losing, "bucket long, id long, tag int, text string")
+    cuts = texts.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(_cut, "id long, tag int, n_removed long, n_spans long, kept string, ranges array<struct<start:long,end:long>>")
     whole = F.expr("array(struct(cast(0 as bigint) as start, n_bytes as end))")
     none = F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")
     out = facts.join(cuts, ["id", "tag"], "left")
