@@ -3,33 +3,48 @@
 ``write_archives`` lets Spark write one WARC/1.1 record per page; the record
 terminator (two CRLFs) is the text writer's line separator, so the files are
 written by Spark's own committed output, gzipped, and survive lost executors.
-``read_archives`` parses the files by Content-Length, checks every digest and
-yields one index line per record.  ``capture_history`` merges the locally sorted
-runs (one per archive) by URL key and timestamp with a k-way loser tree inside
-range partitions; the partitions follow each other in key order.
+``read_archives`` reads the files record by record by Content-Length, checks every
+digest and yields one index line per record; ``at`` and ``size`` are the record's place
+in the unpacked archive.  Each archive is a run of lines sorted by URL key and time.
+
+``capture_history`` merges these runs externally: limits drawn from a bounded sample of
+lines cut every run into sorted slices, a row each, that go to the partition of their
+range; there a k-way loser tree merges the slices as they are, without sorting lines
+again.  The partitions follow each other in key order, and limits are whole keys (URL
+key, time, archive, place), so that a URL captured very often is split too.
+
+Equal payloads are found by digest.  Pages whose digest is in a table of repeated ones,
+of fixed size (``DIGEST_BITS``), meet by digest; all others are written as they come.
 
 Defined cases: null html is an empty payload; null url an empty target; payloads
 under ``least`` bytes are always responses; rows that repeat a page_id and its
 payload each make a record, and all rows with the largest page_id of a payload
 are responses; a null page_id never wins against another id.  No pages give no
-archives and an empty index.  Extra columns are ignored.
+archives and an empty index; a missing folder is an error.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import gzip
 import hashlib
+import io
 import uuid
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
-from .shared import shared_dir
+from .shared import bit_table, heavy_keys_aside, in_table, shared_dir, stored
 
 #: The end of every WARC record.
 END = "\r\n\r\n"
+#: Bits of the table of repeated digests.
+DIGEST_BITS = 24
+#: Ranges of the index at most, and lines drawn for the limit of each.
+MOST_RANGES, DRAWN = 4000, 20
 INDEX = "url_key string, ts string, page_id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string, archive string, at long, size long"
 
 
@@ -45,8 +60,20 @@ def roles(pages: DataFrame, *, page_id="page_id", url="url", html="html", least=
     """Pages with digest, size, record type and the response that a revisit refers to."""
     flat = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     flat = flat.withColumn("payload_digest", F.sha1(F.encode("html", "UTF-8"))).withColumn("payload_bytes", F.octet_length("html").cast("long"))
-    first = flat.where(F.col("payload_bytes") >= least).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("keeper"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    both = flat.join(first, ["payload_digest", "payload_bytes"], "left")
+    facts = stored(flat.select("page_id", "payload_digest", "payload_bytes"), "digests")
+    known = facts.where(F.col("payload_bytes") >= least)
+    twins = known.groupBy("payload_digest").agg(F.count("*").alias("copies")).where("copies > 1").select(F.xxhash64("payload_digest").alias("h"))
+    table = pages.sparkSession.sparkContext.broadcast(bit_table(twins, "h", DIGEST_BITS))
+
+    @F.pandas_udf("boolean")
+    def may_repeat(h: pd.Series) -> pd.Series:
+        return pd.Series(in_table(table.value, h.to_numpy().view(np.uint64)))
+
+    # only pages that may have a twin travel
+    marked = flat.withColumn("twin", may_repeat(F.xxhash64("payload_digest")) & (F.col("payload_bytes") >= least))
+    alone = marked.where("not twin").drop("twin").withColumn("keeper", F.lit(None).cast(flat.schema["page_id"].dataType))
+    met = heavy_keys_aside(marked.where("twin").drop("twin"), "payload_digest", F.lit(True), F.max("page_id").alias("keeper"), facts.count(), known)
+    both = alone.unionByName(met)
     revisit = F.col("keeper").isNotNull() & ~F.col("keeper").eqNullSafe(F.col("page_id"))
     return both.select("page_id", "url", "html", "payload_digest", "payload_bytes", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("keeper")).alias("refers_to"))
 
@@ -81,49 +108,59 @@ def write_archives(pages: DataFrame, folder: str, *, per_archive=256, epoch="202
     r.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", per_archive).option("compression", "gzip").text(folder)
 
 
-def records(raw: bytes):
-    """(headers, payload, place, size) of every record of one unpacked archive, by Content-Length."""
+def records(archive):
+    """(headers, payload, place, size) of every record of an unpacked archive, a binary file object, by Content-Length."""
     at = 0
-    while at < len(raw):
-        split = raw.index(b"\r\n\r\n", at)
-        lines = raw[at:split].decode().split("\r\n")
-        if lines[0] != "WARC/1.1":
+    while first := archive.readline():
+        if first != b"WARC/1.1\r\n":
             raise ValueError(f"no WARC record at byte {at}")
-        headers = dict(x.partition(": ")[::2] for x in lines[1:])
-        begin = split + 4
-        end = begin + int(headers["Content-Length"])
-        if raw[end : end + 4] != b"\r\n\r\n":
+        headers, size = {}, len(first)
+        while (line := archive.readline()) != b"\r\n":
+            if not line:
+                raise ValueError(f"record at byte {at} has no end of headers")
+            size += len(line)
+            name, _, value = line[:-2].decode().partition(": ")
+            headers[name] = value
+        payload = archive.read(int(headers["Content-Length"]))
+        if archive.read(4) != b"\r\n\r\n":
             raise ValueError(f"record at byte {at} is not terminated")
-        yield headers, raw[begin:end], at, end + 4 - at
-        at = end + 4
+        size += 2 + len(payload) + 4
+        yield headers, payload, at, size
+        at += size
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """Index lines of all archives below ``folder``; each archive makes one sorted run.
 
-    A response whose payload doesn't match its digest or length is an error.
+    A response whose payload doesn't match its digest or length is an error, and so is a missing folder.
     """
 
     def parse(batches):
         for batch in batches:
             for path, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 run = []
-                for h, payload, at, size in records(gzip.decompress(raw.as_buffer())):
+                for h, payload, at, size in records(gzip.GzipFile(fileobj=io.BytesIO(raw.as_buffer()))):
                     digest = h["WARC-Payload-Digest"].removeprefix("sha1:")
                     length = int(h["X-Payload-Length"])
                     if h["WARC-Type"] == "response" and (hashlib.sha1(payload).hexdigest() != digest or len(payload) != length):
                         raise ValueError(f"payload at byte {at} of {path} doesn't match its digest")
                     run.append((h["X-URL-Key"], h["WARC-Date"], h.get("X-Page-ID"), h["WARC-Target-URI"], h["WARC-Type"], h.get("X-Refers-To-Page"), length, digest, path, at, size))
-                run.sort(key=lambda x: (x[0], x[1], x[2] or ""))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*run, strict=True) if run else [[]] * 11, _TYPES, strict=True)], names=_NAMES)
+                run.sort(key=_key)
+                yield _lines(run)
 
-    try:
-        files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
-    except AnalysisException:
-        return spark.createDataFrame([], INDEX)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
     return files.select("path", "content").mapInArrow(parse, INDEX)
 
 
+def _key(line):
+    """Order of index lines: URL key, time, archive, place."""
+    return line[0], line[1], line[8], line[9]
+
+
+def _lines(run) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*run, strict=True) if run else [[]] * 11, _TYPES, strict=True)], names=_NAMES)
+
+
 _NAMES = [x.split()[0] for x in INDEX.split(", ")]
 _TYPES = [pa.int64() if x.split()[1] == "long" else pa.string() for x in INDEX.split(", ")]
 
@@ -165,28 +202,67 @@ class LoserTree:
             self._replay(leaf)
 
 
+def _limits(index: DataFrame, ranges: int) -> list[tuple]:
+    """Keys that cut the index into ranges of about as many lines, from a sample of ``DRAWN`` lines for each range."""
+    keys, n = index.select("url_key", "ts", "archive", "at"), index.count()
+    if ranges == 1 or not n:
+        return []
+    share = min(1.0, ranges * DRAWN / n)
+    drawn = keys.where(F.pmod(F.xxhash64("archive", "at"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * MOST_RANGES * DRAWN)
+    some = sorted(tuple(r) for r in drawn.collect())
+    return sorted({some[i * len(some) // ranges] for i in range(1, ranges)}) if some else []
+
+
 def capture_history(index: DataFrame, partitions: int) -> DataFrame:
     """Index lines in global (URL key, timestamp, archive, place) order over the partitions.
 
-    Range partitioning on the whole key splits even a URL captured very often.
+    ``index``: stored lines in runs, sorted within each archive.
     """
+    limits = _limits(index, min(partitions, MOST_RANGES))
+    shared = index.sparkSession.sparkContext.broadcast(limits)  # at most MOST_RANGES keys
 
-    def merge(batches):
-        runs: dict = {}
+    def sliced(batches):
+        """Runs, or what a batch has of them, cut at the limits: a row for each slice."""
         for batch in batches:
-            for line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                runs.setdefault(line[8], []).append(line)
-        out = []
-        for line in LoserTree(list(runs.values()), key=lambda x: (x[0], x[1], x[8], x[9])):
-            out.append(line)
-            if len(out) == 4096:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _TYPES, strict=True)], names=_NAMES)
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _TYPES, strict=True)], names=_NAMES)
+            columns = [c.to_pylist() for c in batch.columns]
+            keys = list(zip(columns[0], columns[1], columns[8], columns[9], strict=True))
+            edges = [0, *(i for i in range(1, len(keys)) if keys[i][2] != keys[i - 1][2] or keys[i] < keys[i - 1]), len(keys)]
+            parts, firsts = [], []
+            for begin, end in zip(edges, edges[1:], strict=False):
+                while begin < end:
+                    part = bisect.bisect_right(shared.value, keys[begin])
+                    cut = bisect.bisect_left(keys, shared.value[part], begin, end) if part < len(shared.value) else end
+                    parts.append(part)
+                    firsts.append(begin)
+                    begin = cut
+            lists = pa.array([*firsts, len(keys)], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), *(pa.ListArray.from_arrays(lists, c) for c in batch.columns)], names=["part", *_NAMES])
 
-    dealt = index.repartitionByRange(partitions, "url_key", "ts", "archive", "at")
-    return dealt.sortWithinPartitions("archive", "url_key", "ts", "at").mapInArrow(merge, INDEX)
+    def merge(batches):
+        part, runs = None, []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[0] != part:
+                    yield from _merged(runs)
+                    part, runs = row[0], []
+                runs.append(list(zip(*row[1:], strict=True)))
+        yield from _merged(runs)
+
+    lists = ", ".join(f"{n} array<{'bigint' if t == pa.int64() else 'string'}>" for n, t in zip(_NAMES, _TYPES, strict=True))
+    dealt = index.mapInArrow(sliced, f"part int, {lists}").repartitionByRange(len(limits) + 1, "part")
+    return dealt.sortWithinPartitions("part").mapInArrow(merge, INDEX)
+
+
+def _merged(runs):
+    """Batches of the lines of sorted runs, in order."""
+    out = []
+    for line in LoserTree(runs, key=_key):
+        out.append(line)
+        if len(out) == 4096:
+            yield _lines(out)
+            out = []
+    if out:
+        yield _lines(out)
 
 
 def archive_pages(pages: DataFrame, *, per_partition=4000, **options) -> DataFrame:
@@ -194,5 +270,5 @@ def archive_pages(pages: DataFrame, *, per_partition=4000, **options) -> DataFra
     spark = pages.sparkSession
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(pages, folder, **options)
-    n = pages.count()
-    return capture_history(read_archives(spark, folder), max(1, -(-n // per_partition)))
+    index = stored(read_archives(spark, folder), "index")
+    return capture_history(index, max(1, -(-index.count() // per_partition)))
