@@ -18,64 +18,79 @@ and kept by ``remove_documents``.
 from __future__ import annotations
 
 import hashlib
+import itertools
+import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as tx
-from .shared import stored
+from .shared import bit_table, in_table, stored
 
-#: Benchmark text is broadcast in blocks of at most this many bytes.
+#: Benchmark text is broadcast in blocks of at most this many bytes; an index takes some four times as much.
 BLOCK_BYTES = 16 << 20
+_FILTER = (1 << 20) - 1
 
 
 class WindowIndex:
-    """Hash set of the windows of one block of items: hash -> window words and item ids."""
+    """Hash set of the windows of one block of items, in flat arrays: sorted hashes with the place of each window's words and its item."""
 
     def __init__(self, items, size: int):
-        found: dict[int, tuple[bytes, set[str]]] = {}
-        self.lengths: dict[int, np.ndarray] = {}
-        by_length: dict[int, set[int]] = {}
-        texts = pa.array([t for _, t in items], pa.string())
-        for row0, _, data, offsets in tx.pieces(texts):
+        self.ids = [str(i) for i, _ in items]
+        held: dict[int, list] = {}
+        words_of, base = [], 0
+        for row0, _, data, offsets in tx.pieces(pa.array([t for _, t in items], pa.string())):
             data = tx.LOWER[data]
             start, end, row = tx.words(data, offsets, tx.ALNUM)
             hashes = tx.word_hashes(data, start, end)
+            # the words, each followed by a space
+            length = end - start + 1
+            to = np.cumsum(length) - length
+            words = np.full(int(length.sum()), 32, np.uint8)
+            inner = np.ones(len(words), bool)
+            inner[to + length - 1] = False
+            words[inner] = data[_ragged(start, end - start)]
+            words_of.append(words)
             counts = np.bincount(row, minlength=len(offsets) - 1)
-            begin = np.concatenate([[0], np.cumsum(counts)])
-            raw = data.tobytes()
-            for i, n in enumerate(counts.tolist()):
-                length, a = min(size, n), int(begin[i])
-                if not length:
-                    continue
-                own, mark = tx.windows(hashes[a : a + n], row[a : a + n], length)
-                for first, h in zip((own + a).tolist(), mark.tolist(), strict=True):
-                    words = b" ".join(raw[start[j] : end[j]] for j in range(first, first + length))
-                    found.setdefault((length, h), (words, set()))[1].add(str(items[row0 + i][0]))
-                    by_length.setdefault(length, set()).add(h)
-        self.windows = found
-        self.lengths = {k: np.array(sorted(v), np.uint64) for k, v in by_length.items()}
-        self.filters = {}
-        for k, v in self.lengths.items():
-            self.filters[k] = np.zeros(1 << 18, bool)
-            self.filters[k][(v & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
+            for n in {min(size, c) for c in np.unique(counts).tolist()} - {0}:
+                first, mark = tx.windows(hashes, row, n)
+                own = counts[row[first]] >= size if n == size else counts[row[first]] == n
+                first, mark = first[own], mark[own]
+                held.setdefault(n, []).append((mark, base + to[first], base + to[first + n - 1] + length[first + n - 1] - 1, row0 + row[first]))
+            base += len(words)
+        self.words = np.concatenate(words_of) if words_of else np.zeros(0, np.uint8)
+        self.windows = {}
+        for n, parts in held.items():
+            mark, begin, stop, item = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(mark, kind="stable")
+            known = np.zeros(_FILTER + 1, bool)
+            known[(mark & np.uint64(_FILTER)).astype(np.int64)] = True
+            self.windows[n] = mark[order], begin[order], stop[order], item[order].astype(np.int32), known
 
     def hits(self, data, start, end, row, hashes):
         """First word, length and items of every verified occurrence."""
-        raw = None
-        for length, known in self.lengths.items():
+        raw, seen = None, {}
+        for length, (known, begin, stop, item, some) in self.windows.items():
             first, mark = tx.windows(hashes, row, length)
-            maybe = np.flatnonzero(self.filters[length][(mark & np.uint64((1 << 18) - 1)).astype(np.int64)])
-            at = np.minimum(np.searchsorted(known, mark[maybe]), len(known) - 1)
-            maybe = maybe[known[at] == mark[maybe]]
-            for i in maybe.tolist():
+            maybe = np.flatnonzero(some[(mark & np.uint64(_FILTER)).astype(np.int64)])
+            a, b = np.searchsorted(known, mark[maybe], "left"), np.searchsorted(known, mark[maybe], "right")
+            for k in np.flatnonzero(b > a).tolist():
                 raw = data.tobytes() if raw is None else raw
-                j = int(first[i])
-                words, items = self.windows[(length, int(mark[i]))]
-                if b" ".join(raw[start[x] : end[x]] for x in range(j, j + length)) == words:
-                    yield j, length, items
+                j = int(first[maybe[k]])
+                words = b" ".join(raw[start[x] : end[x]] for x in range(j, j + length))
+                if words not in seen:
+                    seen[words] = {self.ids[item[x]] for x in range(a[k], b[k]) if self.words[begin[x] : stop[x]].tobytes() == words}
+                if seen[words]:
+                    yield j, length, seen[words]
+
+
+def _ragged(begin, length):
+    """Indexes of consecutive spans."""
+    ends = np.cumsum(length)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - length), length)
 
 
 def item_blocks(benchmark: DataFrame, item_id: str, text: str, limit: int):
@@ -98,68 +113,94 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, doc_id="doc_id", text="text",
     """One row per document: counts, hit items, verdict and hit spans.
 
     A benchmark within ``block_bytes`` is broadcast whole: one pass, no shuffle.
-    A larger one goes block by block; each pass holds one block only and stores
-    the hits so far beside the text for the next pass.
+    A larger one goes block by block; each pass holds one block only and stores the
+    hits of the texts that have any, which are joined by id and text in the end.
 
     Columns: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and
     ``spans``: half-open byte ranges of the hit words, merged over adjacent words;
     then the columns named in ``carry``, as carried_0 and so on.
     """
     spark = docs.sparkSession
-    state = docs.select(doc_id, text, F.expr("cast(array() as array<struct<start:long,end:long>>)").alias("held"), F.expr("cast(array() as array<string>)").alias("items"), *(F.col(f"`{c}`").alias(f"carried_{i}") for i, c in enumerate(carry)))
+    none = [F.expr("cast(array() as array<struct<start:long,end:long>>)").alias("held"), F.expr("cast(array() as array<string>)").alias("items")]
+    carried = [F.col(f"`{c}`").alias(f"carried_{i}") for i, c in enumerate(carry)]
+    state = docs.select(F.col(doc_id), F.col(text), *none, *carried)
     blocks = item_blocks(benchmark, item_id, item_text, block_bytes)
-    block = next(blocks, [])
-    while block is not None:
-        following = next(blocks, None)
+    ahead = list(itertools.islice(blocks, 2))
+    if len(ahead) < 2:
+        return _with_hits(state, spark.sparkContext.broadcast(WindowIndex(ahead[0] if ahead else [], size)), doc_id, share, last=True)
+    found = None
+    for block in itertools.chain(ahead, blocks):
         shared = spark.sparkContext.broadcast(WindowIndex(block, size))
-        state = _with_hits(state, shared, doc_id, share, last=following is None)
-        if following is not None:
-            state = stored(state, "decontamination")
-            shared.unpersist()
-        block = following
-    return state
+        one = stored(_with_hits(docs.select(F.col(doc_id), F.col(text), *none, F.xxhash64(text).alias("tag")), shared, doc_id, share, last=False), "decontamination")
+        found = one if found is None else found.unionByName(one)
+        shared.unpersist()
+    # a text has at most one span for each of its words and block
+    hits = found.dropDuplicates(["id", "tag", "block"]).groupBy("id", "tag").agg(F.flatten(F.collect_list("held")).alias("held"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    hits = stored(hits, "hits")
+    table = spark.sparkContext.broadcast(bit_table(hits.select("tag"), "tag"))
+
+    @F.pandas_udf("boolean")
+    def may_hit(tag: pd.Series) -> pd.Series:
+        return pd.Series(in_table(table.value, tag.to_numpy().view(np.uint64)))
+
+    # only texts with hits travel
+    marked = docs.select(F.col(doc_id), F.col(text), *carried, F.xxhash64(text).alias("tag")).withColumn("hit", may_hit("tag"))
+    met = marked.where("hit").drop("hit").alias("d").join(hits.alias("h"), F.col("d.tag").eqNullSafe(F.col("h.tag")) & F.col(f"d.{doc_id}").eqNullSafe(F.col("h.id")), "left")
+    empty = lambda c, kind: F.coalesce(f"h.{c}", F.array().cast(kind)).alias(c)
+    met = met.select(f"d.{doc_id}", f"d.{text}", empty("held", "array<struct<start:long,end:long>>"), empty("items", "array<string>"), *(f"d.carried_{i}" for i in range(len(carry))))
+    rest = marked.where("not hit").select(doc_id, text, *none, *(f"carried_{i}" for i in range(len(carry))))
+    return _with_hits(rest.unionByName(met), None, doc_id, share, last=True)
 
 
 def _with_hits(state: DataFrame, index, doc_id: str, share: int, last: bool) -> DataFrame:
+    """Verdicts of all rows with what is ``held`` and the index's hits; or, before the last pass, the hits of the rows that have any.
+
+    ``held`` and the hits of a pass are spans of words.
+    """
+    block = uuid.uuid4().hex
+
     def run(batches):
         for batch in batches:
-            held, known, out = batch.column(2).to_pylist(), batch.column(3).to_pylist(), []
+            held, known, out, rows = batch.column(2).to_pylist(), batch.column(3).to_pylist(), [], []
             for row0, row1, data, offsets in tx.pieces(batch.column(1)):
                 data = tx.LOWER[data]
                 start, end, row = tx.words(data, offsets, tx.ALNUM)
-                hashes = tx.word_hashes(data, start, end)
                 n_words = np.bincount(row, minlength=row1 - row0)
                 first = np.concatenate([[0], np.cumsum(n_words)])
                 spans = [(int(first[i]) + s["start"], int(first[i]) + s["end"]) for i in range(row1 - row0) for s in held[row0 + i]]
                 items = {i: set(known[row0 + i]) for i in range(row1 - row0) if known[row0 + i]}
-                for j, length, who in index.value.hits(data, start, end, row, hashes):
-                    spans.append((j, j + length))
-                    items.setdefault(int(row[j]), set()).update(who)
+                if index is not None:
+                    for j, length, who in index.value.hits(data, start, end, row, tx.word_hashes(data, start, end)):
+                        spans.append((j, j + length))
+                        items.setdefault(int(row[j]), set()).update(who)
                 marks = np.array(spans, np.int64).reshape(-1, 2)
                 hit = tx.covered(len(start), marks[:, 0], marks[:, 1])
                 n_hit = np.bincount(row[hit], minlength=row1 - row0)
-                if last:
-                    merged = _spans(hit, start, end, row, offsets)
-                else:
-                    places = np.arange(len(start))
-                    merged = _spans(hit, places, places + 1, row, first)
-                for i in range(row1 - row0):
+                places = np.arange(len(start))
+                merged = _spans(hit, start, end, row, offsets) if last else _spans(hit, places, places + 1, row, first)
+                for i in range(row1 - row0) if last else sorted(items):
                     own = sorted(items.get(i, ()))
                     if last:
                         out.append((int(n_words[i]), int(n_hit[i]), len(own), hashlib.sha256(",".join(own).encode()).hexdigest(), bool(n_hit[i] > 0 and share * n_hit[i] >= n_words[i]), merged.get(i, [])))
                     else:
-                        out.append((merged.get(i, []), own))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), _SPANS) if last else (_SPANS, pa.list_(pa.string()))
+                        rows.append(row0 + i)
+                        out.append((merged[i], own, block))
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), _SPANS) if last else (_SPANS, pa.list_(pa.string()), pa.string())
             columns = list(zip(*out, strict=True)) if out else [[]] * len(types)
-            front = [batch.column(0)] if last else [batch.column(0), batch.column(1)]
-            yield pa.RecordBatch.from_arrays([*front, *(pa.array(c, t) for c, t in zip(columns, types, strict=True)), *batch.columns[4:]], names=names)
-
+            made = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+            if last:
+                yield pa.RecordBatch.from_arrays([batch.column(0), *made, *batch.columns[4:]], names=names)
+            else:
+                of = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(4).take(of), *made], names=names)
+
+    kind = state.schema[doc_id].dataType.simpleString()
     if last:
-        schema = f"`{doc_id}` {state.schema[doc_id].dataType.simpleString()}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:long,end:long>>"
+        schema = f"`{doc_id}` {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:long,end:long>>"
         schema += "".join(f", {f.name} {f.dataType.simpleString()}" for f in state.schema[4:])
         names = [doc_id, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", *state.columns[4:]]
     else:
-        schema, names = state.schema, state.columns
+        schema, names = f"id {kind}, tag long, held array<struct<start:long,end:long>>, items array<string>, block string", ["id", "tag", "held", "items", "block"]
     return state.mapInArrow(run, schema)
 
 
