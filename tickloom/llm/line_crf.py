@@ -9,7 +9,8 @@ otherwise the share of its words in content lines decides.
 
 The CRF is trained by gradient ascent on its exact likelihood (forward-backward)
 over a bounded, hashed sample of about ``max_train`` documents with a quality
-label; the lines of a document take the document's label.
+label.  Line labels are latent: they start as the document's and are then decoded
+again under the model, as far as their content share agrees with the document's label.
 
 Defined cases: null text has no words and fails; lines without a word take no
 part in the sequence; without labelled documents the CRF is neutral and keeps
@@ -132,9 +133,14 @@ class Crf:
     def scores(self, active):
         return self.emit[:, active].sum(axis=2).T
 
-    def viterbi(self, active, lengths) -> np.ndarray:
-        """Best label of every line; sequences follow one another with the given lengths (all > 0)."""
+    def viterbi(self, active, lengths, bias=None) -> np.ndarray:
+        """Best label of every line; sequences follow one another with the given lengths (all > 0).
+
+        ``bias``: what content gains in every line, if anything.
+        """
         scores = self.scores(active)
+        if bias is not None:
+            scores[:, 1] += bias
         out = np.zeros(len(active), np.int64)
         if not len(active):
             return out
@@ -167,14 +173,14 @@ def _logsum(x, axis):
 
 
 def train(sequences, *, steps=60, rate=0.15, ridge=1e-3, weights=None) -> Crf:
-    """sequences: (active features, label) pairs; exact gradients by forward-backward."""
+    """sequences: (active features, label of the document, labels of the lines) each; exact gradients by forward-backward."""
     crf = Crf()
     sequences = sorted(sequences, key=lambda s: -len(s[0]))
     if not sequences:
         return crf
     size = np.array([len(s[0]) for s in sequences])
     active = np.concatenate([s[0] for s in sequences])
-    truth = np.repeat([s[1] for s in sequences], size)
+    truth = np.concatenate([s[2] for s in sequences])
     begin = np.cumsum(size) - size
     share = np.bincount([s[1] for s in sequences], minlength=2) / len(sequences)
     heavy = np.array([0.5 / max(share[s[1]], 1e-9) / len(s[0]) for s in sequences])  # every document counts once, both labels alike
@@ -202,8 +208,7 @@ def train(sequences, *, steps=60, rate=0.15, ridge=1e-3, weights=None) -> Crf:
         at = np.flatnonzero(inner)
         pair = np.exp(f[at - 1][:, :, None] + crf.move + (scores[at] + b[at])[:, None, :] - norm[at][:, None, None])
         g_move = -(pair * by_line[at][:, None, None]).sum(axis=0)
-        for y in range(2):
-            g_move[y, y] += by_line[at][truth[at] == y].sum()
+        np.add.at(g_move, (truth[at - 1], truth[at]), by_line[at])
         g_move /= total
         for w, g, m, v in ((crf.emit, g_emit, *moments[:2]), (crf.move, g_move, *moments[2:])):
             g = g - ridge * w
@@ -215,19 +220,58 @@ def train(sequences, *, steps=60, rate=0.15, ridge=1e-3, weights=None) -> Crf:
     return crf
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, key="doc_id", text="text", label="quality", max_train=3000, **options) -> Crf:
-    """Train on at most about ``max_train`` documents of either label."""
+def line_labels(crf: Crf, documents) -> list[np.ndarray]:
+    """The best line labels of (active, words by line, label) documents that agree with the document's label.
+
+    At least half of the words of a good document are content, fewer of a bad one;
+    where the best labels say otherwise, the document's own label gains in steps.
+    """
+    if not documents:
+        return []
+    size = np.array([len(d[0]) for d in documents])
+    active, words = np.concatenate([d[0] for d in documents]), np.concatenate([d[1] for d in documents])
+    own, begin = np.array([d[2] for d in documents]), np.cumsum(size) - size
+    total, push = np.add.reduceat(words, begin), np.zeros(len(size))
+    for gain in (*(0.5 * 2**k for k in range(8)), None):
+        labels = crf.viterbi(active, size, np.repeat(push * (2 * own - 1), size))
+        wrong = (2 * np.add.reduceat(words * labels, begin) >= total) != (own == 1)
+        if gain is None or not wrong.any():
+            break
+        push[wrong] = gain
+    labels = np.where(np.repeat(wrong, size), np.repeat(own, size), labels)
+    return np.split(labels, begin[1:])
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, key="doc_id", text="text", label="quality", max_train=3000, rounds=1, **options) -> Crf:
+    """Train on at most about ``max_train`` documents of either label.
+
+    No line has a label of its own.  All lines start with that of their document; then,
+    ``rounds`` times, lines take the best labels under the model that agree with the
+    document's, and the model is trained again.
+    """
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(F.col(label).cast("int")).alias("y"))
-    sequences = []
+    documents = []
     for y, n in known.groupBy("y").count().collect():
         chosen = sampled(known.where(F.col("y") == y), key, max_train // 2, n)
-        rows = docs.where(F.col(text).isNotNull()).select(key, text).join(F.broadcast(chosen), key).select(text).collect()  # chosen: at most max_train rows
+        found = docs.where(F.col(text).isNotNull()).select(key, text).join(F.broadcast(chosen), key)  # chosen: at most max_train rows
+        rows = found.groupBy(key).agg(F.max(text).alias("text")).select("text").collect()  # one text for each
         for t in sorted(r[0] for r in rows):
             data = np.frombuffer(t.encode(), np.uint8)
-            _, _, _, active = analyse(data, np.array([0, len(data)]))
+            _, _, count, active = analyse(data, np.array([0, len(data)]))
             if len(active):
-                sequences.append((active, int(y > 0)))
-    return train(sequences, **options)
+                documents.append((active, count, int(y > 0)))
+    return learn(documents, rounds, **options)
+
+
+def learn(documents, rounds: int = 1, **options) -> Crf:
+    """A CRF from (active, words by line, label) documents whose line labels are not known."""
+    lines = [np.full(len(d[0]), d[2]) for d in documents]
+    crf = train([(d[0], d[2], own) for d, own in zip(documents, lines, strict=True)], **options)
+    for k in range(rounds):
+        # at first every line by itself: transitions learned from whole documents only know no change
+        lines = line_labels(Crf(crf.emit) if k == 0 else crf, documents)
+        crf = train([(d[0], d[2], own) for d, own in zip(documents, lines, strict=True)], **options)
+    return crf
 
 
 def judge(docs: DataFrame, crf: Crf, *, key="doc_id", text="text", least_words=10, most_repeated=20, least_content=0.5) -> DataFrame:

@@ -10,8 +10,8 @@ labels alone, by proximal AdaGrad on the noisy-or likelihood.  Sentences scoring
 Fitting uses a bounded, hashed sample: at most about ``max_positive`` and
 ``max_negative`` labelled rows reach the driver, weighted back to their true
 shares.  Null and empty texts score the leak; null labels are never learned
-from; a doc_id labelled more than once has its largest label; without labels the
-score is the initial leak.  Repeated rows score alike; extra columns are ignored.
+from; a doc_id labelled more than once has its largest label, one with several texts is
+learned from one of them; without labels the score is the initial leak.  Repeated rows score alike; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -76,7 +76,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, key="doc_id", text="text", label=
     for y, most in ((1, max_positive), (0, max_negative)):
         if totals.get(y):
             chosen = sampled(known.where(F.col("y") == y), key, most, totals[y])
-            some = docs.select(key, text).join(F.broadcast(chosen), key).select(F.coalesce(text, F.lit("")), "y").collect()  # chosen: at most 2 * most rows
+            found = docs.select(key, text).join(F.broadcast(chosen), key)  # chosen: at most 2 * most rows
+            some = found.groupBy(key).agg(F.coalesce(F.max(text), F.lit("")), F.max("y")).drop(key).collect()  # one text for each
             rows += [(r[0], r[1], totals[y] / max(1, len(some))) for r in some]
     weights, bias, leak = np.zeros(1 << BITS), -7.0, -4.0
     if not rows:
