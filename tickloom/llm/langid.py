@@ -221,7 +221,12 @@ def predict(docs: DataFrame, model: Model, *, text="text", carry=("doc_id",)) ->
 
 
 def accept(docs: DataFrame, model: Model, *, text="text", least_score=0.5) -> DataFrame:
-    """The rows whose text has a language, predicted with at least ``least_score``; all columns kept."""
+    """The rows whose text has a language, predicted with at least ``least_score``; all columns kept.
+
+    A model that has seen no language keeps every text with a letter.
+    """
+    if not model.languages:
+        return docs.where(F.col(f"`{text}`").rlike(r"\p{L}"))
     found = predict(docs, model, text=text, carry=docs.columns).toDF(*(f"carried_{i}" for i in range(len(docs.columns))), "lang_pred", "score")
     kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
     return kept.select(*(F.col(f"carried_{i}").alias(c) for i, c in enumerate(docs.columns)))
