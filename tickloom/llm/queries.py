@@ -11,6 +11,7 @@ from .shared import remainder, table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from two thirds of the ids; ``und`` and score 0 without a letter."""
     docs = table(spark, sf_dir, "documents")
     held_out = remainder(F.col("doc_id"), 3) == 1
     model = langid.fit(docs.where(~held_out))
@@ -18,24 +19,29 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four-word shingles and the smallest id reachable over similarities of 85 percent."""
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token pieces of every document in sequences of 2,048; empty texts are one piece of one id."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op4_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict of the line labels; null texts fail."""
     docs = table(spark, sf_dir, "documents")
     crf = line_crf.fit(docs, table(spark, sf_dir, "labels"))
     return line_crf.judge(docs, crf).drop("line_labels")
 
 
 def op5_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and labels of every document; null texts have none."""
     return license_index.scan(table(spark, sf_dir, "documents")).drop("matches")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from four fifths of the ids, and how many sentences offend."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = remainder(F.col("doc_id"), 5) == 0
     model = toxicity.fit(docs, labels.where(~held_out))
@@ -44,20 +50,24 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that stand in benchmark windows, the items, and the verdict."""
     found = decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("spans")
 
 
 def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a record of the archives, read back through their index."""
     history = warc_index.archive_pages(table(spark, sf_dir, "pages"), per_archive=1000)
     return history.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: counts of base kinds, all spans and how many they are."""
     return pii.scan(table(spark, sf_dir, "documents")).drop("found")
 
 
 def op10_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that an earlier one has in a run of fifty, and what is left."""
     return bwt_dedup.repeated_spans(table(spark, sf_dir, "documents")).drop("ranges")
 
 
