@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import re
 import sys
-import tempfile
 import types
 import uuid
 import weakref
@@ -14,22 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Where the setting is absent, as in local tests, a local folder is used and set; on a
-    cluster that is an error.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+from ..functions.storage import shared_folder as shared_dir
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
