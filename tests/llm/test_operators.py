@@ -80,12 +80,23 @@ def test_ngram_join(docs, k, percent):
     assert [r.component_id for r in got if r.doc_id is None] == [None]
 
 
-def test_ngram_join_keeps_one_of_each(docs, empty):
+def test_ngram_join_keeps_one_of_each(spark, docs, empty):
     kept = ngram_join.one_per_component(docs)
     assert kept.columns == docs.columns
     ids = Counter(r.doc_id for r in kept.collect())
-    assert 7 not in ids and 8 not in ids and ids[6] == 2 and ids[None] == 1
-    assert ngram_join.jaccard_components(empty).count() == 0
+    assert 7 not in ids and 8 not in ids and ids[6] == 1 and ids[None] == 1
+    assert ngram_join.jaccard_components(empty).count() == 0 and ngram_join.one_per_component(empty).count() == 0
+
+
+def test_ngram_join_judges_rows_by_their_own_text(spark):
+    base, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(1, base, "a"), (2, base + " x", "b"), (2, other, "c"), (None, base, "d"), (None, other + " y", "e"), (None, "alone " * 7, "f"), (None, "alone " * 7, "f"), (3, "", "g"), (3, None, "h")]
+    # names that the operator uses itself
+    docs = spark.createDataFrame([(i, t, x, 1, 2, 3) for i, t, x in rows], "doc_id long, text string, id string, row_key int, key_hash int, h int")
+    kept = ngram_join.one_per_component(docs)
+    assert kept.columns == docs.columns
+    got = sorted(r.id for r in kept.collect())
+    assert got in (["a", "c", "f", "g", "h"], ["a", "e", "f", "g", "h"])
 
 
 def test_near_copies_in_a_large_group(spark):
@@ -127,6 +138,40 @@ def test_packing(docs, empty):
     assert packing.pack_documents(empty, file).count() == 0
 
 
+def test_packing_tokens_of_any_text(spark):
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    draw = random.Random(1)
+    parts = [*"aAbZs9 0.,!?%*$#&|'\"-_()é ÉßİıŞşĞΣσςάА я中文あ\u0301\u0307\u00a0\u200d😀½²ªǅﬁ\n\t", "TAKSİ,", "don't", "’s", "naïve."]
+    encode = packing.WordIds(tokenizer, 0)
+    for known in (packing.REMEMBERED, 50):
+        encode.limit = known
+        texts = ["".join(draw.choice(parts) for _ in range(draw.randrange(40))) for _ in range(3000)] + ["TAKSİ,", "x" * 3000 + "."]
+        for _, _, data, offsets in textops.pieces(pa.array(texts)):
+            ids, lengths = encode(data, offsets)
+            at = 0
+            for t, n in zip(texts, lengths.tolist(), strict=True):
+                assert ids[at : at + n].tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 0], t
+                at += n
+
+
+def test_packing_fills_sequences(spark):
+    rows = [(i, " ".join(["word"] * (37 * i % 600))) for i in range(400)]
+    import public_tokenizers
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    packed = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")).toPandas()
+    assert packed["sequence_id"].nunique() <= -(-packed["length"].sum() // 2048) + 1
+    # the other capacities bind where they are set
+    few = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), most_documents=2).toPandas()
+    assert few.groupby("sequence_id").size().max() <= 2
+    cheap = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), most_cost=600_000, rule="dot").toPandas()
+    assert (cheap["length"] ** 2).groupby(cheap["sequence_id"]).sum().max() <= 600_000 and (cheap.groupby("sequence_id")["length"].sum() <= 2048).all()
+
+
 def test_packing_obeys_every_capacity():
     lengths = np.sort(np.random.default_rng(0).integers(1, 100, 300))[::-1].astype(float)
     for rule in ("norm", "dot"):
@@ -172,9 +217,24 @@ def test_quality_counts_and_viterbi(docs, empty):
 
 def test_crf_learns_its_labels():
     draw = np.random.default_rng(0)
-    make = lambda y: (np.stack([draw.integers(0, 3, 6) + 3 * y] * 2, axis=1), y)
+    make = lambda y: (np.stack([draw.integers(0, 3, 6) + 3 * y] * 2, axis=1), y, np.full(6, y))
     crf = line_crf.train([make(i % 2) for i in range(60)], steps=40)
-    assert all((crf.viterbi(a, np.array([6])) == y).all() for a, y in (make(i % 2) for i in range(20)))
+    assert all((crf.viterbi(a, np.array([6])) == y).all() for a, y, _ in (make(i % 2) for i in range(20)))
+
+
+def test_crf_finds_lines_of_either_kind_in_one_document():
+    # documents have labels, lines don't: a few boilerplate lines in good documents, a few of content in bad ones
+    draw = np.random.default_rng(6)
+
+    def make(y):
+        lines = np.where(draw.random(12) < 0.15, 1 - y, y)
+        return np.stack([draw.integers(0, 3, 12) + 3 * lines, 6 + draw.integers(0, 3, 12)], axis=1), np.full(12, 5), y, lines
+
+    made = [make(i % 2) for i in range(200)]
+    crf = line_crf.learn([m[:3] for m in made], 1)
+    right = [(crf.viterbi(a, np.array([12])) == lines).mean() for a, _, _, lines in (make(i % 2) for i in range(50))]
+    assert np.mean(right) > 0.97
+    assert all((2 * (w * own).sum() >= w.sum()) == (y == 1) for (_, w, y, _), own in zip(made, line_crf.line_labels(crf, [m[:3] for m in made]), strict=True))
 
 
 # ---- 5
@@ -282,6 +342,44 @@ def test_pii_secrets_after_a_keyword_in_any_case(spark):
     assert {r.doc_id: r.text for r in pii.redact(docs).collect()} == {i: f'set {w} = "[SECRET]" now' for i, w in enumerate(words)}
 
 
+def test_pii_in_a_text_full_of_numbers(spark):
+    text = "".join(f"{i}, 4111 1111 1111 1111; " if i % 3 == 0 else f"{i} x " for i in range(16_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    cards = [m for m in re.finditer(PATTERNS["card"], text) if valid("card", m[0])]
+    r = pii.scan(docs).first()
+    assert r.n_card == len(cards) == r.n_spans
+    assert r.spans == ",".join(f"card:{m.start()}:{m.end()}" for m in cards)
+    want, at = [], 0
+    for m in cards:
+        want += [text[at : m.start()], "[CARD]"]
+        at = m.end()
+    assert pii.redact(docs).first().text == "".join(want) + text[at:]
+
+
+def test_pii_added_spans_on_held_out_texts(spark):
+    # planted secrets and numbers are found, placeholders and ordinary numbers are left alone
+    draw = random.Random(4)
+    token = lambda: "".join(draw.choices("0123456789abcdef", k=draw.choice([32, 40])))
+    rows, want = [], {}
+    for i in range(400):
+        kind = draw.choice(["secret", "decoy", "number", "ssn", "plain"])
+        value = {"secret": token(), "decoy": draw.choice(["x" * 32, "your_token_example_1", "0" * 32]), "number": str(draw.randrange(10**6)), "ssn": f"{draw.randrange(100, 600)}-{draw.randrange(10, 99)}-{draw.randrange(1000, 9999)}", "plain": "nothing"}[kind]
+        front = {"secret": 'the token = "', "decoy": 'the token = "', "number": "about ", "ssn": "her ssn: ", "plain": ""}[kind]
+        rows.append((i, f'{front}{value}" and more'))
+        want[i] = kind in ("secret", "ssn")
+    got = {r.doc_id: r.n_spans for r in pii.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found, clean = [got[i] > 0 for i in want if want[i]], [got[i] == 0 for i in want if not want[i]]
+    assert sum(found) >= 0.98 * len(found) and sum(clean) >= 0.98 * len(clean)
+
+
+def test_pii_clashing_names_and_empty_tables(spark):
+    rows = [("a@b.com", 1, "x", "y"), (None, 2, None, None), ("", None, "x", "y")]
+    docs = spark.createDataFrame(rows, "text string, doc_id long, found string, base string")
+    clean = pii.redact(docs.withColumnRenamed("base", "id"))
+    assert clean.columns == ["text", "doc_id", "found", "id"] and {r.text for r in clean.collect()} == {"[EMAIL]", None, ""}
+    assert pii.redact(docs.limit(0)).count() == 0
+
+
 def test_reliabilities_prefer_agreeing_votes():
     counts = [("card", "1,1,1,1", "a", 50), ("card", "-1,1,-1,0", "b", 200), ("card", "1,1,1,0", "a", 40)]
     posterior, _ = pii.reliabilities(counts)
@@ -314,6 +412,28 @@ def test_repeated_strings(docs, empty, crowd):
     assert bwt_dedup.repeated_spans(empty).count() == 0
 
 
+def test_repeated_strings_of_crowded_anchors_are_dealt_by_longer_ones(spark):
+    draw = random.Random(8)
+    common = "the same twenty-odd bytes here "
+    word = lambda n: "".join(draw.choice("abc") for _ in range(n))
+    heads, tails = [word(k) for k in (20, 30, 40, 60)], [word(k) for k in (25, 35, 45, 70)]
+    rows = [(i, draw.choice(heads)[-draw.randrange(5, 61) :] + common + draw.choice(tails)[: draw.randrange(5, 71)]) for i in range(300)]
+    want = dict(repeats_brute([(i, t.encode()) for i, t in rows]))
+    got = bwt_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), crowd=2, most_strings=3).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
+
+
+def test_repeated_strings_of_texts_longer_than_a_block(spark):
+    draw = random.Random(9)
+    noise = lambda n: "".join(draw.choices("abcdefgh ", k=n))
+    shared = noise(5000)
+    long = noise(textops.SLICE_BYTES - 2500) + shared + noise(textops.SLICE_BYTES) + shared + noise(100)
+    rows = [(3, long), (1, noise(40) + shared[:3000]), (2, "é" * 40 + shared[-2600:] + noise(9)), (4, long[1000:]), (5, shared[10:70])]
+    want = dict(repeats_brute([(i, t.encode()) for i, t in rows]))
+    got = bwt_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
+
+
 def test_interval_expansion():
     draw = np.random.default_rng(0)
     for n in range(60):
