@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.frames import EMA_BLOCK, with_ema
 from tickloom.operators import backtest as bt
-from tickloom.operators import factors, indicators, news, portfolio, signals, similarity, strategies
+from tickloom.operators import chart_data, factors, indicators, news, portfolio, signals, similarity, strategies
 from tickloom.sources import bars as sources
 from tickloom.sources import dimensions
 
@@ -159,3 +159,78 @@ def test_trend_labels(spark):
     out = indicators.trend_analysis(rising).first()
     assert out.alignment == "bull" and out.overall == "up"
     assert indicators.calc_slope(rising, "close").first().slope > 0
+
+
+@pytest.mark.parametrize(
+    ("row", "regime", "score"),
+    [
+        ((110.0, 100.0, 100.0, 4, 30.0, 70.0), "trend_up", 100.0),  # both 100: the first counts
+        ((101.0, 100.0, 100.0, 4, 10.0, 50.0), "range", 45.0),  # 2 * 10 + 50 * 0.5, more than the 30 of clear averages
+        ((99.0, 100.0, 100.0, -4, None, 50.0), "trend_down", 30.0),  # no adx: 25 for the range, 30 for the order
+        ((99.0, 100.0, 100.0, 0, None, 35.0), "range", 35.0),  # 25 + 10; a bottom has 2 * 5 + 10
+        ((90.0, 100.0, 100.0, -2, 15.0, 20.0), "bottom", 100.0),  # 40 + 100, capped
+    ],
+)
+def test_market_regimes_by_hand(spark, row, regime, score):
+    schema = "ticker string, ts timestamp, rn int, px double, ma20 double, ma60 double, ma_ribbon_score int, adx_14 double, rsi_14 double, bb_width double"
+    df = spark.createDataFrame([("A", pd.Timestamp("2024-01-01").to_pydatetime(), 0, *row, 0.1)], schema)
+    got = portfolio.detect_market_regime(df).first()
+    assert (got.regime, round(got.score, 6)) == (regime, score)
+
+
+def test_levels_by_hand(spark):
+    close = [10.0] * 25
+    low = [9.0] * 25
+    low[22] = 8.0
+    got = indicators.find_support_resistance(make(spark, close, high=[12.0] * 25, low=low)).first()
+    assert (got.support, got.resistance, got.support_pct, got.resistance_pct) == (8.0, 12.0, 25.0, 20.0)
+    # a low pivot at 8 and a high pivot at 9, both under the close: only lows make supports
+    high = [10.5] * 40
+    low = [9.9 + i / 1000 for i in range(40)]
+    low[10], high[25] = 8.0, 30.0
+    levels = chart_data.support_resistance_clusters(make(spark, [10.0] * 40, high=high, low=low)).collect()
+    assert ("support", 8.0) in [(r.side, r.level) for r in levels] and ("resistance", 30.0) in [(r.side, r.level) for r in levels]
+    assert all(r.level < 10 for r in levels if r.side == "support") and all(r.level > 10 for r in levels if r.side == "resistance")
+
+
+def test_patterns_by_hand(spark):
+    label = lambda xs: [r.pattern for r in similarity.pattern_features(make(spark, xs)).collect()]
+    assert label([100.0, 60.0] * 15) == ["choppy_down"] and label([60.0, 100.0] * 15) == ["choppy_up"]
+    assert label([float(i) for i in range(1, 31)]) == ["strong_uptrend"] and label([1.0] * 29) == []
+
+
+def test_sleeves_run_on_their_own_capital(spark):
+    close = [30_000.0, 31_000.0, 33_000.0, 33_000.0]
+    df = make(spark, close).withColumns({f"st_{i}": F.when((F.col("rn") == 0) & F.lit(i == "rsi_extreme"), 1).otherwise(0) for i in bt.IDS})
+    given = spark.createDataFrame([("A", "small", "rsi_extreme", 20_000.0), ("A", "large", "rsi_extreme", 100_000.0), ("A", "idle", "ema_cross", 50_000.0)], "ticker string, run string, strategy string, capital double")
+    got = {r.run: r for r in bt.run_sleeves(df, given, dict.fromkeys(bt.IDS, (0.0, 0.0, 1, 10))).collect()}
+    assert got["small"].trades == [] and got["small"].final_cash == 20_000.0 and got["idle"].final_cash == 50_000.0
+    assert len(got["large"].trades) == 1 and abs(got["large"].final_cash - (100_000 - 3 * 30_000 * 1.001 + 3 * 33_000 * 0.999)) < 1e-6
+    total = portfolio.parallel_portfolio(bt.run_sleeves(df, given.where("run = 'large'"), dict.fromkeys(bt.IDS, (0.0, 0.0, 1, 10)))).first()
+    assert total.n_trades == 1 and total.win_rate == 0.5 and total.avg_hold == 3.0
+
+
+def test_size_scales_entries(spark):
+    one = make(spark, [10.0, 10.0, 12.0]).select("ticker", F.lit("x").alias("strategy"), "rn", "close", "high", "low", F.when(F.col("rn") == 0, 1).otherwise(0).alias("vote"))
+    cash = [bt.run_backtest(one, {"x": (0.0, 0.0, 1, 9)}, capital=1000.0, commission=0.0, size=s).first().final_cash for s in (1.0, 0.5)]
+    assert cash == [1000 + 95 * 2, 1000 + 47 * 2]
+
+
+def test_volatility_without_risk_takes_the_largest_position(spark):
+    got = portfolio.volatility_targeting(make(spark, [5.0] * 30)).orderBy("rn").collect()
+    assert got[0].position == 0.5 and got[-1].position == 1.0
+
+
+def test_csv_sink_resumes(spark, tmp_path):
+    rows = lambda n: spark.range(n).select(F.col("id").cast("string").alias("symbol"), F.lit("s").alias("summary"))
+    path = str(tmp_path / "out")
+    assert dimensions.append_csv(rows(3), path, "symbol") == 3 and dimensions.append_csv(rows(5), path, "symbol") == 2
+    assert sorted(r.symbol for r in spark.read.option("header", True).csv(path).collect()) == list("01234")
+
+
+def test_keywords_beyond_one_block(spark, monkeypatch):
+    monkeypatch.setattr(news, "BLOCK", 2)
+    words = spark.createDataFrame([(w, "S", "E", "positive", 1.0) for w in ("aa", "bb", "cc", "dd", "ee")], "keyword string, sector string, etf string, direction string, weight double")
+    texts = spark.createDataFrame([(1, "AA dd"), (2, "ee")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.keyword) for r in news.match_keywords(texts, words).collect()) == [(1, "aa"), (1, "dd"), (2, "ee")]
+    assert news.match_keywords(texts, words.limit(0)).count() == 0
