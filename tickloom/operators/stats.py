@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import div, first_match, ordered
-from .signals import long_signals
+from .signals import active_signals, long_signals
 
 col = F.col
 HORIZONS = (1, 3, 5, 10, 20)
@@ -61,3 +61,28 @@ def report(stats: DataFrame) -> DataFrame:
     lines = stats.select("ticker", F.struct("signal", "horizon", line.alias("line")).alias("l")).groupBy("ticker").agg(F.array_sort(F.collect_list("l")).alias("l"))
     head = "| signal | horizon | events | mean | win rate |\n|---|---|---|---|---|\n"
     return lines.select("ticker", F.concat(F.lit("# "), "ticker", F.lit("\n\n" + head), F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("markdown"))
+
+
+def full_report(detected: DataFrame) -> DataFrame:
+    """A Markdown report per ticker of bars with signals: active signals, statistics, verdict."""
+    stats = signal_stats(detected, least=1)
+    verdict = overall_judgement(judge_signals(stats))
+    active = active_signals(detected).groupBy("ticker").agg(F.array_sort(F.collect_list(F.format_string("- %s (%s, %d)", "signal", "direction", "occurrences"))).alias("active"))
+    tables = report(stats.where("events >= 3")).select("ticker", F.substring_index("markdown", "\n\n", -1).alias("table"))
+    out = detected.select("ticker").distinct().join(active, "ticker", "left").join(tables, "ticker", "left").join(verdict, "ticker", "left")
+    said = F.when(
+        col("overall").isNull(), "no events"
+    ).otherwise(F.format_string("%s: %d bullish and %d bearish signals, %d samples", "overall", "n_bullish", "n_bearish", "samples"))
+    parts = [
+        F.concat(F.lit("# "), col("ticker")),
+        F.lit("## Active signals"), F.coalesce(F.array_join("active", "\n"), F.lit("none")),
+        F.lit("## Statistics"), F.coalesce("table", F.lit("too few events")),
+        F.lit("## Verdict"), said,
+    ]
+    return out.select("ticker", F.concat_ws("\n\n", *parts).alias("markdown"))
+
+
+def print_reports(reports: DataFrame) -> None:
+    """The reports on standard output, one ticker at a time."""
+    for row in reports.orderBy("ticker").toLocalIterator():
+        print(row["markdown"], end="\n\n")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import whole
 from ..operators import backtest as bt
-from ..operators import chart_data, factors, indicators, portfolio, signals, similarity, strategies
+from ..operators import chart_data, factors, indicators, portfolio, screener, signals, similarity, stats, strategies
 from ..sources import bars as sources
 
 col = F.col
@@ -108,3 +108,23 @@ def quotes(bars: DataFrame, wanted: list[str] | None = None, most: int = 20) ->
 
 def latest_factors(bars: DataFrame, ticker: str | None = None) -> DataFrame:
     return factors.latest_factors(factors.add_all_factors(_of(bars, ticker)))
+
+
+def regimes(bars: DataFrame, ticker: str | None = None, period: str = "1y", hold: str = "medium") -> DataFrame:
+    """Span of the bars and market regime."""
+    return portfolio.regime_info(factors.add_all_factors(_of(bars, ticker, period)), hold)
+
+
+def best_strategies(bars: DataFrame, ticker: str | None = None, period: str = "1y", hold: str = "medium") -> DataFrame:
+    """The strategies that the portfolios choose from."""
+    return portfolio.top_strategies(_voted(bars, ticker, period), profile=hold)
+
+
+def screen(bars: DataFrame, n: int = 100, period: str = "6mo", hold: str = "medium", show: int = 30) -> DataFrame:
+    """The best tickers by total points."""
+    return screener.screen(bars, n, show, period=period, profile=hold)
+
+
+def report(bars: DataFrame, ticker: str | None = None, period: str = "2y") -> DataFrame:
+    """Markdown reports of signals."""
+    return stats.full_report(signals.detect_all(_of(bars, ticker, period)))

@@ -288,6 +288,20 @@ register("overall_judgements", lambda s, d: shown(stats.overall_judgement(stats.
 register("signal_report", lambda s, d: stats.report(stats.signal_stats(_signals(s, d))), o.query(*_SIGNAL_SQL, """j AS (
     SELECT ticker, signal, h, count(*) AS n, avg(ret) AS m, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0 END) AS win FROM pk GROUP BY 1, 2, 3 HAVING count(*) >= 3
 )""", select="SELECT ticker, '# ' || ticker || chr(10) || chr(10) || '| signal | horizon | events | mean | win rate |' || chr(10) || '|---|---|---|---|---|' || chr(10) || string_agg(printf('| %s | %d | %d | %.2f%% | %.1f%% |', signal, h, n, m * 100, win * 100), chr(10) ORDER BY signal, h) AS markdown FROM j GROUP BY ticker"))
+register("full_report", lambda s, d: stats.full_report(_signals(s, d)), o.query(*_SIGNAL_SQL, """j AS (
+    SELECT ticker, signal, h, count(*) AS n, avg(ret) AS m, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0 END) AS win FROM pk GROUP BY 1, 2, 3
+), tb AS (
+    SELECT ticker, '| signal | horizon | events | mean | win rate |' || chr(10) || '|---|---|---|---|---|' || chr(10) || string_agg(printf('| %s | %d | %d | %.2f%% | %.1f%% |', signal, h, n, m * 100, win * 100), chr(10) ORDER BY signal, h) AS t
+    FROM j WHERE n >= 3 GROUP BY 1
+), t AS (
+    SELECT ticker, count(*) FILTER (n >= 10 AND win >= 0.6 AND m > 0) AS up, count(*) FILTER (n >= 10 AND win <= 0.45 AND m < 0) AS down, CAST(sum(n) AS BIGINT) AS samples FROM j WHERE h = 5 GROUP BY 1
+), a AS (
+    SELECT ticker, string_agg(printf('- %s (%s, %d)', signal, direction, occurrences), chr(10) ORDER BY printf('- %s (%s, %d)', signal, direction, occurrences)) AS l FROM act GROUP BY 1
+)""", select="""
+SELECT n.ticker, '# ' || n.ticker || chr(10) || chr(10) || '## Active signals' || chr(10) || chr(10) || coalesce(l, 'none') || chr(10) || chr(10) || '## Statistics' || chr(10) || chr(10) || coalesce(tb.t, 'too few events')
+    || chr(10) || chr(10) || '## Verdict' || chr(10) || chr(10) || CASE WHEN t.ticker IS NULL THEN 'no events'
+    ELSE printf('%s: %d bullish and %d bearish signals, %d samples', CASE WHEN up > down THEN 'bullish' WHEN down > up THEN 'bearish' ELSE 'neutral' END, up, down, samples) END AS markdown
+FROM n LEFT JOIN a ON a.ticker = n.ticker LEFT JOIN tb ON tb.ticker = n.ticker LEFT JOIN t ON t.ticker = n.ticker"""))
 
 # ---- chart data
 register("fibonacci_levels", lambda s, d: shown(chart_data.fibonacci_levels(sources.bars_orders(s, d), within=0.9)), o.query(o.ORDERS, f"z AS (SELECT *, max(rn) {o.ALL} AS newest FROM bars), y AS (SELECT ticker, min(low) AS lo, max(high) AS hi, arg_max(close, rn) AS close FROM z WHERE rn > newest - 120 GROUP BY 1), x AS (SELECT ticker, close, ratio, lo + (hi - lo) * ratio AS level FROM y, unnest([0.236, 0.382, 0.5, 0.618, 0.786]) AS u(ratio))", select=f"SELECT ticker, {o.num('CAST(ratio AS DOUBLE)')} AS ratio, {o.num('level')} AS level FROM x WHERE abs(level - close) / nullif(close, 0) < 0.9"))
