@@ -60,7 +60,7 @@ CHUNK_BITS, CHUNK_ANCHORS = 18, 500_000
 #: Bits of the tables of documents to scan and to cut.
 DOC_BITS = 24
 #: Anchors, and segment bytes, that a task gathers before it sends them off.
-FLUSH_ANCHORS, FLUSH = 1 << 19, 4 << 20
+FLUSH_ANCHORS, FLUSH = 1 << 19, 8 << 20
 #: Removed spans that a task gathers before it sends them off, and bytes of the texts that meet their spans at a time.
 FLUSH_SPANS, TEXT_BYTES = 200_000, 4 << 20
 #: Copies of a crowded segment in one row, so that rows are alike in the work they bring.
@@ -68,6 +68,9 @@ LISTED = 64
 #: Tables of anchors that are merged at a time.
 MERGED = 64
 _PLACE = (1 << 28) - 1
+#: What goes with a packed segment: document, tag of its text, place in it, place of the anchor in the segment, length.
+_KINDS = [np.dtype(x) for x in ("<i8", "<i4", "<i4", "<i2", "<i2")]
+_KINDS_BYTES = sum(k.itemsize for k in _KINDS)
 
 
 def blocks(column, minimum: int):
@@ -301,19 +304,20 @@ def _gathered(source: DataFrame, keep, tables, minimum: int, buckets: int) -> Da
         size = 0
 
         def packed():
-            h, doc, tag, at, left, length = (np.concatenate([x[i] for x in held]) for i in range(6))
+            h, length = (np.concatenate([x[i] for x in held]) for i in (0, 5))
             raw = np.concatenate([x[6] for x in held])
             begin = np.cumsum(length) - length
             bucket = (tx.mix(h) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             firsts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
             ends = np.append(firsts[1:], len(order))
-            lists = pa.array(np.append(firsts, len(order)), pa.int32())
-            column = lambda v, t: pa.ListArray.from_arrays(lists, pa.array(v[order], t))
+            columns = [np.concatenate([x[i] for x in held])[order].astype(kind) for i, kind in enumerate(_KINDS, 1)]
             moved = raw[_ragged(begin[order], length[order])]
             cuts = np.concatenate([[0], np.cumsum(length[order])])
-            blobs = [moved[cuts[a] : cuts[b]].tobytes() for a, b in zip(firsts.tolist(), ends.tolist(), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(bucket[order][firsts]), column(h.view(np.int64), pa.int64()), column(doc, pa.int64()), column(tag, pa.int32()), column(at, pa.int32()), column(left, pa.int16()), column(length, pa.int16()), pa.array(blobs, pa.binary())], names=["bucket", "h", "doc", "tag", "at", "left", "length", "raw"])
+            small = lambda x: pa.compress(x, "zstd", asbytes=True)
+            facts = [small(b"".join(c[a:b].tobytes() for c in columns)) for a, b in zip(firsts.tolist(), ends.tolist(), strict=True)]
+            blobs = [small(moved[cuts[a] : cuts[b]].tobytes()) for a, b in zip(firsts.tolist(), ends.tolist(), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[order][firsts]), pa.array(ends - firsts, pa.int32()), pa.array(facts, pa.binary()), pa.array(blobs, pa.binary())], names=["bucket", "n", "facts", "raw"])
 
         for batch in batches:
             part = _kept(batch, keep.value)
@@ -333,7 +337,7 @@ def _gathered(source: DataFrame, keep, tables, minimum: int, buckets: int) -> Da
         if held:
             yield packed()
 
-    return source.mapInArrow(run, "bucket long, h array<long>, doc array<long>, tag array<int>, at array<int>, left array<smallint>, length array<smallint>, raw binary")
+    return source.mapInArrow(run, "bucket long, n int, facts binary, raw binary")
 
 
 def _ragged(begin, length):
@@ -375,13 +379,18 @@ _SPANS = "bucket long, doc array<long>, tag array<int>, start array<long>, end a
 
 def _expand(group: pa.Table, minimum: int, doc_buckets: int) -> pa.Table:
     """Removed spans of one bucket."""
-    flat = lambda c: group.column(c).combine_chunks().flatten().to_numpy()
-    h, doc, tag, at = flat("h").view(np.uint64), flat("doc"), flat("tag"), flat("at")
-    left, length = flat("left").astype(np.int64), flat("length").astype(np.int64)
-    raw = np.frombuffer(b"".join(group.column("raw").to_pylist()), np.uint8)
+    columns, parts = [[] for _ in _KINDS], []
+    for n, facts, small in zip(*(group.column(c).to_pylist() for c in ("n", "facts", "raw")), strict=True):
+        facts, at = pa.decompress(facts, n * _KINDS_BYTES, "zstd", asbytes=True), 0
+        for own, kind in zip(columns, _KINDS, strict=True):
+            own.append(np.frombuffer(facts, kind, n, at))
+            at += n * kind.itemsize
+        parts.append(pa.decompress(small, int(columns[-1][-1].sum(dtype=np.int64)), "zstd", asbytes=True))
+    doc, tag, at, left, length = (np.concatenate(c) for c in columns)
+    left, length, raw = left.astype(np.int64), length.astype(np.int64), np.frombuffer(b"".join(parts), np.uint8)
     begin = np.cumsum(length) - length
     # equal segments are one string, kept by its smallest document; a hash brings them together, their bytes decide
-    alike = tx.mix(tx.Rolling(tx.byte_values()[raw]).spans(begin, begin + length) + h + left.astype(np.uint64))
+    alike = tx.mix(tx.Rolling(tx.byte_values()[raw]).spans(begin, begin + length) + left.astype(np.uint64))
     order = np.lexsort((doc, length, alike))
     new = np.ones(len(order), bool)
     new[1:] = (alike[order][1:] != alike[order][:-1]) | (length[order][1:] != length[order][:-1])
