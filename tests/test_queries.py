@@ -3,9 +3,33 @@
 import pytest
 from conftest import rows
 
+from tickloom.functions.storage import stored
 from tickloom.plans import queries as q
 
 
+@pytest.fixture(scope="module", autouse=True)
+def shared_steps(spark, data):
+    """Factors, signals, votes and back-tests are computed once and read by all queries of this module."""
+    kept = {}
+
+    def once(name):
+        make = getattr(q, name)
+
+        def get(s, d, **options):
+            if options:
+                return make(s, d, **options)
+            if name not in kept:
+                kept[name] = stored(make(s, d), name.strip("_"))
+            return kept[name]
+
+        return get
+
+    with pytest.MonkeyPatch.context() as patch:
+        for name in ("_factors", "_signals", "_strategies", "_results"):
+            patch.setattr(q, name, once(name))
+        yield
+
+
 @pytest.mark.parametrize("name", sorted(q.ORACLES))
 def test_matches_sql(spark, data, duck, name):
     got, want = q.QUERIES[name](spark, data).toPandas(), duck.execute(q.ORACLES[name]).df()
