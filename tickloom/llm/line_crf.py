@@ -87,7 +87,7 @@ def analyse(data: np.ndarray, offsets: np.ndarray):
     ends = np.concatenate([np.flatnonzero(data == 10), [len(data)]])
     begin = np.maximum(offsets[line_row], np.concatenate([[-1], ends])[np.searchsorted(ends, start[w0])] + 1) if len(w0) else w0
     finish = np.minimum(offsets[line_row + 1], ends[np.searchsorted(ends, end[w1 - 1] - 1)]) if len(w0) else w0
-    whole = tx.Rolling(tx.byte_values()[data]).spans(begin, finish) if len(w0) else np.zeros(0, np.uint64)
+    whole = tx.word_hashes(data, begin, finish) if len(w0) else np.zeros(0, np.uint64)
     keyed = tx.mix(whole ^ (line_row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
     order = np.argsort(keyed, kind="stable")
     duplicate = np.zeros(len(w0), bool)
