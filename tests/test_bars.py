@@ -234,3 +234,10 @@ def test_keywords_beyond_one_block(spark, monkeypatch):
     texts = spark.createDataFrame([(1, "AA dd"), (2, "ee")], "doc_id long, text string")
     assert sorted((r.doc_id, r.keyword) for r in news.match_keywords(texts, words).collect()) == [(1, "aa"), (1, "dd"), (2, "ee")]
     assert news.match_keywords(texts, words.limit(0)).count() == 0
+
+
+def test_registries(spark):
+    known = {r.factor: r for r in factors.factor_registry(spark).collect()}
+    assert known["rsi_14"].panel == "sub_momentum" and known["ma5"].category == "base" and known["cci_20"].panel is None
+    assert len(known) == len(factors.factor_registry(spark).collect()) and {n for names in factors.PANELS.values() for n in names} <= set(known)
+    assert signals.registry(spark).count() == 34 and strategies.registry(spark).count() == 20

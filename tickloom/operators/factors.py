@@ -111,9 +111,25 @@ GROUPS = {
 }
 
 
+# The panels of a chart and the columns that each shows.
+PANELS = {
+    "main": [
+        "ma5", "ma10", "ma20", "ma60", "ema12", "ema26", "ema50", "bb_upper", "bb_mid", "bb_lower", "keltner_upper", "keltner_mid", "keltner_lower", "atr_upper_20", "atr_lower_20", "vwap",
+        "ichimoku_conv", "ichimoku_base", "ichimoku_span_a", "ichimoku_span_b", "donchian_high", "donchian_low", "pivot_pp", "pivot_r1", "pivot_s1",
+    ],
+    "sub_momentum": ["rsi_14", "rsi_28", "stochastic_k", "stochastic_d", "macd_hist", "roc_10", "williams_r"],
+    "sub_volatility": ["hist_vol_20", "vol_rank", "bb_width_pct", "bb_squeeze_rank"],
+    "sub_volume": ["volume_ratio", "obv", "ad_line"],
+    "sub_directional": ["adx_14", "di_plus", "di_minus", "trend_strength"],
+}
+
+
 def factor_registry(spark) -> DataFrame:
-    """Dimension of factors: name, category, place."""
-    return spark.createDataFrame([(name, group, i) for group, names in GROUPS.items() for i, name in enumerate(names)], "factor string, category string, place int")
+    """Dimension of factors: name, label, category, panel of the chart (null if none shows it), place."""
+    panel = {name: p for p, names in PANELS.items() for name in names}
+    known = [(name, group) for group, names in GROUPS.items() for name in names] + [(name, "base") for name in PANELS["main"] if not any(name in names for names in GROUPS.values())]
+    rows = [(name, name.replace("_", " "), group, panel.get(name), i) for i, (name, group) in enumerate(known)]
+    return spark.createDataFrame(rows, "factor string, label string, category string, panel string, place int")
 
 
 def latest_factors(df: DataFrame) -> DataFrame:

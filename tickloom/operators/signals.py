@@ -27,7 +27,8 @@ KEYS = list(REGISTRY)
 
 
 def registry(spark) -> DataFrame:
-    return spark.createDataFrame([(k, d, i) for i, (k, d) in enumerate(REGISTRY.items())], "signal string, direction string, place int")
+    """Dimension of signals: key, label, direction, place."""
+    return spark.createDataFrame([(k, k.replace("_", " "), d, i) for i, (k, d) in enumerate(REGISTRY.items())], "signal string, label string, direction string, place int")
 
 
 def _no(cond):

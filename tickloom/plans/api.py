@@ -41,6 +41,14 @@ def strategy_registry(spark) -> DataFrame:
     return strategies.registry(spark)
 
 
+def factor_registry(spark) -> DataFrame:
+    return factors.factor_registry(spark)
+
+
+def signal_registry(spark) -> DataFrame:
+    return signals.registry(spark)
+
+
 def _voted(bars, ticker, period) -> DataFrame:
     return strategies.with_strategies(factors.add_all_factors(_of(bars, ticker, period)))
 
