@@ -189,8 +189,9 @@ def _heavy(pairs: DataFrame) -> DataFrame | None:
     """(heavy_id, shares) of the ids with more than a hundredth of all pairs: two hundred at most; None if there are none."""
     total = pairs.count()
     ends = pairs.select(F.explode(F.array("a", "b")).alias("heavy_id")).groupBy("heavy_id").agg(F.count("*").alias("n"))
-    some = stored(ends.where(F.col("n") > max(total // 100, 16)).select("heavy_id", F.ceil(F.col("n") / max(total // 200, 8)).cast("int").alias("shares")), "heavy")
-    return None if some.isEmpty() else some
+    some = ends.where(F.col("n") > max(total // 100, 16)).select("heavy_id", F.ceil(F.col("n") / max(total // 200, 8)).cast("int").alias("shares"))
+    rows = some.collect()  # two hundred at most
+    return pairs.sparkSession.createDataFrame(rows, some.schema) if rows else None
 
 
 def _met(pairs: DataFrame, rows: DataFrame, end: str, heavy: DataFrame | None) -> DataFrame:
