@@ -424,12 +424,15 @@ def _trade_log(s: SparkSession, d: str, **options) -> DataFrame:
 
 
 _LOG = f"SELECT ticker, strategy, exit_rn, {o.num('return_pct')} AS return_pct, hold_bars, reason FROM fold_trades"
-# backtest_trades has the trades that a rule closed; backtest_trade_log also those closed after the last bar.
+# the trades by entry and exit, and as a log; both have the positions closed after the last bar
 register(
     "backtest_trades",
-    lambda s, d: _trade_log(s, d).where("reason <> 'force_close'"),
-    o.recursive(*_VOTED, o.votes(_OWN), o.fold("v", "fold"), select=_LOG + " WHERE reason <> 'force_close'"),
-)
+    lambda s, d: _trade_log(s, d).withColumn("entry_rn", F.col("exit_rn") - F.col("hold_bars")).select("ticker", "strategy", "entry_rn", "exit_rn", "return_pct", "reason"),
+    o.recursive(
+        *_VOTED, o.votes(_OWN), o.fold("v", "fold"),
+        select=f"SELECT ticker, strategy, exit_rn - hold_bars AS entry_rn, exit_rn, {o.num('return_pct')} AS return_pct, reason FROM fold_trades",
+    ),
+)
 register("backtest_trade_log", _trade_log, o.recursive(*_VOTED, o.votes(_OWN), o.fold("v", "fold"), select=_LOG))
 register(
     "backtest_worst_case",
