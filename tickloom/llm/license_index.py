@@ -10,8 +10,10 @@ mandatory key phrase stands at its relative place, and the share of template
 words in place is high enough.  *Base* templates demand every word; they give the
 counts and places of the scan.
 
-Everything happens within the row: the only shuffle is the partial aggregate of
-the document frequencies, one row per index word and task.
+One scan of the texts keeps the template words of each, and all words of those that
+have every word of some key phrase; it is stored.  Everything else happens within the
+row: the only shuffle is the partial aggregate of the document frequencies, one row
+per template word and task.
 
 Words are runs of ASCII letters and digits and of characters from U+0080 up, after
 lower-casing A-Z.  Null text is empty; without words all counts are zero, places
@@ -22,11 +24,15 @@ give no rows, extra columns are ignored.  Ties in frequency go to the smaller wo
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import stored
+
 
 class Template(NamedTuple):
     label: str
@@ -63,19 +69,30 @@ def words(text: Column) -> Column:
     return F.when(F.length(spaced) == 0, F.array().cast("array<string>")).otherwise(F.split(spaced, " "))
 
 
-def document_frequencies(docs: DataFrame, text: str, vocabulary: list[str]) -> tuple[int, dict[str, int]]:
-    """Number of documents, and in how many each word of the (fixed) vocabulary occurs."""
-    known = F.array(*map(F.lit, vocabulary))
-    seen = docs.select(words(F.col(text)).alias("w")).select(F.explode(F.concat(F.array_intersect("w", known), F.array(F.lit("")))).alias("word"))
-    counts = dict(seen.groupBy("word").count().collect())  # at most one row per vocabulary word
-    return counts.pop("", 0), counts
+def analysed(docs: DataFrame, *, doc_id="doc_id", text="text", templates=TEMPLATES) -> DataFrame:
+    """id, n_words, the template words ``present``, and the words ``w`` of texts that have all words of a key phrase.
+
+    Other texts can't match, so they keep no words: the one scan of the texts.
+    """
+    known = F.array(*map(F.lit, sorted({w for t in templates for w in t.text.split()})))
+    keys = [F.array(*map(F.lit, k)) for k in sorted({tuple(sorted(set(t.key.split()))) for t in templates})]
+    split = docs.select(F.col(doc_id).alias("id"), words(F.col(text)).alias("w"))
+    seen = split.select("id", "w", F.array_intersect("w", known).alias("present"))
+    may = reduce(or_, (F.size(F.array_except(k, F.col("present"))) == 0 for k in keys))
+    return stored(seen.select("id", F.size("w").cast("long").alias("n_words"), "present", F.when(may, F.col("w")).otherwise(F.array().cast("array<string>")).alias("w")), "licences")
+
+
+def document_frequencies(found: DataFrame) -> tuple[int, dict[str, int]]:
+    """Number of documents, and in how many each template word occurs: at most one row for each."""
+    counts = dict(found.select(F.explode("present").alias("word")).groupBy("word").count().collect())
+    return found.count(), counts
 
 
-def build_index(docs: DataFrame, *, text="text", templates=TEMPLATES, rare=4):
+def build_index(found: DataFrame, *, templates=TEMPLATES, rare=4):
     """Postings word -> [(template, place)] for each template's ``rare`` words of highest IDF, and the IDFs."""
     split = [t.text.split() for t in templates]
     vocabulary = sorted({w for s in split for w in s})
-    n, df = document_frequencies(docs, text, vocabulary)
+    n, df = document_frequencies(found)
     idf = {w: math.log((1 + n) / (1 + df.get(w, 0))) + 1 for w in vocabulary}
     postings: dict[str, list[tuple[int, int]]] = {}
     for t, s in enumerate(split):
@@ -93,7 +110,8 @@ def _struct(**values) -> Column:
 def scan(docs: DataFrame, *, doc_id="doc_id", text="text", templates=TEMPLATES, rare=4, agree=2, share=0.75) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and ``matches``
     (template label, first word, share, base) of every row."""
-    postings, _ = build_index(docs, text=text, templates=templates, rare=rare)
+    analysis = analysed(docs, doc_id=doc_id, text=text, templates=templates)
+    postings, _ = build_index(analysis, templates=templates, rare=rare)
     index_words = F.array(*map(F.lit, sorted(postings))).cast("array<string>")
     lookup = F.create_map(*[x for w in sorted(postings) for x in (F.lit(w), F.array(*(_struct(t=F.lit(t), p=F.lit(p)) for t, p in postings[w])))])
 
@@ -112,10 +130,9 @@ def scan(docs: DataFrame, *, doc_id="doc_id", text="text", templates=TEMPLATES,
         ))
     table = F.array(*facts)
 
-    split = docs.select(F.col(doc_id).alias("id"), words(F.col(text)).alias("w"))
-    marked = split.select("id", "w", F.when(F.arrays_overlap("w", index_words), F.filter(F.transform("w", lambda w, i: _struct(w=w, i=i)), lambda m: F.array_contains(index_words, m["w"]))).alias("marks"))
+    marked = analysis.select("id", "n_words", "w", F.when(F.arrays_overlap("w", index_words), F.filter(F.transform("w", lambda w, i: _struct(w=w, i=i)), lambda m: F.array_contains(index_words, m["w"]))).alias("marks"))
     starts = F.array_distinct(F.flatten(F.transform("marks", lambda m: F.transform(F.element_at(lookup, m["w"]), lambda x: _struct(t=x["t"], at=m["i"] - x["p"])))))
-    started = marked.select("id", "w", F.filter(starts, lambda s: s["at"] >= 0).alias("starts"))
+    started = marked.select("id", "n_words", "w", F.filter(starts, lambda s: s["at"] >= 0).alias("starts"))
 
     def word(i: Column) -> Column:
         return F.get(F.col("w"), i)
@@ -127,7 +144,7 @@ def scan(docs: DataFrame, *, doc_id="doc_id", text="text", templates=TEMPLATES,
         same = F.size(F.filter(F.transform(f["own"], lambda o, j: word(s["at"] + j).eqNullSafe(o)), lambda x: x)) / F.size(f["own"])
         return _struct(label=f["label"], first_word=s["at"].cast("long"), share=F.when((agreeing >= f["agree"]) & keyed & (same >= f["share"]), same), base=f["base"])
 
-    found = started.select("id", F.size("w").cast("long").alias("n_words"), F.coalesce(F.filter(F.transform("starts", judged), lambda x: x["share"].isNotNull()), F.array().cast("array<struct<label:string,first_word:bigint,share:double,base:boolean>>")).alias("matches"))
+    found = started.select("id", "n_words", F.coalesce(F.filter(F.transform("starts", judged), lambda x: x["share"].isNotNull()), F.array().cast("array<struct<label:string,first_word:bigint,share:double,base:boolean>>")).alias("matches"))
     found = found.withColumn("base", F.filter("matches", lambda x: x["base"]))
     firsts = F.transform("base", lambda x: x["first_word"])
     label_list = lambda c: F.array_join(F.array_sort(F.array_distinct(F.transform(c, lambda x: x["label"]))), ",")

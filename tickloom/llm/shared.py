@@ -41,7 +41,7 @@ def heavy_keys_aside(rows: DataFrame, key: str, having: Column, best: Column, to
     """``rows`` with an aggregate of all rows of their ``key``, null where ``having`` is false or the key has one row.
 
     Keys with more than a hundredth of all ``total`` rows are under a hundred, so they
-    are broadcast and their rows stay where they are; only the others meet by key.
+    are broadcast and their rows dealt evenly; only the others meet by key.
     ``facts``: the rows to aggregate, if they are not ``rows`` themselves.
     """
     groups = (rows.where(having) if facts is None else facts).groupBy(key).agg(best, F.count("*").alias("copies")).where("copies > 1")
