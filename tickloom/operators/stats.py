@@ -57,7 +57,8 @@ def overall_judgement(judged: DataFrame) -> DataFrame:
 
 def report(stats: DataFrame) -> DataFrame:
     """A Markdown table per ticker, as one string; a ticker has at most one line per signal and horizon."""
-    line = F.format_string("| %s | %d | %d | %.2f%% | %.1f%% |", "signal", "horizon", "events", col("mean") * 100, col("win_rate") * 100)
+    share = lambda c, places: F.round(col(c) * 100 + F.lit(1e-9), places)  # noqa: E731 - ties are rounded up by any engine
+    line = F.format_string("| %s | %d | %d | %.2f%% | %.1f%% |", "signal", "horizon", "events", share("mean", 2), share("win_rate", 1))
     lines = stats.select("ticker", F.struct("signal", "horizon", line.alias("line")).alias("l")).groupBy("ticker").agg(F.array_sort(F.collect_list("l")).alias("l"))
     head = "| signal | horizon | events | mean | win rate |\n|---|---|---|---|---|\n"
     return lines.select("ticker", F.concat(F.lit("# "), "ticker", F.lit("\n\n" + head), F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("markdown"))

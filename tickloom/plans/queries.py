@@ -736,11 +736,11 @@ register("overall_judgements", lambda s, d: shown(stats.overall_judgement(stats.
 )""", select="SELECT *, CASE WHEN n_bullish > n_bearish THEN 'bullish' WHEN n_bearish > n_bullish THEN 'bearish' ELSE 'neutral' END AS overall FROM t"))
 register("signal_report", lambda s, d: stats.report(stats.signal_stats(_signals(s, d))), o.query(*_SIGNAL_SQL, """j AS (
     SELECT ticker, signal, h, count(*) AS n, avg(ret) AS m, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0 END) AS win FROM pk GROUP BY 1, 2, 3 HAVING count(*) >= 3
-)""", select="SELECT ticker, '# ' || ticker || chr(10) || chr(10) || '| signal | horizon | events | mean | win rate |' || chr(10) || '|---|---|---|---|---|' || chr(10) || string_agg(printf('| %s | %d | %d | %.2f%% | %.1f%% |', signal, h, n, m * 100, win * 100), chr(10) ORDER BY signal, h) AS markdown FROM j GROUP BY ticker"))
+)""", select="SELECT ticker, '# ' || ticker || chr(10) || chr(10) || '| signal | horizon | events | mean | win rate |' || chr(10) || '|---|---|---|---|---|' || chr(10) || string_agg(printf('| %s | %d | %d | %.2f%% | %.1f%% |', signal, h, n, round(m * 100 + 1e-9, 2), round(win * 100 + 1e-9, 1)), chr(10) ORDER BY signal, h) AS markdown FROM j GROUP BY ticker"))
 register("full_report", lambda s, d: stats.full_report(_signals(s, d)), o.query(*_SIGNAL_SQL, """j AS (
     SELECT ticker, signal, h, count(*) AS n, avg(ret) AS m, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0 END) AS win FROM pk GROUP BY 1, 2, 3
 ), tb AS (
-    SELECT ticker, '| signal | horizon | events | mean | win rate |' || chr(10) || '|---|---|---|---|---|' || chr(10) || string_agg(printf('| %s | %d | %d | %.2f%% | %.1f%% |', signal, h, n, m * 100, win * 100), chr(10) ORDER BY signal, h) AS t
+    SELECT ticker, '| signal | horizon | events | mean | win rate |' || chr(10) || '|---|---|---|---|---|' || chr(10) || string_agg(printf('| %s | %d | %d | %.2f%% | %.1f%% |', signal, h, n, round(m * 100 + 1e-9, 2), round(win * 100 + 1e-9, 1)), chr(10) ORDER BY signal, h) AS t
     FROM j WHERE n >= 3 GROUP BY 1
 ), t AS (
     SELECT ticker, count(*) FILTER (n >= 10 AND win >= 0.6 AND m > 0) AS up, count(*) FILTER (n >= 10 AND win <= 0.45 AND m < 0) AS down, CAST(sum(n) AS BIGINT) AS samples FROM j WHERE h = 5 GROUP BY 1
