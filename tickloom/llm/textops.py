@@ -8,6 +8,7 @@ batch is.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 
 import numpy as np
@@ -63,6 +64,15 @@ def pieces(column, limit: int = SLICE_BYTES):
         end = min(max(end, row + 1), rows)
         yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
+    release()
+
+
+def release() -> None:
+    """Give free memory back to the system: Spark keeps its Python workers, and those of several stages add up."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray):
