@@ -222,10 +222,29 @@ def _rejoined(docs: DataFrame, verdicts: DataFrame, doc_id: str, how: str) -> Da
     return docs.join(verdicts, docs[doc_id].eqNullSafe(verdicts["__id"]), how)
 
 
-def remove_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows that are not contaminated, all columns kept; one scan, no shuffle."""
-    found = scan(docs, benchmark, carry=docs.columns, **options).where("not contaminated")
-    return found.select(*(F.col(f"carried_{i}").alias(c) for i, c in enumerate(docs.columns)))
+def remove_documents(docs: DataFrame, benchmark: DataFrame, *, text="text", item_id="item_id", item_text="text", size=13, share=20, block_bytes=BLOCK_BYTES, **options) -> DataFrame:
+    """The rows that are not contaminated, all columns kept; one scan, no shuffle, for a benchmark of one block."""
+    blocks = list(itertools.islice(item_blocks(benchmark, item_id, item_text, block_bytes), 2))
+    if len(blocks) > 1:
+        found = scan(docs, benchmark, text=text, item_id=item_id, item_text=item_text, size=size, share=share, block_bytes=block_bytes, carry=docs.columns, **options)
+        return found.where("not contaminated").select(*(F.col(f"carried_{i}").alias(c) for i, c in enumerate(docs.columns)))
+    index = docs.sparkSession.sparkContext.broadcast(WindowIndex(blocks[0] if blocks else [], size))
+
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
+        """Only texts go to Python, and only verdicts come back."""
+        out = []
+        for row0, row1, data, offsets in tx.pieces(texts):
+            data = tx.LOWER[data]
+            start, end, row = tx.words(data, offsets, tx.ALNUM)
+            found = [(j, j + n) for j, n, _ in index.value.hits(data, start, end, row, tx.word_hashes(data, start, end))]
+            marks = np.array(found, np.int64).reshape(-1, 2)
+            n_words = np.bincount(row, minlength=row1 - row0)
+            n_hit = np.bincount(row[tx.covered(len(start), marks[:, 0], marks[:, 1])], minlength=row1 - row0)
+            out.append((n_hit == 0) | (share * n_hit < n_words))
+        return pa.array(np.concatenate(out) if out else np.zeros(0, bool))
+
+    return docs.where(clean(F.col(f"`{text}`")))
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, *, doc_id="doc_id", text="text", **options) -> DataFrame:

@@ -227,6 +227,15 @@ def accept(docs: DataFrame, model: Model, *, text="text", least_score=0.5) -> Da
     """
     if not model.languages:
         return docs.where(F.col(f"`{text}`").rlike(r"\p{L}"))
-    found = predict(docs, model, text=text, carry=docs.columns).toDF(*(f"carried_{i}" for i in range(len(docs.columns))), "lang_pred", "score")
-    kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
-    return kept.select(*(F.col(f"carried_{i}").alias(c) for i, c in enumerate(docs.columns)))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("boolean")
+    def clear(texts: pa.Array) -> pa.Array:
+        """Only texts go to Python, and only verdicts come back."""
+        m, alphabet, out = shared.value, _alphabet(), []
+        for _, _, data, offsets in _blocks(texts, 4096):
+            logits, counts = m.logits(data, offsets, alphabet)
+            out.append((counts > 0) & (_softmax(logits / m.temperature).max(axis=1) >= least_score))
+        return pa.array(np.concatenate(out) if out else np.zeros(0, bool))
+
+    return docs.where(clear(F.col(f"`{text}`")))

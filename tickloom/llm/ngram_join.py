@@ -326,19 +326,15 @@ def one_per_component(docs: DataFrame, *, doc_id="doc_id", text="text", **option
     found = jaccard_components(keyed, doc_id=key, text=text, **options)
     gone = stored(found.where(F.col(key) != F.col("component_id")).select(key), "gone")
     table = docs.sparkSession.sparkContext.broadcast(bit_table(gone.select(F.xxhash64(key).alias("h")), "h", COMMON_BITS))
-    marked = keyed.withColumn(mark, F.xxhash64(key))
-    last = len(keyed.columns)
 
-    def split(inside: bool):
-        def run(batches):
-            for batch in batches:
-                hit = in_table(table.value, batch.column(last).to_numpy().view(np.uint64))
-                yield batch.filter(pa.array(hit == inside))
-
-        return marked.mapInArrow(run, marked.schema).drop(mark)
+    @F.arrow_udf("boolean")
+    def may_go(h: pa.Array) -> pa.Array:
+        return pa.array(in_table(table.value, h.to_numpy().view(np.uint64)))
 
+    marked = keyed.withColumn(mark, may_go(F.xxhash64(key)))  # texts stay where they are
+    stay, doubtful = marked.where(~F.col(mark)).drop(mark), marked.where(mark).drop(mark)
     # only rows whose key may be gone travel to the join
-    return split(False).unionByName(split(True).join(gone, key, "left_anti")).select(*(f"`{c}`" for c in docs.columns))
+    return stay.unionByName(doubtful.join(gone, key, "left_anti")).select(*(f"`{c}`" for c in docs.columns))
 
 
 def _fresh(df: DataFrame, name: str) -> str:
