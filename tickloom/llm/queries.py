@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bwt_dedup, decontam, langid, license_index, line_crf, ngram_join, packing, pii, toxicity, warc_index
+from . import bwt_dedup, decontam, filter_audit, langid, license_index, line_crf, neighbour_quality, ngram_join, packing, periodic, pii, toxicity, warc_index
 from .shared import remainder, table
 
 
@@ -71,7 +71,52 @@ def op10_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt_dedup.repeated_spans(table(spark, sf_dir, "documents")).drop("ranges")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_jaccard, op3_best_fit_packing, op4_quality_lines, op5_license_index, op6_toxicity, op7_decontamination, op8_warc_index, op9_pii, op10_bwt_dedup)}
+def op11_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by its nearest labelled documents, learned from four fifths of the ids."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = remainder(F.col("doc_id"), 5) == 0
+    model = neighbour_quality.fit(docs, labels.where(~held_out))
+    scored = neighbour_quality.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "best_similarity")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters in all 120 orders: what each step keeps and removes in every source."""
+    return filter_audit.audit(filter_audit.marks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def _planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text; a tenth of the ids have the words from a place on repeated with a period, both from the id's checksum."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    split = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+    def repeated(w):
+        n = F.size(w).cast("long")
+        a = F.pmod(g, F.greatest(n, F.lit(1)))
+        p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
+        moved = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(w, F.when(i < a, i).otherwise(a + F.pmod(i - a, p)).cast("int")))
+        return F.when(n > 0, F.array_join(moved, " "))
+
+    # the lambda's variable holds the words: they are split once
+    planted = F.get(F.transform(F.array(split), repeated), F.lit(0))
+    return docs.select("doc_id", F.when(F.pmod(h, F.lit(10)) == 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of the words of every document, the strongest of them, and what is left without repeats."""
+    found = periodic.collapse(_planted_runs(table(spark, sf_dir, "documents")))
+    found = found.withColumn("best", periodic.strongest(F.col("runs")))
+    line = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    best = F.col("best")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(line, F.lit("\n"))).otherwise("").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_jaccard, op3_best_fit_packing, op4_quality_lines, op5_license_index, op6_toxicity, op7_decontamination, op8_warc_index, op9_pii, op10_bwt_dedup, op11_neighbour_quality, op12_filter_audit, op13_periodic_runs)}
 
 ORACLES = {
     "op10_bwt_dedup": """
