@@ -82,6 +82,8 @@ RESULTS = {
     "op8_warc_index": "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint",
     "op9_pii": "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_spans bigint",
     "op10_bwt_dedup": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
+    "op11_neighbour_quality": "doc_id bigint, held_out boolean, score double, predicted int, best_similarity double",
+    "op13_periodic_runs": "doc_id bigint, n_runs bigint, start bigint, length bigint, period bigint, exponent_milli bigint, runs_sha256 string, collapsed_sha256 string",
 }
 
 

@@ -119,6 +119,40 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_jaccard, op3_best_fit_packing, op4_quality_lines, op5_license_index, op6_toxicity, op7_decontamination, op8_warc_index, op9_pii, op10_bwt_dedup, op11_neighbour_quality, op12_filter_audit, op13_periodic_runs)}
 
 ORACLES = {
+    "op12_filter_audit": """
+WITH d AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents
+), o AS (
+    SELECT t, min(doc_id) AS owner FROM d GROUP BY t
+), w AS (
+    SELECT doc_id, part, t, owner, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM d JOIN o USING (t)
+), l AS (
+    SELECT doc_id, max(coalesce(quality, 0)) = 1 AS good, max(coalesce(toxic, 0)) = 1 AS toxic FROM labels GROUP BY doc_id
+), m AS (
+    SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+           CAST(len(w) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INT)
+           + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) AS INT)
+           + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(owner < doc_id, false) AS INT) AS fails
+    FROM w LEFT JOIN l USING (doc_id)
+), f(letter, bit) AS (
+    VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)
+), p AS (
+    SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order
+    FROM f a JOIN f b ON b.bit <> a.bit JOIN f c ON c.bit NOT IN (a.bit, b.bit) JOIN f d ON d.bit NOT IN (a.bit, b.bit, c.bit) JOIN f e ON e.bit NOT IN (a.bit, b.bit, c.bit, d.bit)
+), s AS (
+    SELECT filter_order, step, f.letter, f.bit, (SELECT coalesce(sum(x.bit), 0) FROM f x WHERE instr(filter_order, x.letter) < step) AS before
+    FROM p, (SELECT unnest(range(1, 6)) AS step) n JOIN f ON substr(filter_order, step, 1) = f.letter
+), e AS (
+    SELECT DISTINCT letter, bit, before FROM s
+), c AS (
+    SELECT part, letter, before, count(*) FILTER (fails & (before | bit) = 0) AS kept, count(*) FILTER (fails & before = 0 AND fails & bit > 0) AS removed,
+           count(*) FILTER (fails & before > 0 AND fails & bit > 0) AS redundant, count(*) FILTER (fails = bit) AS unique_fails,
+           count(*) FILTER (fails & before = 0 AND fails & bit > 0 AND good) AS good_lost, count(*) FILTER (fails & before = 0 AND fails & bit > 0 AND toxic) AS toxic_lost
+    FROM m, (SELECT letter, bit, CAST(before AS INT) AS before FROM e) GROUP BY part, letter, before
+)
+SELECT part, filter_order, CAST(step AS INT) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM s JOIN c USING (letter, before)""",
     "op10_bwt_dedup": """
 WITH t AS (
     SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents
