@@ -75,7 +75,8 @@ class WordIds:
 
     The tokenizer never merges across ASCII white space, nor between a letter or
     digit and the punctuation behind it, so a text's ids are the concatenation of its
-    parts' ids.  A-Z are lower-cased by the tokenizer in any case.  Sorted hashes and
+    parts' ids.  The tokenizer lower-cases after composing characters, so A-Z are
+    lower-cased in words of ASCII alone; others keep their bytes.  Sorted hashes and
     flat arrays hold what is known; their size is bounded.
     """
 
@@ -97,8 +98,10 @@ class WordIds:
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray):
         """Ids of all texts, each followed by the end id, and the number of ids of each."""
-        data = tx.LOWER[data]
         start, end, row = tx.words(data, offsets, tx.SPACED)
+        beyond = np.concatenate([[0], np.cumsum(data > 127)])
+        plain = beyond[end] == beyond[start]
+        data = np.where(tx.covered(len(data), start[plain], end[plain]), tx.LOWER[data], data)
         cut = _cuts(data, start, end)
         pieces = 1 + (cut < end)
         of = np.repeat(np.arange(len(start)), pieces)
