@@ -228,14 +228,6 @@ def test_csv_sink_resumes(spark, tmp_path):
     assert sorted(r.symbol for r in spark.read.option("header", True).csv(path).collect()) == list("01234")
 
 
-def test_keywords_beyond_one_block(spark, monkeypatch):
-    monkeypatch.setattr(news, "BLOCK", 2)
-    words = spark.createDataFrame([(w, "S", "E", "positive", 1.0) for w in ("aa", "bb", "cc", "dd", "ee")], "keyword string, sector string, etf string, direction string, weight double")
-    texts = spark.createDataFrame([(1, "AA dd"), (2, "ee")], "doc_id long, text string")
-    assert sorted((r.doc_id, r.keyword) for r in news.match_keywords(texts, words).collect()) == [(1, "aa"), (1, "dd"), (2, "ee")]
-    assert news.match_keywords(texts, words.limit(0)).count() == 0
-
-
 def test_registries(spark):
     known = {r.factor: r for r in factors.factor_registry(spark).collect()}
     assert known["rsi_14"].panel == "sub_momentum" and known["ma5"].category == "base" and known["cci_20"].panel is None

@@ -5,6 +5,7 @@ from conftest import rows
 
 from tickloom.functions.storage import stored
 from tickloom.plans import queries as q
+from tickloom.plans import series_queries  # noqa: F401  registers its queries
 
 
 @pytest.fixture(scope="module", autouse=True)

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import itertools
+import uuid
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import change, first_match, mean, true, whole
 
 col = F.col
-#: Rows of the keyword dimension that every task holds at a time.
-BLOCK = 1000
+#: This worker's last automaton.
+_KEPT: dict = {}
 
 
 def keyword_dimension(mapping: DataFrame) -> DataFrame:
@@ -20,25 +22,59 @@ def keyword_dimension(mapping: DataFrame) -> DataFrame:
     return groups.select(F.explode("g.keywords").alias("keyword"), "g.sector", "g.etf", "g.direction", "g.weight")
 
 
-def match_keywords(texts: DataFrame, keywords: DataFrame, *, text_id="doc_id", text="text") -> DataFrame:
+def _search(words: list[str]) -> ahocorasick.Automaton:
+    """One automaton of all words; a worker keeps the one that it built last."""
+    automaton = ahocorasick.Automaton()
+    for i, word in enumerate(words):
+        automaton.add_word(word, i)
+    automaton.make_automaton()
+    return automaton
+
+
+def _hits(low: DataFrame, words: list[str], kind: str) -> DataFrame:
+    """(id, low) of every word that a text holds: one pass over each text, whatever the number of words."""
+    shared, mark = low.sparkSession.sparkContext.broadcast(words), uuid.uuid4().hex
+
+    def run(batches):
+        if _KEPT.get("mark") != mark:
+            _KEPT.clear()
+            _KEPT.update(mark=mark, words=pa.array(shared.value, pa.string()), automaton=_search([w for w in shared.value if w]), shift="" in shared.value)
+        # the empty word is in every text, and no automaton's; it sorts first
+        automaton, shift = _KEPT["automaton"], int(_KEPT["shift"])
+        for batch in batches:
+            rows, found = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                if text is None:
+                    continue
+                own = {w + shift for _, w in automaton.iter(text)} if len(automaton) else set()
+                own |= {0} if shift else set()
+                rows += [i] * len(own)
+                found += sorted(own)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), _KEPT["words"].take(pa.array(found, pa.int64()))], names=["id", "low"])
+
+    return low.mapInArrow(run, f"id {kind}, low string")
+
+
+def match_keywords(texts: DataFrame, keywords: DataFrame, *, text_id="doc_id", text="text", most_bytes: int = 1 << 25) -> DataFrame:
     """(text id, keyword, sector, etf, direction, weight) of every keyword that a text contains, whatever its case.
 
-    The dimension is a stated set, usually of a few hundred keywords.  It goes over the
-    texts in blocks of ``BLOCK`` rows, each held as one array; a text is tested in
-    place, so nothing is shuffled.
+    The distinct lower-cased keywords become one Aho-Corasick automaton in every worker, so
+    a text is read once however many there are; nothing of the texts is shuffled, only the
+    hits meet the dimension by keyword.  What is broadcast is checked: beyond
+    ``most_bytes`` of keywords they are dealt by a hash into several automata, one scan each.
+    Null texts and null keywords match nothing; the empty keyword is in every text.
     """
     fields = ["keyword", "sector", "etf", "direction", "weight"]
-    kind = "array<struct<keyword:string,sector:string,etf:string,direction:string,weight:double,low:string>>"
-    low = texts.select(col(text_id), F.lower(text).alias("low_text"))
-    rows, out = keywords.select(*fields).distinct().toLocalIterator(), None
-    while True:
-        block = list(itertools.islice(rows, BLOCK))
-        if not block and out is not None:
-            return out
-        known = F.array(*(F.struct(*(F.lit(r[f]).cast("double" if f == "weight" else "string").alias(f) for f in fields), F.lit((r[0] or "").lower()).alias("low")) for r in block)).cast(kind)
-        found = low.select(text_id, F.explode(F.filter(known, lambda k: F.col("low_text").contains(k["low"]))).alias("k"))
-        one = found.select(text_id, *(col(f"k.{f}").alias(f) for f in fields))
-        out = one if out is None else out.unionByName(one)
+    dimension = keywords.select(*fields).distinct().withColumn("low", F.lower("keyword")).where("low is not null")
+    words = dimension.select("low").distinct()
+    size = words.agg(F.coalesce(F.sum(F.octet_length("low")), F.lit(0))).first()[0]
+    parts = max(1, -(-size // most_bytes))
+    low, out = texts.select(col(text_id).alias("id"), F.lower(text).alias("low_text")), None
+    for part in range(parts):
+        own = sorted(r["low"] for r in words.where(F.pmod(F.xxhash64("low"), F.lit(parts)) == part).collect())
+        found = _hits(low, own, texts.schema[text_id].dataType.simpleString())
+        out = found if out is None else out.unionByName(found)
+    return out.join(dimension, "low").select(col("id").alias(text_id), *fields)
 
 
 def etf_trend(bars: DataFrame) -> DataFrame:

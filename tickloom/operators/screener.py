@@ -39,10 +39,10 @@ def analyze(bars: DataFrame, *, period="6mo", profile="medium", worst_case=True,
     df = stored(voted.select("ticker", "ts", "rn", "n_bars", "close", "high", "low", "px", "ma20", "ma60", "ma_ribbon_score", "adx_14", "rsi_14", "bb_width", *(f"st_{i}" for i in bt.IDS)), "votes")
     last = aggregate_signals(df).withColumn("newest", F.max("rn").over(whole())).where("rn = newest").select("ticker", "n_bars", "close", "score", "consensus")
     limits = bt._params(bt.IDS, profile)
-    ranked = bt.rank_strategies(bt.summarise(bt.run_strategies(df, {"all": limits}, worst_case=worst_case)).where(col("n_trades") >= min_trades)).where(col("rank") <= top)
+    ranked = bt.rank_strategies(bt.summarise(bt.run_strategies(df, {"all": limits}, worst_case=worst_case, curve=False)).where(col("n_trades") >= min_trades)).where(col("rank") <= top)
     ranked = stored(ranked.select("ticker", "strategy", "rank", "sharpe"), "ranked")
     best = ranked.groupBy("ticker").agg(F.avg("sharpe").alias("avg_sharpe"), F.min_by("strategy", "rank").alias("best_strategy"), F.max("sharpe").alias("best_sharpe"))
-    blend = bt.run_backtest(pf.blended_votes(df, ranked), {"portfolio": limits[bt.IDS[0]]}, worst_case=worst_case)
+    blend = bt.run_backtest(pf.blended_votes(df, ranked), {"portfolio": limits[bt.IDS[0]]}, worst_case=worst_case, curve=False)
     returns = bt.summarise(blend).select("ticker", (col("total_return") * 100).alias("pf_return"))
     regime = pf.detect_market_regime(df).select("ticker", "regime", col("score").alias("regime_score"))
     out = last.join(best, "ticker", "left").join(returns, "ticker", "left").join(regime, "ticker", "left")

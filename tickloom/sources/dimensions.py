@@ -52,8 +52,9 @@ def enrich(dim: DataFrame, found: DataFrame) -> DataFrame:
     return dim.join(fresh, "symbol", "left").withColumn("summary", F.when(missing, F.coalesce("fresh", "summary")).otherwise(col("summary"))).drop("fresh")
 
 
-def read_mapping(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", True).json(path)
+def read_mapping(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """An event-to-sector map: one JSON document a file, or one a line."""
+    return spark.read.option("multiLine", multi_line).json(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
