@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import decontam, langid, ngram_join, packing, pii
-from tickloom.llm.shared import stored, table
+from tickloom.llm.shared import discard, stored, table
 
 
 #: Texts that a Python worker gets at a time; Spark's default of 10,000 can be a hundred megabytes of long ones.
@@ -66,8 +66,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each stored before the next reads it."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+    """All stages over ``documents``, each stored before the next reads it; what a stage has read is deleted then.
+
+    The session gets its batch size back.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, docs = spark.conf.get(name), table(spark, sf_dir, "documents")
+    try:
+        for step, stage in STAGES:
+            found = stored(stage(spark, docs, sf_dir), step)
+            discard(docs)
+            docs = found
+    finally:
+        spark.conf.set(name, before)
     return docs
