@@ -158,6 +158,24 @@ def test_packing_tokens_of_any_text(spark):
                 at += n
 
 
+def test_packing_tokens_of_letters_with_any_mark(spark):
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    marks = [chr(c) for c in range(0x300, 0x370)] + ["\u0327", "\u0345", "\u3099", "\u0653"]
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyzÄÉŠΩΣЖ"
+    texts = ["J\u030c T\u0308 H\u0331 W\u030a Y\u030a J\u030cim, A\u030aNGSTR\u00d6M"]
+    texts += [" ".join(f"{a}{m} x{a}{m}. {a}{m}IM" for m in marks) for a in letters]
+    for _, _, data, offsets in textops.pieces(pa.array(texts)):
+        ids, lengths = packing.WordIds(tokenizer, 0)(data, offsets)
+        at = 0
+        for t, n in zip(texts, lengths.tolist(), strict=True):
+            assert ids[at : at + n].tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 0], t[:40]
+            at += n
+
+
 def test_packing_fills_sequences(spark):
     rows = [(i, " ".join(["word"] * (37 * i % 600))) for i in range(400)]
     import public_tokenizers

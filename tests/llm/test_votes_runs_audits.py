@@ -286,3 +286,41 @@ def test_neighbour_quality(spark, docs, empty):
 def test_quality_of_held_out_documents(spark, data):
     got = q.QUERIES["op11_neighbour_quality"](spark, data).join(spark.read.parquet(f"{data}/labels.parquet"), "doc_id").where("held_out and quality is not null").toPandas()
     assert (got["predicted"] == got["quality"]).mean() >= 0.9 and (got["predicted"] == (got["score"] >= 0.3)).all()
+
+
+# ---- many matches in one text
+def test_added_spans_keep_clear_of_base_spans(spark):
+    from pyspark.sql import functions as F
+
+    from tickloom.llm import pii
+
+    draw = random.Random(12)
+    kind = "array<struct<start:bigint,rank:int,end:bigint,kind:string,added:boolean>>"
+    rows = []
+    for i in range(12):
+        spans = []
+        for _ in range(draw.choice([0, 1, 5, 300, 1500])):
+            a = draw.randrange(60_000)
+            added = draw.random() < 0.5
+            spans.append((a, draw.randrange(7), a + draw.choice([1, 7, 40, 900 if i % 3 == 0 else 3]), "k", added))
+        rows.append((i, sorted(set(spans))))
+    got = spark.createDataFrame(rows, f"id int, spans {kind}").select("id", F.array_sort(pii._apart(F.col("spans"))).alias("kept")).collect()
+    for r in got:
+        spans = dict(rows)[r.id]
+        base = [s for s in spans if not s[4]]
+        assert [tuple(k) for k in r.kept] == [s for s in spans if s[4] and not any(b[0] < s[2] and s[0] < b[2] for b in base)]
+
+
+def test_a_text_with_very_many_matches(spark):
+    from tickloom.llm import license_index, pii
+
+    n = 12_000
+    part = lambda i: f'{i}, 4111 1111 1111 1111; password = "a8b7c6d5e4f3{i:06d}" ' if i % 2 else f"x{i}@mail.com under the MIT license. "
+    text = "".join(map(part, range(n)))
+    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    r = pii.scan(docs).where("doc_id = 1").first()
+    assert (r.n_email, r.n_card, r.n_spans) == (n // 2, n // 2, 3 * n // 2)
+    clean = re.sub(r"x\d+@mail.com", "[EMAIL]", re.sub(r'"a8b7c6d5e4f3\d+"', '"[SECRET]"', text)).replace("4111 1111 1111 1111", "[CARD]")
+    assert pii.redact(docs).where("doc_id = 1").first().text == clean
+    found = license_index.scan(docs).where("doc_id = 1").first()
+    assert found.n_base == n // 2 and found.labels == "mit"

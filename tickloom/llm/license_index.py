@@ -131,8 +131,10 @@ def scan(docs: DataFrame, *, doc_id="doc_id", text="text", templates=TEMPLATES,
     table = F.array(*facts)
 
     marked = analysis.select("id", "n_words", "w", F.when(F.arrays_overlap("w", index_words), F.filter(F.transform("w", lambda w, i: _struct(w=w, i=i)), lambda m: F.array_contains(index_words, m["w"]))).alias("marks"))
-    starts = F.array_distinct(F.flatten(F.transform("marks", lambda m: F.transform(F.element_at(lookup, m["w"]), lambda x: _struct(t=x["t"], at=m["i"] - x["p"])))))
-    started = marked.select("id", "n_words", "w", F.filter(starts, lambda s: s["at"] >= 0).alias("starts"))
+    # template and place as one number: numbers are told apart by hashing, structs pair by pair
+    coded = F.flatten(F.transform("marks", lambda m: F.transform(F.filter(F.element_at(lookup, m["w"]), lambda x: m["i"] >= x["p"]), lambda x: F.shiftleft(x["t"].cast("long"), 40) + (m["i"] - x["p"]))))
+    starts = F.transform(F.array_distinct(coded), lambda c: _struct(t=F.shiftright(c, 40).cast("int"), at=c.bitwiseAND(F.lit((1 << 40) - 1)).cast("int")))
+    started = marked.select("id", "n_words", "w", starts.alias("starts"))
 
     def word(i: Column) -> Column:
         return F.get(F.col("w"), i)

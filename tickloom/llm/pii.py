@@ -265,15 +265,48 @@ def _spans(found: DataFrame, threshold: float) -> DataFrame:
     accepted = F.array(*map(F.lit, good)).cast("array<string>")
     order = F.create_map(*[x for i, k in enumerate(NAMES) for x in (F.lit(k), F.lit(i))])
 
-    def slim(spans):
-        placed = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.element_at(order, s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
-        return F.array_sort(F.array_distinct(placed))
-
+    slim = lambda s, added: F.struct(s["start"].alias("start"), F.element_at(order, s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), F.lit(added).alias("added"))
     front = [c for c in found.columns if c not in NAMES]
-    split = found.select(*front, F.filter(F.concat(*KINDS), lambda s: s["base"]).alias("base"), F.concat(*EXTRA).alias("rest"))
-    added = F.filter("rest", lambda s: F.array_contains(accepted, F.concat(s["kind"], F.lit("|"), s["features"])) & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    both = split.select(*front, slim(F.col("base")).alias("base"), slim(added).alias("added"))
-    return both.select(*front, "base", F.array_sort(F.concat("base", "added")).alias("found"))
+    base = F.transform(F.filter(F.concat(*KINDS), lambda s: s["base"]), lambda s: slim(s, False))
+    added = F.transform(F.filter(F.concat(*EXTRA), lambda s: F.array_contains(accepted, F.concat(s["kind"], F.lit("|"), s["features"]))), lambda s: slim(s, True))
+    split = found.select(*front, F.array_sort(base).alias("base"), F.array_sort(F.concat(base, added)).alias("both"))
+    plain = lambda spans: F.transform(spans, lambda s: s.dropFields("added"))
+    return split.select(*front, plain(F.col("base")).alias("base"), plain(F.array_sort(F.concat("base", _apart(F.col("both"))))).alias("found"))
+
+
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often a lambda in it refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _apart(spans: Column) -> Column:
+    """The added ones of spans in order of their starts that no base span overlaps.
+
+    Blocks of ``BLOCK`` spans know how far base spans before them reach and where the next
+    one starts after them, so every span is looked at twice, however many there are.
+    """
+    empty = F.slice(F.transform(spans, lambda s: s), 1, 0)
+    of_base = lambda b, name: F.transform(F.filter(b, lambda s: ~s["added"]), lambda s: s[name])
+
+    def after_others(state, s):
+        stays = ~s["added"] | F.coalesce(s["start"] >= state["edge"], F.lit(True))
+        return F.struct(F.when(s["added"], state["edge"]).otherwise(F.greatest(state["edge"], s["end"])).alias("edge"), F.when(stays, F.concat(state["out"], F.array(s))).otherwise(state["out"]).alias("out"))
+
+    def before_others(state, s):
+        stays = s["added"] & F.coalesce(s["end"] <= state["edge"], F.lit(True))
+        return F.struct(F.when(s["added"], state["edge"]).otherwise(s["start"]).alias("edge"), F.when(stays, F.concat(state["out"], F.array(s))).otherwise(state["out"]).alias("out"))
+
+    def judged(x):
+        def one(block, i):
+            first = F.struct(F.array_max(F.slice(x["tops"], 1, i)).alias("edge"), x["empty"].alias("out"))
+            last = F.struct(F.array_min(F.slice(x["lows"], i + 2, F.size(x["lows"]))).alias("edge"), x["empty"].alias("out"))
+            return F.aggregate(F.reverse(F.aggregate(block, first, after_others, lambda s: s["out"])), last, before_others, lambda s: s["out"])
+
+        return F.flatten(F.transform(x["blocks"], one))
+
+    facts = lambda blocks: F.struct(blocks.alias("blocks"), F.transform(blocks, lambda b: F.array_max(of_base(b, "end"))).alias("tops"), F.transform(blocks, lambda b: F.array_min(of_base(b, "start"))).alias("lows"), empty.alias("empty"))
+    # most texts have no added span
+    return F.when(F.exists(spans, lambda s: s["added"]), _bound(_blocks(spans), lambda blocks: _bound(facts(blocks), judged))).otherwise(empty)
 
 
 def scan(docs: DataFrame, *, doc_id="doc_id", text="text", threshold=0.5) -> DataFrame:
@@ -294,16 +327,24 @@ def redact(docs: DataFrame, *, doc_id="doc_id", text="text", threshold=0.5) -> D
     found = _spans(stored(found, "personal"), threshold)
     whole = F.col("id").getField(text)
 
-    # pieces between spans, in blocks that know how far the blocks before them reach
+    # pieces between spans, in blocks that know how far the blocks before them reach; each cuts its own part of the text
     def add(state, s):
         fresh = s["start"] >= state["at"]  # a span inside an earlier one is gone with it
-        piece = F.concat(F.substring(F.col("whole"), (state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(fresh, F.concat(state["out"], F.array(piece))).otherwise(state["out"]).alias("out"))
-
-    cut = found.select("id", whole.alias("whole"), _blocks(F.col("found")).alias("blocks"))
-    reach = lambda n: F.coalesce(F.array_max(F.transform(F.slice(F.col("blocks"), 1, n), lambda b: F.array_max(F.transform(b, lambda s: s["end"])))), F.lit(0).cast("long"))
-    start = lambda i: F.struct(reach(i).alias("at"), F.array().cast("array<string>").alias("out"))
-    pieces = F.flatten(F.transform("blocks", lambda b, i: F.aggregate(b, start(i), add, lambda s: s["out"])))
-    clean = F.concat(F.array_join(pieces, ""), F.substring("whole", (reach(F.size("blocks")) + 1).cast("int"), F.lit(2**31 - 1)))
-    clean = F.when(F.size("blocks") == 0, F.col("whole")).otherwise(clean)
+        piece = F.concat(F.substring(state["part"], (state["at"] - state["from"] + 1).cast("int"), (s["start"] - state["at"]).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), state["from"].alias("from"), state["part"].alias("part"), F.when(fresh, F.concat(state["out"], F.array(piece))).otherwise(state["out"]).alias("out"))
+
+    def pieces(x):
+        reach = lambda n: F.coalesce(F.array_max(F.slice(x["tops"], 1, n)), F.lit(0).cast("long"))
+
+        def one(block, i):
+            part = F.substring(x["whole"], (reach(i) + 1).cast("int"), (reach(i + 1) - reach(i)).cast("int"))
+            start = F.struct(reach(i).alias("at"), reach(i).alias("from"), part.alias("part"), F.array().cast("array<string>").alias("out"))
+            return F.aggregate(block, start, add, lambda s: s["out"])
+
+        return F.concat(F.array_join(F.flatten(F.transform(x["blocks"], one)), ""), F.substring(x["whole"], (reach(F.size(x["blocks"])) + 1).cast("int"), F.lit(2**31 - 1)))
+
+    cut = found.select("id", whole.alias("whole"), "found")
+    tops = lambda blocks: F.transform(blocks, lambda b: F.array_max(F.transform(b, lambda s: s["end"])))
+    facts = lambda blocks: F.struct(F.col("whole").alias("whole"), blocks.alias("blocks"), tops(blocks).alias("tops"))
+    clean = F.when(F.size("found") == 0, F.col("whole")).otherwise(_bound(_blocks(F.col("found")), lambda blocks: _bound(facts(blocks), pieces)))
     return cut.select(*(clean.alias(c) if c == text else F.col("id").getField(c).alias(c) for c in docs.columns))
