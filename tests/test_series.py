@@ -226,3 +226,83 @@ def test_many_keywords_in_one_scan(spark):
     texts = spark.createDataFrame([(i, f"some text W{i:X}Z and more w{i + 7:X}z") for i in range(500)], "doc_id long, text string")
     hits = news.match_keywords(texts, words)
     assert hits.count() == 1000 and hits._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+# ---- streams
+def _folder(spark, path, batches, schema):
+    import pandas as pd
+
+    for i, rows in enumerate(batches):
+        pdf = pd.DataFrame([(*r[:-1], r[-1]) for r in rows], columns=[c.split()[0] for c in schema.split(", ")])
+        spark.createDataFrame(pdf, schema).coalesce(1).write.mode("append").parquet(f"{path}/b={i}")
+
+
+def test_streaming_backtest_puts_late_bars_in_order_and_closes_idle_series(spark, tmp_path):
+    import pandas as pd
+
+    from tickloom.streaming import ordered
+
+    schema = "ticker string, strategy string, ts timestamp, close double, high double, low double, vote double"
+    bar = lambda t, day, close, vote: (t, "x", pd.Timestamp(2024, 1, 1) + pd.Timedelta(days=day), close, close + 1, close - 1, vote)
+    # day 2 comes after day 3, by less than what may be late; B ends with an open position
+    batches = [[bar("A", 0, 10.0, 0.0), bar("A", 1, 10.0, 1.0), bar("B", 0, 5.0, 2.0)], [bar("A", 3, 7.0, 0.0)], [bar("A", 2, 10.5, 0.0), bar("A", 4, 7.0, -1.0)], [bar("~", 400, 1.0, 0.0)]]
+    _folder(spark, str(tmp_path / "in"), batches, schema)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    made = ordered.streaming_backtest(stream, {"x": (0.2, 0.0, 1, 99)}, late="2 days", idle="30 days", capital=1000.0, commission=0.0)
+    made.writeStream.format("memory").queryName("late_trades").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    got = {(r.ticker, r.entry, r.exit, r.reason): round(r.return_pct, 6) for r in spark.table("late_trades").collect()}
+    assert got == {("A", 1, 3, "stop_loss"): -0.3, ("B", 0, 0, "force_close"): 0.0}
+
+
+# ---- plug-ins
+def test_plugin_strategies(spark):
+    from tickloom.operators import strategies
+
+    draw = random.Random(7)
+    rows = [("A", i, draw.uniform(0, 100), 100.0 + i) for i in range(50)]
+    bars = spark.createDataFrame(rows, "ticker string, rn int, rsi_14 double, close double")
+    mine = strategies.register(strategies.from_sql("mine", "CASE WHEN rsi_14 < 30 THEN 1 WHEN rsi_14 > 70 THEN -1 END", stop_loss=0.5))
+    try:
+        got = [r.st_mine for r in strategies.with_strategies(bars, ["mine"]).orderBy("rn").collect()]
+        assert got == [1 if r[2] < 30 else -1 if r[2] > 70 else 0 for r in rows]
+        assert bt._params(["mine"], None) == {"mine": (0.5, 0.12, 3, 30)} and strategies.registry(spark).count() == 21
+        with pytest.raises(ValueError):
+            strategies.register(mine._replace(id="ma_ribbon"))
+    finally:
+        strategies.unregister("mine")
+    with pytest.raises(KeyError):
+        strategies.with_strategies(bars, ["mine"])
+
+
+def test_plugin_detector_keeps_tickers_apart(spark):
+    from tickloom.operators import detectors
+
+    bars = spark.createDataFrame([(t, i, c) for t, cs in (("A", [1.0, 2.0, 3.0, 4.0, None, 5.0]), ("B", [3.0, 2.0, 1.0])) for i, c in enumerate(cs)], "ticker string, rn int, close double").repartition(2)
+    detectors.register_detector(spark, "streaks_of_two", lambda: detectors.streak(2))
+    bars.createOrReplaceTempView("some_bars")
+    got = spark.sql("SELECT * FROM streaks_of_two(TABLE(some_bars) PARTITION BY ticker ORDER BY rn)").collect()
+    assert sorted(map(tuple, got)) == [("A", 2, "rising", 2), ("A", 3, "rising", 3), ("B", 2, "falling", 2)]
+
+
+# ---- quantiles
+def test_merged_sketches_are_within_their_bound(spark):
+    from tickloom.operators import quantiles
+
+    df = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, "A").otherwise("B").alias("k"), (F.col("id") % 50).alias("day"), F.when(F.col("id") % 11 > 0, F.pow(F.rand(3), 4)).alias("x"))
+    kept = quantiles.sketches(df, "x", ["k", "day"], 200)
+    whole = quantiles.merged(kept, ["k"], 200)
+    assert {r.k: r.n for r in whole.collect()} == {r.k: r["count"] for r in df.where("x is not null").groupBy("k").count().collect()}
+    for share in (0.1, 0.5, 0.9):
+        placed = quantiles.rank_of(df, "x", ["k"], whole.select("k", quantiles.at("sketch", share).alias("v")), "v").collect()
+        assert all(r.below - quantiles.rank_error(200) <= share <= r.upto + quantiles.rank_error(200) for r in placed)
+    assert quantiles.exact(spark.createDataFrame([("A", 1.0), ("A", 3.0), ("A", None)], "k string, x double"), "x", ["k"], [0.5]).first().q0 == 2.0
+    assert quantiles.merged(kept.limit(0), ["k"]).count() == 0
+
+
+# ---- judgements as they are shown
+def test_judgements_use_rounded_figures(spark):
+    from tickloom.operators import stats
+
+    rows = [("A", "wins_45_045", 111, 50 / 111, -0.02), ("A", "mean_0_004", 20, 0.7, 0.00004), ("A", "wins_59_96", 2001, 0.59964, 0.01), ("A", "few", 9, 0.9, 0.1)]
+    got = {r.signal: r.judgement for r in stats.judge_signals(spark.createDataFrame([(t, s, 5, n, w, m) for t, s, n, w, m in rows], "ticker string, signal string, horizon int, events long, win_rate double, mean double")).collect()}
+    assert got == {"wins_45_045": "bearish", "mean_0_004": "neutral", "wins_59_96": "bullish", "few": "insufficient"}

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import div
-from .strategies import IDS, STRATEGIES
+from .strategies import IDS, known
 
 # Holding profiles as (least bars, most bars, stop, target); 0 is off.
 HOLD_PROFILES = {"short": (1, 15, 0.04, 0.08), "medium": (30, 180, 0.0, 0.0), "long": (180, 360, 0.0, 0.0)}
@@ -104,7 +104,7 @@ def curve_metrics(equity: np.ndarray) -> dict:
 
 def _params(ids, profile: str | None):
     """strategy -> (stop, target, least, most bars)."""
-    own = {s.id: (s.stop_loss, s.take_profit, s.hold_min, s.hold_max) for s in STRATEGIES}
+    own = {i: (s.stop_loss, s.take_profit, s.hold_min, s.hold_max) for i, s in known().items()}
     if profile is None:
         return {i: own[i] for i in ids}
     least, most, stop, target = HOLD_PROFILES[profile]
@@ -221,7 +221,7 @@ def backtest_all(df: DataFrame, *, profile: str | None = "medium", min_trades=1,
 
 def rank_strategies(summary: DataFrame, metric: str = "sharpe") -> DataFrame:
     """Rank within each ticker, best first; ties keep the registry order."""
-    place = F.create_map(*[F.lit(x) for pair in enumerate(IDS) for x in reversed(pair)])
+    place = F.create_map(*[F.lit(x) for pair in enumerate(known()) for x in reversed(pair)])
     return summary.withColumn("rank", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc(metric), F.element_at(place, F.col("strategy")))))
 
 

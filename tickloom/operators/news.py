@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import change, first_match, mean, true, whole
+from ..functions.storage import stored
 
 col = F.col
 #: This worker's last automaton.
@@ -95,6 +96,7 @@ def news_scores(matches: DataFrame, trends: DataFrame, *, text_id="doc_id") -> D
 def sector_rotation(bars: DataFrame, keep: int = 5, avoid: int = 3, window: int = 20) -> DataFrame:
     """Tickers (sectors) by their 20-bar return: the best are kept, the worst avoided, with their rank from that end; the others held."""
     df = bars.withColumn("ret", change("close", window)).withColumn("newest", F.max("rn").over(whole())).where("rn = newest").select("ticker", "ret")
+    df = stored(df, "returns")
     # the ends come from bounded sorts, so only a few rows are numbered together
     ends = []
     for action, most, order in (("keep", keep, (F.desc("ret"), F.asc("ticker"))), ("avoid", avoid, (F.asc_nulls_last("ret"), F.desc("ticker")))):

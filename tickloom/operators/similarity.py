@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import div, first_match, ordered, rows, whole
+from ..functions.storage import stored
 
 col = F.col
 
@@ -88,7 +89,7 @@ def search_cross(bars: DataFrame, targets: DataFrame, window: int = 30, top: int
     candidates in blocks of ``QUERIES`` vectors of fixed length; each block's best
     partners are found in every partition before they meet by target.
     """
-    shapes = latest_shapes(bars, window)
+    shapes = stored(latest_shapes(bars, window), "shapes")
     query = shapes.join(targets.select("ticker").distinct(), "ticker").select("ticker", "shape")
     rows, block, out = query.toLocalIterator(), [], None
     while block is not None:

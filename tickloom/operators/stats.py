@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import div, first_match, ordered
+from ..functions.storage import stored
 from .signals import active_signals, long_signals
 
 col = F.col
@@ -37,10 +38,16 @@ def signal_stats(df: DataFrame, least: int = 3) -> DataFrame:
     return out.where(F.col("events") >= least)
 
 
+def in_percent(name: str, places: int):
+    """A share in percent, rounded; ties are rounded up by any engine."""
+    return F.round(col(name) * 100 + F.lit(1e-9), places)
+
+
 def judge_signals(stats: DataFrame, least: int = 10) -> DataFrame:
-    """The verdict on each signal by its five-bar statistics."""
+    """The verdict on each signal by its five-bar statistics as they are shown: win rate to a tenth, mean to a hundredth of a percent."""
     five = stats.where("horizon = 5")
-    label = first_match((col("events") < least, "insufficient"), ((col("win_rate") * 100 >= 60) & (col("mean") > 0), "bullish"), ((col("win_rate") * 100 <= 45) & (col("mean") < 0), "bearish"), default="neutral")
+    win, mean = in_percent("win_rate", 1), in_percent("mean", 2)
+    label = first_match((col("events") < least, "insufficient"), ((win >= 60) & (mean > 0), "bullish"), ((win <= 45) & (mean < 0), "bearish"), default="neutral")
     return five.select("ticker", "signal", "events", label.alias("judgement"))
 
 
@@ -57,15 +64,18 @@ def overall_judgement(judged: DataFrame) -> DataFrame:
 
 def report(stats: DataFrame) -> DataFrame:
     """A Markdown table per ticker, as one string; a ticker has at most one line per signal and horizon."""
-    share = lambda c, places: F.round(col(c) * 100 + F.lit(1e-9), places)  # noqa: E731 - ties are rounded up by any engine
-    line = F.format_string("| %s | %d | %d | %.2f%% | %.1f%% |", "signal", "horizon", "events", share("mean", 2), share("win_rate", 1))
+    line = F.format_string("| %s | %d | %d | %.2f%% | %.1f%% |", "signal", "horizon", "events", in_percent("mean", 2), in_percent("win_rate", 1))
     lines = stats.select("ticker", F.struct("signal", "horizon", line.alias("line")).alias("l")).groupBy("ticker").agg(F.array_sort(F.collect_list("l")).alias("l"))
     head = "| signal | horizon | events | mean | win rate |\n|---|---|---|---|---|\n"
     return lines.select("ticker", F.concat(F.lit("# "), "ticker", F.lit("\n\n" + head), F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("markdown"))
 
 
 def full_report(detected: DataFrame) -> DataFrame:
-    """A Markdown report per ticker of bars with signals: active signals, statistics, verdict."""
+    """A Markdown report per ticker of bars with signals: active signals, statistics, verdict.
+
+    The signals are detected once: their bars are stored for the parts of the report.
+    """
+    detected = stored(detected.select("ticker", "ts", "rn", "px", *(c for c in detected.columns if c.startswith("signal_"))), "detected")
     stats = signal_stats(detected, least=1)
     verdict = overall_judgement(judge_signals(stats))
     active = active_signals(detected).groupBy("ticker").agg(F.array_sort(F.collect_list(F.format_string("- %s (%s, %d)", "signal", "direction", "occurrences"))).alias("active"))

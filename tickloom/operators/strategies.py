@@ -194,30 +194,56 @@ STRATEGIES = [
 IDS = [s.id for s in STRATEGIES]
 
 
+#: Strategies of users, by id, in the order in which they were registered.
+PLUGINS: dict[str, Strategy] = {}
+
+
+def register(strategy: Strategy) -> Strategy:
+    """Make a user's strategy known: consensus, back-tests and screens take its id beside the built-in ones."""
+    if strategy.id in IDS or not strategy.id.isidentifier():
+        raise ValueError(f"a strategy needs an id of its own: {strategy.id!r}")
+    PLUGINS[strategy.id] = strategy
+    return strategy
+
+
+def unregister(strategy_id: str) -> None:
+    PLUGINS.pop(strategy_id, None)
+
+
+def from_sql(strategy_id: str, vote: str, *, category: str = "custom", stop_loss=0.06, take_profit=0.12, hold_min=3, hold_max=30) -> Strategy:
+    """A strategy from a SQL expression over the factor columns, -2 to 2; nulls are 0."""
+    return Strategy(strategy_id, category, stop_loss, take_profit, lambda: F.coalesce(F.expr(f"cast({vote} as int)"), F.lit(0)), hold_min, hold_max)
+
+
+def known() -> dict[str, Strategy]:
+    """All strategies by id, the built-in ones first."""
+    return {s.id: s for s in STRATEGIES} | PLUGINS
+
+
 def registry(spark) -> DataFrame:
-    rows_ = [(s.id, s.category, s.stop_loss, s.take_profit, s.hold_min, s.hold_max, i) for i, s in enumerate(STRATEGIES)]
+    rows_ = [(s.id, s.category, s.stop_loss, s.take_profit, s.hold_min, s.hold_max, i) for i, s in enumerate(known().values())]
     return spark.createDataFrame(rows_, "strategy string, category string, stop_loss double, take_profit double, hold_min int, hold_max int, place int")
 
 
 def with_strategies(factors: DataFrame, ids=IDS) -> DataFrame:
     """A ``st_<id>`` column per strategy."""
-    unknown = set(ids) - set(IDS)
+    unknown = set(ids) - set(known())
     if unknown:
         raise KeyError(f"unknown strategies: {sorted(unknown)}")
-    chosen = {f"st_{s.id}": s.rule().cast("int") for s in STRATEGIES if s.id in set(ids)}
+    chosen = {f"st_{i}": s.rule().cast("int") for i, s in known().items() if i in set(ids)}
     return factors.withColumns(chosen)
 
 
-def aggregate_signals(df: DataFrame) -> DataFrame:
+def aggregate_signals(df: DataFrame, ids=IDS) -> DataFrame:
     """Score, share of bullish votes and consensus of every bar.
 
-    The share counts the positive score itself as one more vote over 20 strategies.
+    The share counts the positive score itself as one more vote over as many strategies as there are.
     """
-    votes = [col(f"st_{i}") for i in IDS]
+    votes = [col(f"st_{i}") for i in ids]
     score = sum(votes[1:], votes[0])
     up = sum((F.when(v > 0, 1).otherwise(0) for v in votes), F.lit(0)) + F.when(col("score") > 0, 1).otherwise(0)
     label = first_match((col("score") <= -3, "strong_bearish"), (col("score") <= 0, "bearish"), (col("score") <= 3, "bullish"), default="strong_bullish")
-    return df.withColumn("score", score).withColumn("bullish_ratio", up / len(IDS)).withColumn("consensus", label)
+    return df.withColumn("score", score).withColumn("bullish_ratio", up / len(ids)).withColumn("consensus", label)
 
 
 def long_strategies(df: DataFrame) -> DataFrame:
@@ -226,8 +252,8 @@ def long_strategies(df: DataFrame) -> DataFrame:
     return df.select("ticker", "ts", "rn", *names).unpivot(["ticker", "ts", "rn"], names, "strategy", "vote").withColumn("strategy", F.substring("strategy", 4, 100))
 
 
-def latest_consensus(df: DataFrame) -> DataFrame:
+def latest_consensus(df: DataFrame, ids=IDS) -> DataFrame:
     """Score, consensus and the strategies that vote on each ticker's last bar."""
-    last = aggregate_signals(df).withColumn("newest", F.max("rn").over(whole())).where("rn = newest")
-    active = F.filter(F.array(*(F.struct(F.lit(i).alias("strategy"), col(f"st_{i}").alias("vote")) for i in IDS)), lambda s: s["vote"] != 0)
+    last = aggregate_signals(df, ids).withColumn("newest", F.max("rn").over(whole())).where("rn = newest")
+    active = F.filter(F.array(*(F.struct(F.lit(i).alias("strategy"), col(f"st_{i}").alias("vote")) for i in ids)), lambda s: s["vote"] != 0)
     return last.select("ticker", "ts", "score", "bullish_ratio", "consensus", active.alias("active"))

@@ -721,16 +721,15 @@ register(
         _LONG,
         _EVENTS_SQL,
         select=(
-            "SELECT ticker, signal, count(*) AS events, CASE WHEN count(*) < 10 THEN 'insufficient' WHEN avg(CASE WHEN ret > 0 THEN "
-            "1.0 ELSE 0.0 END) * 100 >= 60 AND avg(ret) > 0 THEN 'bullish' WHEN avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) * 100 <= "
-            "45 AND avg(ret) < 0 THEN 'bearish' ELSE 'neutral' END AS judgement FROM pk WHERE h = 5 GROUP BY 1, 2 HAVING count(*) >= "
-            "3"
+            "SELECT ticker, signal, n AS events, CASE WHEN n < 10 THEN 'insufficient' WHEN win >= 60 AND m > 0 THEN 'bullish' "
+            "WHEN win <= 45 AND m < 0 THEN 'bearish' ELSE 'neutral' END AS judgement FROM (SELECT ticker, signal, count(*) AS n, "
+            "round(avg(CASE WHEN ret > 0 THEN 100.0 ELSE 0 END) + 1e-9, 1) AS win, round(avg(ret) * 100 + 1e-9, 2) AS m FROM pk WHERE h = 5 GROUP BY 1, 2 HAVING count(*) >= 3)"
         ),
     ),
 )
 _SIGNAL_SQL = (o.EVENTS, o.IND, o.SIGNALS, _LONG, _EVENTS_SQL)
 register("overall_judgements", lambda s, d: shown(stats.overall_judgement(stats.judge_signals(stats.signal_stats(_signals(s, d), least=1)))), o.query(*_SIGNAL_SQL, """j AS (
-    SELECT ticker, signal, count(*) AS n, avg(CASE WHEN ret > 0 THEN 100.0 ELSE 0 END) AS win, avg(ret) AS m FROM pk WHERE h = 5 GROUP BY 1, 2
+    SELECT ticker, signal, count(*) AS n, round(avg(CASE WHEN ret > 0 THEN 100.0 ELSE 0 END) + 1e-9, 1) AS win, round(avg(ret) * 100 + 1e-9, 2) AS m FROM pk WHERE h = 5 GROUP BY 1, 2
 ), t AS (
     SELECT ticker, count(*) FILTER (n >= 10 AND win >= 60 AND m > 0) AS n_bullish, count(*) FILTER (n >= 10 AND win <= 45 AND m < 0) AS n_bearish, CAST(sum(n) AS BIGINT) AS samples FROM j GROUP BY 1
 )""", select="SELECT *, CASE WHEN n_bullish > n_bearish THEN 'bullish' WHEN n_bearish > n_bullish THEN 'bearish' ELSE 'neutral' END AS overall FROM t"))
@@ -743,7 +742,7 @@ register("full_report", lambda s, d: stats.full_report(_signals(s, d)), o.query(
     SELECT ticker, '| signal | horizon | events | mean | win rate |' || chr(10) || '|---|---|---|---|---|' || chr(10) || string_agg(printf('| %s | %d | %d | %.2f%% | %.1f%% |', signal, h, n, round(m * 100 + 1e-9, 2), round(win * 100 + 1e-9, 1)), chr(10) ORDER BY signal, h) AS t
     FROM j WHERE n >= 3 GROUP BY 1
 ), t AS (
-    SELECT ticker, count(*) FILTER (n >= 10 AND win >= 0.6 AND m > 0) AS up, count(*) FILTER (n >= 10 AND win <= 0.45 AND m < 0) AS down, CAST(sum(n) AS BIGINT) AS samples FROM j WHERE h = 5 GROUP BY 1
+    SELECT ticker, count(*) FILTER (n >= 10 AND round(win * 100 + 1e-9, 1) >= 60 AND round(m * 100 + 1e-9, 2) > 0) AS up, count(*) FILTER (n >= 10 AND round(win * 100 + 1e-9, 1) <= 45 AND round(m * 100 + 1e-9, 2) < 0) AS down, CAST(sum(n) AS BIGINT) AS samples FROM j WHERE h = 5 GROUP BY 1
 ), a AS (
     SELECT ticker, string_agg(printf('- %s (%s, %d)', signal, direction, occurrences), chr(10) ORDER BY printf('- %s (%s, %d)', signal, direction, occurrences)) AS l FROM act GROUP BY 1
 )""", select="""
@@ -753,20 +752,22 @@ SELECT n.ticker, '# ' || n.ticker || chr(10) || chr(10) || '## Active signals' |
 FROM n LEFT JOIN a ON a.ticker = n.ticker LEFT JOIN tb ON tb.ticker = n.ticker LEFT JOIN t ON t.ticker = n.ticker"""))
 
 # ---- chart data
-register(
-    "fibonacci_levels",
-    lambda s, d: shown(chart_data.fibonacci_levels(sources.bars_orders(s, d), within=0.9)),
-    o.query(
-        o.ORDERS,
-        f"z AS (SELECT *, max(rn) {o.ALL} AS newest FROM bars), y AS (SELECT ticker, min(low) AS lo, max(high) AS hi, arg_max(close, "
-        "rn) AS close FROM z WHERE rn > newest - 120 GROUP BY 1), x AS (SELECT ticker, close, ratio, lo + (hi - lo) * ratio AS level "
-        "FROM y, unnest([0.236, 0.382, 0.5, 0.618, 0.786]) AS u(ratio))",
-        select=(
-            f"SELECT ticker, {o.num('CAST(ratio AS DOUBLE)')} AS ratio, {o.num('level')} AS level FROM x WHERE abs(level - close) / nullif(close, "
-            "0) < 0.9"
+# 0.2 and 0.18 are the limits of the single and the multiple chart; levels of daily order prices lie further apart
+for _name, _source, _sql, _within in (("fibonacci_levels", sources.bars_orders, o.ORDERS, 0.9), ("fibonacci_levels_near", sources.bars_parts, o.PARTS, 0.2), ("fibonacci_levels_multi", sources.bars_parts, o.PARTS, 0.18)):
+    register(
+        _name,
+        lambda s, d, f=_source, w=_within: shown(chart_data.fibonacci_levels(f(s, d), within=w)),
+        o.query(
+            _sql,
+            f"z AS (SELECT *, max(rn) {o.ALL} AS newest FROM bars), y AS (SELECT ticker, min(low) AS lo, max(high) AS hi, arg_max(close, "
+            "rn) AS close FROM z WHERE rn > newest - 120 GROUP BY 1), x AS (SELECT ticker, close, ratio, lo + (hi - lo) * ratio AS level "
+            "FROM y, unnest([0.236, 0.382, 0.5, 0.618, 0.786]) AS u(ratio))",
+            select=(
+                f"SELECT ticker, {o.num('CAST(ratio AS DOUBLE)')} AS ratio, {o.num('level')} AS level FROM x WHERE abs(level - close) / nullif(close, "
+                f"0) < {_within}"
+            ),
         ),
-    ),
-)
+    )
 
 
 def _pivots(x: str, extreme: str) -> str:

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import long_series
 from ..functions.frames import div
 from ..functions.storage import shared_folder
-from ..operators import asof, intervals, news, series_search
+from ..operators import asof, detectors, intervals, news, quantiles, screener, series_search
 from ..sources import bars as sources
 from ..sources import dimensions
+from ..streaming import ordered
 from . import oracle as o
 from . import queries as q
 from .queries import KEY, register, shown
@@ -195,3 +196,120 @@ register(
         select=f"SELECT doc_id, keyword, sector, etf, direction, {o.num('CAST(weight AS DOUBLE)')} AS weight FROM documents JOIN kw ON contains(lower(text), keyword)",
     ),
 )
+
+
+# ---- streams that end: the same rows as the batch form
+def _stream_trades(s: SparkSession, d: str) -> DataFrame:
+    at = sources.bars_events(s, d).select("ticker", "rn", "ts")
+    votes = q.bt.votes(q._strategies(s, d)).join(at, ["ticker", "rn"]).select("ticker", "strategy", "ts", "close", "high", "low", col("vote").cast("double").alias("vote"))
+    limits = q.bt._params(q.strategies.IDS, None)
+    found = ordered.replayed(votes, {"ticker": "~", "strategy": q.strategies.IDS[0]}, lambda v: ordered.streaming_backtest(v, limits))
+    return shown(found, ["ticker", "strategy", "entry", "exit", "return_pct", "hold_bars", "reason"])
+
+
+register(
+    "streaming_trade_log",
+    _stream_trades,
+    o.recursive(*q._VOTED, o.votes(q._OWN), o.fold("v", "fold"), select=f"SELECT ticker, strategy, exit_rn - hold_bars AS entry, exit_rn AS exit, {o.num('return_pct')} AS return_pct, hold_bars, reason FROM fold_trades"),
+)
+_STREAMED = ["ma5", "ma10", "ma20", "ma60", "ema12", "ema26", "ema50", "bb_upper", "bb_lower", "high_20", "low_20", "atr14", "rsi_14", "macd_line", "macd_signal", "daily_ret"]
+register(
+    "streaming_indicators",
+    lambda s, d: shown(ordered.replayed(sources.bars_events(s, d).select("ticker", "ts", "close", "high", "low", "volume"), {"ticker": "~"}, ordered.streaming_indicators), [*KEY, *_STREAMED]),
+    o.query(o.EVENTS, o.IND, o.FACTORS, select=f"SELECT {q._KEY_SQL}, {q._nums(_STREAMED)} FROM fac"),
+)
+
+
+# ---- plug-ins
+_DIP = "CASE WHEN rsi_14 < 40 AND close > ma5 THEN 1 WHEN rsi_14 < 30 THEN 2 WHEN rsi_14 > 60 THEN -1 END"
+
+
+def _with_dip(s: SparkSession, d: str) -> DataFrame:
+    """Factors with all votes, a user's strategy among them."""
+    q.strategies.register(q.strategies.from_sql("dip", _DIP, stop_loss=0.2, take_profit=0.3, hold_min=2, hold_max=12))
+    try:
+        return q.strategies.with_strategies(q._factors(s, d), [*q.strategies.IDS, "dip"])
+    finally:
+        q.strategies.unregister("dip")
+
+
+def _dip_trades(s: SparkSession, d: str) -> DataFrame:
+    results = q.bt.run_strategies(_with_dip(s, d), {"all": {"dip": (0.2, 0.3, 2, 12)}}, curve=False)
+    return shown(q.bt.trades(results), ["ticker", "strategy", "entry", "exit", "return_pct", "reason"])
+
+
+register(
+    "plugin_trades",
+    _dip_trades,
+    o.recursive(
+        *q._VOTED,
+        f"v AS MATERIALIZED (SELECT 'all' AS run, ticker, 'dip' AS strategy, rn, close, high, low, coalesce({_DIP}, 0) AS vote, 0.2 AS stop, 0.3 AS target, 2 AS least_hold, 12 AS most_hold, CAST(100000 AS DOUBLE) AS capital FROM fac)",
+        o.fold("v", "fold"),
+        select=f"SELECT ticker, strategy, exit_rn - hold_bars AS entry, exit_rn AS exit, {o.num('return_pct')} AS return_pct, reason FROM fold_trades",
+    ),
+)
+register(
+    "plugin_consensus",
+    lambda s, d: shown(q.strategies.aggregate_signals(_with_dip(s, d), [*q.strategies.IDS, "dip"]), [*KEY, "score"]),
+    o.query(*q._VOTED, select=f"SELECT {q._KEY_SQL}, CAST({' + '.join(f'st_{i}' for i in q.strategies.IDS)} + coalesce({_DIP}, 0) AS BIGINT) AS score FROM st"),
+)
+
+
+def _streaks(s: SparkSession, d: str) -> DataFrame:
+    detectors.register_detector(s, "close_streaks", detectors.streak)
+    return shown(detectors.detect(sources.bars_events(s, d).select("ticker", "rn", "close"), "close_streaks"))
+
+
+register(
+    "plugin_detector",
+    _streaks,
+    o.query(
+        o.EVENTS,
+        f"w AS (SELECT ticker, rn, coalesce(sign(close - {o.lag('close')}), 0) AS way FROM bars), g AS (SELECT *, CASE WHEN way = {o.lag('way')} THEN 0 ELSE 1 END AS fresh FROM w), k AS (SELECT *, sum(fresh) {o.CUM} AS part FROM g), n AS (SELECT ticker, rn, way, row_number() OVER (PARTITION BY ticker, part ORDER BY rn) AS strength FROM k)",
+        select="SELECT ticker, CAST(rn AS BIGINT) AS rn, CASE WHEN way > 0 THEN 'rising' ELSE 'falling' END AS event, strength FROM n WHERE way <> 0 AND strength >= 3",
+    ),
+)
+
+
+# ---- quantiles
+def _price_quantiles(s: SparkSession, d: str) -> DataFrame:
+    """Median price of every brand, exact, and whether the one from merged daily sketches stands within the error bound."""
+    lines = s.read.parquet(f"{d}/lineitem.parquet").select("l_partkey", "l_shipdate", "l_extendedprice")
+    brands = s.read.parquet(f"{d}/part.parquet").select(col("p_partkey").alias("l_partkey"), col("p_brand").alias("ticker"))
+    ticks = lines.join(brands, "l_partkey").select("ticker", F.trunc("l_shipdate", "month").alias("month"), "l_extendedprice")
+    kept = quantiles.sketches(ticks, "l_extendedprice", ["ticker", "month"])
+    found = quantiles.merged(kept, ["ticker"]).select("ticker", "n", quantiles.at("sketch", 0.5).alias("about"))
+    placed = quantiles.rank_of(ticks, "l_extendedprice", ["ticker"], found, "about")
+    error = quantiles.rank_error()
+    near = (col("below") <= 0.5 + error) & (col("upto") >= 0.5 - error)
+    return shown(placed.join(quantiles.exact(ticks, "l_extendedprice", ["ticker"], [0.5]).drop("n"), "ticker").select("ticker", "n", col("q0").alias("median"), near.alias("near")))
+
+
+register(
+    "price_quantiles",
+    _price_quantiles,
+    o.query("t AS (SELECT p_brand AS ticker, l_extendedprice AS x FROM lineitem JOIN part ON p_partkey = l_partkey)", select=f"SELECT ticker, count(*) AS n, {o.num('quantile_cont(CAST(x AS DOUBLE), 0.5)')} AS median, true AS near FROM t GROUP BY ticker"),
+)
+
+# ---- the screen in one row, and holding profiles
+register(
+    "screen_summary",
+    lambda s, d: shown(screener.summary(screener.screen(sources.bars_parts(s, d), profile="short"))),
+    o.recursive(
+        o.PARTS.replace("bars AS (", "all_bars AS (", 1), q._RECENT, o.IND, o.FACTORS, o.STRATEGIES, o.votes(q._SHORT), o.fold("v", "fold", worst_case=True), o.summary("fold", "sm"), q._SCORE, q._SCREEN,
+        "best30 AS (SELECT * FROM x ORDER BY total DESC, ticker LIMIT 30)",
+        select=f"""SELECT count(*) AS n, count(*) FILTER (consensus LIKE '%bullish') AS n_bullish, count(*) FILTER (consensus LIKE '%bearish') AS n_bearish, count(*) FILTER (consensus = 'neutral') AS n_neutral,
+            {o.num('avg(total)')} AS mean_total, {o.num('avg(pf_return)')} AS mean_return, {o.num('avg(avg_sharpe)')} AS mean_sharpe,
+            coalesce((SELECT string_agg(ticker, ', ' ORDER BY total DESC, ticker) FROM (SELECT * FROM best30 WHERE consensus LIKE '%bullish' ORDER BY total DESC, ticker LIMIT 10)), '') AS best FROM best30""",
+    ),
+)
+for _profile in ("medium", "long"):
+    _limits = [(i, *(q.bt.HOLD_PROFILES[_profile][k] for k in (2, 3, 0, 1))) for i in q.strategies.IDS]
+    register(
+        f"backtest_ranking_{_profile}",
+        lambda s, d, p=_profile: shown(q.bt.rank_strategies(q.bt.backtest_all(q._strategies(s, d), profile=p), "total_return" if p == "long" else "sharpe"), ["ticker", "strategy", "n_trades", "rank", *q._SUMMARY]),
+        o.recursive(
+            *q._VOTED, o.votes(_limits), o.fold("v", "fold"), o.summary("fold", "sm"), q._RANKED.replace("sharpe DESC", f"{'total_return' if _profile == 'long' else 'sharpe'} DESC"),
+            select=f"SELECT ticker, strategy, n_trades, rank, {q._nums(q._SUMMARY)} FROM rk",
+        ),
+    )
