@@ -322,6 +322,45 @@ def test_loser_tree():
         assert list(warc_index.LoserTree(runs, key=lambda x: x)) == sorted(x for r in runs for x in r)
 
 
+def test_runs_are_opened_when_they_are_due():
+    draw = random.Random(2)
+    for k in (0, 1, 5, 40):
+        runs = sorted(sorted(draw.randrange(200) for _ in range(draw.randrange(1, 20))) for _ in range(k))
+        opened = []
+
+        def coming(runs=runs, opened=opened):
+            for r in runs:
+                opened.append(r[0])
+                yield r
+
+        got = []
+        for line in warc_index.merged_as_they_come(coming(), key=lambda x: x):
+            got.append(line)
+            assert sum(x > line for x in opened) <= 1  # one run is looked at ahead, none is held
+        assert got == sorted(x for r in runs for x in r)
+
+
+def test_archives_are_bounded_by_bytes(spark, tmp_path):
+    import gzip
+    import glob
+
+    pages = spark.createDataFrame([(i, f"http://h{i % 3}.org/{i}", chr(97 + i % 26) * (50 * 4 ** (i % 5))) for i in range(60)], "page_id long, url string, html string").coalesce(1)
+    warc_index.write_archives(pages, str(tmp_path / "w"), per_archive=8, archive_bytes=4000)
+    sizes = [len(gzip.open(f).read()) for f in glob.glob(f"{tmp_path}/w/*/part-*.gz")]
+    # headers come on top of payloads; the largest payloads are over the bound alone
+    assert max(sizes) <= 50 * 4**4 + 700 and sorted(sizes)[-13] <= 4000 + 8 * 700
+    index = warc_index.read_archives(spark, str(tmp_path / "w"))
+    assert sorted(int(r.page_id) for r in index.collect()) == list(range(60))
+
+
+def test_a_range_with_many_runs_and_small_slices(spark, monkeypatch):
+    monkeypatch.setattr(warc_index, "CHUNK", 4)
+    pages = spark.createDataFrame([(i, f"http://h{i * 7 % 5}.org/{i * 13 % 97}", f"page {i}") for i in range(400)], "page_id long, url string, html string").repartition(6)
+    lines = warc_index.archive_pages(pages, per_archive=20, per_partition=150).collect()
+    keys = [(r.url_key, r.ts, r.archive, r.at) for r in lines]
+    assert keys == sorted(keys) and sorted(int(r.page_id) for r in lines) == list(range(400))
+
+
 # ---- 9
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([ -]?[0-9])+", "phone": r"\+[0-9][ ().0-9-]+[0-9]"}
 

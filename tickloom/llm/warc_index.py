@@ -10,7 +10,8 @@ in the unpacked archive.  Each archive is a run of lines sorted by URL key and t
 ``capture_history`` merges these runs externally: limits drawn from a bounded sample of
 lines cut every run into sorted slices, a row each, that go to the partition of their
 range; there a k-way loser tree merges the slices as they are, without sorting lines
-again.  The partitions follow each other in key order, and limits are whole keys (URL
+again.  A slice has ``CHUNK`` lines at most and is opened when its first line is due, so a
+task holds the slices that overlap one key, not its range.  The partitions follow each other in key order, and limits are whole keys (URL
 key, time, archive, place), so that a URL captured very often is split too.
 
 Equal payloads are found by digest.  Pages whose digest is in a table of repeated ones,
@@ -29,6 +30,8 @@ import bisect
 import gzip
 import hashlib
 import io
+import itertools
+import math
 import uuid
 
 import numpy as np
@@ -45,6 +48,8 @@ END = "\r\n\r\n"
 DIGEST_BITS = 24
 #: Ranges of the index at most, and lines drawn for the limit of each.
 MOST_RANGES, DRAWN = 4000, 20
+#: Lines of a slice of a run, and bytes of an archive, at most.
+CHUNK, ARCHIVE_BYTES = 256, 1 << 28
 INDEX = "url_key string, ts string, page_id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string, archive string, at long, size long"
 
 
@@ -78,9 +83,11 @@ def roles(pages: DataFrame, *, page_id="page_id", url="url", html="html", least=
     return both.select("page_id", "url", "html", "payload_digest", "payload_bytes", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("keeper")).alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, folder: str, *, per_archive=256, epoch="2024-01-01 00:00:00", **columns) -> None:
-    """Write archives of at most ``per_archive`` records below ``folder``.
+def write_archives(pages: DataFrame, folder: str, *, per_archive=256, archive_bytes=ARCHIVE_BYTES, epoch="2024-01-01 00:00:00", **columns) -> None:
+    """Write archives of at most ``per_archive`` records and about ``archive_bytes`` of payload below ``folder``.
 
+    Payloads that are larger than their share of an archive go to archives with fewer records, by
+    size in steps of four; only a payload over ``archive_bytes`` makes a larger archive of its own.
     The capture time is ``epoch`` plus page_id seconds (plus none for ids that
     are not numbers), as the pages carry no time of their own.
     """
@@ -105,7 +112,12 @@ def write_archives(pages: DataFrame, folder: str, *, per_archive=256, epoch="202
         F.concat(F.lit("Content-Length: "), F.octet_length(payload).cast("string")),
     ]
     record = F.concat(F.concat_ws("\r\n", *headers), F.lit(END), payload)  # concat_ws leaves out null headers
-    r.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", per_archive).option("compression", "gzip").text(folder)
+    share = max(archive_bytes // per_archive, 1)
+    largest = pages.agg(F.max(F.octet_length(F.col(columns.get("html", "html"))))).first()[0] or 0
+    for step in range(max(math.ceil(math.log(max(largest, 1) / share, 4)), 0) + 1):
+        low, high = share * 4 ** (step - 1) if step else -1, share * 4**step
+        own = r.where((F.octet_length(payload) > low) & (F.octet_length(payload) <= high)) if largest > share else r
+        own.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", max(per_archive // 4**step, 1)).option("compression", "gzip").text(f"{folder}/size-{step}")
 
 
 def records(archive):
@@ -148,7 +160,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                 run.sort(key=_key)
                 yield _lines(run)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", True).load(folder)
     return files.select("path", "content").mapInArrow(parse, INDEX)
 
 
@@ -166,40 +178,80 @@ _TYPES = [pa.int64() if x.split()[1] == "long" else pa.string() for x in INDEX.s
 
 
 class LoserTree:
-    """Tournament tree over k sorted iterators; every step replays one leaf's path."""
+    """Tournament tree over sorted runs: every step replays one leaf's path.
+
+    Runs may be opened while lines are drawn, as long as they begin at or after the last line; an
+    ended run's leaf is taken by the next one.  Each node keeps the loser of its match, and
+    the winner that went on, so that any leaf's path can be replayed.
+    """
 
     def __init__(self, runs, key):
-        self.key, self.runs = key, [iter(r) for r in runs]
-        self.k = max(1, len(self.runs))
-        self.heads = [next(r, None) for r in self.runs] or [None]
-        self.tree = [-1] * self.k
-        for leaf in range(self.k - 1, -1, -1):
-            self._replay(leaf)
-
-    def _less(self, a: int, b: int) -> bool:
+        self.key, self.k = key, 1
+        self.runs, self.heads, self.free = [None], [None], [0]
+        self.lost, self.won = [0, 0], [0, 0]
+        for run in runs:
+            self.open(run)
+
+    def open(self, run) -> None:
+        """Let one more sorted run take part."""
+        run = iter(run)
+        first = next(run, None)
+        if first is None:
+            return
+        if not self.free:
+            self._widen()
+        leaf = self.free.pop()
+        self.runs[leaf], self.heads[leaf] = run, first
+        self._replay(leaf)
+
+    def first(self):
+        """The smallest line, which stays; None at the end."""
+        return self.heads[self.won[1]] if self.k > 1 else self.heads[0]
+
+    def take(self):
+        """Draw the smallest line."""
+        leaf = self.won[1] if self.k > 1 else 0
+        line, self.heads[leaf] = self.heads[leaf], next(self.runs[leaf], None)
+        if self.heads[leaf] is None:
+            self.free.append(leaf)
+        self._replay(leaf)
+        return line
+
+    def _widen(self) -> None:
+        """Twice as many leaves; all matches are played again."""
+        self.free = list(range(2 * self.k - 1, self.k - 1, -1))
+        self.runs, self.heads = self.runs + [None] * self.k, self.heads + [None] * self.k
+        self.k *= 2
+        self.lost, self.won = [0] * self.k, [0] * self.k
+        for node in range(self.k - 1, 0, -1):
+            self._match(node)
+
+    def _match(self, node: int) -> None:
+        a, b = (c - self.k if c >= self.k else self.won[c] for c in (2 * node, 2 * node + 1))
         x, y = self.heads[a], self.heads[b]
-        if x is None or y is None:
-            return y is None and (x is not None or a < b)
-        return (self.key(x), a) < (self.key(y), b)
+        ahead = y is None or (x is not None and (self.key(x), a) < (self.key(y), b))
+        self.won[node], self.lost[node] = (a, b) if ahead else (b, a)
 
-    def _replay(self, winner: int) -> None:
-        node = (winner + self.k) // 2
+    def _replay(self, leaf: int) -> None:
+        node = (leaf + self.k) // 2
         while node:
-            other = self.tree[node]
-            if other == -1:  # still building: wait here for the opponent
-                self.tree[node] = winner
-                return
-            if self._less(other, winner):
-                self.tree[node], winner = winner, other
+            self._match(node)
             node //= 2
-        self.tree[0] = winner
 
     def __iter__(self):
-        while self.heads[self.tree[0]] is not None:
-            leaf = self.tree[0]
-            yield self.heads[leaf]
-            self.heads[leaf] = next(self.runs[leaf], None)
-            self._replay(leaf)
+        while self.first() is not None:
+            yield self.take()
+
+
+def merged_as_they_come(runs, key):
+    """All lines of sorted runs in order; the runs come in the order of their first lines and each is opened when its first line is due."""
+    tree, coming = LoserTree([], key), iter(runs)
+    run = next(coming, None)
+    while run is not None or tree.first() is not None:
+        while run is not None and (tree.first() is None or key(run[0]) <= key(tree.first())):
+            tree.open(run)
+            run = next(coming, None)
+        yield tree.take()
 
 
 def _limits(index: DataFrame, ranges: int) -> list[tuple]:
@@ -222,7 +274,7 @@ def capture_history(index: DataFrame, partitions: int) -> DataFrame:
     shared = index.sparkSession.sparkContext.broadcast(limits)  # at most MOST_RANGES keys
 
     def sliced(batches):
-        """Runs, or what a batch has of them, cut at the limits: a row for each slice."""
+        """Runs, or what a batch has of them, cut at the limits and after ``CHUNK`` lines: a row for each slice."""
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns]
             keys = list(zip(columns[0], columns[1], columns[8], columns[9], strict=True))
@@ -232,6 +284,7 @@ def capture_history(index: DataFrame, partitions: int) -> DataFrame:
                 while begin < end:
                     part = bisect.bisect_right(shared.value, keys[begin])
                     cut = bisect.bisect_left(keys, shared.value[part], begin, end) if part < len(shared.value) else end
+                    cut = min(cut, begin + CHUNK)
                     parts.append(part)
                     firsts.append(begin)
                     begin = cut
@@ -239,30 +292,26 @@ def capture_history(index: DataFrame, partitions: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), *(pa.ListArray.from_arrays(lists, c) for c in batch.columns)], names=["part", *_NAMES])
 
     def merge(batches):
-        part, runs = None, []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[0] != part:
-                    yield from _merged(runs)
-                    part, runs = row[0], []
-                runs.append(list(zip(*row[1:], strict=True)))
-        yield from _merged(runs)
+        slices = (row for batch in batches for small in _few(batch) for row in zip(*(c.to_pylist() for c in small.columns), strict=True))
+        for _, own in itertools.groupby(slices, key=lambda row: row[0]):
+            out = []
+            for line in merged_as_they_come((list(zip(*row[1:], strict=True)) for row in own), _key):
+                out.append(line)
+                if len(out) == 4096:
+                    yield _lines(out)
+                    out = []
+            if out:
+                yield _lines(out)
 
     lists = ", ".join(f"{n} array<{'bigint' if t == pa.int64() else 'string'}>" for n, t in zip(_NAMES, _TYPES, strict=True))
     dealt = index.mapInArrow(sliced, f"part int, {lists}").repartitionByRange(len(limits) + 1, "part")
-    return dealt.sortWithinPartitions("part").mapInArrow(merge, INDEX)
+    first = [F.get(n, F.lit(0)) for n in ("url_key", "ts", "archive", "at")]
+    return dealt.sortWithinPartitions("part", *first).mapInArrow(merge, INDEX)
 
 
-def _merged(runs):
-    """Batches of the lines of sorted runs, in order."""
-    out = []
-    for line in LoserTree(runs, key=_key):
-        out.append(line)
-        if len(out) == 4096:
-            yield _lines(out)
-            out = []
-    if out:
-        yield _lines(out)
+def _few(batch: pa.RecordBatch, rows: int = 16):
+    """A batch, some slices at a time."""
+    return (batch.slice(i, rows) for i in range(0, len(batch), rows))
 
 
 def archive_pages(pages: DataFrame, *, per_partition=4000, **options) -> DataFrame:
