@@ -70,6 +70,11 @@ def portfolios(bars: DataFrame, ticker: str | None = None, period: str = "1y", h
     return portfolio.analyze_portfolio(_voted(bars, ticker, period), profile=hold, worst_case=worst_case)
 
 
+def portfolio_choices(bars: DataFrame, ticker: str | None = None, period: str = "1y") -> DataFrame:
+    """What the regime run of the portfolios holds, and the regime."""
+    return portfolio.regime_choices(_voted(bars, ticker, period))
+
+
 def strategy_markers(bars: DataFrame, ticker: str | None = None, period: str = "6mo") -> DataFrame:
     return chart_data.signal_markers(_voted(bars, ticker, period))
 
@@ -128,6 +133,11 @@ def best_strategies(bars: DataFrame, ticker: str | None = None, period: str = "1
     return portfolio.top_strategies(_voted(bars, ticker, period), profile=hold)
 
 
+def screen_summary(bars: DataFrame, n: int = 100, period: str = "6mo", hold: str = "medium", show: int = 30) -> DataFrame:
+    """Counts, means and first bullish tickers of a screen."""
+    return screener.summary(screener.screen(bars, n, show, period=period, profile=hold))
+
+
 def screen(bars: DataFrame, n: int = 100, period: str = "6mo", hold: str = "medium", show: int = 30) -> DataFrame:
     """The best tickers by total points."""
     return screener.screen(bars, n, show, period=period, profile=hold)

@@ -14,6 +14,7 @@ from ..operators import asof, detectors, intervals, news, quantiles, screener, s
 from ..sources import bars as sources
 from ..sources import dimensions
 from ..streaming import ordered
+from . import api
 from . import oracle as o
 from . import queries as q
 from .queries import KEY, register, shown
@@ -313,3 +314,44 @@ for _profile in ("medium", "long"):
             select=f"SELECT ticker, strategy, n_trades, rank, {q._nums(q._SUMMARY)} FROM rk",
         ),
     )
+
+# ---- what is shown: chosen fields, formatted and rounded figures, and what the regime run holds
+register(
+    "daily_rows",
+    lambda s, d: shown(api.daily(sources.bars_events(s, d), limit=50, fields="close, ma20, no_such_field, rsi_14")),
+    o.query(
+        o.EVENTS, o.IND, o.FACTORS, f"n AS (SELECT *, max(rn) {o.ALL} AS newest FROM fac)",
+        select=f"SELECT ticker, {q.TS}, {', '.join(o.num(f'round_even({c}, 4)') + f' AS {c}' for c in ('close', 'ma20', 'rsi_14'))} FROM n WHERE rn > newest - 50",
+    ),
+)
+_PCT = ("total_return", "annual_return", "max_drawdown", "avg_return")
+register(
+    "backtest_formatted",
+    # returns of these jumping series have more digits than two engines print alike
+    lambda s, d: q.bt.formatted(q.bt.backtest_all(q._strategies(s, d), profile="short")).drop("total_return", "annual_return"),
+    o.recursive(
+        *q._VOTED, o.votes(q._SHORT), o.fold("v", "fold"), o.summary("fold", "sm"),
+        select="SELECT ticker, strategy, CAST(n_trades AS VARCHAR) AS n_trades, " + ", ".join(f"printf('%.2f%%', {c} * 100) AS {c}" for c in _PCT[2:])
+        + ", printf('%.1f%%', win_rate * 100) AS win_rate, printf('%.2f', sharpe) AS sharpe, CASE WHEN isinf(profit_factor) THEN 'Infinity' ELSE printf('%.2f', profit_factor) END AS profit_factor, printf('%.0f', avg_hold) AS avg_hold FROM sm WHERE n_trades > 0",
+    ),
+)
+register(
+    "backtest_rounded",
+    lambda s, d: shown(q.portfolio.result_rows(q.bt.backtest_all(q._strategies(s, d), profile="short")), ["ticker", "strategy", "n_trades", *q._SUMMARY]),
+    o.recursive(
+        *q._VOTED, o.votes(q._SHORT), o.fold("v", "fold"), o.summary("fold", "sm"),
+        select="SELECT ticker, strategy, n_trades, " + ", ".join(o.num(f"round({c} * 100, 2)") + f" AS {c}" for c in _PCT)
+        + f", {o.num('round(win_rate * 100, 1)')} AS win_rate, {o.num('round(sharpe, 2)')} AS sharpe, {o.num('round(profit_factor, 2)')} AS profit_factor, {o.num('round(avg_hold, 0)')} AS avg_hold FROM sm WHERE n_trades > 0",
+    ),
+)
+_SAID = ", ".join(f"'{k}': '{v}'" for k, v in q.portfolio.DESCRIPTIONS.items())
+register(
+    "portfolio_choices",
+    lambda s, d: shown(q.portfolio.regime_choices(q._strategies(s, d))),
+    o.recursive(
+        *q._VOTED, o.votes(q._SHORT), o.fold("v", "fold"), o.summary("fold", "sm"), q._RANKED,
+        q._GIVEN.replace("row_number() OVER (PARTITION BY so.ticker", "so.sharpe AS sharpe, row_number() OVER (PARTITION BY so.ticker"),
+        select=f"""SELECT rr.ticker, rank, strategy, array_to_string(list_transform(string_split(strategy, '_'), lambda x: upper(x[1]) || x[2:]), ' ') AS name, {o.num('round(rr.sharpe, 2)')} AS sharpe,
+            reg.regime, reg.category, {o.num('round(reg.score, 0)')} AS score, MAP {{{_SAID}}}[reg.regime] AS description FROM rr JOIN reg USING (ticker) WHERE rank <= 5""",
+    ),
+)
