@@ -306,3 +306,23 @@ def test_judgements_use_rounded_figures(spark):
     rows = [("A", "wins_45_045", 111, 50 / 111, -0.02), ("A", "mean_0_004", 20, 0.7, 0.00004), ("A", "wins_59_96", 2001, 0.59964, 0.01), ("A", "few", 9, 0.9, 0.1)]
     got = {r.signal: r.judgement for r in stats.judge_signals(spark.createDataFrame([(t, s, 5, n, w, m) for t, s, n, w, m in rows], "ticker string, signal string, horizon int, events long, win_rate double, mean double")).collect()}
     assert got == {"wins_45_045": "bearish", "mean_0_004": "neutral", "wins_59_96": "bullish", "few": "insufficient"}
+
+
+def test_snapshots_are_read_once_over_runs(spark, tmp_path):
+    import datetime
+
+    from tickloom.sources import snapshots
+
+    day = lambda n: datetime.datetime(2024, 1, n)
+    write = lambda rows: spark.createDataFrame(rows, "ticker string, ts timestamp, close double").coalesce(1).write.mode("append").option("header", True).csv(str(tmp_path / "in"))
+    run = lambda: snapshots.refresh(spark, str(tmp_path / "in"), str(tmp_path / "sink"), str(tmp_path / "state"), "ticker string, ts timestamp, close double")
+    write([("A", day(1), 1.0), ("B", day(2), 2.0)])
+    run()
+    run()
+    write([("A", day(3), 3.0)])
+    run()
+    kept = spark.read.parquet(str(tmp_path / "sink"))
+    assert sorted((r.ticker, r.close) for r in kept.collect()) == [("A", 1.0), ("A", 3.0), ("B", 2.0)] and kept.select("snapshot").distinct().count() == 2
+    assert {r.ticker: r.close for r in snapshots.newest(kept).collect()} == {"A": 3.0, "B": 2.0}
+    assert {r.ticker: r.close for r in snapshots.newest(kept, at="2024-01-02 12:00:00").collect()} == {"A": 1.0, "B": 2.0}
+    assert {r.ticker for r in snapshots.newest(kept, at="2024-01-03 12:00:00", seconds=86_400).collect()} == {"A"}

@@ -17,18 +17,17 @@ RATIOS = (0.236, 0.382, 0.5, 0.618, 0.786)
 def trend_lines(bars: DataFrame) -> DataFrame:
     """(ticker, side, span, slope, intercept, r2, first_rn): per side and span the first fit above the limit
     through the last three, four or five pivots; at most four lines a side with slopes apart, best fit first."""
-    n = F.max("rn").over(whole()) + 1
-    out = None
-    for side, x, lowest in (("up", "low", True), ("down", "high", False)):
-        for span in SPANS:
-            df = bars.withColumn("n", n).withColumn("hit", pivot(x, span, lowest)).where(col("hit") & (col("n") >= 4 * span))
-            df = df.withColumn("back", F.row_number().over(whole().orderBy(F.desc("rn")))).where("back <= 5")
-            points = df.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct(col("rn").cast("double").alias("x"), col(x).cast("double").alias("y")))).alias("p")).where(F.size("p") >= 3)
-            tries = F.array(*(F.when(F.size("p") >= k, F.struct(fit(F.slice("p", -k, k)).alias("f"), F.get(F.slice("p", -k, k), F.lit(0))["x"].alias("first_rn"))) for k in (3, 4, 5)))
-            good = F.filter(tries, lambda t: t.isNotNull() & (t["f"]["r2"] > LEAST_R2))
-            one = points.select("ticker", F.lit(side).alias("side"), F.lit(span).alias("span"), F.get(good, F.lit(0)).alias("t")).where("t is not null")
-            one = one.select("ticker", "side", "span", "t.f.slope", "t.f.intercept", "t.f.r2", col("t.first_rn").cast("int").alias("first_rn"))
-            out = one if out is None else out.unionByName(one)
+    sides = (("up", "low", True), ("down", "high", False))
+    hits = [F.when(pivot(x, span, lowest), F.struct(F.lit(side).alias("side"), F.lit(span).alias("span"), col("rn").cast("double").alias("x"), col(x).cast("double").alias("y"))) for side, x, lowest in sides for span in SPANS]
+    # all pivots in one pass over the bars, then the last five of each side and span
+    seen = bars.withColumn("n", F.max("rn").over(whole()) + 1).withColumn("hits", F.array(*hits))
+    flat = seen.select("ticker", "n", F.explode(F.filter("hits", lambda h: h.isNotNull())).alias("h")).where(col("n") >= 4 * col("h.span")).select("ticker", "h.*")
+    flat = flat.withColumn("back", F.row_number().over(Window.partitionBy("ticker", "side", "span").orderBy(F.desc("x")))).where("back <= 5")
+    points = flat.groupBy("ticker", "side", "span").agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("p")).where(F.size("p") >= 3)
+    tries = F.array(*(F.when(F.size("p") >= k, F.struct(fit(F.slice("p", -k, k)).alias("f"), F.get(F.slice("p", -k, k), F.lit(0))["x"].alias("first_rn"))) for k in (3, 4, 5)))
+    good = F.filter(tries, lambda t: t.isNotNull() & (t["f"]["r2"] > LEAST_R2))
+    out = points.select("ticker", "side", "span", F.get(good, F.lit(0)).alias("t")).where("t is not null")
+    out = out.select("ticker", "side", "span", "t.f.slope", "t.f.intercept", "t.f.r2", col("t.first_rn").cast("int").alias("first_rn"))
     # at most one candidate per side and span: the greedy choice is a fold over four
     line = F.struct(col("r2"), (-col("span")).alias("order"), col("slope"), col("intercept"), col("first_rn"))
     grouped = out.groupBy("ticker", "side").agg(F.sort_array(F.collect_list(line), asc=False).alias("all"))
