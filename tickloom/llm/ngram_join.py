@@ -30,6 +30,8 @@ document; equal texts are linked; no documents, no rows; extra columns ignored.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,8 +49,8 @@ COMMON = (32, 128, 512, 2048, 8192, 65536)
 COLUMN_BITS = 26
 #: Blocks of columns in which overlaps are bounded by counts, and in which they are accumulated.
 CELLS, PARTS = 256, 16
-#: Rows of a block that meet in one task.
-BLOCK_ROWS = 500
+#: Rows of a block that meet in one task, and texts that a Python worker gets at a time.
+BLOCK_ROWS, TEXTS = 500, 2000
 #: Shingles of a text window of this many, in which repeated ones are counted before the shuffle.
 WINDOW = 1 << 21
 
@@ -237,8 +239,26 @@ def _verified(pairs: DataFrame, cells: DataFrame, docs: DataFrame, doc_id: str,
     return links
 
 
-def jaccard_components(docs: DataFrame, *, doc_id="doc_id", text="text", size=5, percent=80, common=32) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest id reachable by links) of every row."""
+@contextmanager
+def _few_texts_at_a_time(spark):
+    """Python workers get ``TEXTS`` rows at a time in the steps that are stored here; the session gets its own number back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(TEXTS, int(before)) if int(before) > 0 else TEXTS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def jaccard_components(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, n_shingles and component_id (smallest id reachable by links) of every row; see ``_components_of`` for options."""
+    with _few_texts_at_a_time(docs.sparkSession):
+        return _components_of(docs, **options)
+
+
+def _components_of(docs: DataFrame, *, doc_id="doc_id", text="text", size=5, percent=80, common=32) -> DataFrame:
+    """All steps that read texts are stored before this returns."""
     spark = docs.sparkSession
     profile = stored(_profiles(docs, doc_id, text, size), "profiles")
     sizes = sorted({common, *(c for c in COMMON if c > common)})
