@@ -47,6 +47,7 @@ def fold(close, high, low, signal, *, stop, target, hold_min, hold_max, capital,
     found by bisection, the next close at stop or target by array comparisons; bars
     in between cost no step.
     """
+    close, high, low, signal = (np.asarray(x, float) for x in (close, high, low, signal))
     n, cash, at = len(close), float(capital), 0
     equity, trades = np.empty(n), []
     buying = signal > 0
