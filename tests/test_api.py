@@ -66,6 +66,9 @@ def test_portfolios_and_choices(bars, tickers):
 def test_patterns(bars, tickers):
     own = api.pattern_search(bars, "CLICK", window=10, top=3).collect()
     assert len(own) == 3 and {r.ticker for r in own} == {"CLICK"}
+    long = api.pattern_search(bars, "CLICK", window=10, top=3, kind="long").collect()
+    assert {(r["start"], r["rank"]) for r in long} == {(r["start"], r["rank"]) for r in own}
+    assert api.pattern_search(bars, "CLICK", window=10, top=2, kind="dtw").count() == 2
     others = api.pattern_search(bars, " click ", window=10, top=3, kind="cross").collect()
     assert len(others) == 3 and all(r.target == "CLICK" and r.ticker != "CLICK" for r in others)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import whole
 from ..operators import backtest as bt
-from ..operators import chart_data, factors, indicators, portfolio, screener, signals, similarity, stats, strategies
+from ..operators import chart_data, factors, indicators, portfolio, screener, series_search, signals, similarity, stats, strategies
 from ..sources import bars as sources
 
 col = F.col
@@ -80,9 +80,10 @@ def strategy_markers(bars: DataFrame, ticker: str | None = None, period: str = "
 
 
 def pattern_search(bars: DataFrame, ticker: str, window: int = 30, top: int = 5, kind: str = "history") -> DataFrame:
-    """Similar windows of the ticker's own past, or other tickers' last windows."""
-    if kind == "history":
-        return similarity.search_historical(_of(bars, ticker, "max"), window=window, top=top)
+    """Similar windows of the ticker's own past (history, long for series and windows of any length, dtw by time warping), or other tickers' last windows."""
+    own = {"history": similarity.search_historical, "long": series_search.search_by_products, "dtw": series_search.search_by_dtw}
+    if kind in own:
+        return own[kind](_of(bars, ticker, "max"), window=window, top=top)
     target = bars.select("ticker").where(col("ticker") == ticker.strip().upper()).distinct()
     return similarity.search_cross(bars, target, window=window, top=top)
 
