@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tickloom.functions.frames import EMA_BLOCK, with_ema
 from tickloom.operators import backtest as bt
 from tickloom.operators import chart_data, factors, indicators, news, portfolio, signals, similarity, strategies
+from tickloom.operators.trendlines import fit, with_trendlines
 from tickloom.sources import bars as sources
 from tickloom.sources import dimensions
 
@@ -233,3 +234,17 @@ def test_registries(spark):
     assert known["rsi_14"].panel == "sub_momentum" and known["ma5"].category == "base" and known["cci_20"].panel is None
     assert len(known) == len(factors.factor_registry(spark).collect()) and {n for names in factors.PANELS.values() for n in names} <= set(known)
     assert signals.registry(spark).count() == 34 and strategies.registry(spark).count() == 20
+
+
+@pytest.mark.parametrize("y", [0.01, 0.1, 1e6 / 3])
+def test_level_line_fits_its_points(spark, y):
+    points = [(float(x), y) for x in (101, 108, 117, 125, 132)]
+    got = spark.createDataFrame([(points,)], "p array<struct<x:double,y:double>>").select(fit(F.col("p")).alias("f")).select("f.*").first()
+    assert tuple(got) == (0.0, y, 1.0)
+
+
+def test_trend_lines_through_equal_lows(spark):
+    low = [3.0 if i % 8 == 4 else 5.0 + abs(i % 8 - 4) for i in range(80)]
+    bars = make(spark, [x + 1 for x in low], low=low, high=[x + 2 for x in low])
+    assert [tuple(r) for r in with_trendlines(bars).where("rn = 79").select("up_line.slope", "up_line.r2", "up_line.value").collect()] == [(0.0, 1.0, 3.0)]
+    assert [(r["slope"], r["intercept"], r["r2"]) for r in chart_data.trend_lines(bars).where("side = 'up'").collect()] == [(0.0, 3.0, 1.0)]
