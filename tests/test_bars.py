@@ -248,3 +248,12 @@ def test_trend_lines_through_equal_lows(spark):
     bars = make(spark, [x + 1 for x in low], low=low, high=[x + 2 for x in low])
     assert [tuple(r) for r in with_trendlines(bars).where("rn = 79").select("up_line.slope", "up_line.r2", "up_line.value").collect()] == [(0.0, 1.0, 3.0)]
     assert [(r["slope"], r["intercept"], r["r2"]) for r in chart_data.trend_lines(bars).where("side = 'up'").collect()] == [(0.0, 3.0, 1.0)]
+
+
+def test_display_strings_round_as_printf(spark):
+    shown = ("total_return", "annual_return", "max_drawdown", "avg_return", "win_rate", "sharpe", "profit_factor", "avg_hold")
+    rows = [(0.00125, -0.00125, -0.5, 1.61644, 0.4125, 0.125, float("inf"), 2.5), (12.345, 0.0, -1e-9, 1234567.0, 0.4375, -0.375, 1.005, 3.5)]
+    df = spark.createDataFrame([("A", "s", 80, *r) for r in rows], "ticker string, strategy string, n_trades int, " + ", ".join(f"{c} double" for c in shown))
+    said = lambda r: (*(f"{100 * x:.2f}%" for x in r[:4]), f"{100 * r[4]:.1f}%", f"{r[5]:.2f}", "Infinity" if r[6] == float("inf") else f"{r[6]:.2f}", f"{r[7]:.0f}")
+    got = bt.formatted(df).select(*shown).collect()
+    assert sorted(map(tuple, got)) == sorted(map(said, rows))
