@@ -469,6 +469,19 @@ def test_repeated_strings(docs, empty, crowd):
     assert bwt_dedup.repeated_spans(empty).count() == 0
 
 
+def test_repeated_strings_in_groups_of_several_buckets(docs):
+    rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect() if r.doc_id is not None]
+    want = dict(repeats_brute(rows))
+    got = bwt_dedup.repeated_spans(docs, per_bucket=5, groups=3).where("doc_id is not null").collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
+
+
+def test_table_of_repeated_anchors_follows_the_input():
+    # about one segment in 18 bytes of text, a bit for each
+    assert all(1 << bwt_dedup._anchor_bits(size) >= size // 18 for size in (0, 10**6, 10**9, 10**10))
+    assert bwt_dedup._anchor_bits(10**14) == bwt_dedup.MOST_ANCHOR_BITS
+
+
 def test_repeated_strings_of_crowded_anchors_are_dealt_by_longer_ones(spark):
     draw = random.Random(8)
     common = "the same twenty-odd bytes here "

@@ -9,9 +9,11 @@ How the work is dealt out.  Every window of ``minimum`` bytes has an anchor: its
 ``SEED``-byte string of smallest hash, the leftmost if tied.  Equal windows have
 equal anchors at equal places, so windows only meet those of the same anchor.
 Neighbouring windows with one anchor form a segment.  A first scan counts in how
-many documents each anchor occurs; the anchors of two or more go into a table of
-fixed size (``ANCHOR_BITS``).  A second scan sends the segments of those anchors,
-packed, to buckets by anchor hash; the number of buckets follows the input.
+many documents each anchor occurs; the anchors of two or more go into a bit table
+(``ANCHOR_BITS`` to ``MOST_ANCHOR_BITS``, by the bytes of the texts, so that it stays
+mostly empty).  A second scan sends the segments of those anchors, packed, to groups
+by anchor hash.  There are at most ``GROUPS`` of them, so that the rows that travel
+grow with the input only; the buckets into which a group is cut follow the input.
 
 The match itself is made in the bucket.  Equal segments (compared byte by byte) are
 one string with its smallest document.  The strings' suffixes are put in order and
@@ -53,8 +55,10 @@ from .shared import bit_table, discard, heavy_keys_aside, in_table, stored
 
 #: Bytes of an anchor.
 SEED = 16
-#: Bits of the tables of repeated and of crowded anchors.
-ANCHOR_BITS = 26
+#: Bits of the table of crowded anchors, and of that of repeated ones: a bit for every segment up to the most.
+ANCHOR_BITS, MOST_ANCHOR_BITS = 26, 30
+#: Groups in which segments travel; a task expands a group bucket by bucket.
+GROUPS = 1024
 #: Bits of the table's part that one group of anchors fills; and anchors of a group.
 CHUNK_BITS, CHUNK_ANCHORS = 18, 500_000
 #: Bits of the tables of documents to scan and to cut.
@@ -201,11 +205,16 @@ def _least_by_window(data, offsets, windows, least, minimum):
     return best
 
 
-def _packed_anchors(h: np.ndarray, parts: int) -> pa.RecordBatch:
+def _anchor_bits(size: int) -> int:
+    """Bits of the table of repeated anchors for that many bytes of text: about one for every segment."""
+    return min(max(ANCHOR_BITS, int(size // 18).bit_length()), MOST_ANCHOR_BITS)
+
+
+def _packed_anchors(h: np.ndarray, parts: int, bits: int) -> pa.RecordBatch:
     """Anchors of one flush by group: 40 bits of each distinct one, and how often those occur that do so twice or more."""
-    group = (h >> np.uint64(CHUNK_BITS)) & np.uint64((1 << (ANCHOR_BITS - CHUNK_BITS)) - 1)
+    group = (h >> np.uint64(CHUNK_BITS)) & np.uint64((1 << (bits - CHUNK_BITS)) - 1)
     group = group * np.uint64(parts) + (h >> np.uint64(48)) % np.uint64(parts)
-    value = (h & np.uint64((1 << CHUNK_BITS) - 1)) | ((h >> np.uint64(ANCHOR_BITS)) & np.uint64((1 << 22) - 1)) << np.uint64(CHUNK_BITS)
+    value = (h & np.uint64((1 << CHUNK_BITS) - 1)) | ((h >> np.uint64(bits)) & np.uint64((1 << 22) - 1)) << np.uint64(CHUNK_BITS)
     key = np.sort(group << np.uint64(40) | value)
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     copies = np.diff(np.append(first, len(key)))
@@ -259,7 +268,8 @@ def _anchor_tables(source: DataFrame, keep, minimum: int, crowd: int, size: int)
 
     ``size``: bytes of the texts, which decide into how many groups anchors are dealt.
     """
-    parts = max(1, size // 18 // (CHUNK_ANCHORS << (ANCHOR_BITS - CHUNK_BITS)))
+    bits = _anchor_bits(size)
+    parts = max(1, size // 18 // (CHUNK_ANCHORS << (bits - CHUNK_BITS)))
 
     def run(batches):
         held, count = [], 0
@@ -273,20 +283,22 @@ def _anchor_tables(source: DataFrame, keep, minimum: int, crowd: int, size: int)
                 held.append(anchor[new])
                 count += len(held[-1])
                 if count >= FLUSH_ANCHORS:
-                    yield _packed_anchors(np.concatenate(held), parts)
+                    yield _packed_anchors(np.concatenate(held), parts, bits)
                     held, count = [], 0
         if count:
-            yield _packed_anchors(np.concatenate(held), parts)
+            yield _packed_anchors(np.concatenate(held), parts, bits)
 
     chunk = "chunk long, part long, bits binary, crowded binary, load long"
     tables = source.mapInArrow(run, "part long, anchors binary, often binary, copies binary").groupBy("part").applyInArrow(lambda g: _merged_anchors(g, parts, crowd), chunk)
-    while parts > 1:
-        tables = tables.groupBy("chunk", F.expr(f"part div {MERGED}")).applyInArrow(_either, chunk)
+    merged = False
+    while parts > 1 or not merged:  # once at least: the last step is taken one partition after the other
+        tables, merged = tables.groupBy("chunk", F.expr(f"part div {MERGED}")).applyInArrow(_either, chunk), True
         parts = -(-parts // MERGED)
-    out, load = [np.zeros(1 << (ANCHOR_BITS - 3), np.uint8) for _ in range(2)], 0
+    out, load = [np.zeros(1 << (b - 3), np.uint8) for b in (bits, ANCHOR_BITS)], 0
     for row in tables.toLocalIterator():  # one row a chunk
         for table, raw in zip(out, (row["bits"], row["crowded"]), strict=True):
-            table[row["chunk"] << (CHUNK_BITS - 3) : (row["chunk"] + 1) << (CHUNK_BITS - 3)] = np.frombuffer(raw, np.uint8)
+            at = row["chunk"] % (len(table) >> (CHUNK_BITS - 3)) << (CHUNK_BITS - 3)
+            table[at : at + (1 << (CHUNK_BITS - 3))] |= np.frombuffer(raw, np.uint8)
         load += row["load"]
     return out, load
 
@@ -296,8 +308,8 @@ def _kept(batch, bits):
     return batch.filter(pa.array(in_table(bits, batch.column(3).to_numpy().view(np.uint64))))
 
 
-def _gathered(source: DataFrame, keep, tables, minimum: int, buckets: int) -> DataFrame:
-    """Segments of repeated anchors, packed by bucket."""
+def _gathered(source: DataFrame, keep, tables, minimum: int, buckets: int, groups: int) -> DataFrame:
+    """Segments of repeated anchors, packed by the group of their bucket."""
 
     def run(batches):
         held: list[tuple] = []
@@ -307,7 +319,7 @@ def _gathered(source: DataFrame, keep, tables, minimum: int, buckets: int) -> Da
             h, length = (np.concatenate([x[i] for x in held]) for i in (0, 5))
             raw = np.concatenate([x[6] for x in held])
             begin = np.cumsum(length) - length
-            bucket = (tx.mix(h) % np.uint64(buckets)).astype(np.int64)
+            bucket = _anchor_bucket(h, buckets) % min(buckets, groups)
             order = np.argsort(bucket, kind="stable")
             firsts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
             ends = np.append(firsts[1:], len(order))
@@ -359,6 +371,11 @@ def _runs(doc, tag, at, windows, earlier, minimum):
     return doc[own], tag[own], at[own].astype(np.int64) + first - begin[own], at[own].astype(np.int64) + last - begin[own] + minimum
 
 
+def _anchor_bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket in which the segments of an anchor meet."""
+    return (tx.mix(h) % np.uint64(buckets)).astype(np.int64)
+
+
 def _bucket(doc, tag, buckets: int) -> np.ndarray:
     """The group in which a text meets its spans."""
     return (tx.mix(doc.astype(np.uint64) ^ tx.mix(tag.astype(np.uint64))) % np.uint64(buckets)).astype(np.int64)
@@ -377,8 +394,8 @@ def _packed_spans(doc, tag, start, end, buckets: int) -> pa.RecordBatch:
 _SPANS = "bucket long, doc array<long>, tag array<int>, start array<long>, end array<long>"
 
 
-def _expand(group: pa.Table, minimum: int, doc_buckets: int) -> pa.Table:
-    """Removed spans of one bucket."""
+def _expand(group: pa.Table, minimum: int, buckets: int, groups: int, doc_buckets: int) -> pa.Table:
+    """Removed spans of one group, expanded bucket by bucket."""
     columns, parts = [[] for _ in _KINDS], []
     for n, facts, small in zip(*(group.column(c).to_pylist() for c in ("n", "facts", "raw")), strict=True):
         facts, at = pa.decompress(facts, n * _KINDS_BYTES, "zstd", asbytes=True), 0
@@ -389,6 +406,23 @@ def _expand(group: pa.Table, minimum: int, doc_buckets: int) -> pa.Table:
     doc, tag, at, left, length = (np.concatenate(c) for c in columns)
     left, length, raw = left.astype(np.int64), length.astype(np.int64), np.frombuffer(b"".join(parts), np.uint8)
     begin = np.cumsum(length) - length
+    if buckets <= groups:
+        found = [_expand_bucket(doc, tag, at, left, length, raw, minimum)]
+    else:
+        # the anchors' hashes tell the buckets apart
+        seeds = raw[(begin + left)[:, None] + np.arange(SEED)].reshape(-1)
+        places = np.arange(len(left)) * SEED
+        bucket = _anchor_bucket(tx.Rolling(tx.byte_values()[seeds]).spans(places, places + SEED), buckets)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order))
+        own = [order[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        found = [_expand_bucket(doc[o], tag[o], at[o], left[o], length[o], raw[_ragged(begin[o], length[o])], minimum) for o in own]
+    return pa.Table.from_batches([_packed_spans(*(np.concatenate(c) for c in zip(*found, strict=True)), doc_buckets)])
+
+
+def _expand_bucket(doc, tag, at, left, length, raw, minimum: int):
+    """Removed spans of the segments of one bucket, whose bytes follow each other in ``raw``."""
+    begin = np.cumsum(length) - length
     # equal segments are one string, kept by its smallest document; a hash brings them together, their bytes decide
     alike = tx.mix(tx.Rolling(tx.byte_values()[raw]).spans(begin, begin + length) + left.astype(np.uint64))
     order = np.lexsort((doc, length, alike))
@@ -408,7 +442,7 @@ def _expand(group: pa.Table, minimum: int, doc_buckets: int) -> pa.Table:
     least = _least_by_window(data, cuts, windows, doc[lead], minimum)
     at0, counts = np.cumsum(windows) - windows, windows[string]
     earlier = least[_ragged(at0[string], counts)] < np.repeat(doc, counts)
-    return pa.Table.from_batches([_packed_spans(*_runs(doc, tag, at, counts, earlier, minimum), doc_buckets)])
+    return _runs(doc, tag, at, counts, earlier, minimum)
 
 
 def _dealt_by_longer_anchors(strings: DataFrame, minimum: int, most: int) -> DataFrame:
@@ -552,7 +586,7 @@ def _cut(texts: pa.Table, spans: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "tag", "n_removed", "n_spans", "kept", "ranges"])
 
 
-def repeated_spans(docs: DataFrame, *, doc_id="doc_id", text="text", minimum=50, crowd=None, per_bucket=8000, most_strings=20_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, *, doc_id="doc_id", text="text", minimum=50, crowd=None, per_bucket=8000, most_strings=20_000, groups=GROUPS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed byte ``ranges`` of every row.
 
     ``crowd``: by default a hundredth of the documents, 1,000 at least and 20,000 at most.
@@ -573,8 +607,8 @@ def repeated_spans(docs: DataFrame, *, doc_id="doc_id", text="text", minimum=50,
     made, load = _anchor_tables(known, keep, minimum, crowd, totals["bytes"] or 0)
     tables = spark.sparkContext.broadcast(made)
     buckets, doc_buckets = max(1, -(-load // per_bucket)), max(1, -(-(totals["bytes"] or 0) // TEXT_BYTES))
-    packed = _gathered(known, keep, tables, minimum, buckets)
-    spans = packed.groupBy("bucket").applyInArrow(lambda g: _expand(g, minimum, doc_buckets), _SPANS)
+    packed = _gathered(known, keep, tables, minimum, buckets, groups)
+    spans = packed.groupBy("bucket").applyInArrow(lambda g: _expand(g, minimum, buckets, groups, doc_buckets), _SPANS)
     if made[1].any():
         spans = spans.unionByName(_crowded(known, keep, tables, minimum, per_bucket, most_strings, doc_buckets))
     spans = stored(spans, "spans")
