@@ -257,3 +257,25 @@ def test_display_strings_round_as_printf(spark):
     said = lambda r: (*(f"{100 * x:.2f}%" for x in r[:4]), f"{100 * r[4]:.1f}%", f"{r[5]:.2f}", "Infinity" if r[6] == float("inf") else f"{r[6]:.2f}", f"{r[7]:.0f}")
     got = bt.formatted(df).select(*shown).collect()
     assert sorted(map(tuple, got)) == sorted(map(said, rows))
+
+
+def test_keyword_scan_holds_one_text_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(["steel " + "x" * 10_000] * 2000)], names=["id", "low"])
+    tracemalloc.start()
+    found = [len(b) for b in news._scan(iter([batch]), ["", "oil", "steel"], "test")]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [4000] and peak < 5_000_000
+
+
+def test_keywords_leave_the_batch_size_of_the_session(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    texts = spark.createDataFrame([(1, "Steel"), (2, None), (3, "oil steel")], "doc_id long, text string")
+    keywords = spark.createDataFrame([("steel", "Materials", "XLB", "positive", 1.0)], "keyword string, sector string, etf string, direction string, weight double")
+    assert sorted(r["doc_id"] for r in news.match_keywords(texts, keywords).collect()) == [1, 3]
+    assert spark.conf.get(name) == before
