@@ -279,3 +279,15 @@ def test_keywords_leave_the_batch_size_of_the_session(spark):
     keywords = spark.createDataFrame([("steel", "Materials", "XLB", "positive", 1.0)], "keyword string, sector string, etf string, direction string, weight double")
     assert sorted(r["doc_id"] for r in news.match_keywords(texts, keywords).collect()) == [1, 3]
     assert spark.conf.get(name) == before
+
+
+@pytest.mark.parametrize(("x", "y"), [((56, 50, 44, 38, 32), (0.04, 0.01, 0.01, 0.01, 0.01)), ((56, 50, 44, 38, 32), (426.24, 426.24, 426.24, 426.24, 477.11)), ((30, 20, 10), (0.02, 0.05, 0.01)), ((52, 41, 33), (7.5, 7.5, 7.5))])
+def test_fit_at_the_limit_falls_as_in_sql(spark, x, y):
+    import duckdb
+
+    # from the last pivot on, as the SQL of the trend lines has them
+    values = ", ".join(f"({i}, {j}::DOUBLE)" for i, j in zip(x, y, strict=True))
+    want = duckdb.connect().execute(f"SELECT regr_slope(y, x), regr_r2(y, x) > 0.5 FROM (VALUES {values}) AS t(x, y)").fetchone()
+    points = [(float(i), j) for i, j in zip(x, y, strict=True)][::-1]
+    got = spark.createDataFrame([(points,)], "p array<struct<x:double,y:double>>").select(fit(F.col("p")).alias("f")).select("f.slope", F.col("f.r2") > 0.5).first()
+    assert got[0] == pytest.approx(want[0], abs=1e-12) and got[1] == want[1]
