@@ -583,3 +583,22 @@ def test_words_don_t_span_rows():
     assert list(zip(start, end, row)) == [(0, 2, 0), (2, 4, 2), (5, 7, 2)]
 
 
+def test_rows_meet_in_their_first_common_block_only(spark):
+    from pyspark.sql import functions as F
+
+    from tickloom.llm import ngram_join as nj
+    from tickloom.llm.shared import bit_table
+
+    # two rows with runs of common columns, columns of their own and columns of a third row between them
+    lists = {1: [2, 3, 5, *range(10, 60), 61, *range(70, 90)], 2: [1, 3, 4, 5, *range(10, 60), *range(70, 90), 95], 3: [4, 61, 95]}
+    classes = spark.createDataFrame([(i, len(g), g) for i, g in lists.items()], "id long, n long, grams array<long>")
+    repeated = classes.select(F.explode("grams").alias("gram")).groupBy("gram").count().where("count > 1")
+    entries = nj._entries(classes, spark.sparkContext.broadcast(bit_table(repeated, "gram", 20)))
+    found = {(r["id"], r["gram"]): r["before"] for r in entries.collect()}
+    shared = {g for g in sum(lists.values(), []) if sum(g in other for other in lists.values()) > 1}
+    for i, grams in lists.items():
+        kept = [g for g in grams if g in shared]
+        assert all(found[i, g] == kept[max(k - nj.BEFORE, 0) : k] for k, g in enumerate(kept))
+    x, y = entries.alias("x"), entries.alias("y")
+    met = x.join(y, F.expr("x.gram = y.gram and x.id < y.id"))
+    assert met.count() == 75 and sorted(map(tuple, met.where("not arrays_overlap(x.before, y.before)").select("x.id", "y.id", "x.gram").collect())) == [(1, 2, 3), (1, 3, 61), (2, 3, 4), (2, 3, 95)]

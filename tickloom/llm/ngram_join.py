@@ -9,7 +9,9 @@ Only the part of the product that can matter is computed.  Rows are sorted by on
 global order of shingles, from rare to common, so that by their sizes two linked rows
 must share a shingle in their first places (the size-derived bounds of ``probe``
 and ``index`` lengths); the product over those columns, one block per shingle,
-yields candidate pairs, which size and position bounds thin out further.  For the
+yields candidate pairs, which size and position bounds thin out further.  An entry
+carries the ``BEFORE`` entries before it, and two rows don't meet in a block where those
+overlap: they have met in that earlier block.  For the
 remaining pairs overlap counts are accumulated over ``PARTS`` blocks of all columns;
 a pair goes as soon as what it has and what is left can't reach the bound.  Equal
 sets are one row of the matrix from the start.  Each block's rows are first linked to
@@ -49,6 +51,8 @@ COMMON = (32, 128, 512, 2048, 8192, 65536)
 COLUMN_BITS = 26
 #: Blocks of columns in which overlaps are bounded by counts, and in which they are accumulated.
 CELLS, PARTS = 256, 16
+#: Earlier entries of its row that an entry carries.
+BEFORE = 8
 #: Rows of a block that meet in one task, and texts that a Python worker gets at a time.
 BLOCK_ROWS, TEXTS = 500, 2000
 #: Shingles of a text window of this many, in which repeated ones are counted before the shuffle.
@@ -150,7 +154,7 @@ def _prefixes(docs: DataFrame, doc_id: str, text: str, size: int, percent: int,
 
 
 def _entries(classes: DataFrame, repeated) -> DataFrame:
-    """Incidence entries (id, n, at, gram) of the columns that (may) have more than one row, and how many a row has."""
+    """Incidence entries (id, n, at, gram) of the columns that (may) have more than one row, those before it, and how many a row has."""
 
     def run(batches):
         for batch in batches:
@@ -161,10 +165,15 @@ def _entries(classes: DataFrame, repeated) -> DataFrame:
             at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             keep = np.flatnonzero(in_table(repeated.value, grams.to_numpy().view(np.uint64)))
             of = pa.array(row[keep])
-            central = np.bincount(row[keep], minlength=len(sizes))[row[keep]]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(at[keep], pa.int32()), grams.take(pa.array(keep)), pa.array(central, pa.int32())], names=["id", "n", "at", "gram", "central"])
+            counts = np.bincount(row[keep], minlength=len(sizes))
+            central = counts[row[keep]]
+            n_before = np.minimum(np.arange(len(keep)) - (np.cumsum(counts) - counts)[row[keep]], BEFORE)
+            ends = np.cumsum(n_before)
+            earlier = np.arange(n_before.sum()) + np.repeat(np.arange(len(keep)) - ends, n_before)
+            before = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), grams.take(pa.array(keep[earlier])))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(at[keep], pa.int32()), grams.take(pa.array(keep)), pa.array(central, pa.int32()), before], names=["id", "n", "at", "gram", "central", "before"])
 
-    return classes.select("id", "n", "grams").mapInArrow(run, f"id {classes.schema['id'].dataType.simpleString()}, n long, at int, gram long, central int")
+    return classes.select("id", "n", "grams").mapInArrow(run, f"id {classes.schema['id'].dataType.simpleString()}, n long, at int, gram long, central int, before array<long>")
 
 
 def _sets(docs: DataFrame, doc_id: str, text: str, size: int, wanted) -> DataFrame:
@@ -291,12 +300,13 @@ def _components_of(docs: DataFrame, *, doc_id="doc_id", text="text", size=5, per
     viable = entries.where(f"n - at >= {overlap('n', 'n')} or n - at >= {overlap(least, 'n')}")
     bounds = (
         f"x.part <> y.part and (x.n < y.n or x.n = y.n and x.id < y.id) and 100 * x.n >= {percent} * y.n "
-        f"and x.n - x.at >= {overlap('x.n', 'x.n')} and least(x.n - x.at, y.n - y.at) >= {overlap('x.n', 'y.n')}"
+        f"and x.n - x.at >= {overlap('x.n', 'x.n')} and least(x.n - x.at, y.n - y.at) >= {overlap('x.n', 'y.n')} "
+        "and not arrays_overlap(x.before, y.before)"  # both rows are in that earlier block too, at earlier places
     )
 
     def mixed(rows, parts):
         """Entries with the group of their row, of the blocks that have several groups."""
-        grouped = rows.select("gram", "id", "n", "at").join(parts, "id", "left").select("gram", "id", "n", "at", F.coalesce("label", "id").alias("part"))
+        grouped = rows.select("gram", "id", "n", "at", "before").join(parts, "id", "left").select("gram", "id", "n", "at", "before", F.coalesce("label", "id").alias("part"))
         several = grouped.groupBy("gram").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("shares")).where("p <> q").select("gram", "shares")
         return stored(grouped.join(several, "gram"), "blocks")
 
@@ -309,7 +319,7 @@ def _components_of(docs: DataFrame, *, doc_id="doc_id", text="text", size=5, per
 
     # first one row of every group in a block, which joins most groups that belong together; then all rows of those still apart
     blocks = mixed(viable, joined)
-    heads = blocks.groupBy("gram", "part", "shares").agg(F.min(F.struct("at", "n", "id")).alias("r")).select("gram", "part", "shares", "r.*")
+    heads = blocks.groupBy("gram", "part", "shares").agg(F.min(F.struct("at", "n", "id", "before")).alias("r")).select("gram", "part", "shares", "r.*")
     links = stored(links.unionByName(_verified(product(heads), cells, docs, doc_id, text, size, percent)), "links")
     pairs = product(mixed(blocks, components(links)))
     labels = components(links.unionByName(_verified(pairs, cells, docs, doc_id, text, size, percent)))
